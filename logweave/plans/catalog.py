@@ -1,0 +1,39 @@
+"""Named queries over the test tables: ``name -> (spark, sf_dir) -> DataFrame``.
+
+Parameters follow FIXTURES.md part C (the events span one month, so the
+windows are a day wide) and ``AS_OF`` replaces the wall clock.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.parse import fields_text, parse_entries
+from ..sources.fixtures import log_lines
+
+AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(fn):
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_entries(log_lines(spark, sf_dir))
+
+
+@query
+def parse_entries_q(spark, sf_dir):
+    return entries(spark, sf_dir).drop("parsed_fields")
+
+
+@query
+def parse_kv_fields(spark, sf_dir):
+    return entries(spark, sf_dir).select("id", fields_text(F.col("parsed_fields")).alias("fields"))
