@@ -12,6 +12,8 @@ text times.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,10 +111,8 @@ def parse_entries(lines: DataFrame, cascade: str = "fixed", ts_mode: str = "fixe
     received = F.col("received_at")
     jm = F.from_json(raw, "map<string,string>")
     df = lines.withColumn("_jm", jm)
-    is_json = F.col("_jm").isNotNull()
-    is_logfmt = ~is_json & raw.contains("=")
-    df = df.withColumn("_fmt", F.when(is_json, F.lit("json"))
-                       .when(is_logfmt, F.lit("logfmt")).otherwise(F.lit("text")))
+    df = df.withColumn("_fmt", F.when(F.col("_jm").isNotNull(), F.lit("json"))
+                       .when(raw.contains("="), F.lit("logfmt")).otherwise(F.lit("text")))
     df = df.withColumn("_lm", F.when(F.col("_fmt") == "logfmt", _logfmt_map(raw)))
 
     j, lf, fmt = F.col("_jm"), F.col("_lm"), F.col("_fmt")
@@ -168,7 +168,26 @@ def parse_entries(lines: DataFrame, cascade: str = "fixed", ts_mode: str = "fixe
         timestamp.alias("timestamp"), ts_source.alias("ts_source"),
         severity.alias("severity"), service.alias("service"),
         raw.alias("raw_content"), fields.alias("parsed_fields"), received.alias("received_at"))
-    return out.withColumn("sev_rank", sev_rank(F.col("severity"))).select(*ENTRY_COLUMNS)
+    out = out.withColumn("sev_rank", sev_rank(F.col("severity"))).select(*ENTRY_COLUMNS)
+    return observe_counters(out)
+
+
+_OBSERVATIONS = itertools.count(1)
+
+
+def observe_counters(entries: DataFrame) -> DataFrame:
+    """A11 pipeline counters (parsed lines, error lines, lines without a
+    parsable time), collected on the fly by ``observe``.
+
+    The observation node also ends the parse for the optimizer: filters on
+    parsed columns are not substituted into the parse expressions below it
+    (that substitution copies the expressions into every predicate), while
+    unused columns are still pruned through it.
+    """
+    return entries.observe(
+        f"log_entries_{next(_OBSERVATIONS)}", F.count(F.lit(1)).alias("parsed"),
+        F.count_if(F.col("sev_rank") >= 4).alias("errors"),
+        F.count_if(F.col("ts_source") == "received").alias("unparsed_time"))
 
 
 def fields_text(fields: Column) -> Column:

@@ -34,23 +34,28 @@ KEYWORD_CLASSES = [
 RANK = {name: i for i, name in enumerate(LEVELS)}
 
 
-def normalize_level(c: Column) -> Column:
-    """Level word -> canonical level; anything else UNKNOWN; NULL stays NULL."""
-    up = F.upper(c)
-    expr = None
+def _alias_map() -> Column:
+    pairs = []
     for level, words in LEVEL_ALIASES.items():
-        cond = up.isin(*words)
-        expr = F.when(cond, F.lit(level)) if expr is None else expr.when(cond, F.lit(level))
-    return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(expr.otherwise(F.lit("UNKNOWN")))
+        for w in words:
+            pairs += [F.lit(w), F.lit(level)]
+    return F.create_map(*pairs)
+
+
+def normalize_level(c: Column) -> Column:
+    """Level word -> canonical level; anything else UNKNOWN; NULL stays NULL.
+
+    A map lookup references ``c`` once, so the expression stays small when
+    the optimizer substitutes ``c`` (a nested CASE would copy it per branch).
+    """
+    return F.coalesce(F.try_element_at(_alias_map(), F.upper(c)),
+                      F.when(c.isNotNull(), F.lit("UNKNOWN")))
 
 
 def sev_rank(c: Column) -> Column:
-    """Canonical level -> 0..6 (UNKNOWN = 6)."""
-    expr = None
-    for level, r in RANK.items():
-        expr = (F.when(c == level, F.lit(r)) if expr is None
-                else expr.when(c == level, F.lit(r)))
-    return expr.otherwise(F.lit(RANK["UNKNOWN"]))
+    """Canonical level -> 0..6 (UNKNOWN = 6); one reference to ``c``."""
+    pos = F.array_position(F.array(*[F.lit(x) for x in LEVELS[:-1]]), c)
+    return F.when(pos > 0, pos - 1).otherwise(F.lit(RANK["UNKNOWN"])).cast("int")
 
 
 def classify_keywords(text: Column) -> Column:

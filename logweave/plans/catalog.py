@@ -1,7 +1,10 @@
 """Named queries over the test tables: ``name -> (spark, sf_dir) -> DataFrame``.
 
+Every query starts from the given tables (``events`` rendered into log
+lines, ``documents``, ``conversations``) and runs over all of their rows.
 Parameters follow FIXTURES.md part C (the events span one month, so the
-windows are a day wide) and ``AS_OF`` replaces the wall clock.
+windows are a day wide) and ``AS_OF`` replaces the wall clock.  Array and
+map columns are rendered as text here so results can be compared.
 """
 
 from __future__ import annotations
@@ -13,15 +16,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import fields_text, parse_entries
+from ..functions.severity import classify_keywords
+from ..functions.text import normalize_full, normalize_signature
+from ..operators import aggregates as A
+from ..operators import alerts as K
+from ..operators import filters as Fl
+from ..operators import incidents as I
+from ..operators import lifecycle as L
+from ..operators import patterns as Pt
+from ..operators import windows as W
 from ..sources.fixtures import log_lines
+from ..sources.sinks import durable_rows
 
+# --- query parameters (FIXTURES.md part C) ----------------------------------
 AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0)
+PATTERN_WINDOW_S = 86400
+RECURRING_THRESHOLD = 5
+RESTART_WINDOW_S = 6 * 3600
+RATE_WINDOW_S = 86400
+RATE_THRESHOLD = 5
+STALE_AFTER_S = 3600
+DISCONNECT_AFTER_S = 6 * 3600
+SEARCH_NEEDLE = "refused"
+FILTER_REGEX = "refused|segfault"
+CONTEXT_LINES = 2
+PAGE_SINCE = dt.datetime(2024, 1, 10)
+PAGE_UNTIL = dt.datetime(2024, 1, 20, 23, 59, 59)
+PAGE_SEVERITY = "error"
+PAGE_OFFSET = 20
+PAGE_LIMIT = 100
+SINCE = dt.datetime(2024, 1, 29)
+DURABLE_SINCE = dt.datetime(2024, 1, 15)
+RING_CAPACITY = 100
+BUFFER_CAPACITY = 500
+RETENTION_S = 86400
+TOP_K = 10
+SPIKE_WINDOW = "1 day"
+SPIKE_MIN_ERRORS = 10
+RECURRING_AFTER_S = 300
+RESOLVED_AFTER_S = 600
+# ----------------------------------------------------------------------------
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__.removesuffix("_q")] = fn
     return fn
 
 
@@ -29,6 +69,12 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_entries(log_lines(spark, sf_dir))
 
 
+def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Pt.with_signature(entries(spark, sf_dir))
+
+
+# ---- step 1: parse ----------------------------------------------------------
+
 @query
 def parse_entries_q(spark, sf_dir):
     return entries(spark, sf_dir).drop("parsed_fields")
@@ -37,3 +83,222 @@ def parse_entries_q(spark, sf_dir):
 @query
 def parse_kv_fields(spark, sf_dir):
     return entries(spark, sf_dir).select("id", fields_text(F.col("parsed_fields")).alias("fields"))
+
+
+@query
+def severity_distribution(spark, sf_dir):
+    return A.severity_distribution(entries(spark, sf_dir), ("session_name", "service"))
+
+
+# ---- step 2: filters --------------------------------------------------------
+
+@query
+def classify_severity(spark, sf_dir):
+    return entries(spark, sf_dir).select("id", classify_keywords(F.col("raw_content")).alias("keyword_severity"))
+
+
+@query
+def line_filter(spark, sf_dir):
+    return Fl.line_filter(entries(spark, sf_dir), "ERROR").select(
+        "id", "pane_id", "sequence", "detected_severity")
+
+
+@query
+def line_filter_regex(spark, sf_dir):
+    return Fl.line_filter(entries(spark, sf_dir), "ERROR", FILTER_REGEX).select(
+        "id", "pane_id", "sequence", "detected_severity")
+
+
+@query
+def context_lines(spark, sf_dir):
+    e = entries(spark, sf_dir)
+    match = classify_keywords(F.col("raw_content")) == "FATAL"
+    return Fl.context_lines(e, match, CONTEXT_LINES).select(
+        "id", "pane_id", "sequence", "is_match", "matches_near")
+
+
+@query
+def search_text(spark, sf_dir):
+    return Fl.search_text(entries(spark, sf_dir), SEARCH_NEEDLE)
+
+
+@query
+def entries_page(spark, sf_dir):
+    from ..plans.reports import entries_page as page
+    return page(entries(spark, sf_dir), PAGE_OFFSET, PAGE_LIMIT, since=PAGE_SINCE, until=PAGE_UNTIL,
+                severity=PAGE_SEVERITY).select("session_name", "row_no", "id", "timestamp", "severity",
+                                               "service", "total")
+
+
+@query
+def entries_since(spark, sf_dir):
+    return Fl.entries_since(entries(spark, sf_dir), SINCE).select("id", "session_name", "timestamp", "severity")
+
+
+@query
+def normalize_content(spark, sf_dir):
+    e = entries(spark, sf_dir)
+    return e.select("id", normalize_full(F.col("raw_content")).alias("normalized"),
+                    normalize_signature(F.col("raw_content")).alias("normalized_signature"),
+                    F.md5(normalize_signature(F.col("raw_content"))).alias("signature"))
+
+
+# ---- step 3: aggregates, buffers, liveness ----------------------------------
+
+@query
+def count_by_severity(spark, sf_dir):
+    return A.count_by_severity(durable_rows(entries(spark, sf_dir)), DURABLE_SINCE)
+
+
+@query
+def services_by_freq(spark, sf_dir):
+    return A.services_by_frequency(entries(spark, sf_dir))
+
+
+@query
+def ring_last_n(spark, sf_dir):
+    return L.ring_last_n(entries(spark, sf_dir), RING_CAPACITY).select("id", "pane_id", "sequence")
+
+
+@query
+def retention_trim(spark, sf_dir):
+    return L.retention_trim(entries(spark, sf_dir), AS_OF, RETENTION_S).select("id", "pane_id", "sequence")
+
+
+@query
+def buffer_stats(spark, sf_dir):
+    return A.buffer_stats(entries(spark, sf_dir), BUFFER_CAPACITY)
+
+
+@query
+def session_liveness(spark, sf_dir):
+    return L.session_liveness(entries(spark, sf_dir), AS_OF, STALE_AFTER_S, DISCONNECT_AFTER_S)
+
+
+@query
+def stale_sessions(spark, sf_dir):
+    return L.stale_sessions(entries(spark, sf_dir), AS_OF, STALE_AFTER_S)
+
+
+# ---- step 4: patterns -------------------------------------------------------
+
+@query
+def pattern_rollup(spark, sf_dir):
+    return Pt.pattern_rollup(signed(spark, sf_dir))
+
+
+@query
+def first_seen(spark, sf_dir):
+    return Pt.first_seen(signed(spark, sf_dir))
+
+
+@query
+def entries_for_pattern(spark, sf_dir):
+    s = signed(spark, sf_dir)
+    frequent = Pt.pattern_rollup(s).where(F.col("occurrence_count") >= RECURRING_THRESHOLD)
+    return Pt.entries_for_patterns(s, frequent).select("session_name", "signature", "id")
+
+
+@query
+def pattern_sample(spark, sf_dir):
+    s = signed(spark, sf_dir)
+    reps = Pt.pattern_rollup(s).select("session_name", "signature", F.col("sample_entry").alias("id"))
+    return (reps.join(s.select("id", "raw_content", "pane_id", "sequence"), "id")
+            .select("session_name", "signature", F.col("id").alias("sample_entry"), "pane_id", "sequence",
+                    F.substring("raw_content", 1, 120).alias("sample_message")))
+
+
+@query
+def top_patterns(spark, sf_dir):
+    return Pt.top_patterns(Pt.pattern_rollup(signed(spark, sf_dir)), TOP_K).select(
+        "session_name", "rank", "signature", "occurrence_count", "first_seen", "severity")
+
+
+# ---- step 5: anchored windows, restart loops, error rate ---------------------
+
+def pattern_windows(spark, sf_dir):
+    return Pt.pattern_windows(signed(spark, sf_dir), PATTERN_WINDOW_S)
+
+
+@query
+def recurring_errors(spark, sf_dir):
+    return Pt.recurring_windows(pattern_windows(spark, sf_dir), RECURRING_THRESHOLD)
+
+
+@query
+def restart_loops(spark, sf_dir):
+    return W.restart_loops(entries(spark, sf_dir), RESTART_WINDOW_S)
+
+
+@query
+def restart_cycle(spark, sf_dir):
+    return W.restart_cycles(entries(spark, sf_dir), RESTART_WINDOW_S)
+
+
+@query
+def error_rate(spark, sf_dir):
+    return W.error_rate(entries(spark, sf_dir), RATE_WINDOW_S).select("id", "session_name", "rate_key", "rate")
+
+
+# ---- step 6: incidents and alerts -------------------------------------------
+
+def incident_table(spark, sf_dir) -> DataFrame:
+    w = pattern_windows(spark, sf_dir)
+    return I.incidents(Pt.incident_triggers(w, RECURRING_THRESHOLD))
+
+
+def alert_table(spark, sf_dir) -> DataFrame:
+    e = signed(spark, sf_dir)
+    w = Pt.pattern_windows(e, PATTERN_WINDOW_S)
+    firsts = w.join(Pt.first_seen(w).select(F.col("entry_id").alias("id")), "id")
+    trig = (K.recurring_triggers(w, PATTERN_WINDOW_S, RECURRING_THRESHOLD)
+            .unionByName(K.new_exception_triggers(firsts))
+            .unionByName(K.error_rate_triggers(W.error_rate(e, RATE_WINDOW_S), RATE_WINDOW_S, RATE_THRESHOLD))
+            .unionByName(K.restart_loop_triggers(W.restart_windows(e, RESTART_WINDOW_S))))
+    return K.dedup_alerts(trig)
+
+
+@query
+def incidents(spark, sf_dir):
+    return incident_table(spark, sf_dir).select(
+        "id", "session_name", "title", "severity", "status", "started_at", "entry_count", "signature",
+        F.array_join("affected_services", ",").alias("affected_services"),
+        F.size("pattern_ids").alias("pattern_count"))
+
+
+@query
+def alerts(spark, sf_dir):
+    return alert_table(spark, sf_dir).select(
+        "id", "session_name", "alert_type", "pattern_id", "threshold", "current_value", "triggered_at",
+        "status", "message", "severity", "trigger_count")
+
+
+@query
+def alert_dedup(spark, sf_dir):
+    return alert_table(spark, sf_dir).groupBy("session_name", "alert_type").agg(
+        F.count(F.lit(1)).alias("alerts"), F.sum("trigger_count").alias("triggers"))
+
+
+@query
+def unpatterned_spike(spark, sf_dir):
+    return A.unpatterned_spike(entries(spark, sf_dir), SPIKE_WINDOW, SPIKE_MIN_ERRORS).withColumn(
+        "affected_services", F.array_join("affected_services", ","))
+
+
+@query
+def pattern_lifecycle(spark, sf_dir):
+    return Pt.pattern_lifecycle(pattern_windows(spark, sf_dir), AS_OF, RECURRING_THRESHOLD,
+                                RECURRING_AFTER_S, RESOLVED_AFTER_S)
+
+
+@query
+def incident_patterns(spark, sf_dir):
+    durable = durable_rows(signed(spark, sf_dir))
+    return I.incident_patterns(incident_table(spark, sf_dir), durable)
+
+
+@query
+def session_stats(spark, sf_dir):
+    s = signed(spark, sf_dir)
+    pats = s.select("session_name", "signature").distinct()
+    return A.session_stats(s, pats, incident_table(spark, sf_dir), alert_table(spark, sf_dir))

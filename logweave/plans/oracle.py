@@ -186,4 +186,27 @@ def with_entries(select_sql: str, extra_ctes: str = "") -> str:
     ctes = LOG_LINES_CTE + "," + entries_cte()
     if extra_ctes:
         ctes += ",\n" + extra_ctes
-    return "WITH " + ctes + "\n" + select_sql
+    return "WITH RECURSIVE " + ctes + "\n" + select_sql
+
+
+def level_of_sql(rank: str) -> str:
+    return "([" + ", ".join(q(x) for x in S.LEVELS) + f"])[{rank} + 1]"
+
+
+def anchored_sql(name: str, src: str, keys: list[str], ts: str, order: list[str], width_s: int) -> str:
+    """CTEs ``{name}_anch`` (recursive window starts) and ``{name}`` (rows of
+    ``src`` with window_start and window_count)."""
+    k = ", ".join(keys)
+    on_a = " AND ".join(f"s.{c} = a.{c}" for c in keys)
+    part = ", ".join(f"s.{c}" for c in keys)
+    ordr = ", ".join(f"s.{c}" for c in [ts, *order])
+    iv = f"INTERVAL '{int(width_s)} seconds'"
+    return f"""{name}_anch({k}, anchor) AS (
+  SELECT {k}, min({ts}) FROM {src} GROUP BY {k}
+  UNION ALL
+  SELECT {", ".join("a." + c for c in keys)}, min(s.{ts}) FROM {name}_anch a JOIN {src} s
+    ON {on_a} AND s.{ts} > a.anchor + {iv} GROUP BY {", ".join("a." + c for c in keys)}),
+{name} AS (
+  SELECT s.*, a.anchor AS window_start,
+         row_number() OVER (PARTITION BY {part}, a.anchor ORDER BY {ordr}) AS window_count
+  FROM {src} s JOIN {name}_anch a ON {on_a} AND s.{ts} >= a.anchor AND s.{ts} <= a.anchor + {iv})"""

@@ -2,13 +2,237 @@
 
 from __future__ import annotations
 
-from .oracle import fields_text_sql, with_entries
+from . import catalog as C
+from .oracle import (anchored_sql, fields_text_sql, keyword_case, level_of_sql, normalize_sql, q,
+                     rank_case, signature_sql, with_entries)
 
 ORACLE: dict[str, str] = {}
 
+
+def ts(d) -> str:
+    return f"TIMESTAMP '{d:%Y-%m-%d %H:%M:%S}'"
+
+
+AS_OF = ts(C.AS_OF)
+KW = keyword_case("raw_content")
+SIG = f"sig AS (SELECT *, {signature_sql('raw_content')} AS signature FROM entries)"
+FIRST = ("sigr AS (SELECT *, row_number() OVER (PARTITION BY session_name, signature "
+         "ORDER BY timestamp, pane_id, sequence) AS rn FROM sig)")
+PW = anchored_sql("pw", "sig", ["session_name", "signature"], "timestamp", ["pane_id", "sequence"],
+                  C.PATTERN_WINDOW_S)
+PWF = ("pwf AS (SELECT pw.*, row_number() OVER (PARTITION BY session_name, signature "
+       "ORDER BY timestamp, pane_id, sequence) AS rn FROM pw)")
+STATE = ("CASE WHEN contains(lower(raw_content), 'starting') OR contains(lower(raw_content), 'start ') "
+         "THEN 'Starting' WHEN contains(lower(raw_content), 'stopping') OR contains(lower(raw_content), 'stop ') "
+         "THEN 'Stopping' WHEN contains(lower(raw_content), 'stopped') OR contains(lower(raw_content), 'shutdown') "
+         "THEN 'Stopped' WHEN contains(lower(raw_content), 'started') OR contains(lower(raw_content), 'ready') "
+         "THEN 'Running' END")
+TRANS = (f"tr0 AS (SELECT *, {STATE} AS state, coalesce(service, 'unknown') AS restart_service FROM entries), "
+         "trans AS (SELECT * FROM tr0 WHERE state IS NOT NULL)")
+RW = anchored_sql("rw", "trans", ["session_name", "restart_service"], "timestamp", ["pane_id", "sequence"],
+                  C.RESTART_WINDOW_S)
+RATES = ("rates AS (SELECT id, session_name, rate_key, timestamp, pane_id, sequence, count(*) OVER ("
+         "PARTITION BY session_name, rate_key ORDER BY timestamp RANGE BETWEEN "
+         f"INTERVAL '{C.RATE_WINDOW_S} seconds' PRECEDING AND CURRENT ROW) AS rate FROM ("
+         "SELECT *, coalesce(service, '_global') AS rate_key FROM entries WHERE sev_rank >= 4))")
+
+# ---- step 1 ---------------------------------------------------------------
 ORACLE["parse_entries"] = with_entries(
     "SELECT id, session_name, pane_id, sequence, timestamp, ts_source, severity, sev_rank, service, "
     "raw_content, received_at FROM entries")
-
 ORACLE["parse_kv_fields"] = with_entries(
     f"SELECT id, {fields_text_sql('field_pairs')} AS fields FROM entries")
+ORACLE["severity_distribution"] = with_entries(
+    "SELECT session_name, service, severity, count(*) AS entry_count, min(sev_rank) AS sev_rank "
+    "FROM entries GROUP BY session_name, service, severity")
+
+# ---- step 2 ---------------------------------------------------------------
+ORACLE["classify_severity"] = with_entries(f"SELECT id, {KW} AS keyword_severity FROM entries")
+ORACLE["line_filter"] = with_entries(
+    f"SELECT id, pane_id, sequence, kw AS detected_severity FROM (SELECT *, {KW} AS kw FROM entries) "
+    f"WHERE {rank_case('kw')} >= 4")
+ORACLE["line_filter_regex"] = with_entries(
+    f"SELECT id, pane_id, sequence, {KW} AS detected_severity FROM entries "
+    f"WHERE regexp_matches(raw_content, {q(C.FILTER_REGEX)})")
+ORACLE["context_lines"] = with_entries(
+    f"SELECT e.id, e.pane_id, e.sequence, {keyword_case('e.raw_content')} = 'FATAL' AS is_match, "
+    "count(*) AS matches_near FROM entries e JOIN m ON m.pane_id = e.pane_id "
+    f"AND m.hit BETWEEN e.sequence - {C.CONTEXT_LINES} AND e.sequence + {C.CONTEXT_LINES} "
+    "GROUP BY e.id, e.pane_id, e.sequence, e.raw_content",
+    f"m AS (SELECT pane_id, sequence AS hit FROM entries WHERE {KW} = 'FATAL')")
+ORACLE["search_text"] = with_entries(
+    "SELECT session_name, rank, id, pane_id, sequence, line FROM (SELECT session_name, "
+    "row_number() OVER (PARTITION BY session_name ORDER BY pane_id, sequence) AS rank, id, pane_id, sequence, "
+    "'[' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || '] ' || raw_content AS line FROM entries "
+    f"WHERE contains(raw_content, {q(C.SEARCH_NEEDLE)})) WHERE rank <= 50")
+ORACLE["entries_page"] = with_entries(
+    "SELECT p.session_name, row_no, id, timestamp, severity, service, total FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY session_name ORDER BY timestamp, pane_id, sequence) AS row_no "
+    "FROM f) p JOIN (SELECT session_name, count(*) AS total FROM f GROUP BY session_name) t "
+    f"ON p.session_name = t.session_name WHERE row_no > {C.PAGE_OFFSET} AND row_no <= {C.PAGE_OFFSET + C.PAGE_LIMIT}",
+    f"f AS (SELECT * FROM entries WHERE timestamp >= {ts(C.PAGE_SINCE)} AND timestamp <= {ts(C.PAGE_UNTIL)} "
+    f"AND severity = {q(C.PAGE_SEVERITY.upper())})")
+ORACLE["entries_since"] = with_entries(
+    f"SELECT id, session_name, timestamp, severity FROM entries WHERE timestamp >= {ts(C.SINCE)}")
+ORACLE["normalize_content"] = with_entries(
+    f"SELECT id, {normalize_sql('raw_content', True)} AS normalized, "
+    f"{normalize_sql('raw_content', False)} AS normalized_signature, {signature_sql('raw_content')} AS signature "
+    "FROM entries")
+
+# ---- step 3 ---------------------------------------------------------------
+ORACLE["count_by_severity"] = with_entries(
+    "SELECT session_name, severity, count(*) AS entry_count FROM entries "
+    f"WHERE sev_rank >= 4 AND timestamp >= {ts(C.DURABLE_SINCE)} GROUP BY session_name, severity")
+ORACLE["services_by_freq"] = with_entries(
+    "SELECT session_name, service, entry_count, row_number() OVER (PARTITION BY session_name "
+    "ORDER BY entry_count DESC, service) AS rank FROM (SELECT session_name, service, count(*) AS entry_count "
+    "FROM entries WHERE service IS NOT NULL GROUP BY session_name, service)")
+ORACLE["ring_last_n"] = with_entries(
+    "SELECT e.id, e.pane_id, e.sequence FROM entries e JOIN (SELECT pane_id, max(sequence) AS m FROM entries "
+    f"GROUP BY pane_id) t ON e.pane_id = t.pane_id WHERE e.sequence > t.m - {C.RING_CAPACITY}")
+ORACLE["retention_trim"] = with_entries(
+    "SELECT e.id, e.pane_id, e.sequence FROM entries e JOIN (SELECT pane_id, min(sequence) AS k FROM entries "
+    f"WHERE timestamp >= {AS_OF} - INTERVAL '{C.RETENTION_S} seconds' GROUP BY pane_id) t "
+    "ON e.pane_id = t.pane_id WHERE e.sequence >= t.k")
+ORACLE["buffer_stats"] = with_entries(
+    f"SELECT session_name, count(*) AS panes, CAST(sum(least(n, {C.BUFFER_CAPACITY})) AS BIGINT) AS entries, "
+    f"CAST(count(*) * {C.BUFFER_CAPACITY} AS BIGINT) AS capacity, "
+    f"CASE WHEN count(*) * {C.BUFFER_CAPACITY} > 0 THEN sum(least(n, {C.BUFFER_CAPACITY})) * 100.0 / "
+    f"(count(*) * {C.BUFFER_CAPACITY}) ELSE 0.0 END AS utilization_pct "
+    "FROM (SELECT session_name, pane_id, count(*) AS n FROM entries GROUP BY session_name, pane_id) "
+    "GROUP BY session_name")
+ORACLE["session_liveness"] = with_entries(
+    "SELECT session_name, pane_id, lines, last_seen, stale_gaps, disconnect_gaps, idle_seconds, "
+    f"CASE WHEN idle_seconds <= {C.STALE_AFTER_S} THEN 'Active' WHEN idle_seconds <= {C.DISCONNECT_AFTER_S} "
+    "THEN 'Stale' ELSE 'Disconnected' END AS status FROM ("
+    "SELECT a.session_name, a.pane_id, count(*) AS lines, max(a.received_at) AS last_seen, "
+    f"count_if(epoch(b.received_at) - epoch(a.received_at) > {C.STALE_AFTER_S}) AS stale_gaps, "
+    f"count_if(epoch(b.received_at) - epoch(a.received_at) > {C.DISCONNECT_AFTER_S}) AS disconnect_gaps, "
+    f"epoch({AS_OF}) - epoch(max(a.received_at)) AS idle_seconds "
+    "FROM entries a LEFT JOIN entries b ON a.pane_id = b.pane_id AND b.sequence = a.sequence + 1 "
+    "GROUP BY a.session_name, a.pane_id)")
+ORACLE["stale_sessions"] = with_entries(
+    f"SELECT session_name, last_seen, idle_seconds, idle_seconds > {C.STALE_AFTER_S} AS is_stale FROM ("
+    f"SELECT session_name, max(received_at) AS last_seen, epoch({AS_OF}) - epoch(max(received_at)) "
+    "AS idle_seconds FROM entries GROUP BY session_name)")
+
+# ---- step 4 ---------------------------------------------------------------
+ROLLUP = (f"rollup AS (SELECT session_name, signature, {level_of_sql('max(sev_rank)')} AS severity, "
+          "min(timestamp) AS first_seen, max(timestamp) AS last_seen, count(*) AS occurrence_count, "
+          "max(CASE WHEN rn = 1 THEN id END) AS sample_entry, max(CASE WHEN rn = 1 THEN raw_content END) "
+          "AS sample_message FROM sigr GROUP BY session_name, signature)")
+ORACLE["pattern_rollup"] = with_entries("SELECT * FROM rollup", f"{SIG}, {FIRST}, {ROLLUP}")
+ORACLE["first_seen"] = with_entries(
+    "SELECT session_name, signature, id AS entry_id, timestamp AS first_seen, severity, "
+    "sev_rank >= 4 AS is_new_error FROM sigr WHERE rn = 1", f"{SIG}, {FIRST}")
+ORACLE["entries_for_pattern"] = with_entries(
+    "SELECT s.session_name, s.signature, s.id FROM sig s JOIN (SELECT session_name, signature FROM sig "
+    f"GROUP BY session_name, signature HAVING count(*) >= {C.RECURRING_THRESHOLD}) f "
+    "ON s.session_name = f.session_name AND s.signature = f.signature", SIG)
+ORACLE["pattern_sample"] = with_entries(
+    "SELECT session_name, signature, id AS sample_entry, pane_id, sequence, substr(raw_content, 1, 120) "
+    "AS sample_message FROM sigr WHERE rn = 1", f"{SIG}, {FIRST}")
+ORACLE["top_patterns"] = with_entries(
+    "SELECT session_name, rank, signature, occurrence_count, first_seen, severity FROM (SELECT *, "
+    "row_number() OVER (PARTITION BY session_name ORDER BY occurrence_count DESC, first_seen, signature) "
+    f"AS rank FROM rollup) WHERE rank <= {C.TOP_K}", f"{SIG}, {FIRST}, {ROLLUP}")
+
+# ---- step 5 ---------------------------------------------------------------
+ORACLE["recurring_errors"] = with_entries(
+    "SELECT session_name, signature, window_start, max(window_count) AS window_count, "
+    f"min(CASE WHEN window_count = {C.RECURRING_THRESHOLD} THEN timestamp END) AS recurring_at, "
+    "max(timestamp) AS last_seen FROM pw GROUP BY session_name, signature, window_start "
+    f"HAVING max(window_count) >= {C.RECURRING_THRESHOLD}", f"{SIG}, {PW}")
+ORACLE["restart_loops"] = with_entries(
+    "SELECT session_name, restart_service, window_start, max(window_count) AS transitions, "
+    "max(timestamp) AS last_transition, min(CASE WHEN window_count = 2 THEN timestamp END) AS loop_detected_at "
+    "FROM rw GROUP BY session_name, restart_service, window_start HAVING max(window_count) >= 2",
+    f"{TRANS}, {RW}")
+ORACLE["restart_cycle"] = with_entries(
+    "SELECT session_name, restart_service, t3 AS cycle_start, timestamp AS cycle_end, id FROM ("
+    "SELECT *, lag(state, 1) OVER w AS s1, lag(state, 2) OVER w AS s2, lag(state, 3) OVER w AS s3, "
+    "lag(timestamp, 3) OVER w AS t3 FROM trans WINDOW w AS (PARTITION BY session_name, restart_service "
+    "ORDER BY timestamp, pane_id, sequence)) WHERE state = 'Starting' AND s1 = 'Stopping' AND s2 = 'Running' "
+    f"AND s3 = 'Starting' AND epoch(timestamp) - epoch(t3) <= {C.RESTART_WINDOW_S}", TRANS)
+ORACLE["error_rate"] = with_entries("SELECT id, session_name, rate_key, rate FROM rates", RATES)
+
+# ---- step 6 ---------------------------------------------------------------
+TRIG = (f"trig AS (SELECT *, row_number() OVER (PARTITION BY session_name, signature ORDER BY timestamp, "
+        f"pane_id, sequence) AS trn FROM pwf WHERE window_count >= {C.RECURRING_THRESHOLD} "
+        "OR (rn = 1 AND sev_rank >= 4))")
+INCIDENTS = ("inc AS (SELECT md5(session_name || '|' || signature) AS id, session_name, "
+             "'Pattern spike: ' || substr(signature, 1, 8) || ' (' || "
+             "CAST(max(CASE WHEN trn = 1 THEN window_count END) AS VARCHAR) || ' occurrences)' AS title, "
+             f"{level_of_sql('max(sev_rank)')} AS severity, 'Active' AS status, min(timestamp) AS started_at, "
+             "count(*) - 1 AS entry_count, signature, coalesce(array_to_string(list_sort(list_distinct("
+             "list(service) FILTER (WHERE service IS NOT NULL))), ','), '') AS affected_services, "
+             "1 AS pattern_count FROM trig GROUP BY session_name, signature)")
+INC_CTES = f"{SIG}, {PW}, {PWF}, {TRIG}, {INCIDENTS}"
+ORACLE["incidents"] = with_entries("SELECT * FROM inc", INC_CTES)
+
+REC_TRIG = (f"rec AS (SELECT *, max(sev_rank) OVER (PARTITION BY session_name, signature ORDER BY timestamp, "
+            "pane_id, sequence ROWS UNBOUNDED PRECEDING) AS run_r FROM pw), "
+            f"rec_first AS (SELECT session_name, signature, arg_min(run_r, (timestamp, pane_id, sequence)) AS r "
+            f"FROM rec WHERE window_count >= {C.RECURRING_THRESHOLD} GROUP BY session_name, signature)")
+ALL_TRIG = (
+    "trig_all AS ("
+    "SELECT rec.session_name, 'RecurringError' AS alert_type, rec.signature AS k, timestamp, pane_id, sequence, "
+    "CAST(window_count AS DOUBLE) AS value, 'Recurring error: ' || CAST(window_count AS VARCHAR) || "
+    "' occurrences in 1d' AS message, " + level_of_sql("rf.r") + " AS severity, rec.signature AS pattern_id, "
+    f"CAST({C.RECURRING_THRESHOLD} AS DOUBLE) AS threshold FROM rec JOIN rec_first rf "
+    "ON rec.session_name = rf.session_name AND rec.signature = rf.signature "
+    f"WHERE window_count >= {C.RECURRING_THRESHOLD} "
+    "UNION ALL SELECT session_name, 'NewException', signature, timestamp, pane_id, sequence, 1.0, "
+    "'New unseen exception: ' || substr(signature, 1, 20), severity, signature, CAST(NULL AS DOUBLE) "
+    "FROM sigr WHERE rn = 1 AND sev_rank >= 4 "
+    "UNION ALL SELECT session_name, 'ErrorRate', '', timestamp, pane_id, sequence, CAST(rate AS DOUBLE), "
+    "'Error rate ' || printf('%.1f', CAST(rate AS DOUBLE)) || '/1d exceeds threshold', 'WARN', "
+    f"CAST(NULL AS VARCHAR), CAST({C.RATE_THRESHOLD} AS DOUBLE) FROM rates WHERE rate_key = '_global' "
+    f"AND rate >= {C.RATE_THRESHOLD} "
+    "UNION ALL SELECT session_name, 'RestartLoop', restart_service, timestamp, pane_id, sequence, 1.0, "
+    "'Service restart loop detected: ' || restart_service, 'ERROR', CAST(NULL AS VARCHAR), "
+    "CAST(NULL AS DOUBLE) FROM rw WHERE window_count >= 2)")
+ALERTS = (
+    "al AS (SELECT md5(session_name || '|' || alert_type || '|' || k || '|' || "
+    "strftime(min(timestamp), '%Y-%m-%d %H:%M:%S.%f')) AS id, session_name, alert_type, "
+    "arg_min(pattern_id, (timestamp, pane_id, sequence)) AS pattern_id, "
+    "arg_min(threshold, (timestamp, pane_id, sequence)) AS threshold, "
+    "arg_max(value, (timestamp, pane_id, sequence)) AS current_value, min(timestamp) AS triggered_at, "
+    "'Active' AS status, arg_min(message, (timestamp, pane_id, sequence)) AS message, "
+    "arg_min(severity, (timestamp, pane_id, sequence)) AS severity, count(*) AS trigger_count "
+    "FROM trig_all GROUP BY session_name, alert_type, k)")
+ALERT_CTES = f"{SIG}, {FIRST}, {PW}, {REC_TRIG}, {RATES}, {TRANS}, {RW}, {ALL_TRIG}, {ALERTS}"
+ORACLE["alerts"] = with_entries("SELECT * FROM al", ALERT_CTES)
+ORACLE["alert_dedup"] = with_entries(
+    "SELECT session_name, alert_type, count(*) AS alerts, CAST(sum(trigger_count) AS BIGINT) AS triggers "
+    "FROM al GROUP BY session_name, alert_type", ALERT_CTES)
+ORACLE["unpatterned_spike"] = with_entries(
+    "SELECT session_name, date_trunc('day', timestamp) AS window_start, "
+    "date_trunc('day', timestamp) + INTERVAL '1 day' AS window_end, count(*) AS error_count, "
+    f"{level_of_sql('max(sev_rank)')} AS severity, coalesce(array_to_string(list_sort(list_distinct("
+    "list(service) FILTER (WHERE service IS NOT NULL))), ','), '') AS affected_services, "
+    "'Unpatterned error spike: ' || CAST(count(*) AS VARCHAR) || ' errors' AS title "
+    "FROM entries WHERE severity IN ('ERROR', 'FATAL') GROUP BY session_name, date_trunc('day', timestamp) "
+    f"HAVING count(*) >= {C.SPIKE_MIN_ERRORS}")
+ORACLE["pattern_lifecycle"] = with_entries(
+    "SELECT *, CASE WHEN active_since IS NULL THEN 'New' "
+    f"WHEN epoch({AS_OF}) - epoch(last_seen) >= {C.RESOLVED_AFTER_S} THEN 'Resolved' "
+    f"WHEN epoch(last_seen) - epoch(active_since) >= {C.RECURRING_AFTER_S} THEN 'Recurring' "
+    "ELSE 'Active' END AS state FROM (SELECT session_name, signature, "
+    f"min(CASE WHEN window_count >= {C.RECURRING_THRESHOLD} THEN timestamp END) AS active_since, "
+    "max(timestamp) AS last_seen, count(*) AS occurrence_count FROM pw GROUP BY session_name, signature)",
+    f"{SIG}, {PW}")
+ORACLE["incident_patterns"] = with_entries(
+    "SELECT i.id AS incident_id, i.session_name, i.signature, i.severity, i.status, "
+    "coalesce(d.durable_rows, 0) AS durable_rows, d.first_durable, d.last_durable FROM inc i LEFT JOIN ("
+    "SELECT session_name, signature, count(*) AS durable_rows, min(timestamp) AS first_durable, "
+    "max(timestamp) AS last_durable FROM sig WHERE sev_rank >= 4 GROUP BY session_name, signature) d "
+    "ON i.session_name = d.session_name AND i.signature = d.signature", INC_CTES)
+ORACLE["session_stats"] = with_entries(
+    "SELECT e.session_name, e.entries, e.errors, e.patterns, coalesce(i.n, 0) AS incidents, "
+    "coalesce(a.n, 0) AS alerts FROM (SELECT session_name, count(*) AS entries, "
+    "count_if(severity IN ('ERROR', 'FATAL')) AS errors, count(DISTINCT signature) AS patterns FROM sig "
+    "GROUP BY session_name) e LEFT JOIN (SELECT session_name, count(*) AS n FROM inc GROUP BY session_name) i "
+    "ON e.session_name = i.session_name LEFT JOIN (SELECT session_name, count(*) AS n FROM al "
+    "GROUP BY session_name) a ON e.session_name = a.session_name",
+    f"{SIG}, {FIRST}, {PW}, {PWF}, {TRIG}, {INCIDENTS}, {REC_TRIG}, {RATES}, {TRANS}, {RW}, {ALL_TRIG}, {ALERTS}")

@@ -18,7 +18,8 @@ def build_session(master: str | None = None, app: str = "logweave",
     """
     b = SparkSession.builder.appName(app)
     if master:
-        b = b.master(master)
+        # local mode: the driver JVM is the only executor
+        b = b.master(master).config("spark.driver.memory", os.environ.get("LOGWEAVE_DRIVER_MEMORY", "16g"))
     cpus = os.cpu_count() or 8
     b = (b.config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
