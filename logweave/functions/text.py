@@ -13,6 +13,9 @@ UUID_RULE = (r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "[
 ADDR_RULE = (r"0x[0-9a-fA-F]+", "[ADDR]")
 SIGNATURE_RULES = [TIMESTAMP_RULE, LINE_RULE, UUID_RULE]
 FULL_RULES = [TIMESTAMP_RULE, LINE_RULE, UUID_RULE, ADDR_RULE]
+# Java 17 treats \b as a Unicode word boundary; the lookahead keeps the
+# ASCII meaning that RE2 and newer Java share.
+_SPARK_PATTERN = {LINE_RULE[0]: r":\d+(?![0-9A-Za-z_])"}
 PREFIX_SIGNATURE_CHARS = 100
 SOURCE_PANE_CHARS = 8
 PREVIEW_CHARS = 120
@@ -24,7 +27,7 @@ FUTURE_SKEW_SECONDS = 5
 
 def _apply(c: Column, rules) -> Column:
     for pattern, repl in rules:
-        c = F.regexp_replace(c, pattern, repl)
+        c = F.regexp_replace(c, _SPARK_PATTERN.get(pattern, pattern), repl)
     return c
 
 

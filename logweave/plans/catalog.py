@@ -19,6 +19,7 @@ from ..functions.parse import fields_text, parse_entries
 from ..functions.severity import classify_keywords
 from ..functions.text import normalize_full, normalize_signature
 from ..operators import aggregates as A
+from ..operators import cluster as Cl
 from ..operators import alerts as K
 from ..operators import filters as Fl
 from ..operators import incidents as I
@@ -302,3 +303,55 @@ def session_stats(spark, sf_dir):
     s = signed(spark, sf_dir)
     pats = s.select("session_name", "signature").distinct()
     return A.session_stats(s, pats, incident_table(spark, sf_dir), alert_table(spark, sf_dir))
+
+
+# ---- step 7: SimHash, near duplicates, leader clusters ----------------------
+
+def documents(spark, sf_dir) -> DataFrame:
+    from ..sources.fixtures import table
+    return table(spark, sf_dir, "documents")
+
+
+def doc_codes(spark, sf_dir) -> DataFrame:
+    return Cl.simhash_codes(documents(spark, sf_dir).select("doc_id", "text"), F.col("text")).drop("text")
+
+
+def _split_h(c):
+    return F.shiftrightunsigned(c, 32), c.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+@query
+def simhash_codes(spark, sf_dir):
+    return doc_codes(spark, sf_dir).select("doc_id", "hi", "lo")
+
+
+@query
+def near_dup_pairs(spark, sf_dir):
+    h = Cl.distinct_hashes(doc_codes(spark, sf_dir), [], ["doc_id"], "doc_id")
+    return Cl.near_duplicate_pairs(h, []).select("a_hi", "a_lo", "b_hi", "b_lo", "distance")
+
+
+@query
+def leader_clusters(spark, sf_dir):
+    codes = doc_codes(spark, sf_dir)
+    h = Cl.distinct_hashes(codes, [], ["doc_id"], "doc_id")
+    assign = Cl.leader_rounds(h, Cl.near_duplicate_pairs(h, []), [])
+    lead = h.select(F.col("h").alias("leader"), F.col("first_member").alias("leader_doc"))
+    hi, lo = _split_h(F.col("leader"))
+    return (assign.join(h.select("h", "hi", "lo", "first_member", "members"), "h").join(lead, "leader")
+            .select("hi", "lo", F.col("first_member").alias("first_doc"), "members", "is_leader",
+                    hi.alias("leader_hi"), lo.alias("leader_lo"), "leader_doc"))
+
+
+@query
+def dedup_lines(spark, sf_dir):
+    """D4/D5/D8 on log lines: per session one row per near-duplicate group."""
+    e = entries(spark, sf_dir).select("id", "session_name", "timestamp", "pane_id", "sequence", "raw_content")
+    codes = Cl.simhash_codes(e, F.col("raw_content")).drop("raw_content")
+    order = ["timestamp", "pane_id", "sequence"]
+    h = Cl.distinct_hashes(codes, ["session_name"], order, "id")
+    assign = Cl.leader_rounds(h, Cl.near_duplicate_pairs(h, ["session_name"]), ["session_name"])
+    stats = Cl.cluster_stats(codes, assign, h, ["session_name"], "id", order)
+    hi, lo = _split_h(F.col("leader"))
+    return stats.select("session_name", hi.alias("leader_hi"), lo.alias("leader_lo"), "representative",
+                        "last_member", "members", "distinct_hashes")

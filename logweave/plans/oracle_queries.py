@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import catalog as C
+from ..functions.simhash import whitespace_class_regex
 from .oracle import (anchored_sql, fields_text_sql, keyword_case, level_of_sql, normalize_sql, q,
                      rank_case, signature_sql, with_entries)
 
@@ -236,3 +237,26 @@ ORACLE["session_stats"] = with_entries(
     "ON e.session_name = i.session_name LEFT JOIN (SELECT session_name, count(*) AS n FROM al "
     "GROUP BY session_name) a ON e.session_name = a.session_name",
     f"{SIG}, {FIRST}, {PW}, {PWF}, {TRIG}, {INCIDENTS}, {REC_TRIG}, {RATES}, {TRANS}, {RW}, {ALL_TRIG}, {ALERTS}")
+
+
+# ---- step 7 ---------------------------------------------------------------
+def simhash_ctes(src: str, id_col: str, text_col: str) -> str:
+    ws = q(whitespace_class_regex())
+    return (f"sh_docs AS (SELECT {id_col} AS sid, {normalize_sql(text_col, True)} AS norm FROM {src}), "
+            f"sh_toks AS (SELECT sid, unnest(regexp_split_to_array(norm, {ws})) AS tok FROM sh_docs), "
+            "sh_th AS (SELECT sid, CAST('0x' || substr(md5(tok), 1, 8) AS BIGINT) AS th, "
+            "CAST('0x' || substr(md5(tok), 9, 8) AS BIGINT) AS tl FROM sh_toks WHERE tok <> ''), "
+            "sh_bits AS (SELECT sid, j, sum(((th >> j) & 1) * 2 - 1) AS sh, sum(((tl >> j) & 1) * 2 - 1) AS sl "
+            "FROM sh_th CROSS JOIN (SELECT range AS j FROM range(32)) r GROUP BY sid, j), "
+            "codes AS (SELECT d.sid, CAST(coalesce(sum(CASE WHEN sh > 0 THEN CAST(1 AS BIGINT) << j END), 0) "
+            "AS BIGINT) AS hi, CAST(coalesce(sum(CASE WHEN sl > 0 THEN CAST(1 AS BIGINT) << j END), 0) AS BIGINT) "
+            "AS lo FROM sh_docs d LEFT JOIN sh_bits b ON d.sid = b.sid GROUP BY d.sid)")
+
+
+DOC_CODES = simhash_ctes("documents", "doc_id", "text")
+ORACLE["simhash_codes"] = f"WITH {DOC_CODES} SELECT sid AS doc_id, hi, lo FROM codes"
+ORACLE["near_dup_pairs"] = (
+    f"WITH {DOC_CODES}, dh AS (SELECT DISTINCT hi, lo FROM codes) "
+    "SELECT * FROM (SELECT a.hi AS a_hi, a.lo AS a_lo, b.hi AS b_hi, b.lo AS b_lo, "
+    "CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS distance "
+    "FROM dh a JOIN dh b ON a.hi < b.hi OR (a.hi = b.hi AND a.lo < b.lo)) WHERE distance <= 3")
