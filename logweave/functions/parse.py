@@ -195,3 +195,29 @@ def fields_text(fields: Column) -> Column:
     entries = F.transform(F.map_entries(fields),
                           lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
     return F.array_join(F.array_sort(entries), "\u0001")
+
+
+# ---- P11: user patterns with named groups -----------------------------------
+
+CUSTOM_FIELDS = ["timestamp", "level", "severity", "service", "message"]
+
+
+def custom_pattern_fields(raw: Column, patterns: list[str]) -> Column:
+    """The first of ``patterns`` that matches ``raw`` fills a struct of
+    ``pattern_index`` and the named groups timestamp/level/severity/service/
+    message (missing groups are NULL).  ``(?P<name>`` is accepted and
+    rewritten to Java's ``(?<name>``; group names are resolved to indexes
+    on the driver, extraction is ``regexp_extract`` per group."""
+    import re as _re
+    branches = []
+    for i, p in enumerate(patterns):
+        groups = _re.compile(p).groupindex
+        jp = p.replace("(?P<", "(?<")
+        vals = [F.regexp_extract(raw, jp, groups[f]) if f in groups else F.lit(None).cast("string")
+                for f in CUSTOM_FIELDS]
+        branches.append((raw.rlike(jp), F.struct(F.lit(i).alias("pattern_index"),
+                                                 *[v.alias(f) for v, f in zip(vals, CUSTOM_FIELDS)])))
+    expr = None
+    for cond, val in branches:
+        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
+    return expr

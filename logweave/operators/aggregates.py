@@ -41,7 +41,7 @@ def services_by_frequency(entries: DataFrame) -> DataFrame:
     counts = (entries.where(F.col("service").isNotNull())
               .groupBy("session_name", "service").agg(F.count(F.lit(1)).alias("entry_count")))
     w = Window.partitionBy("session_name").orderBy(F.desc("entry_count"), "service")
-    return counts.withColumn("rank", F.row_number().over(w))
+    return counts.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
 def service_set(entries: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def search_text(entries: DataFrame, needle: str, severity: str | None = None,
         cond = cond & (F.upper(F.col("severity")) == severity.upper())
     w = Window.partitionBy("session_name").orderBy("pane_id", "sequence")
     return (entries.where(cond)
-            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_session)
+            .withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= per_session)
             .select("session_name", "rank", "id", "pane_id", "sequence",
                     F.concat(F.lit("["), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"),
                              F.lit("] "), F.col("raw_content")).alias("line")))

@@ -96,7 +96,7 @@ def incident_triggers(windows: DataFrame, threshold: int, key: str = "signature"
 def top_patterns(patterns: DataFrame, k: int = 10, key: str = "signature") -> DataFrame:
     """The ``k`` most frequent patterns per session (ties: first seen, key)."""
     w = Window.partitionBy("session_name").orderBy(F.desc("occurrence_count"), "first_seen", key)
-    return patterns.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return patterns.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def entries_for_patterns(entries: DataFrame, patterns: DataFrame, key: str = "signature") -> DataFrame:

@@ -53,6 +53,20 @@ BUFFER_CAPACITY = 500
 RETENTION_S = 86400
 TOP_K = 10
 SPIKE_WINDOW = "1 day"
+SUMMARY_START = dt.datetime(2024, 1, 24)
+DIGEST_SINCE = dt.datetime(2024, 1, 28)
+DIGEST_LEVEL = "ERROR"
+TOKEN_BUDGET = 1000
+# user patterns: the two documented examples, then two for the fixture layouts
+CUSTOM_PATTERNS = [
+    r"^(?P<timestamp>\d{4}-\d{2}-\d{2}T[^ ]+) (?P<level>\w+) (?P<service>\w+): (?P<message>.*)$",
+    r"^(?P<timestamp>\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) \[(?P<level>\w+)\] (?P<message>.*)$",
+    r"^(?P<timestamp>\S+) \[(?P<service>[\w-]+)\] (?P<level>\w+): (?P<message>.*)$",
+    r"^(?P<timestamp>\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) (?P<level>\w+) service=(?P<service>\S+) "
+    r"(?P<message>.*)$",
+]
+# a line starting with a time, a JSON object or a key=value pair starts an entry
+MULTILINE_START = r"^(\d{4}-\d{2}-\d{2}|[A-Z][a-z]{2}\s+\d|\{|\w+=)"
 SPIKE_MIN_ERRORS = 10
 RECURRING_AFTER_S = 300
 RESOLVED_AFTER_S = 600
@@ -355,3 +369,79 @@ def dedup_lines(spark, sf_dir):
     hi, lo = _split_h(F.col("leader"))
     return stats.select("session_name", hi.alias("leader_hi"), lo.alias("leader_lo"), "representative",
                         "last_member", "members", "distinct_hashes")
+
+
+# ---- step 8: reports --------------------------------------------------------
+
+@query
+def window_summary(spark, sf_dir):
+    from .reports import window_summary as summary
+    s = signed(spark, sf_dir)
+    recent = Pt.pattern_rollup(s.where(F.col("timestamp") >= F.lit(SUMMARY_START)))
+    return summary(s, SUMMARY_START, recent, incident_table(spark, sf_dir), alert_table(spark, sf_dir))
+
+
+@query
+def incident_digest(spark, sf_dir):
+    from .reports import incident_digest as digest
+    return digest(entries(spark, sf_dir), DIGEST_LEVEL, DIGEST_SINCE)
+
+
+@query
+def token_budget(spark, sf_dir):
+    from ..sources.fixtures import table
+    from .reports import token_budget as budget
+    return budget(table(spark, sf_dir, "conversations"), TOKEN_BUDGET)
+
+
+@query
+def status_overview(spark, sf_dir):
+    from .reports import status_overview as overview
+    e = signed(spark, sf_dir)
+    live = L.session_liveness(e, AS_OF, STALE_AFTER_S, DISCONNECT_AFTER_S)
+    pats = e.select("session_name", "signature").distinct()
+    stats = A.session_stats(e, pats, incident_table(spark, sf_dir), alert_table(spark, sf_dir))
+    return overview(live, stats)
+
+
+@query
+def quick_summary(spark, sf_dir):
+    from .reports import quick_summary as quick
+    return quick(W.error_rate(entries(spark, sf_dir), RATE_WINDOW_S))
+
+
+# ---- step 9: custom patterns, multi-line, validation, prefix signature ------
+
+@query
+def custom_patterns(spark, sf_dir):
+    from ..functions.parse import custom_pattern_fields
+    e = entries(spark, sf_dir)
+    m = e.select("id", custom_pattern_fields(F.col("raw_content"), CUSTOM_PATTERNS).alias("m"))
+    return m.where(F.col("m").isNotNull()).select("id", "m.*")
+
+
+@query
+def collapse_multiline(spark, sf_dir):
+    from ..operators.multiline import collapse_multiline as collapse
+    return collapse(entries(spark, sf_dir), F.col("raw_content").rlike(MULTILINE_START))
+
+
+@query
+def validate_entries(spark, sf_dir):
+    from ..operators.multiline import validate_entries as validate
+    return validate(entries(spark, sf_dir))
+
+
+@query
+def prefix_signature(spark, sf_dir):
+    from ..functions.text import prefix_signature as prefix
+    e = entries(spark, sf_dir)
+    return e.select("id", prefix(F.col("severity"), F.col("raw_content")).alias("prefix_signature"))
+
+
+@query
+def source_preview(spark, sf_dir):
+    from ..functions.text import preview, source_label
+    e = entries(spark, sf_dir)
+    return e.select("id", source_label(F.col("service"), F.col("pane_id")).alias("source"),
+                    preview(F.col("raw_content")).alias("preview"))

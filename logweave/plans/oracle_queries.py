@@ -260,3 +260,105 @@ ORACLE["near_dup_pairs"] = (
     "SELECT * FROM (SELECT a.hi AS a_hi, a.lo AS a_lo, b.hi AS b_hi, b.lo AS b_lo, "
     "CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS distance "
     "FROM dh a JOIN dh b ON a.hi < b.hi OR (a.hi = b.hi AND a.lo < b.lo)) WHERE distance <= 3")
+
+
+# ---- step 8 ---------------------------------------------------------------
+SUMMARY_START = ts(C.SUMMARY_START)
+LEVEL_COUNTS = ", ".join(f"count_if(severity = {q(lv)}) AS n_{lv.lower()}" for lv in
+                         ["TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL", "UNKNOWN"])
+SERVICES_TEXT = ("coalesce(array_to_string(list_sort(list_distinct(list(service) FILTER "
+                 "(WHERE service IS NOT NULL))), ','), '')")
+ORACLE["window_summary"] = with_entries(
+    "SELECT c.*, coalesce(v.services, 0) AS services, v.top_service, coalesce(p.patterns, 0) AS patterns, "
+    "p.top_pattern, coalesce(i.n, 0) AS active_incidents, coalesce(a.n, 0) AS active_alerts FROM "
+    f"(SELECT session_name, {LEVEL_COUNTS}, count(*) AS total FROM win GROUP BY session_name) c "
+    "LEFT JOIN (SELECT session_name, count(*) AS services, arg_min(service, (-n, service)) AS top_service "
+    "FROM (SELECT session_name, service, count(*) AS n FROM win WHERE service IS NOT NULL "
+    "GROUP BY session_name, service) GROUP BY session_name) v ON c.session_name = v.session_name "
+    "LEFT JOIN (SELECT session_name, count(*) AS patterns, arg_min(signature, (-occ, first_seen, signature)) "
+    "AS top_pattern FROM (SELECT session_name, signature, count(*) AS occ, min(timestamp) AS first_seen "
+    "FROM win GROUP BY session_name, signature) GROUP BY session_name) p ON c.session_name = p.session_name "
+    "LEFT JOIN (SELECT session_name, count(*) AS n FROM inc WHERE status = 'Active' GROUP BY session_name) i "
+    "ON c.session_name = i.session_name LEFT JOIN (SELECT session_name, count(*) AS n FROM al "
+    "WHERE status = 'Active' GROUP BY session_name) a ON c.session_name = a.session_name",
+    f"{SIG}, {FIRST}, {PW}, {PWF}, {TRIG}, {INCIDENTS}, {REC_TRIG}, {RATES}, {TRANS}, {RW}, {ALL_TRIG}, "
+    f"{ALERTS}, win AS (SELECT * FROM sig WHERE timestamp >= {SUMMARY_START})")
+ORACLE["incident_digest"] = with_entries(
+    "SELECT h.session_name, rank, id, timestamp, severity, raw_content, greatest(total - 50, 0) AS omitted, "
+    "error_count, fatal_count, services FROM (SELECT *, row_number() OVER (PARTITION BY session_name "
+    "ORDER BY timestamp DESC, pane_id, sequence) AS rank FROM f) h JOIN (SELECT session_name, "
+    "count_if(severity = 'ERROR') AS error_count, count_if(severity = 'FATAL') AS fatal_count, "
+    f"{SERVICES_TEXT} AS services, count(*) AS total FROM f GROUP BY session_name) st "
+    "ON h.session_name = st.session_name WHERE rank <= 50",
+    f"f AS (SELECT * FROM entries WHERE timestamp >= {ts(C.DIGEST_SINCE)} AND sev_rank BETWEEN 4 AND 5)")
+B = C.TOKEN_BUDGET
+ORACLE["token_budget"] = (
+    "SELECT conv_id, turn, role, tokens, cum_tokens, NOT fits AS truncated, CASE WHEN fits THEN text ELSE "
+    f"substr(text, 1, CAST(({B} - prev_tokens) * 4 AS INTEGER)) || chr(10) || chr(10) || "
+    "'[Output truncated due to token limit]' END AS context_text FROM (SELECT *, "
+    f"cum_tokens <= {B} AS fits, cum_tokens - tokens AS prev_tokens FROM (SELECT *, strlen(text) // 4 AS tokens, "
+    "CAST(sum(strlen(text) // 4) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) "
+    f"AS BIGINT) AS cum_tokens FROM conversations)) WHERE fits OR prev_tokens < {B}")
+LIVENESS = (
+    "live AS (SELECT session_name, pane_id, last_seen, CASE WHEN idle_seconds <= "
+    f"{C.STALE_AFTER_S} THEN 0 WHEN idle_seconds <= {C.DISCONNECT_AFTER_S} THEN 1 ELSE 2 END AS o FROM ("
+    f"SELECT session_name, pane_id, max(received_at) AS last_seen, epoch({AS_OF}) - epoch(max(received_at)) "
+    "AS idle_seconds FROM entries GROUP BY session_name, pane_id))")
+STATS = (
+    "stats AS (SELECT e.session_name, e.entries, e.errors, e.patterns, coalesce(i.n, 0) AS incidents, "
+    "coalesce(a.n, 0) AS alerts FROM (SELECT session_name, count(*) AS entries, "
+    "count_if(severity IN ('ERROR', 'FATAL')) AS errors, count(DISTINCT signature) AS patterns FROM sig "
+    "GROUP BY session_name) e LEFT JOIN (SELECT session_name, count(*) AS n FROM inc GROUP BY session_name) i "
+    "ON e.session_name = i.session_name LEFT JOIN (SELECT session_name, count(*) AS n FROM al "
+    "GROUP BY session_name) a ON e.session_name = a.session_name)")
+ORACLE["status_overview"] = with_entries(
+    "SELECT l.session_name, (['Active', 'Stale', 'Disconnected'])[max(o) + 1] AS status, count(*) AS panes, "
+    "max(last_seen) AS last_seen, any_value(s.entries) AS entries, any_value(s.errors) AS errors, "
+    "any_value(s.patterns) AS patterns, any_value(s.incidents) AS incidents, any_value(s.alerts) AS alerts "
+    "FROM live l JOIN stats s ON l.session_name = s.session_name GROUP BY l.session_name",
+    f"{SIG}, {FIRST}, {PW}, {PWF}, {TRIG}, {INCIDENTS}, {REC_TRIG}, {RATES}, {TRANS}, {RW}, {ALL_TRIG}, "
+    f"{ALERTS}, {LIVENESS}, {STATS}")
+ORACLE["quick_summary"] = with_entries(
+    "SELECT session_name, rate_key, arg_max(rate, (timestamp, pane_id, sequence)) AS current_rate "
+    "FROM rates GROUP BY session_name, rate_key", RATES)
+
+# ---- step 9 ---------------------------------------------------------------
+
+
+def _custom_sql() -> str:
+    import re
+    idx_parts, field_parts = [], {f: [] for f in ("timestamp", "level", "severity", "service", "message")}
+    for i, p in enumerate(C.CUSTOM_PATTERNS):
+        groups = re.compile(p).groupindex
+        idx_parts.append(f"WHEN regexp_matches(raw_content, {q(p)}) THEN {i}")
+        for f in field_parts:
+            if f in groups:
+                field_parts[f].append(f"WHEN {i} THEN regexp_extract(raw_content, {q(p)}, {groups[f]})")
+    cols = ", ".join(
+        (f"CASE pattern_index {' '.join(v)} END AS {f}" if v else f"CAST(NULL AS VARCHAR) AS {f}")
+        for f, v in field_parts.items())
+    return (f"SELECT id, pattern_index, {cols} FROM (SELECT *, CASE {' '.join(idx_parts)} END AS pattern_index "
+            "FROM entries) WHERE pattern_index IS NOT NULL")
+
+
+ORACLE["custom_patterns"] = with_entries(_custom_sql())
+ORACLE["collapse_multiline"] = with_entries(
+    "SELECT session_name, pane_id, group_start, arg_min(id, sequence) AS id, min(timestamp) AS timestamp, "
+    "count(*) AS line_count, max(sequence) AS last_sequence, string_agg(raw_content, chr(10) ORDER BY sequence) "
+    "AS content FROM (SELECT *, coalesce(max(CASE WHEN regexp_matches(raw_content, "
+    f"{q(C.MULTILINE_START)}) THEN sequence END) OVER (PARTITION BY pane_id ORDER BY sequence "
+    "ROWS UNBOUNDED PRECEDING), sequence) AS group_start FROM entries) "
+    "GROUP BY session_name, pane_id, group_start")
+ORACLE["validate_entries"] = with_entries(
+    "SELECT a.id, a.session_name, a.pane_id, a.sequence, "
+    "a.timestamp > a.received_at + INTERVAL '5 seconds' AS future_skew, "
+    "coalesce(b.received_at > a.received_at, false) AS sequence_regression, "
+    "strlen(a.raw_content) > 10240 AS oversize, CASE WHEN strlen(a.raw_content) > 10240 THEN "
+    "substr(a.raw_content, 1, 10240) || '...[truncated]' ELSE a.raw_content END AS content "
+    "FROM entries a LEFT JOIN entries b ON a.pane_id = b.pane_id AND b.sequence = a.sequence - 1")
+ORACLE["prefix_signature"] = with_entries(
+    "SELECT id, severity || ':' || substr(lower(trim(regexp_replace(raw_content, '\\s', ' ', 'g'))), 1, 100) "
+    "AS prefix_signature FROM entries")
+ORACLE["source_preview"] = with_entries(
+    "SELECT id, coalesce(service, 'pane:' || substr(pane_id, 1, 8)) AS source, substr(raw_content, 1, 120) "
+    "AS preview FROM entries")

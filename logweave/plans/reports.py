@@ -45,7 +45,7 @@ def entries_page(entries: DataFrame, offset: int = 0, limit: int | None = None,
     f = Fl.entries_query(entries, since, until, severity, service)
     totals = f.groupBy("session_name").agg(F.count(F.lit(1)).alias("total"))
     w = Window.partitionBy("session_name").orderBy(*ORDER)
-    page = (f.withColumn("row_no", F.row_number().over(w))
+    page = (f.withColumn("row_no", F.row_number().over(w).cast("long"))
             .where((F.col("row_no") > offset) & (F.col("row_no") <= offset + lim)))
     return page.join(totals, "session_name")
 
@@ -59,7 +59,7 @@ def head_with_remainder(rows: DataFrame, n: int, order: list) -> DataFrame:
     """O2: the first ``n`` rows per session plus how many were left out."""
     totals = rows.groupBy("session_name").agg(F.count(F.lit(1)).alias("_total"))
     w = Window.partitionBy("session_name").orderBy(*order)
-    head = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    head = rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
     return (head.join(totals, "session_name")
             .withColumn("omitted", F.greatest(F.col("_total") - n, F.lit(0))).drop("_total"))
 
