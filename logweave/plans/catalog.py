@@ -347,12 +347,13 @@ def near_dup_pairs(spark, sf_dir):
 
 @query
 def leader_clusters(spark, sf_dir):
-    codes = doc_codes(spark, sf_dir)
-    h = Cl.distinct_hashes(codes, [], ["doc_id"], "doc_id")
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    h = Cl.distinct_hashes(doc_codes(spark, sf_dir), [], ["doc_id"], "doc_id").checkpoint()
     assign = Cl.leader_rounds(h, Cl.near_duplicate_pairs(h, []), [])
     lead = h.select(F.col("h").alias("leader"), F.col("first_member").alias("leader_doc"))
     hi, lo = _split_h(F.col("leader"))
-    return (assign.join(h.select("h", "hi", "lo", "first_member", "members"), "h").join(lead, "leader")
+    return (assign.join(lead, "leader")
             .select("hi", "lo", F.col("first_member").alias("first_doc"), "members", "is_leader",
                     hi.alias("leader_hi"), lo.alias("leader_lo"), "leader_doc"))
 
@@ -361,11 +362,13 @@ def leader_clusters(spark, sf_dir):
 def dedup_lines(spark, sf_dir):
     """D4/D5/D8 on log lines: per session one row per near-duplicate group."""
     e = entries(spark, sf_dir).select("id", "session_name", "timestamp", "pane_id", "sequence", "raw_content")
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
     codes = Cl.simhash_codes(e, F.col("raw_content")).drop("raw_content")
     order = ["timestamp", "pane_id", "sequence"]
-    h = Cl.distinct_hashes(codes, ["session_name"], order, "id")
+    h = Cl.distinct_hashes(codes, ["session_name"], order, "id").checkpoint()
     assign = Cl.leader_rounds(h, Cl.near_duplicate_pairs(h, ["session_name"]), ["session_name"])
-    stats = Cl.cluster_stats(codes, assign, h, ["session_name"], "id", order)
+    stats = Cl.cluster_stats(assign, ["session_name"])
     hi, lo = _split_h(F.col("leader"))
     return stats.select("session_name", hi.alias("leader_hi"), lo.alias("leader_lo"), "representative",
                         "last_member", "members", "distinct_hashes")

@@ -70,12 +70,23 @@ def render_log_lines(events: DataFrame, number: bool = True) -> DataFrame:
         F.concat(F.lit("sess-"), (F.col("user_id") % 3).cast("string")).alias("session_name"),
         F.concat(F.lit("pane-"), (F.col("user_id") % 12).cast("string")).alias("pane_id"),
         "event_id", "received_at", raw.alias("raw"))
-    if number:
-        lines = number_rows(lines, ["pane_id"], ["received_at", "event_id"],
-                            F.date_trunc("hour", F.col("received_at")), "sequence")
+    if not number:
+        return lines
+    lines = number_rows(lines, ["pane_id"], ["received_at", "event_id"],
+                        F.date_trunc("hour", F.col("received_at")), "sequence")
     return lines.select("session_name", "pane_id", "sequence", "received_at", "raw")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a source that arrives in fewer partitions than there are
+    cores (e.g. one small file with one row group); a large table already
+    has enough splits and is left alone (no extra shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_utc(spark)
-    return render_log_lines(table(spark, sf_dir, "events"))
+    return render_log_lines(spread(table(spark, sf_dir, "events")))
