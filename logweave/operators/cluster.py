@@ -70,21 +70,27 @@ def _band_keys() -> Column:
 
 
 def near_duplicate_pairs(hashes: DataFrame, scope: list[str], max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Pairs of distinct hashes (a < b) within ``max_distance`` bits."""
+    """Pairs of distinct hashes (a < b) within ``max_distance`` bits.
+
+    ``hashes`` is read by both sides of the self-join; checkpoint it first
+    when it comes out of a Python UDF (UDF plans are never exchange-reused)."""
     if max_distance > 3:
         raise ValueError("the 16 band keys are complete for distances up to 3")
     keyed = (hashes.select(*scope, "h", "hi", "lo", F.explode(_band_keys()).alias("_bk"))
              .select(*scope, "h", "hi", "lo", F.col("_bk.t").alias("_t"), F.col("_bk.k").alias("_k")))
-    a = keyed.select(*scope, "_t", "_k", F.col("h").alias("a"), F.col("hi").alias("a_hi"),
-                     F.col("lo").alias("a_lo"))
-    b = keyed.select(*scope, "_t", "_k", F.col("h").alias("b"), F.col("hi").alias("b_hi"),
-                     F.col("lo").alias("b_lo"))
-    # pairs oriented by (hi, lo), the unsigned order of the 64 bits
-    lt = (F.col("a_hi") < F.col("b_hi")) | ((F.col("a_hi") == F.col("b_hi")) & (F.col("a_lo") < F.col("b_lo")))
-    cand = a.join(b, [*scope, "_t", "_k"]).where(lt)
-    dist = hamming(F.col("a_hi"), F.col("a_lo"), F.col("b_hi"), F.col("b_lo"))
-    return (cand.withColumn("distance", dist.cast("int")).where(F.col("distance") <= max_distance)
-            .select(*scope, "a", "a_hi", "a_lo", "b", "b_hi", "b_lo", "distance")
+    # a self-join of one plan: both sides share a single shuffle (exchange
+    # reuse), so the hashes upstream are computed once
+    a, b = keyed.alias("a"), keyed.alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*scope, "_t", "_k"]]
+    lt = ((F.col("a.hi") < F.col("b.hi"))
+          | ((F.col("a.hi") == F.col("b.hi")) & (F.col("a.lo") < F.col("b.lo"))))
+    cand = a.join(b, on).where(lt)
+    dist = hamming(F.col("a.hi"), F.col("a.lo"), F.col("b.hi"), F.col("b.lo")).cast("int")
+    return (cand.select(*[F.col(f"a.{c}").alias(c) for c in scope],
+                        F.col("a.h").alias("a"), F.col("a.hi").alias("a_hi"), F.col("a.lo").alias("a_lo"),
+                        F.col("b.h").alias("b"), F.col("b.hi").alias("b_hi"), F.col("b.lo").alias("b_lo"),
+                        dist.alias("distance"))
+            .where(F.col("distance") <= max_distance)
             .dropDuplicates([*scope, "a", "b"]))
 
 

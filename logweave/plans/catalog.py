@@ -339,17 +339,22 @@ def simhash_codes(spark, sf_dir):
     return doc_codes(spark, sf_dir).select("doc_id", "hi", "lo")
 
 
+def doc_hashes(spark, sf_dir) -> DataFrame:
+    """Distinct document hashes, checkpointed: the table is read by both
+    sides of the band self-join (a Python UDF upstream defeats exchange reuse)."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    return Cl.distinct_hashes(doc_codes(spark, sf_dir), [], ["doc_id"], "doc_id").checkpoint()
+
+
 @query
 def near_dup_pairs(spark, sf_dir):
-    h = Cl.distinct_hashes(doc_codes(spark, sf_dir), [], ["doc_id"], "doc_id")
-    return Cl.near_duplicate_pairs(h, []).select("a_hi", "a_lo", "b_hi", "b_lo", "distance")
+    return Cl.near_duplicate_pairs(doc_hashes(spark, sf_dir), []).select("a_hi", "a_lo", "b_hi", "b_lo", "distance")
 
 
 @query
 def leader_clusters(spark, sf_dir):
-    from ..session import checkpoint_dir
-    checkpoint_dir(spark)
-    h = Cl.distinct_hashes(doc_codes(spark, sf_dir), [], ["doc_id"], "doc_id").checkpoint()
+    h = doc_hashes(spark, sf_dir)
     assign = Cl.leader_rounds(h, Cl.near_duplicate_pairs(h, []), [])
     lead = h.select(F.col("h").alias("leader"), F.col("first_member").alias("leader_doc"))
     hi, lo = _split_h(F.col("leader"))

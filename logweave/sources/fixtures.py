@@ -18,8 +18,19 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a source that arrives in fewer partitions than there are
+    cores (e.g. one small file with one row group); a large table already
+    has enough splits and is left alone (no extra shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A test table, spread over the cores when the file has too few splits."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def render_log_lines(events: DataFrame, number: bool = True) -> DataFrame:
@@ -77,16 +88,6 @@ def render_log_lines(events: DataFrame, number: bool = True) -> DataFrame:
     return lines.select("session_name", "pane_id", "sequence", "received_at", "raw")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a source that arrives in fewer partitions than there are
-    cores (e.g. one small file with one row group); a large table already
-    has enough splits and is left alone (no extra shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_utc(spark)
-    return render_log_lines(spread(table(spark, sf_dir, "events")))
+    return render_log_lines(table(spark, sf_dir, "events"))
