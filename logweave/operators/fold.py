@@ -29,10 +29,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def fold_times(t: np.ndarray, start: int | None, count: int, width_us: int):
+    """Fold sorted times ``t`` (int64 microseconds) of one key, continuing
+    the open window ``(start, count)`` (``start`` None: none open).
+    Returns per-row window starts and counts and the final ``(start, count)``.
+    Jumps window to window with ``searchsorted``."""
+    n = len(t)
+    starts = np.empty(n, dtype=np.int64)
+    counts = np.empty(n, dtype=np.int64)
+    i = 0
+    if start is not None and n:
+        j = int(np.searchsorted(t, start + width_us, side="right"))
+        if j:
+            starts[:j] = start
+            counts[:j] = np.arange(count + 1, count + 1 + j)
+            count += j
+            i = j
+    while i < n:
+        start = int(t[i])
+        j = i + int(np.searchsorted(t[i:], start + width_us, side="right"))
+        starts[i:j] = start
+        counts[i:j] = np.arange(1, j - i + 1)
+        count = j - i
+        i = j
+    return starts, counts, start, count
+
+
 def _fold_batches(keys: list[str], ts: str, width_us: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur_key = None
-        start = 0
+        start = None
         count = 0
         for pdf in batches:
             n = len(pdf)
@@ -49,24 +75,11 @@ def _fold_batches(keys: list[str], ts: str, width_us: int):
             for gi in range(len(bounds) - 1):
                 lo, hi = bounds[gi], bounds[gi + 1]
                 key = tuple(kdf.iloc[lo].tolist())
-                i = lo
-                if key == cur_key:
-                    # continue the window carried over from the previous batch
-                    j = lo + int(np.searchsorted(t[lo:hi], start + width_us, side="right"))
-                    if j > i:
-                        starts[i:j] = start
-                        counts[i:j] = np.arange(count + 1, count + 1 + (j - i))
-                        count += j - i
-                        i = j
-                else:
-                    cur_key = key
-                while i < hi:
-                    start = int(t[i])
-                    j = i + int(np.searchsorted(t[i:hi], start + width_us, side="right"))
-                    starts[i:j] = start
-                    counts[i:j] = np.arange(1, j - i + 1)
-                    count = j - i
-                    i = j
+                if key != cur_key:
+                    cur_key, start, count = key, None, 0
+                st, ct, start, count = fold_times(t[lo:hi], start, count, width_us)
+                starts[lo:hi] = st
+                counts[lo:hi] = ct
             out = pdf.copy()
             out["window_start"] = pd.to_datetime(starts, unit="us")
             out["window_count"] = counts
