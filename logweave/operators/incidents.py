@@ -12,6 +12,7 @@ from .patterns import level_of, order_struct
 # --- fixed values -----------------------------------------------------------
 TITLE_PREFIX = "Pattern spike: "
 TITLE_SIGNATURE_CHARS = 8
+SPIKE_THRESHOLD = 20
 # ----------------------------------------------------------------------------
 
 
@@ -77,3 +78,9 @@ def incident_patterns(incidents_df: DataFrame, durable: DataFrame, key: str = "s
                                 F.col("signature").alias(key), "severity", "status")
             .join(d, ["session_name", key], "left")
             .withColumn("durable_rows", F.coalesce(F.col("durable_rows"), F.lit(0))))
+
+
+def spike_windows(windows: DataFrame, threshold: int = SPIKE_THRESHOLD, key: str = "signature") -> DataFrame:
+    """Windows whose count reaches the spike threshold (20 by default)."""
+    g = windows.groupBy("session_name", key, "window_start").agg(F.max("window_count").alias("window_count"))
+    return g.withColumn("is_spike", F.col("window_count") >= threshold)

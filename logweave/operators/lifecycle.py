@@ -20,6 +20,15 @@ def ring_last_n(entries: DataFrame, capacity: int) -> DataFrame:
             .where(F.col("sequence") > F.col("_max_seq") - capacity).drop("_max_seq"))
 
 
+def snapshot_scan(lines: DataFrame, n: int = 1000, drop_blank: bool = True) -> DataFrame:
+    """S3: the last ``n`` lines of each pane (by the dense sequence), trimmed,
+    blank lines dropped (the ask/stats/search form)."""
+    top = lines.groupBy("pane_id").agg(F.max("sequence").alias("_max_seq"))
+    out = (lines.join(top, "pane_id").where(F.col("sequence") > F.col("_max_seq") - n)
+           .drop("_max_seq").withColumn("raw", F.trim(F.col("raw"))))
+    return out.where(F.col("raw") != "") if drop_blank else out
+
+
 def retention_trim(entries: DataFrame, as_of: dt.datetime, retention_seconds: int,
                    exact: bool = False) -> DataFrame:
     """Drop old rows.

@@ -170,6 +170,11 @@ def services_by_freq(spark, sf_dir):
     return A.services_by_frequency(entries(spark, sf_dir))
 
 
+@query
+def snapshot_scan(spark, sf_dir):
+    return L.snapshot_scan(log_lines(spark, sf_dir), RING_CAPACITY).select("pane_id", "sequence", "raw")
+
+
 @query
 def ring_last_n(spark, sf_dir):
     return L.ring_last_n(entries(spark, sf_dir), RING_CAPACITY).select("id", "pane_id", "sequence")

@@ -88,6 +88,10 @@ ORACLE["services_by_freq"] = with_entries(
     "SELECT session_name, service, entry_count, row_number() OVER (PARTITION BY session_name "
     "ORDER BY entry_count DESC, service) AS rank FROM (SELECT session_name, service, count(*) AS entry_count "
     "FROM entries WHERE service IS NOT NULL GROUP BY session_name, service)")
+ORACLE["snapshot_scan"] = with_entries(
+    "SELECT l.pane_id, l.sequence, trim(l.raw) AS raw FROM log_lines l JOIN (SELECT pane_id, max(sequence) AS m "
+    f"FROM log_lines GROUP BY pane_id) t ON l.pane_id = t.pane_id WHERE l.sequence > t.m - {C.RING_CAPACITY} "
+    "AND trim(l.raw) <> ''")
 ORACLE["ring_last_n"] = with_entries(
     "SELECT e.id, e.pane_id, e.sequence FROM entries e JOIN (SELECT pane_id, max(sequence) AS m FROM entries "
     f"GROUP BY pane_id) t ON e.pane_id = t.pane_id WHERE e.sequence > t.m - {C.RING_CAPACITY}")

@@ -139,3 +139,26 @@ def quick_summary(rates: DataFrame) -> DataFrame:
     """The latest error rate per session and rate key."""
     return rates.groupBy("session_name", "rate_key").agg(
         F.max_by("rate", F.struct(*[F.col(c) for c in ORDER])).alias("current_rate"))
+
+
+def severity_rows(entries: DataFrame) -> DataFrame:
+    """Severity counts per session, most frequent first (ties by rank)."""
+    d = A.severity_distribution(entries)
+    w = Window.partitionBy("session_name").orderBy(F.desc("entry_count"), "sev_rank")
+    return d.withColumn("position", F.row_number().over(w).cast("long"))
+
+
+def documents(patterns: DataFrame, incidents: DataFrame, alerts: DataFrame) -> dict[str, DataFrame]:
+    """Column lists of the patterns / incidents / alerts documents with
+    upper-cased severity and ``pattern_count = size(pattern_ids)``."""
+    return {
+        "patterns": patterns.withColumn("severity", F.upper("severity")),
+        "incidents": incidents.withColumn("severity", F.upper("severity"))
+        .withColumn("pattern_count", F.size("pattern_ids")),
+        "alerts": alerts.withColumn("severity", F.upper("severity")),
+    }
+
+
+def errors_only(entries: DataFrame) -> DataFrame:
+    """Restrict a summary to ERROR and FATAL lines (then apply R1)."""
+    return Fl.severe_only(entries)
