@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.simhash import as_long, hamming, simhash
 from ..functions.text import normalize_full
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 
 MAX_DISTANCE = 3
 
@@ -108,9 +108,9 @@ def leader_rounds(hashes: DataFrame, pairs: DataFrame, scope: list[str]) -> Data
     edges = e.select(*scope, F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("src"),
                      F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("dst"),
                      F.when(F.col("ra") < F.col("rb"), F.col("ra")).otherwise(F.col("rb")).alias("src_rank"))
-    edges = edges.checkpoint()
+    edges = materialize(edges)
     # 0 undecided, 1 leader, 2 follower
-    state = nodes.select(*scope, "h", F.lit(0).alias("state")).checkpoint()
+    state = materialize(nodes.select(*scope, "h", F.lit(0).alias("state")))
     rounds = 0
     while True:
         rounds += 1
@@ -124,7 +124,7 @@ def leader_rounds(hashes: DataFrame, pairs: DataFrame, scope: list[str]) -> Data
                        .when(F.col("_any_leader") == 1, F.lit(2))
                        .when(F.coalesce(F.col("_open"), F.lit(0)) == 0, F.lit(1))
                        .otherwise(F.lit(0)).alias("state")))
-        nxt = nxt.checkpoint()
+        nxt = materialize(nxt)
         undecided = nxt.where("state = 0").count()
         state = nxt
         if undecided == 0:

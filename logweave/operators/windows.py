@@ -90,9 +90,11 @@ def error_rate(entries: DataFrame, width_s: int, include_unknown: bool = True) -
 
 
 def transitions(entries: DataFrame) -> DataFrame:
-    """Lines that announce a service state change (W5), service defaulted."""
-    return (entries.withColumn("state", service_state(F.col("raw_content")))
-            .where(F.col("state").isNotNull())
+    """Lines that announce a service state change (W5), service defaulted.
+    A precomputed ``state`` column is used as is."""
+    if "state" not in entries.columns:
+        entries = entries.withColumn("state", service_state(F.col("raw_content")))
+    return (entries.where(F.col("state").isNotNull())
             .withColumn("restart_service", F.coalesce(F.col("service"), F.lit(UNKNOWN_SERVICE))))
 
 

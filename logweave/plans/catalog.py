@@ -262,14 +262,31 @@ def error_rate(spark, sf_dir):
 
 # ---- step 6: incidents and alerts -------------------------------------------
 
-def incident_table(spark, sf_dir) -> DataFrame:
-    w = pattern_windows(spark, sf_dir)
+def core_entries(spark, sf_dir) -> DataFrame:
+    """The parsed columns the pattern, rate and restart operators need (no
+    text), checkpointed once: several branches read it, so the parse and the
+    fold below run once per query instead of once per branch."""
+    from ..session import materialize
+    e = signed(spark, sf_dir)
+    return materialize(e.select("id", "session_name", "signature", "timestamp", "pane_id", "sequence",
+                                "severity", "sev_rank", "service",
+                                W.service_state(F.col("raw_content")).alias("state")))
+
+
+def core_windows(spark, sf_dir):
+    """(core entries, their pattern windows); both checkpointed."""
+    from ..session import materialize
+    c = core_entries(spark, sf_dir)
+    return c, materialize(Pt.pattern_windows(c, PATTERN_WINDOW_S))
+
+
+def incident_table(spark, sf_dir, windows: DataFrame | None = None) -> DataFrame:
+    w = windows if windows is not None else core_windows(spark, sf_dir)[1]
     return I.incidents(Pt.incident_triggers(w, RECURRING_THRESHOLD))
 
 
-def alert_table(spark, sf_dir) -> DataFrame:
-    e = signed(spark, sf_dir)
-    w = Pt.pattern_windows(e, PATTERN_WINDOW_S)
+def alert_table(spark, sf_dir, core=None) -> DataFrame:
+    e, w = core if core is not None else core_windows(spark, sf_dir)
     firsts = w.join(Pt.first_seen(w).select(F.col("entry_id").alias("id")), "id")
     trig = (K.recurring_triggers(w, PATTERN_WINDOW_S, RECURRING_THRESHOLD)
             .unionByName(K.new_exception_triggers(firsts))
@@ -313,15 +330,15 @@ def pattern_lifecycle(spark, sf_dir):
 
 @query
 def incident_patterns(spark, sf_dir):
-    durable = durable_rows(signed(spark, sf_dir))
-    return I.incident_patterns(incident_table(spark, sf_dir), durable)
+    c, w = core_windows(spark, sf_dir)
+    return I.incident_patterns(incident_table(spark, sf_dir, w), durable_rows(c))
 
 
 @query
 def session_stats(spark, sf_dir):
-    s = signed(spark, sf_dir)
-    pats = s.select("session_name", "signature").distinct()
-    return A.session_stats(s, pats, incident_table(spark, sf_dir), alert_table(spark, sf_dir))
+    c, w = core_windows(spark, sf_dir)
+    pats = c.select("session_name", "signature").distinct()
+    return A.session_stats(c, pats, incident_table(spark, sf_dir, w), alert_table(spark, sf_dir, (c, w)))
 
 
 # ---- step 7: SimHash, near duplicates, leader clusters ----------------------
@@ -347,9 +364,8 @@ def simhash_codes(spark, sf_dir):
 def doc_hashes(spark, sf_dir) -> DataFrame:
     """Distinct document hashes, checkpointed: the table is read by both
     sides of the band self-join (a Python UDF upstream defeats exchange reuse)."""
-    from ..session import checkpoint_dir
-    checkpoint_dir(spark)
-    return Cl.distinct_hashes(doc_codes(spark, sf_dir), [], ["doc_id"], "doc_id").checkpoint()
+    from ..session import materialize
+    return materialize(Cl.distinct_hashes(doc_codes(spark, sf_dir), [], ["doc_id"], "doc_id"))
 
 
 @query
@@ -372,11 +388,10 @@ def leader_clusters(spark, sf_dir):
 def dedup_lines(spark, sf_dir):
     """D4/D5/D8 on log lines: per session one row per near-duplicate group."""
     e = entries(spark, sf_dir).select("id", "session_name", "timestamp", "pane_id", "sequence", "raw_content")
-    from ..session import checkpoint_dir
-    checkpoint_dir(spark)
+    from ..session import materialize
     codes = Cl.simhash_codes(e, F.col("raw_content")).drop("raw_content")
     order = ["timestamp", "pane_id", "sequence"]
-    h = Cl.distinct_hashes(codes, ["session_name"], order, "id").checkpoint()
+    h = materialize(Cl.distinct_hashes(codes, ["session_name"], order, "id"))
     assign = Cl.leader_rounds(h, Cl.near_duplicate_pairs(h, ["session_name"]), ["session_name"])
     stats = Cl.cluster_stats(assign, ["session_name"])
     hi, lo = _split_h(F.col("leader"))
@@ -389,9 +404,11 @@ def dedup_lines(spark, sf_dir):
 @query
 def window_summary(spark, sf_dir):
     from .reports import window_summary as summary
-    s = signed(spark, sf_dir)
-    recent = Pt.pattern_rollup(s.where(F.col("timestamp") >= F.lit(SUMMARY_START)))
-    return summary(s, SUMMARY_START, recent, incident_table(spark, sf_dir), alert_table(spark, sf_dir))
+    c, w = core_windows(spark, sf_dir)
+    recent = (c.where(F.col("timestamp") >= F.lit(SUMMARY_START)).groupBy("session_name", "signature")
+              .agg(F.count(F.lit(1)).alias("occurrence_count"), F.min("timestamp").alias("first_seen"),
+                   F.max("timestamp").alias("last_seen")))
+    return summary(c, SUMMARY_START, recent, incident_table(spark, sf_dir, w), alert_table(spark, sf_dir, (c, w)))
 
 
 @query
@@ -410,10 +427,10 @@ def token_budget(spark, sf_dir):
 @query
 def status_overview(spark, sf_dir):
     from .reports import status_overview as overview
-    e = signed(spark, sf_dir)
-    live = L.session_liveness(e, AS_OF, STALE_AFTER_S, DISCONNECT_AFTER_S)
-    pats = e.select("session_name", "signature").distinct()
-    stats = A.session_stats(e, pats, incident_table(spark, sf_dir), alert_table(spark, sf_dir))
+    c, w = core_windows(spark, sf_dir)
+    live = L.session_liveness(entries(spark, sf_dir), AS_OF, STALE_AFTER_S, DISCONNECT_AFTER_S)
+    pats = c.select("session_name", "signature").distinct()
+    stats = A.session_stats(c, pats, incident_table(spark, sf_dir, w), alert_table(spark, sf_dir, (c, w)))
     return overview(live, stats)
 
 

@@ -66,3 +66,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
+
+
+def materialize(df):
+    """Reliable checkpoint (lineage cut, files in ``spark.checkpoint.dir``)
+    computed once: the plan is persisted while the checkpoint files are
+    written, otherwise Spark evaluates it a second time for the write."""
+    from pyspark import StorageLevel
+    checkpoint_dir(df.sparkSession)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()

@@ -76,15 +76,14 @@ def purge_before(spark: SparkSession, path: str, cutoff: dt.datetime) -> int:
     source may be overwritten), written back with dynamic partition
     overwrite, and partitions left empty are removed.
     """
-    from ..session import checkpoint_dir
-    checkpoint_dir(spark)
+    from ..session import materialize
     df = spark.read.parquet(path)
     old = df.where(F.col("timestamp") < F.lit(cutoff))
     n = old.count()
     if n == 0:
         return n
-    touched = old.select(*DURABLE_PARTITIONS).distinct().checkpoint()
-    keep = df.join(touched, DURABLE_PARTITIONS).where(F.col("timestamp") >= F.lit(cutoff)).checkpoint()
+    touched = materialize(old.select(*DURABLE_PARTITIONS).distinct())
+    keep = materialize(df.join(touched, DURABLE_PARTITIONS).where(F.col("timestamp") >= F.lit(cutoff)))
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
