@@ -68,3 +68,38 @@ def test_restart_loop(spark):
                            (500, "[api] Starting api")])
     loops = W.restart_loops(e, 30).collect()
     assert len(loops) == 1 and loops[0]["transitions"] == 3 and loops[0]["restart_service"] == "api"
+
+
+def test_strict_restart_cycle(spark):
+    e = entries_of(spark, [(0, "[db] Starting db"), (5, "[db] db started"), (10, "[db] Stopping db"),
+                           (15, "[db] Starting db"), (100, "[db] Stopping db")])
+    cyc = W.restart_cycles(e, 30).collect()
+    assert len(cyc) == 1 and cyc[0]["restart_service"] == "db"
+    assert W.restart_cycles(e, 10).count() == 0          # the cycle took 15 s
+
+
+def test_incident_actions_and_auto_resolve(spark):
+    e = entries_of(spark, [(i, "ERROR disk full") for i in range(6)] + [(1000, "FATAL other thing")])
+    trig = Pt.incident_triggers(Pt.pattern_windows(e, 60), 5)
+    base = dt.datetime(2024, 1, 15, 10, 0, 0)
+    inc = {r["title"][:14]: r for r in I.incidents(trig).collect()}
+    assert all(r["status"] == "Active" for r in inc.values())
+    auto = I.incidents(trig, as_of=base + dt.timedelta(seconds=1000), auto_resolve_s=600).collect()
+    status = sorted((r["status"], r["resolved_at"]) for r in auto)
+    assert status[0][0] == "Active" and status[1] == ("Resolved", base + dt.timedelta(seconds=605))
+    sig = [r for r in I.incidents(trig).collect() if r["entry_count"] > 0][0]["signature"]
+    acts = spark.createDataFrame([("s", sig, "mitigate", base + dt.timedelta(seconds=50)),
+                                  ("s", sig, "resolve", base + dt.timedelta(seconds=70))],
+                                 "session_name string, signature string, action string, at timestamp")
+    done = [r for r in I.incidents(trig, actions=acts).collect() if r["signature"] == sig][0]
+    assert (done["status"], done["resolved_at"]) == ("Resolved", base + dt.timedelta(seconds=70))
+
+
+def test_stream_alert_events_shape(spark):
+    from logweave.streaming.stream import alert_events
+    e = entries_of(spark, [(i, "ERROR same") for i in range(6)])
+    w = Pt.pattern_windows(e, 60)
+    firsts = {r["entry_id"] for r in Pt.first_seen(w).collect()}
+    rows = w.withColumn("is_first", F.col("id").isin(list(firsts)))
+    ev = sorted((r["alert_type"], r["value"]) for r in alert_events(rows, 5).collect())
+    assert ev == [("NewException", 1.0), ("RecurringError", 5.0)]

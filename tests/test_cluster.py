@@ -83,3 +83,9 @@ def test_leader_rounds_equal_sequential_scan(spark):
     to_u = lambda x: x & 0xFFFFFFFFFFFFFFFF
     got = {to_u(r["h"]): to_u(r["leader"]) for r in assign}
     assert got == sequential_leaders(seq)
+
+
+def test_bounded_clusters_keep_most_recent(spark):
+    df = spark.createDataFrame([("s", i, i * 10) for i in range(20)], "session_name string, leader long, last long")
+    kept = Cl.bounded_clusters(df, ["session_name"], "last", limit=5).collect()
+    assert sorted(r["leader"] for r in kept) == [15, 16, 17, 18, 19]
