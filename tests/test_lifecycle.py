@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from conftest import lines_df
 from logweave.functions.parse import parse_entries

@@ -5,7 +5,6 @@ import datetime as dt
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from logweave.operators.fold import anchored_windows, fold_times
 from logweave.operators.windows import sliding_count
