@@ -13,9 +13,12 @@ batches: O(1) state per task and no group is ever materialised.  Inside a
 batch the fold jumps window to window with ``numpy.searchsorted``, so Python
 work is per window, not per row.
 
-Limit: each window start depends on the previous one, so the rows of one
-key are folded by one task (sorted by the JVM with spilling, streamed to
-Python in bounded batches).  Keys are spread over all tasks.
+A silence longer than ``width`` always opens a new window, so each key is
+first cut into segments at such gaps (``gap_segments``, computed chunk-wise
+without any window over a whole key) and the fold runs per (key, segment):
+a busy key with pauses is spread over many tasks.  A key whose lines never
+pause for longer than ``width`` remains one task (sorted by the JVM with
+spilling, streamed to Python in bounded batches).
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sequence import join_keys
+
 
 def fold_times(t: np.ndarray, start: int | None, count: int, width_us: int):
     """Fold sorted times ``t`` (int64 microseconds) of one key, continuing
@@ -87,22 +92,59 @@ def _fold_batches(keys: list[str], ts: str, width_us: int):
     return run
 
 
+CHUNK_US = 3600 * 1_000_000
+
+
+def gap_segments(df: DataFrame, keys: list[str], ts: str, order: list[str], width_s: float,
+                 name: str = "_seg") -> DataFrame:
+    """Adds ``name`` = time of the first row of the row's gap segment: a new
+    segment starts at a key's first row and after every silence > width.
+
+    Previous-row times and running segment starts are computed per
+    (key, hour) chunk; the carry-in from earlier chunks comes from a small
+    per-chunk table.  No window spans a whole key."""
+    width_us = int(round(width_s * 1_000_000))
+    t = df.withColumn("_chunk", F.floor(F.unix_micros(F.col(ts)) / F.lit(CHUNK_US)))
+    local = Window.partitionBy(*keys, "_chunk").orderBy(ts, *order)
+    t = t.withColumn("_prev", F.lag(F.col(ts)).over(local))
+    per_chunk = t.groupBy(*keys, "_chunk").agg(F.max(ts).alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk")
+    per_chunk = per_chunk.withColumn("_carry_prev", F.lag("_last").over(earlier))
+    t = join_keys(t, per_chunk.select(*keys, "_chunk", "_carry_prev"), [*keys, "_chunk"])
+    prev = F.coalesce(F.col("_prev"), F.col("_carry_prev"))
+    starts = prev.isNull() | ((F.unix_micros(F.col(ts)) - F.unix_micros(prev)) > width_us)
+    t = t.withColumn("_start", F.when(starts, F.col(ts)))
+    t = t.withColumn("_run", F.max("_start").over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    last_start = t.groupBy(*keys, "_chunk").agg(F.max("_start").alias("_ls"))
+    carry = last_start.select(*keys, "_chunk", F.max("_ls").over(
+        earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_start"))
+    t = join_keys(t, carry, [*keys, "_chunk"])
+    return (t.withColumn(name, F.coalesce(F.col("_run"), F.col("_carry_start")))
+            .drop("_chunk", "_prev", "_carry_prev", "_start", "_run", "_carry_start"))
+
+
 def anchored_windows(df: DataFrame, keys: list[str], ts: str, order: list[str],
-                     width_s: float, num_partitions: int | None = None) -> DataFrame:
+                     width_s: float, num_partitions: int | None = None,
+                     split_gaps: bool = True) -> DataFrame:
     """Add ``window_start`` / ``window_count`` (see module doc).
 
     ``df`` should carry only the columns needed downstream (they all travel
     through Arrow).  ``order`` breaks ties between equal timestamps.
+    ``split_gaps`` folds per (key, gap segment) instead of per key.
     """
     width_us = int(round(width_s * 1_000_000))
-    schema = T.StructType(df.schema.fields + [
+    fold_keys = [*keys]
+    if split_gaps:
+        df = gap_segments(df, keys, ts, order, width_s)
+        fold_keys = [*keys, "_seg"]
+    sorted_df = (df.repartition(num_partitions, *fold_keys) if num_partitions
+                 else df.repartition(*fold_keys))
+    sorted_df = sorted_df.sortWithinPartitions(*fold_keys, ts, *order)
+    out_schema = T.StructType(df.schema.fields + [
         T.StructField("window_start", T.TimestampType(), True),
         T.StructField("window_count", T.LongType(), True)])
-    parts = [*keys]
-    sorted_df = (df.repartition(num_partitions, *parts) if num_partitions
-                 else df.repartition(*parts))
-    sorted_df = sorted_df.sortWithinPartitions(*keys, ts, *order)
-    return sorted_df.mapInPandas(_fold_batches(keys, ts, width_us), schema)
+    folded = sorted_df.mapInPandas(_fold_batches(fold_keys, ts, width_us), out_schema)
+    return folded.drop("_seg") if split_gaps else folded
 
 
 def window_summary(folded: DataFrame, keys: list[str], ts: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FUTURE_SKEW_SECONDS, MAX_CONTENT_BYTES, TRUNCATION_MARKER
+from .sequence import join_keys
 
 # --- fixed values -------------------------------------------------------------
 # Java-style stack-trace continuation lines.
@@ -32,7 +33,7 @@ def multiline_groups(entries: DataFrame, starts: Column | None = None) -> DataFr
     per_chunk = t.groupBy("pane_id", "_chunk").agg(F.max("_start_seq").alias("_last"))
     carry = per_chunk.select("pane_id", "_chunk", F.max("_last").over(
         Window.partitionBy("pane_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    t = t.join(carry, ["pane_id", "_chunk"])
+    t = join_keys(t, carry, ["pane_id", "_chunk"])
     # a continuation line with no start before it keeps its own sequence
     group = F.coalesce(F.col("_local"), F.col("_carry"), F.col("sequence"))
     return t.withColumn("group_start", group).drop("_chunk", "_start_seq", "_local", "_carry")

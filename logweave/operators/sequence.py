@@ -17,6 +17,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` that also matches NULL keys (``<=>``), keeping
+    one copy of each key column."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def number_rows(df: DataFrame, part_cols: list[str], order_cols: list[str],
                 chunk: Column, name: str = "sequence") -> DataFrame:
     """Add ``name`` = 1-based position of each row within ``part_cols``.
@@ -32,6 +43,6 @@ def number_rows(df: DataFrame, part_cols: list[str], order_cols: list[str],
     before = Window.partitionBy(*part_cols).orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    out = local.join(offsets, keys)
+    out = join_keys(local, offsets, keys)
     return (out.withColumn(name, F.col("_local") + F.col("_before"))
             .drop("_chunk", "_local", "_before"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import RANK
 from .fold import anchored_windows
+from .sequence import join_keys
 
 # --- fixed values: service state words (checked in this order) ------------
 STATE_RULES = [
@@ -70,8 +71,7 @@ def sliding_count(df: DataFrame, keys: list[str], ts: str, width_s: int,
     counts = (rows.withColumn("_b", bucket).groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_prev_n"))
               .withColumn("_b", F.col("_b") + 1))
     probe_side = both.where("_kind = 0").select("id", F.col("_run").alias("_prev_lt"))
-    row_side = (both.where("_kind = 1").join(counts, [*keys, "_b"], "left")
-                .join(probe_side, "id"))
+    row_side = join_keys(both.where("_kind = 1"), counts, [*keys, "_b"], "left").join(probe_side, "id")
     rate = F.col("_run") + F.coalesce(F.col("_prev_n"), F.lit(0)) - F.col("_prev_lt")
     return (row_side.withColumn(out, rate.cast("long"))
             .drop("_t", "_kind", "_b", "_run", "_prev_n", "_prev_lt"))
