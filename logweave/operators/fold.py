@@ -13,12 +13,13 @@ batches: O(1) state per task and no group is ever materialised.  Inside a
 batch the fold jumps window to window with ``numpy.searchsorted``, so Python
 work is per window, not per row.
 
-A silence longer than ``width`` always opens a new window, so each key is
-first cut into segments at such gaps (``gap_segments``, computed chunk-wise
-without any window over a whole key) and the fold runs per (key, segment):
-a busy key with pauses is spread over many tasks.  A key whose lines never
-pause for longer than ``width`` remains one task (sorted by the JVM with
-spilling, streamed to Python in bounded batches).
+A silence longer than ``width`` always opens a new window, so a hot key
+(found by a partial count) is first cut into segments at such gaps
+(``gap_segments``, computed chunk-wise without any window over a whole key)
+and folded per (key, segment): a busy key with pauses is spread over many
+tasks.  A hot key whose lines never pause for longer than ``width`` remains
+one task (sorted by the JVM with spilling, streamed to Python in bounded
+batches).
 """
 
 from __future__ import annotations
@@ -123,28 +124,43 @@ def gap_segments(df: DataFrame, keys: list[str], ts: str, order: list[str], widt
             .drop("_chunk", "_prev", "_carry_prev", "_start", "_run", "_carry_start"))
 
 
+HOT_KEY_ROWS = 1_000_000
+
+
+def _fold(df: DataFrame, fold_keys: list[str], ts: str, order: list[str], width_us: int,
+          num_partitions: int | None) -> DataFrame:
+    schema = T.StructType(df.schema.fields + [
+        T.StructField("window_start", T.TimestampType(), True),
+        T.StructField("window_count", T.LongType(), True)])
+    parted = (df.repartition(num_partitions, *fold_keys) if num_partitions
+              else df.repartition(*fold_keys))
+    return (parted.sortWithinPartitions(*fold_keys, ts, *order)
+            .mapInPandas(_fold_batches(fold_keys, ts, width_us), schema))
+
+
 def anchored_windows(df: DataFrame, keys: list[str], ts: str, order: list[str],
                      width_s: float, num_partitions: int | None = None,
-                     split_gaps: bool = True) -> DataFrame:
+                     hot_rows: int | None = HOT_KEY_ROWS) -> DataFrame:
     """Add ``window_start`` / ``window_count`` (see module doc).
 
     ``df`` should carry only the columns needed downstream (they all travel
-    through Arrow).  ``order`` breaks ties between equal timestamps.
-    ``split_gaps`` folds per (key, gap segment) instead of per key.
+    through Arrow); it is read twice when ``hot_rows`` is set (materialise an
+    expensive input first).  ``order`` breaks ties between equal timestamps.
+
+    Keys with at least ``hot_rows`` rows (found by a partial count; there are
+    at most rows / ``hot_rows`` of them) are folded per (key, gap segment);
+    all other keys per key.  ``hot_rows=0`` segments every key, ``None`` none.
     """
     width_us = int(round(width_s * 1_000_000))
-    fold_keys = [*keys]
-    if split_gaps:
-        df = gap_segments(df, keys, ts, order, width_s)
-        fold_keys = [*keys, "_seg"]
-    sorted_df = (df.repartition(num_partitions, *fold_keys) if num_partitions
-                 else df.repartition(*fold_keys))
-    sorted_df = sorted_df.sortWithinPartitions(*fold_keys, ts, *order)
-    out_schema = T.StructType(df.schema.fields + [
-        T.StructField("window_start", T.TimestampType(), True),
-        T.StructField("window_count", T.LongType(), True)])
-    folded = sorted_df.mapInPandas(_fold_batches(fold_keys, ts, width_us), out_schema)
-    return folded.drop("_seg") if split_gaps else folded
+    if hot_rows is None:
+        return _fold(df, keys, ts, order, width_us, num_partitions)
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)
+           .select(*keys, F.lit(True).alias("_hot")))
+    tagged = join_keys(df, hot, keys, "left")
+    cold = tagged.where(F.col("_hot").isNull()).drop("_hot")
+    busy = gap_segments(tagged.where(F.col("_hot").isNotNull()).drop("_hot"), keys, ts, order, width_s)
+    return (_fold(cold, keys, ts, order, width_us, num_partitions)
+            .unionByName(_fold(busy, [*keys, "_seg"], ts, order, width_us, num_partitions).drop("_seg")))
 
 
 def window_summary(folded: DataFrame, keys: list[str], ts: str) -> DataFrame:

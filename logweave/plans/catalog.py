@@ -237,7 +237,9 @@ def top_patterns(spark, sf_dir):
 # ---- step 5: anchored windows, restart loops, error rate ---------------------
 
 def pattern_windows(spark, sf_dir):
-    return Pt.pattern_windows(signed(spark, sf_dir), PATTERN_WINDOW_S)
+    """W1 over the materialised core table (the fold reads its input twice:
+    hot-key count and fold)."""
+    return Pt.pattern_windows(core_entries(spark, sf_dir), PATTERN_WINDOW_S)
 
 
 @query
@@ -247,7 +249,7 @@ def recurring_errors(spark, sf_dir):
 
 @query
 def restart_loops(spark, sf_dir):
-    return W.restart_loops(entries(spark, sf_dir), RESTART_WINDOW_S)
+    return W.restart_loops(core_entries(spark, sf_dir), RESTART_WINDOW_S)
 
 
 @query

@@ -25,6 +25,14 @@ def brute_anchored(rows, width):
     return out
 
 
+def test_gap_segments_split_at_long_silences(spark):
+    from logweave.operators.fold import gap_segments
+    rows = [("k", BASE + dt.timedelta(seconds=s), i) for i, s in enumerate([0, 30, 100, 100, 7000, 7050])]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, seq long")
+    seg = {r["seq"]: r["_seg"] for r in gap_segments(df, ["k"], "ts", ["seq"], 60).collect()}
+    assert [seg[i] for i in range(6)] == [rows[0][1], rows[0][1], rows[2][1], rows[2][1], rows[4][1], rows[4][1]]
+
+
 def random_rows(n, keys, span_s, seed):
     rnd = random.Random(seed)
     rows = []
@@ -48,13 +56,16 @@ def test_anchored_windows_match_brute_force(spark):
     try:
         rows = random_rows(600, ["a", "b", "c", None], 900, seed=7)
         df = spark.createDataFrame(rows, "k string, ts timestamp, seq long")
-        got = anchored_windows(df, ["k"], "ts", ["seq"], 60, num_partitions=3).collect()
+        # per key, per (key, gap segment) for every key, and mixed (only 'a' and 'b' hot)
+        runs = {hot: anchored_windows(df, ["k"], "ts", ["seq"], 60, num_partitions=3, hot_rows=hot).collect()
+                for hot in (None, 0, 160)}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = brute_anchored(rows, 60)
-    assert len(got) == len(rows)
-    for r in got:
-        assert (r["window_start"], r["window_count"]) == want[(r["k"], r["seq"])]
+    for got in runs.values():
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r["window_start"], r["window_count"]) == want[(r["k"], r["seq"])]
 
 
 def test_sliding_count_matches_brute_force(spark):
