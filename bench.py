@@ -31,9 +31,14 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", app="logweave-bench", shuffle_partitions=max(8, cpus))
     QUERIES["severity_distribution"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
+    errors: dict[str, str] = {}
     for name in names:
         t0 = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        try:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as exc:  # keep measuring the others; report the failure
+            errors[name] = type(exc).__name__
+            continue
         times[name] = round(time.perf_counter() - t0, 3)
     n_lines = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     total = round(sum(times.values()), 3)
@@ -44,6 +49,7 @@ def main() -> None:
         "cpus": cpus, "log_lines": n_lines,
         "parse_lines_per_sec": round(n_lines / times["parse_entries"], 1) if "parse_entries" in times else None,
         "slowest_query_sec": max(times.values()) if times else None,
+        "errors": errors,
     }))
     spark.stop()
 
