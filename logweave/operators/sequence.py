@@ -39,7 +39,9 @@ def number_rows(df: DataFrame, part_cols: list[str], order_cols: list[str],
     keys = [*part_cols, "_chunk"]
     local = tagged.withColumn(
         "_local", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_cols)))
-    counts = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # chunk sizes from the numbered rows: same partitioning as the window,
+    # so the source is read and shuffled once
+    counts = local.groupBy(*keys).agg(F.max("_local").cast("long").alias("_n"))
     before = Window.partitionBy(*part_cols).orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
