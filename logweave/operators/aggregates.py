@@ -114,7 +114,7 @@ def unpatterned_spike(entries: DataFrame, window: str, min_errors: int = 10) ->
                              F.lit(" errors")).alias("title")))
 
 
-def pipeline_counters(entries: DataFrame, name: str = "pipeline") -> DataFrame:
+def entry_counters(entries: DataFrame, name: str = "entry_counters") -> DataFrame:
     """Counters collected on the fly with ``observe`` (no extra pass)."""
     return entries.observe(
         name, F.count(F.lit(1)).alias("parsed"),

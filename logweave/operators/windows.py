@@ -1,12 +1,11 @@
 """Event-time window operators.
 
 W9 (sliding count per key) is computed without a window partitioned by the
-key alone: rows are bucketed into ``width``-long time buckets, counted per
-bucket (a small table), and each row's count is assembled from a running
-count inside its own bucket, a running count inside the bucket of
-``ts - width`` and the bucket prefix sums.  Every window runs over
-``(key, bucket)``, so even a key holding a third of all rows is spread over
-as many tasks as it has buckets.
+key alone: rows are bucketed into ``width``-long time buckets and each row's
+count is assembled from running counts inside its own bucket and the one
+before (see ``sliding_count``).  Every window runs over ``(key, bucket)``, so
+even a key holding a third of all rows is spread over as many tasks as it
+has buckets.
 """
 
 from __future__ import annotations
@@ -54,24 +53,30 @@ def sliding_count(df: DataFrame, keys: list[str], ts: str, width_s: int,
     only the row's bucket and the one before, so
     ``count = (rows of own bucket with t' <= ts)
     + (rows of previous bucket) - (rows of previous bucket with t' < ts - width)``.
-    Both running counts come from one window over ``(key, bucket)`` on the
-    union of the rows and one probe per row at ``ts - width``.  ``df`` needs a
-    unique ``id`` column.
+    Each input row is read once and emitted twice (itself and a probe at
+    ``ts - width``); one window over ``(key, bucket)`` gives both running
+    counts, and the bucket sizes come from the same partitioning.
+    ``df`` needs a unique ``id`` column.
     """
     w_us = int(width_s) * 1_000_000
-    bucket = F.floor(F.unix_micros(F.col("_t")) / F.lit(w_us))
-    rows = df.withColumn("_t", F.col(ts)).withColumn("_kind", F.lit(1))
-    probes = df.select(*keys, "id", (F.col(ts) - F.expr(f"INTERVAL {int(width_s)} SECONDS")).alias("_t"),
-                       F.lit(0).alias("_kind"))
-    both = rows.unionByName(probes, allowMissingColumns=True).withColumn("_b", bucket)
+    payload = [c for c in df.columns if c not in keys and c != "id"]
+    row = F.struct(F.col(ts).alias("_t"), F.lit(1).alias("_kind"),
+                   *[F.col(c).alias(c) for c in payload])
+    probe = F.struct((F.col(ts) - F.expr(f"INTERVAL {int(width_s)} SECONDS")).alias("_t"),
+                     F.lit(0).alias("_kind"), *[F.lit(None).cast(df.schema[c].dataType).alias(c)
+                                                 for c in payload])
+    both = (df.select(*keys, "id", F.explode(F.array(row, probe)).alias("_e"))
+            .select(*keys, "id", "_e.*")
+            .withColumn("_b", F.floor(F.unix_micros(F.col("_t")) / F.lit(w_us))))
     # RANGE frame over (t, kind): a row (kind 1) sees rows with t' <= t,
     # a probe (kind 0) sees rows with t' < t
     w = Window.partitionBy(*keys, "_b").orderBy("_t", "_kind")
     both = both.withColumn("_run", F.sum("_kind").over(w))
-    counts = (rows.withColumn("_b", bucket).groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_prev_n"))
+    rows = both.where("_kind = 1")
+    counts = (rows.groupBy(*keys, "_b").agg(F.max("_run").alias("_prev_n"))
               .withColumn("_b", F.col("_b") + 1))
     probe_side = both.where("_kind = 0").select("id", F.col("_run").alias("_prev_lt"))
-    row_side = join_keys(both.where("_kind = 1"), counts, [*keys, "_b"], "left").join(probe_side, "id")
+    row_side = join_keys(rows, counts, [*keys, "_b"], "left").join(probe_side, "id")
     rate = F.col("_run") + F.coalesce(F.col("_prev_n"), F.lit(0)) - F.col("_prev_lt")
     return (row_side.withColumn(out, rate.cast("long"))
             .drop("_t", "_kind", "_b", "_run", "_prev_n", "_prev_lt"))
