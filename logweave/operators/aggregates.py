@@ -114,9 +114,11 @@ def unpatterned_spike(entries: DataFrame, window: str, min_errors: int = 10) ->
                              F.lit(" errors")).alias("title")))
 
 
-def entry_counters(entries: DataFrame, name: str = "entry_counters") -> DataFrame:
-    """Counters collected on the fly with ``observe`` (no extra pass)."""
+def entry_counters(entries: DataFrame, observation) -> DataFrame:
+    """Counters collected on the fly with ``observe`` (no extra pass);
+    ``observation`` is a ``pyspark.sql.Observation`` (or a name, read by a
+    streaming query listener)."""
     return entries.observe(
-        name, F.count(F.lit(1)).alias("parsed"),
+        observation, F.count(F.lit(1)).alias("parsed"),
         F.count_if(F.col("sev_rank") >= RANK["ERROR"]).alias("errors"),
         F.count_if(F.col("ts_source") == "received").alias("unparsed_time"))

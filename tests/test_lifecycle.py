@@ -50,3 +50,12 @@ def test_durable_append_is_idempotent_and_purges(spark, tmp_path):
     assert [r["sequence"] for r in got.collect()] == [4, 3, 1]  # newest first
     assert S.purge_before(spark, path, BASE + dt.timedelta(hours=13)) == 2
     assert [r["sequence"] for r in spark.read.parquet(path).collect()] == [4]
+
+
+def test_entry_counters_observed_without_extra_pass(spark):
+    from pyspark.sql import Observation
+    rows = [("p", 1, 0, "ERROR a"), ("p", 2, 1, "INFO b"), ("p", 3, 2, "no level here")]
+    obs = Observation("counters")
+    e = A.entry_counters(parse_entries(lines_df(spark, rows)), obs)
+    assert e.count() == 3
+    assert obs.get == {"parsed": 3, "errors": 2, "unparsed_time": 3}

@@ -38,3 +38,19 @@ def test_stream_equals_batch(spark, tmp_path):
     dq.awaitTermination()
     n_batch = parse_entries(batch_lines).where("sev_rank >= 4").count()
     assert spark.read.parquet(str(tmp_path / "durable")).count() == n_batch
+
+
+def test_follow_filter_equals_batch(spark, tmp_path):
+    from logweave.operators.filters import line_filter
+    lines = log_lines(spark, SMALL)
+    src = str(tmp_path / "lines")
+    lines.coalesce(2).write.parquet(src)
+    entries = St.parse_stream(St.read_lines(spark, src), "1 hour")
+    q = (St.follow(entries, "ERROR", "refused|segfault").select("id", "detected_severity")
+         .writeStream.format("parquet").option("path", str(tmp_path / "out"))
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = sorted(tuple(r) for r in line_filter(parse_entries(lines), "ERROR", "refused|segfault")
+                  .select("id", "detected_severity").collect())
+    assert got == want and len(got) > 0
