@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ..functions.simhash import as_long, hamming, simhash
 from ..functions.text import normalize_full
 from ..session import checkpoint_dir, materialize
+from .sequence import join_keys
 
 MAX_DISTANCE = 3
 
@@ -56,32 +57,60 @@ def distinct_hashes(codes: DataFrame, scope: list[str], order: list[str], member
 
 
 def _band_keys() -> Column:
+    """16 (table, 28-bit key, remaining 36 bits) structs per hash."""
     hi, lo = F.col("hi"), F.col("lo")
     bands = [F.shiftright(hi, 16), hi.bitwiseAND(0xFFFF), F.shiftright(lo, 16), lo.bitwiseAND(0xFFFF)]
     keys = []
     for i in range(4):
         others = [bands[k] for k in range(4) if k != i]
         rest = (F.shiftleft(others[0], 32).bitwiseOR(F.shiftleft(others[1], 16))).bitwiseOR(others[2])
+        blocks = [F.shiftright(rest, 36 - 12 * j).bitwiseAND(0xFFF) for j in range(4)]
         for j in range(4):
-            block = F.shiftright(rest, 36 - 12 * j).bitwiseAND(0xFFF)
+            left = [blocks[m] for m in range(4) if m != j]
+            rest36 = (F.shiftleft(left[0], 24).bitwiseOR(F.shiftleft(left[1], 12))).bitwiseOR(left[2])
             keys.append(F.struct(F.lit(i * 4 + j).alias("t"),
-                                 F.shiftleft(bands[i], 12).bitwiseOR(block).alias("k")))
+                                 F.shiftleft(bands[i], 12).bitwiseOR(blocks[j]).alias("k"),
+                                 rest36.alias("r")))
     return F.array(*keys)
 
 
-def near_duplicate_pairs(hashes: DataFrame, scope: list[str], max_distance: int = MAX_DISTANCE) -> DataFrame:
+BUCKET_CAP = 2000
+
+
+def near_duplicate_pairs(hashes: DataFrame, scope: list[str], max_distance: int = MAX_DISTANCE,
+                         bucket_cap: int | None = BUCKET_CAP) -> DataFrame:
     """Pairs of distinct hashes (a < b) within ``max_distance`` bits.
 
     ``hashes`` is read by both sides of the self-join; checkpoint it first
-    when it comes out of a Python UDF (UDF plans are never exchange-reused)."""
+    when it comes out of a Python UDF (UDF plans are never exchange-reused).
+
+    A bucket holding more than ``bucket_cap`` distinct hashes is refined
+    once more by pigeonhole: its members agree on 28 bits, so a pair within
+    distance 3 differs in at most 3 of the other 36 bits and agrees on one of
+    four 9-bit blocks of them.  Such a bucket is replaced by four sub-bucket
+    keys per hash (exact, and far fewer candidates).
+    """
     if max_distance > 3:
-        raise ValueError("the 16 band keys are complete for distances up to 3")
+        raise ValueError("the band keys are complete for distances up to 3")
     keyed = (hashes.select(*scope, "h", "hi", "lo", F.explode(_band_keys()).alias("_bk"))
-             .select(*scope, "h", "hi", "lo", F.col("_bk.t").alias("_t"), F.col("_bk.k").alias("_k")))
+             .select(*scope, "h", "hi", "lo", F.col("_bk.t").alias("_t"), F.col("_bk.k").alias("_k"),
+                     F.col("_bk.r").alias("_r")))
+    if bucket_cap is None:
+        keyed = keyed.withColumn("_s", F.lit(-1).cast("long"))
+    else:
+        big = (keyed.groupBy(*scope, "_t", "_k").agg(F.count(F.lit(1)).alias("_n"))
+               .where(F.col("_n") > bucket_cap).select(*scope, "_t", "_k", F.lit(True).alias("_big")))
+        tagged = join_keys(keyed, big, [*scope, "_t", "_k"], "left")
+        small = tagged.where(F.col("_big").isNull()).withColumn("_s", F.lit(-1).cast("long"))
+        subs = F.array(*[(F.lit(m << 9).cast("long") + F.shiftright(F.col("_r"), 27 - 9 * m).bitwiseAND(0x1FF))
+                         for m in range(4)])
+        split = tagged.where(F.col("_big").isNotNull()).withColumn("_s", F.explode(subs))
+        keyed = small.unionByName(split).drop("_big")
+    keyed = keyed.drop("_r")
     # a self-join of one plan: both sides share a single shuffle (exchange
     # reuse), so the hashes upstream are computed once
     a, b = keyed.alias("a"), keyed.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*scope, "_t", "_k"]]
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*scope, "_t", "_k", "_s"]]
     lt = ((F.col("a.hi") < F.col("b.hi"))
           | ((F.col("a.hi") == F.col("b.hi")) & (F.col("a.lo") < F.col("b.lo"))))
     cand = a.join(b, on).where(lt)
