@@ -106,3 +106,32 @@ def test_prefix_signature(spark):
 def test_fields_text_is_sorted(spark):
     df = spark.createDataFrame([({"b": "2", "a": "1"},)], "m map<string,string>")
     assert df.select(fields_text(F.col("m"))).first()[0] == "a=1\u0001b=2"
+
+
+def test_custom_named_group_patterns(spark):
+    from logweave.functions.parse import custom_pattern_fields
+    pats = [r"^(?P<timestamp>\d{4}-\d{2}-\d{2}T[^ ]+) (?P<level>\w+) (?P<service>\w+): (?P<message>.*)$",
+            r"^(?P<timestamp>\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) \[(?P<level>\w+)\] (?P<message>.*)$"]
+    df = spark.createDataFrame([("2024-01-15T10:00:00Z ERROR api: boom",),
+                                ("2024-01-15 10:00:00 [WARN] slow disk",), ("nothing",)], "r string")
+    got = [r[0] for r in df.select(custom_pattern_fields(F.col("r"), pats)).collect()]
+    assert got[0].asDict() == {"pattern_index": 0, "timestamp": "2024-01-15T10:00:00Z", "level": "ERROR",
+                               "severity": None, "service": "api", "message": "boom"}
+    assert (got[1]["pattern_index"], got[1]["level"], got[1]["service"]) == (1, "WARN", None)
+    assert got[2] is None
+
+
+def test_stack_traces_collapse_and_share_a_signature(spark):
+    from logweave.operators.multiline import collapse_multiline
+    from logweave.functions.text import exact_signature
+    def trace(a, b):
+        return ["ERROR Unhandled exception java.lang.IllegalStateException: bad state",
+                f"    at com.app.Service.run(Service.java:{a})", f"    at com.app.Main.main(Main.java:{b})",
+                "Caused by: java.io.IOException: closed"]
+    raws = trace(42, 7) + trace(57, 9)
+    rows = [("p", i + 1, i + 1, r) for i, r in enumerate(raws)]
+    e = parse_entries(lines_df(spark, rows))
+    c = collapse_multiline(e).orderBy("group_start").collect()
+    assert [(r["group_start"], r["line_count"]) for r in c] == [(1, 4), (5, 4)]
+    sigs = spark.createDataFrame([(r["content"],) for r in c], "t string").select(exact_signature(F.col("t"))).collect()
+    assert sigs[0][0] == sigs[1][0]          # only line numbers differ
