@@ -69,13 +69,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Reliable checkpoint (lineage cut, files in ``spark.checkpoint.dir``)
-    computed once: the plan is persisted while the checkpoint files are
-    written, otherwise Spark evaluates it a second time for the write."""
-    from pyspark import StorageLevel
-    checkpoint_dir(df.sparkSession)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+    """Cut lineage by writing ``df`` as a Parquet table under the shared
+    ``spark.checkpoint.dir`` and reading it back.
+
+    Computed once; the write goes through AQE (partition sizes from the
+    data) and the read-back is split by file size, so small intermediates
+    become few partitions and large ones stay parallel; readers also get
+    column pruning and predicate pushdown.  A lost executor recomputes
+    nothing upstream of the table."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/logweave-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
