@@ -20,15 +20,15 @@ def build_session(master: str | None = None, app: str = "logweave",
     if master:
         # local mode: the driver JVM is the only executor
         b = b.master(master).config("spark.driver.memory", os.environ.get("LOGWEAVE_DRIVER_MEMORY", "16g"))
-    cpus = os.cpu_count() or 8
     b = (b.config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus)))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    if shuffle_partitions:  # otherwise the cluster's own setting stands
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_utc(spark)
@@ -48,24 +48,27 @@ def ensure_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) a fresh private folder is
-    created and registered, so iterative jobs can still cut lineage.
+    Without one, a local session (one JVM, no separate executors) gets a
+    private folder of its own; on a cluster this is an error, because a
+    folder of one machine would hold only that machine's part of a table.
+    The caller's session settings are not changed.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(d)
         return d
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    d = tempfile.mkdtemp(prefix="logweave-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="logweave-ckpt-")
+    return _LOCAL_DIRS[app]
 
 
 def materialize(df):
@@ -81,4 +84,4 @@ def materialize(df):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/logweave-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
