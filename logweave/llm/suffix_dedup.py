@@ -43,12 +43,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import join_on, text_slices
+from .common import SLICE_BYTES, join_on, text_slices
 
 LENGTH = 100
 GRAM = 32
@@ -88,14 +89,13 @@ def text_anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return h[place], start, end - start, place
 
 
-ANCHORS = T.StructType([
-    T.StructField("h", T.LongType()), T.StructField("block", T.LongType()), T.StructField("doc_id", T.LongType()),
-    T.StructField("th", T.LongType()), T.StructField("off", T.IntegerType()), T.StructField("n", T.ShortType()),
-    T.StructField("q", T.ShortType()), T.StructField("settled", T.BooleanType())])
+#: ``spot`` packs the first string's start, the number of strings, the
+#: anchor's distance from the start and ``settled``: less to shuffle, same order.
+ANCHORS = "h long, block long, doc_id long, th long, spot long"
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """Anchors of ``docs`` (doc_id, th, text).  ``settled``: the block occurs
+    """Anchors of ``docs`` (doc_id, th, text).  Settled: the block occurs
     earlier in the same batch of rows; its ``h`` only spreads the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,24 +128,48 @@ def anchors(docs: DataFrame) -> DataFrame:
             settled[order] = (moved - moved[first]) > 0
             spread = (doc * 1000003 + start) * np.int64(0x1E3779B97F4A7C15)
             h = np.where(settled, spread, name.view(np.int64))
+            spot = (start.astype(np.int64) << 20) | (n << 12) | (q.astype(np.int64) << 4) | settled
             yield pa.RecordBatch.from_arrays([
                 pa.array(h), pa.array(np.where(settled, 0, block.view(np.int64))), pa.array(doc, mask=null),
-                pa.array(th), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int16)),
-                pa.array(q.astype(np.int16)), pa.array(settled)], schema=_ARROW)
+                pa.array(th), pa.array(spot)], names=["h", "block", "doc_id", "th", "spot"])
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, ANCHORS)
 
 
-_ARROW = pa.schema([("h", pa.int64()), ("block", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()),
-                    ("off", pa.int32()), ("n", pa.int16()), ("q", pa.int16()), ("settled", pa.bool_())])
-
-
-def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, th, text): ``th`` tells rows of one id apart, 0 where all ids differ."""
+def _keyed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
+    """(doc_id, th, text), and whether ids repeat: ``th`` tells rows of one id
+    apart, 0 where all ids differ."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     th = F.xxhash64("text") if repeated else F.lit(0).cast("long")
-    return docs.select("doc_id", th.alias("th"), "text")
+    return docs.select("doc_id", th.alias("th"), "text"), repeated
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, packed): texts compressed for the shuffle of a join."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch, texts in text_slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1),
+                                              pa.array([pack(t) for t in texts], pa.binary())],
+                                             names=["doc_id", "th", "packed"])
+
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, packed binary")
+
+
+def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the blocks at the places of each document."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        lists = batch.column(batch.schema.get_field_index("places"))
+        for i in range(batch.num_rows):
+            text, at = unpack(batch.column(2)[i].as_py()), lists[i].values
+            off, n = at.field("off").to_pylist(), at.field("n").to_pylist()
+            one = pa.array(np.full(len(off), i))
+            yield pa.RecordBatch.from_arrays(
+                [at.field("h"), batch.column(0).take(one), batch.column(1).take(one), at.field("off"), at.field("n"),
+                 at.field("q"), pa.array([text[a:a + k + LENGTH - 1] for a, k in zip(off, n)], pa.binary())],
+                names=["h", "doc_id", "th", "off", "n", "q", "b"])
 
 
 def _part(data: Column, start: Column, length: int | Column) -> Column:
@@ -154,26 +178,29 @@ def _part(data: Column, start: Column, length: int | Column) -> Column:
     return F.xxhash64(F.substring(data, start.cast("int") + 1, length.cast("int")))
 
 
-def repeated_intervals(docs: DataFrame) -> DataFrame:
+def repeated_intervals(docs: DataFrame, repeated: bool) -> DataFrame:
     """(doc_id, th, start, end): byte intervals whose union is to be removed."""
-    pos = ["doc_id", "th", "off"]
-    same_block = Window.partitionBy("h", "block").orderBy(*pos)
+    same_block = Window.partitionBy("h", "block").orderBy("doc_id", "th", "spot")
     same_name = Window.partitionBy("h")
     ranked = (anchors(docs)
               .withColumn("nth", F.dense_rank().over(same_block))
               .withColumn("several", F.min("block").over(same_name) != F.max("block").over(same_name)))
-    again = F.col("settled") | (F.col("nth") > 1)
+    again = (F.col("spot").bitwiseAND(1) == 1) | (F.col("nth") > 1)
     found = materialize(ranked.where(again | F.col("several"))
-                        .select("h", "doc_id", "th", "off", "n", "q", again.alias("again")))
-    whole = found.where("again").select(
+                        .select(F.when(~again, F.col("h")).alias("h"), "doc_id", "th",
+                                F.shiftright("spot", 20).cast("int").alias("off"),
+                                F.shiftright("spot", 12).bitwiseAND(255).cast("int").alias("n"),
+                                F.when(~again, F.shiftright("spot", 4).bitwiseAND(255).cast("int")).alias("q")))
+    whole = found.where("h is null").select(
         "doc_id", "th", F.col("off").alias("start"), (F.col("off") + F.col("n") + (LENGTH - 1)).alias("end"))
 
     # the first of each of several blocks, with its bytes
-    firsts = found.where("not again").dropDuplicates(["doc_id", "th", "off"])
-    blocks = materialize(
-        join_on(firsts, docs, ["doc_id", "th"])
-        .select("h", "doc_id", "th", "off", "n", "q",
-                F.substring(F.col("text").cast("binary"), F.col("off") + 1, F.col("n") + (LENGTH - 1)).alias("b")))
+    firsts = found.where("h is not null")
+    if repeated:
+        firsts = firsts.dropDuplicates(["doc_id", "th", "off"])
+    places = firsts.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "off", "n", "q")).alias("places"))
+    blocks = materialize(join_on(_packed(docs), places, ["doc_id", "th"])
+                         .mapInArrow(_cut_blocks, "h long, doc_id long, th long, off int, n int, q int, b binary"))
     before = F.when(F.col("q") >= SIDE - GRAM, _part(F.col("b"), F.col("q") - (SIDE - GRAM), SIDE))
     after = F.when(F.col("q") + SIDE <= F.length("b"), _part(F.col("b"), F.col("q"), SIDE))
     sided = blocks.withColumn("before", before).withColumn("after", after)
@@ -191,7 +218,7 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
                       | (F.col("has_after") & (left <= LENGTH - SIDE)))
                .select("h", _part(F.col("b"), F.col("s"), LENGTH).alias("x"), "doc_id", "th",
                        (F.col("off") + F.col("s")).alias("off")))
-    nth = F.dense_rank().over(Window.partitionBy("h", "x").orderBy(*pos))
+    nth = F.dense_rank().over(Window.partitionBy("h", "x").orderBy("doc_id", "th", "off"))
     single = (strings.withColumn("nth", nth).where("nth > 1")
               .select("doc_id", "th", F.col("off").alias("start"), (F.col("off") + LENGTH).alias("end")))
     return whole.unionByName(single)
@@ -199,32 +226,44 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (removed runs) and the kept bytes of each row."""
-    docs = _keyed(df, key, text)
-    cuts = (repeated_intervals(docs).groupBy("doc_id", "th")
+    docs, repeated = _keyed(df, key, text)
+    cuts = (repeated_intervals(docs, repeated).groupBy("doc_id", "th")
             .agg(F.collect_set(F.struct("start", "end")).alias("cuts")))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
                            T.StructField("kept", T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches, "text"):
-            out = []
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def made(ids, out):
+            n, removed, spans, kept = zip(*out)
+            return pa.RecordBatch.from_arrays([
+                pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
+                pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+        for batch in batches:
             lists = batch.column(batch.schema.get_field_index("cuts"))
-            for i, t in enumerate(texts):
-                v = lists[i].values
+            ids, out, size = [], [], 0
+            for i in range(batch.num_rows):
+                t, v = unpack(batch.column(2)[i].as_py()), lists[i].values
+                ids.append(batch.column(0)[i].as_py())
+                size += len(t)
                 if v is None or not len(v):
                     out.append((len(t), 0, 0, t))
-                    continue
-                depth = np.zeros(len(t) + 2, dtype=np.int32)
-                np.add.at(depth, v.field(0).to_numpy(), 1)
-                np.add.at(depth, v.field(1).to_numpy(), -1)
-                gone = np.cumsum(depth)[:len(t)] > 0
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((len(t), int(gone.sum()), spans, np.frombuffer(t, dtype=np.uint8)[~gone].tobytes()))
-            n, removed, spans, kept = zip(*out)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
-                pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return (join_on(docs, cuts, ["doc_id", "th"], "left").select("doc_id", "text", "cuts")
+                else:
+                    depth = np.zeros(len(t) + 2, dtype=np.int32)
+                    np.add.at(depth, v.field(0).to_numpy(), 1)
+                    np.add.at(depth, v.field(1).to_numpy(), -1)
+                    gone = np.cumsum(depth)[:len(t)] > 0
+                    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                    out.append((len(t), int(gone.sum()), spans, np.frombuffer(t, dtype=np.uint8)[~gone].tobytes()))
+                if size > SLICE_BYTES:
+                    yield made(ids, out)
+                    ids, out, size = [], [], 0
+            if out:
+                yield made(ids, out)
+
+    return (join_on(_packed(docs), cuts, ["doc_id", "th"], "left").select("doc_id", "th", "packed", "cuts")
             .mapInArrow(cut, schema))
