@@ -98,9 +98,8 @@ def test_pii_finds_keys_and_redacts(spark, docs):
 def test_pii_long_runs_stay_linear(spark):
     rows = [(1, "a" * 200_000), (2, "1" * 200_000), (3, "1.2." * 40_000), (4, "a@" + "b.c" * 50_000), (5, "+1" + " " * 99_999)]
     df = spark.createDataFrame(rows, "doc_id int, text string")
-    assert pii.find(df, None).select(F.size("spans")).count() == 5
     got = {r[0]: r[1] for r in pii.find(df, None).select("doc_id", F.size("base_spans")).collect()}
-    assert got == {i: len(base_spans(t)) if i != 1 else 0 for i, t in rows}
+    assert got == {1: 0, 2: 0, 3: 20_000, 4: 1, 5: 0}
 
 
 # ---- 2 chat ------------------------------------------------------------------
