@@ -59,3 +59,16 @@ def source_label(service: Column, pane_id: Column) -> Column:
 
 def preview(text: Column, n: int = PREVIEW_CHARS) -> Column:
     return F.substring(text, 1, n)
+
+
+def cut_bytes(text: Column, n: Column) -> Column:
+    """The longest beginning of ``text`` of at most ``n`` UTF-8 bytes."""
+    data = text.cast("binary")
+
+    def inside(i):  # the byte after the first i goes on with a character
+        return F.conv(F.hex(F.substring(data, i + 1, F.lit(1))), 16, 10).cast("int").between(128, 191)
+
+    n = n.cast("int")
+    end = (F.when(n >= F.length(data), n).when(~inside(n), n).when(~inside(n - 1), n - 1)
+           .when(~inside(n - 2), n - 2).otherwise(n - 3))
+    return F.substring(data, F.lit(1), end).cast("string")

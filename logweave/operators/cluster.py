@@ -186,7 +186,8 @@ def cluster_stats(assignment: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def bounded_clusters(stats: DataFrame, scope: list[str], last_seen: str, limit: int = 10000) -> DataFrame:
-    """Keep the ``limit`` clusters seen most recently per scope."""
+    """Keep the ``limit`` clusters seen most recently per scope (ties by
+    the other columns)."""
     from pyspark.sql import Window
-    w = Window.partitionBy(*scope).orderBy(F.desc(last_seen))
+    w = Window.partitionBy(*scope).orderBy(F.desc(last_seen), *[c for c in stats.columns if c != last_seen])
     return stats.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")

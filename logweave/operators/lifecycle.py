@@ -25,7 +25,7 @@ def snapshot_scan(lines: DataFrame, n: int = 1000, drop_blank: bool = True) -> D
     blank lines dropped (the ask/stats/search form)."""
     top = lines.groupBy("pane_id").agg(F.max("sequence").alias("_max_seq"))
     out = (lines.join(top, "pane_id").where(F.col("sequence") > F.col("_max_seq") - n)
-           .drop("_max_seq").withColumn("raw", F.trim(F.col("raw"))))
+           .drop("_max_seq").withColumn("raw", F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")))
     return out.where(F.col("raw") != "") if drop_blank else out
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import FUTURE_SKEW_SECONDS, MAX_CONTENT_BYTES, TRUNCATION_MARKER
+from ..functions.text import FUTURE_SKEW_SECONDS, MAX_CONTENT_BYTES, TRUNCATION_MARKER, cut_bytes
 from .sequence import join_keys
 
 # --- fixed values -------------------------------------------------------------
@@ -64,5 +64,5 @@ def validate_entries(entries: DataFrame) -> DataFrame:
         .alias("future_skew"),
         F.coalesce(F.col("_prev_received") > F.col("received_at"), F.lit(False)).alias("sequence_regression"),
         oversize.alias("oversize"),
-        F.when(oversize, F.concat(F.substring("raw_content", 1, MAX_CONTENT_BYTES), F.lit(TRUNCATION_MARKER)))
+        F.when(oversize, F.concat(cut_bytes(F.col("raw_content"), F.lit(MAX_CONTENT_BYTES)), F.lit(TRUNCATION_MARKER)))
         .otherwise(F.col("raw_content")).alias("content"))

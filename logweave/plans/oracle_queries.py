@@ -135,7 +135,7 @@ ORACLE["entries_for_pattern"] = with_entries(
     f"GROUP BY session_name, signature HAVING count(*) >= {C.RECURRING_THRESHOLD}) f "
     "ON s.session_name = f.session_name AND s.signature = f.signature", SIG)
 ORACLE["pattern_sample"] = with_entries(
-    "SELECT session_name, signature, id AS sample_entry, pane_id, sequence, substr(raw_content, 1, 120) "
+    "SELECT session_name, signature, id AS sample_entry, pane_id, sequence, raw_content "
     "AS sample_message FROM sigr WHERE rn = 1", f"{SIG}, {FIRST}")
 ORACLE["top_patterns"] = with_entries(
     "SELECT session_name, rank, signature, occurrence_count, first_seen, severity FROM (SELECT *, "
@@ -298,10 +298,11 @@ ORACLE["incident_digest"] = with_entries(
 B = C.TOKEN_BUDGET
 ORACLE["token_budget"] = (
     "SELECT conv_id, turn, role, tokens, cum_tokens, NOT fits AS truncated, CASE WHEN fits THEN text ELSE "
-    f"substr(text, 1, CAST(({B} - prev_tokens) * 4 AS INTEGER)) || chr(10) || chr(10) || "
+    f"left(text, list_max([c for c in range(0, length(text) + 1) if strlen(left(text, c)) <= ({B} - prev_tokens) * 4])) "
+    "|| chr(10) || chr(10) || "
     "'[Output truncated due to token limit]' END AS context_text FROM (SELECT *, "
-    f"cum_tokens <= {B} AS fits, cum_tokens - tokens AS prev_tokens FROM (SELECT *, strlen(text) // 4 AS tokens, "
-    "CAST(sum(strlen(text) // 4) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) "
+    f"cum_tokens <= {B} AS fits, cum_tokens - tokens AS prev_tokens FROM (SELECT *, (strlen(text) + 3) // 4 AS tokens, "
+    "CAST(sum((strlen(text) + 3) // 4) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) "
     f"AS BIGINT) AS cum_tokens FROM conversations)) WHERE fits OR prev_tokens < {B}")
 LIVENESS = (
     "live AS (SELECT session_name, pane_id, last_seen, CASE WHEN idle_seconds <= "

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.severity import LEVELS
+from ..functions.text import cut_bytes
 from ..operators import aggregates as A
 from ..operators import filters as Fl
 
@@ -109,9 +110,9 @@ def incident_digest(entries: DataFrame, min_level: str, since: dt.datetime,
 
 def token_budget(turns: DataFrame, budget: int = DEFAULT_TOKEN_BUDGET) -> DataFrame:
     """R5 as row selection: per conversation the newest turns whose running
-    token estimate (bytes / 4) fits the budget, plus the first turn that does
+    token estimate (bytes / 4, rounded up) fits the budget, plus the first turn that does
     not fit cut to the remaining budget with the truncation note."""
-    tokens = F.floor(F.octet_length("text") / BYTES_PER_TOKEN)
+    tokens = F.ceil(F.octet_length("text") / BYTES_PER_TOKEN)
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     t = (turns.withColumn("tokens", tokens.cast("long"))
          .withColumn("cum_tokens", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))))
@@ -119,7 +120,7 @@ def token_budget(turns: DataFrame, budget: int = DEFAULT_TOKEN_BUDGET) -> DataFr
     fits = F.col("cum_tokens") <= budget
     cut = (~fits) & (F.col("prev_tokens") < budget)
     text = F.when(fits, F.col("text")).otherwise(
-        F.concat(F.expr(f"substring(text, 1, cast(({budget} - prev_tokens) * {BYTES_PER_TOKEN} as int))"),
+        F.concat(cut_bytes(F.col("text"), (F.lit(budget) - F.col("prev_tokens")) * BYTES_PER_TOKEN),
                  F.lit(TRUNCATION_NOTE)))
     return (t.where(fits | cut)
             .select("conv_id", "turn", "role", "tokens", "cum_tokens",

@@ -2,8 +2,7 @@
 
 The durable table is Parquet partitioned by ``session_name`` and ``date``:
 range scans prune partitions and push the time/severity predicates into
-the row-group statistics.  Appends are idempotent: rows whose id is
-already stored are dropped by an anti-join against the ids of the touched
+the row-group statistics.  Appends are idempotent: rows already stored are dropped by an anti-join against the keys of the touched
 partitions only.
 """
 
@@ -13,8 +12,11 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.severity import RANK
+from ..operators.sequence import join_keys
+from ..session import materialize
 
 DURABLE_PARTITIONS = ["session_name", "date"]
 
@@ -33,26 +35,37 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The durable table.  Partition values are read with explicit types, so a
+    session named ``007`` stays text."""
+    types = {"session_name": T.StringType(), "date": T.DateType()}
+    found = spark.read.parquet(path).schema
+    return spark.read.schema(T.StructType([
+        T.StructField(f.name, types.get(f.name, f.dataType), True) for f in found.fields])).parquet(path)
+
+
 def append_durable(rows: DataFrame, path: str) -> int:
-    """Append new rows; ids already stored are skipped.  Returns rows written."""
+    """Append new rows; rows already stored are skipped.  Returns rows
+    written.  A row is known by its id, session and arrival: the capture
+    counter behind the id starts again with each capture."""
     spark = rows.sparkSession
-    rows = rows.dropDuplicates(["id"])
+    key = [c for c in ("id", "session_name", "received_at") if c in rows.columns]
+    rows = rows.dropDuplicates(key)
     if _exists(spark, path):
         touched = rows.select(*DURABLE_PARTITIONS).distinct()
-        stored = spark.read.parquet(path).join(touched, DURABLE_PARTITIONS).select("id")
-        rows = rows.join(stored, "id", "left_anti")
-    rows = rows.cache()
+        have = join_keys(stored(spark, path), touched, DURABLE_PARTITIONS, "left_semi").select(*key)
+        rows = join_keys(rows, have, key, "left_anti")
+    rows = materialize(rows)
     n = rows.count()
     if n:
         (rows.write.mode("append").partitionBy(*DURABLE_PARTITIONS).parquet(path))
-    rows.unpersist()
     return n
 
 
 def read_range(spark: SparkSession, path: str, since: dt.datetime, until: dt.datetime,
                severity: str | None = None, session: str | None = None) -> DataFrame:
     """``since <= timestamp <= until`` (inclusive), optional severity, newest first."""
-    df = spark.read.parquet(path).where(
+    df = stored(spark, path).where(
         (F.col("date") >= F.lit(since.date())) & (F.col("date") <= F.lit(until.date()))
         & (F.col("timestamp") >= F.lit(since)) & (F.col("timestamp") <= F.lit(until)))
     if severity is not None:
@@ -64,47 +77,46 @@ def read_range(spark: SparkSession, path: str, since: dt.datetime, until: dt.dat
 
 def read_pane(spark: SparkSession, path: str, pane_id: str) -> DataFrame:
     """One pane, newest first."""
-    return (spark.read.parquet(path).where(F.col("pane_id") == pane_id)
+    return (stored(spark, path).where(F.col("pane_id") == pane_id)
             .orderBy(F.desc("timestamp"), F.desc("sequence")))
 
 
 def purge_before(spark: SparkSession, path: str, cutoff: dt.datetime) -> int:
     """L1: delete rows with ``timestamp < cutoff``; returns how many.
 
-    Only the (session, date) partitions holding old rows are touched: the
-    surviving rows of those partitions are checkpointed (lineage cut, so the
-    source may be overwritten), written back with dynamic partition
-    overwrite, and partitions left empty are removed.
+    Only the partition folders that hold old rows are touched, known by the
+    files these rows were read from.  The rows that stay in them (also those
+    without a time) are written to the shared folder first, then back with
+    dynamic partition overwrite; folders without any are removed.
     """
-    from ..session import materialize
-    df = spark.read.parquet(path)
-    old = df.where(F.col("timestamp") < F.lit(cutoff))
-    n = old.count()
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    df = stored(spark, path).withColumn("_folder", folder)
+    gone = F.coalesce(F.col("timestamp") < F.lit(cutoff), F.lit(False))
+    folders = materialize(df.groupBy("_folder").agg(F.count_if(gone).alias("_old"), F.count_if(~gone).alias("_kept"))
+                          .where("_old > 0"))
+    n = folders.agg(F.sum("_old")).first()[0] or 0
     if n == 0:
-        return n
-    touched = materialize(old.select(*DURABLE_PARTITIONS).distinct())
-    keep = materialize(df.join(touched, DURABLE_PARTITIONS).where(F.col("timestamp") >= F.lit(cutoff)))
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        keep.write.mode("overwrite").partitionBy(*DURABLE_PARTITIONS).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-    emptied = touched.join(keep.select(*DURABLE_PARTITIONS).distinct(), DURABLE_PARTITIONS, "left_anti")
+        return 0
+    keep = materialize(df.join(folders.where("_kept > 0").select("_folder"), "_folder", "left_semi")
+                       .where(~gone).drop("_folder"))
+    keep.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        *DURABLE_PARTITIONS).parquet(path)
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     # one row per emptied (session, day): bounded by sessions x calendar days
-    for r in emptied.toLocalIterator():
-        part = jvm.org.apache.hadoop.fs.Path(f"{path}/session_name={r['session_name']}/date={r['date']}")
+    for r in folders.where("_kept = 0").toLocalIterator():
+        part = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r["_folder"]))
         part.getFileSystem(conf).delete(part, True)
-    return n
+    spark.catalog.refreshByPath(path)
+    return int(n)
 
 
 def latest_by_id(df: DataFrame, id_col: str = "id", version_col: str = "updated_at") -> DataFrame:
-    """Upsert semantics as a read: the newest version of each id wins."""
-    best = df.groupBy(id_col).agg(F.max(version_col).alias("_v"))
-    return (df.join(best, id_col).where(F.col(version_col) == F.col("_v")).drop("_v")
-            .dropDuplicates([id_col]))
+    """Upsert semantics as a read: the newest version of each id wins; a
+    NULL version is the oldest, ties go to the greatest row as JSON text."""
+    row = F.struct(*df.columns)
+    return (df.groupBy(F.col(id_col).alias("_id"))
+            .agg(F.max_by(row, F.struct(F.col(version_col), F.to_json(row))).alias("_row")).select("_row.*"))
 
 
 def as_json_documents(df: DataFrame, key_cols: list[str], name: str = "document") -> DataFrame:
