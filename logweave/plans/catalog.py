@@ -477,3 +477,43 @@ def source_preview(spark, sf_dir):
     e = entries(spark, sf_dir)
     return e.select("id", source_label(F.col("service"), F.col("pane_id")).alias("source"),
                     preview(F.col("raw_content")).alias("preview"))
+
+
+# ---- durable store and upserts ----------------------------------------------
+
+def durable_store(spark, sf_dir) -> str:
+    """Severe entries appended to a new durable table in the shared folder."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources.sinks import append_durable
+    path = f"{checkpoint_dir(spark).rstrip('/')}/logweave-durable-{uuid.uuid4().hex}"
+    rows = durable_rows(entries(spark, sf_dir)).select(
+        "id", "session_name", "pane_id", "sequence", "timestamp", "received_at", "severity", "date")
+    append_durable(rows, path)
+    return path
+
+
+@query
+def durable_range(spark, sf_dir):
+    from ..sources.sinks import read_range
+    return read_range(spark, durable_store(spark, sf_dir), PAGE_SINCE, PAGE_UNTIL).select(
+        "id", "session_name", "severity", "timestamp")
+
+
+@query
+def durable_purge(spark, sf_dir):
+    from ..sources.sinks import purge_before, stored
+    path = durable_store(spark, sf_dir)
+    purge_before(spark, path, DURABLE_SINCE)
+    return stored(spark, path).groupBy("session_name").agg(
+        F.count(F.lit(1)).alias("kept"), F.min("timestamp").alias("oldest"))
+
+
+@query
+def upsert_latest(spark, sf_dir):
+    from ..sources.sinks import latest_by_id
+    e = entries(spark, sf_dir)
+    versions = e.select(F.concat("session_name", F.lit("/"), F.coalesce("service", F.lit("-"))).alias("id"),
+                        F.col("id").alias("entry_id"), F.col("timestamp").alias("updated_at"))
+    return latest_by_id(versions)

@@ -273,15 +273,16 @@ LEVEL_COUNTS = ", ".join(f"count_if(severity = {q(lv)}) AS n_{lv.lower()}" for l
 SERVICES_TEXT = ("coalesce(array_to_string(list_sort(list_distinct(list(service) FILTER "
                  "(WHERE service IS NOT NULL))), ','), '')")
 ORACLE["window_summary"] = with_entries(
-    "SELECT c.*, coalesce(v.services, 0) AS services, v.top_service, coalesce(p.patterns, 0) AS patterns, "
-    "p.top_pattern, coalesce(i.n, 0) AS active_incidents, coalesce(a.n, 0) AS active_alerts FROM "
+    "SELECT c.*, coalesce(v.services, 0) AS services, v.services_by_count, coalesce(p.patterns, 0) AS patterns, "
+    "p.top_patterns, coalesce(i.n, 0) AS active_incidents, coalesce(a.n, 0) AS active_alerts FROM "
     f"(SELECT session_name, {LEVEL_COUNTS}, count(*) AS total FROM win GROUP BY session_name) c "
-    "LEFT JOIN (SELECT session_name, count(*) AS services, arg_min(service, (-n, service)) AS top_service "
+    "LEFT JOIN (SELECT session_name, count(*) AS services, string_agg(service || ':' || n, ',' ORDER BY n DESC, service) AS services_by_count "
     "FROM (SELECT session_name, service, count(*) AS n FROM win WHERE service IS NOT NULL "
     "GROUP BY session_name, service) GROUP BY session_name) v ON c.session_name = v.session_name "
-    "LEFT JOIN (SELECT session_name, count(*) AS patterns, arg_min(signature, (-occ, first_seen, signature)) "
-    "AS top_pattern FROM (SELECT session_name, signature, count(*) AS occ, min(timestamp) AS first_seen "
-    "FROM win GROUP BY session_name, signature) GROUP BY session_name) p ON c.session_name = p.session_name "
+    "LEFT JOIN (SELECT session_name, count(*) AS patterns, string_agg(signature || ':' || occ, ',' ORDER BY r) "
+    "FILTER (r <= 10) AS top_patterns FROM (SELECT *, row_number() OVER (PARTITION BY session_name ORDER BY occ DESC, "
+    "first_seen, signature) AS r FROM (SELECT session_name, signature, count(*) AS occ, min(timestamp) AS first_seen "
+    "FROM win GROUP BY session_name, signature)) GROUP BY session_name) p ON c.session_name = p.session_name "
     "LEFT JOIN (SELECT session_name, count(*) AS n FROM inc WHERE status = 'Active' GROUP BY session_name) i "
     "ON c.session_name = i.session_name LEFT JOIN (SELECT session_name, count(*) AS n FROM al "
     "WHERE status = 'Active' GROUP BY session_name) a ON c.session_name = a.session_name",
@@ -367,3 +368,14 @@ ORACLE["prefix_signature"] = with_entries(
 ORACLE["source_preview"] = with_entries(
     "SELECT id, coalesce(service, 'pane:' || substr(pane_id, 1, 8)) AS source, substr(raw_content, 1, 120) "
     "AS preview FROM entries")
+
+# ---- durable store and upserts ----------------------------------------------
+ORACLE["durable_range"] = with_entries(
+    f"SELECT id, session_name, severity, timestamp FROM entries WHERE sev_rank >= 4 AND timestamp >= {ts(C.PAGE_SINCE)} "
+    f"AND timestamp <= {ts(C.PAGE_UNTIL)}")
+ORACLE["durable_purge"] = with_entries(
+    "SELECT session_name, count(*) AS kept, min(timestamp) AS oldest FROM entries WHERE sev_rank >= 4 "
+    f"AND timestamp >= {ts(C.DURABLE_SINCE)} GROUP BY session_name")
+ORACLE["upsert_latest"] = with_entries(
+    "SELECT session_name || '/' || coalesce(service, '-') AS id, arg_max(id, (timestamp, id)) AS entry_id, "
+    "max(timestamp) AS updated_at FROM entries GROUP BY session_name || '/' || coalesce(service, '-')")

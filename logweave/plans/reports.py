@@ -65,23 +65,33 @@ def head_with_remainder(rows: DataFrame, n: int, order: list) -> DataFrame:
             .withColumn("omitted", F.greatest(F.col("_total") - n, F.lit(0))).drop("_total"))
 
 
+def _listed(rows):
+    """``name:count`` pairs, joined by commas, of structs with n = -count."""
+    return F.array_join(F.transform(rows, lambda x: F.concat(x["name"], F.lit(":"), (-x["n"]).cast("string"))), ",")
+
+
 def window_summary(entries: DataFrame, start: dt.datetime, patterns: DataFrame,
                    incidents: DataFrame, alerts: DataFrame, top_k: int = 10) -> DataFrame:
     """One row per session over ``timestamp >= start``: counts per level,
-    error+fatal, services, top pattern, active incidents and alerts."""
+    error+fatal, all services by count, the ``top_k`` patterns, active incidents
+    and alerts."""
     e = entries.where(F.col("timestamp") >= F.lit(start))
     counts = A.severity_columns(e).withColumn(
         "total", sum((F.col(f"n_{lv.lower()}") for lv in LEVELS), F.lit(0)))
     services = (e.where(F.col("service").isNotNull()).groupBy("session_name", "service")
                 .agg(F.count(F.lit(1)).alias("n")))
+    # a session's services are few; the pattern list is cut to its top_k first
     svc = services.groupBy("session_name").agg(
         F.count(F.lit(1)).alias("services"),
-        F.min_by("service", F.struct(-F.col("n"), F.col("service"))).alias("top_service"))
+        _listed(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("service").alias("name")))))
+        .alias("services_by_count"))
     pw = patterns.where(F.col("last_seen") >= F.lit(start))
-    top = pw.groupBy("session_name").agg(
-        F.count(F.lit(1)).alias("patterns"),
-        F.min_by("signature", F.struct(-F.col("occurrence_count"), F.col("first_seen"), F.col("signature")))
-        .alias("top_pattern"))
+    best = Window.partitionBy("session_name").orderBy(F.desc("occurrence_count"), "first_seen", "signature")
+    head = (pw.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top_k).groupBy("session_name")
+            .agg(_listed(F.array_sort(F.collect_list(F.struct(
+                F.col("_r"), (-F.col("occurrence_count")).alias("n"), F.col("signature").alias("name")))))
+                 .alias("top_patterns")))
+    top = pw.groupBy("session_name").agg(F.count(F.lit(1)).alias("patterns")).join(head, "session_name")
     inc = (incidents.where(F.col("status") == "Active").groupBy("session_name")
            .agg(F.count(F.lit(1)).alias("active_incidents")))
     al = (alerts.where(F.col("status") == "Active").groupBy("session_name")
