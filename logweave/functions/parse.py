@@ -54,15 +54,26 @@ def _empty_map() -> Column:
     return F.expr("cast(map() as map<string,string>)")
 
 
-def _first_present(m: Column, keys: list[str]) -> Column:
-    """Value of the first key present in ``m`` (present-but-null stays null)."""
-    expr = None
+def _first_present(m: Column, keys: list[str], values: Column | None = None) -> Column:
+    """Value of the first key present in ``m`` (present-but-null stays null),
+    taken from ``values`` if given."""
+    expr, values = None, m if values is None else values
     for k in keys:
         cond = F.map_contains_key(m, k)
-        expr = F.when(cond, m[k]) if expr is None else expr.when(cond, m[k])
+        expr = F.when(cond, values[k]) if expr is None else expr.when(cond, values[k])
     return expr
 
 
+def _json_strings(raw: Column, m: Column) -> Column:
+    """The entries of the JSON map that are strings.  Types are looked up only
+    in lines where one of the keys read below may hold something else."""
+    keys = [*JSON_TS_KEYS, *JSON_LEVEL_KEYS, *JSON_SERVICE_KEYS, *JSON_MESSAGE_KEYS]
+    other = raw.rlike(r'"(?:' + "|".join(keys) + r')"\s*:\s*[^"\s]')
+    typed = F.map_filter(F.from_json(raw, "map<string,variant>"),
+                         lambda k, v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)))
+    return F.when(other, F.map_filter(m, lambda k, v: F.map_contains_key(typed, k))).otherwise(m)
+
+
 def entry_id(pane_id: Column, sequence: Column) -> Column:
     """Deterministic entry id from its natural key."""
     return F.md5(F.concat_ws("|", pane_id, sequence.cast("string")))
@@ -122,14 +133,16 @@ def parse_entries(lines: DataFrame, cascade: str = "fixed", ts_mode: str = "fixe
                        .when(raw.contains("="), F.lit("logfmt")).otherwise(F.lit("text")))
     df = df.withColumn("_lm", F.when(F.col("_fmt") == "logfmt", _logfmt_map(raw)))
 
-    j, lf, fmt = F.col("_jm"), F.col("_lm"), F.col("_fmt")
-    s_ts_txt = (F.when(fmt == "json", _first_present(j, JSON_TS_KEYS))
+    df = df.withColumn("_js", F.when(F.col("_jm").isNotNull(), _json_strings(raw, F.col("_jm"))))
+
+    j, js, lf, fmt = F.col("_jm"), F.col("_js"), F.col("_lm"), F.col("_fmt")
+    s_ts_txt = (F.when(fmt == "json", _first_present(j, JSON_TS_KEYS, js))
                 .when(fmt == "logfmt", _first_present(lf, LOGFMT_TS_KEYS)))
-    s_level = (F.when(fmt == "json", _first_present(j, JSON_LEVEL_KEYS))
+    s_level = (F.when(fmt == "json", _first_present(j, JSON_LEVEL_KEYS, js))
                .when(fmt == "logfmt", _first_present(lf, LOGFMT_LEVEL_KEYS)))
-    s_service = (F.when(fmt == "json", _first_present(j, JSON_SERVICE_KEYS))
+    s_service = (F.when(fmt == "json", _first_present(j, JSON_SERVICE_KEYS, js))
                  .when(fmt == "logfmt", _first_present(lf, LOGFMT_SERVICE_KEYS)))
-    j_message = _first_present(j, JSON_MESSAGE_KEYS)
+    j_message = _first_present(j, JSON_MESSAGE_KEYS, js)
     if ts_mode == "reference":
         s_ts = F.when(s_ts_txt.rlike(r"(Z|[+-]\d{2}:\d{2})$"), s_ts_txt.try_cast("timestamp"))
     else:

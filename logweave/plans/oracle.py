@@ -97,8 +97,8 @@ def _first_present_lists(keys: str, vals: str, names: list[str]) -> str:
 
 
 def _first_present_json(names: list[str]) -> str:
-    parts = " ".join(f"WHEN json_exists(raw, {q('$.' + n)}) THEN json_extract_string(raw, {q('$.' + n)})"
-                     for n in names)
+    parts = " ".join(f"WHEN json_exists(raw, {q('$.' + n)}) THEN CASE WHEN json_type(raw, {q('$.' + n)}) = 'VARCHAR' "
+                     f"THEN json_extract_string(raw, {q('$.' + n)}) END" for n in names)
     return f"(CASE {parts} END)"
 
 

@@ -135,3 +135,18 @@ def test_stack_traces_collapse_and_share_a_signature(spark):
     assert [(r["group_start"], r["line_count"]) for r in c] == [(1, 4), (5, 4)]
     sigs = spark.createDataFrame([(r["content"],) for r in c], "t string").select(exact_signature(F.col("t"))).collect()
     assert sigs[0][0] == sigs[1][0]          # only line numbers differ
+
+
+def test_json_values_that_are_not_strings_are_not_read(spark):
+    from conftest import lines_df
+
+    from logweave.functions.parse import parse_entries
+    e = parse_entries(lines_df(spark, [
+        ("p", 1, 0, '{"level": 5, "service": 7, "msg": "ERROR x"}'),
+        ("p", 2, 1, '{"level": "warn", "service": "api", "msg": {"a": 1}}'),
+        ("p", 3, 2, '{"severity": null, "component": ["x"], "message": "ok"}')]))
+    got = {r["sequence"]: r for r in e.collect()}
+    assert (got[1]["severity"], got[1]["service"]) == ("ERROR", None)
+    assert (got[2]["severity"], got[2]["service"]) == ("WARN", "api")
+    assert got[1]["parsed_fields"]["message"] == "ERROR x" and "message" not in got[2]["parsed_fields"]
+    assert (got[3]["severity"], got[3]["service"]) == ("UNKNOWN", None)
