@@ -12,6 +12,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequence import arrival_positions, join_keys
+
 from ..functions.severity import RANK, classify_keywords
 
 
@@ -39,17 +41,17 @@ def line_filter(entries: DataFrame, min_level: str = "ERROR", pattern: str | Non
 
 
 def context_lines(entries: DataFrame, match: Column, n: int) -> DataFrame:
-    """every line within ``n`` lines (same pane) of a matching line.
+    """every line within ``n`` lines (same pane, by arrival) of a matching line.
 
-    Each match emits the ``2n+1`` sequence numbers around it; an equi-join on
-    ``(pane_id, sequence)`` then picks the lines.  No per-pane window, so a
-    busy pane is spread over all tasks.
+    Each match emits the ``2n+1`` positions around it; an equi-join then picks
+    the lines.  No per-pane window, so a busy pane is spread over all tasks.
     """
-    hits = (entries.where(match).select("pane_id", F.col("sequence").alias("_hit"))
-            .withColumn("sequence", F.explode(F.sequence(F.col("_hit") - n, F.col("_hit") + n))))
-    near = hits.groupBy("pane_id", "sequence").agg(F.count(F.lit(1)).alias("matches_near"))
-    return (entries.join(near, ["pane_id", "sequence"], "inner")
-            .withColumn("is_match", match))
+    key = ["session_name", "pane_id", "_pos"]
+    placed = arrival_positions(entries.withColumn("is_match", match), "raw_content")
+    near = (placed.where("is_match")
+            .select("session_name", "pane_id", F.explode(F.sequence(F.col("_pos") - n, F.col("_pos") + n)).alias("_pos"))
+            .groupBy(*key).agg(F.count(F.lit(1)).alias("matches_near")))
+    return join_keys(placed, near, key).drop("_pos")
 
 
 def search_text(entries: DataFrame, needle: str, severity: str | None = None,

@@ -1,31 +1,36 @@
 """Buffers, retention and session liveness.
 
-Per-pane order uses the dense ``sequence`` (1, 2, 3, ... per pane), so
-"last n", "previous line" and "first line after" become aggregates and
-equi-joins instead of windows over a whole pane.
+Per-pane order is the order of arrival; ``sequence`` may have gaps or repeat.
+"Last n" is a group limit, and "next line" an equi-join on positions that are
+numbered by chunks, so no pane is walked by one task.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequence import arrival_positions, join_keys
+
+
+def _newest(df: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of each (session, pane) that arrived last.  A row number
+    up to ``n`` is a group limit: each task ships ``n`` rows a pane."""
+    last = Window.partitionBy("session_name", "pane_id").orderBy(F.desc("received_at"), F.desc("sequence"))
+    return df.withColumn("_nth", F.row_number().over(last)).where(F.col("_nth") <= n).drop("_nth")
+
 
 def ring_last_n(entries: DataFrame, capacity: int) -> DataFrame:
     """The newest ``capacity`` rows of each pane (ring-buffer contents)."""
-    top = entries.groupBy("pane_id").agg(F.max("sequence").alias("_max_seq"))
-    return (entries.join(top, "pane_id")
-            .where(F.col("sequence") > F.col("_max_seq") - capacity).drop("_max_seq"))
+    return _newest(entries, capacity)
 
 
 def snapshot_scan(lines: DataFrame, n: int = 1000, drop_blank: bool = True) -> DataFrame:
-    """S3: the last ``n`` lines of each pane (by the dense sequence), trimmed,
-    blank lines dropped (the ask/stats/search form)."""
-    top = lines.groupBy("pane_id").agg(F.max("sequence").alias("_max_seq"))
-    out = (lines.join(top, "pane_id").where(F.col("sequence") > F.col("_max_seq") - n)
-           .drop("_max_seq").withColumn("raw", F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")))
+    """S3: the last ``n`` lines of each pane, trimmed, blank lines dropped
+    (the ask/stats/search form)."""
+    out = _newest(lines, n).withColumn("raw", F.regexp_replace("raw", r"(?U)^\s+|\s+$", ""))
     return out.where(F.col("raw") != "") if drop_blank else out
 
 
@@ -47,11 +52,12 @@ def retention_trim(entries: DataFrame, as_of: dt.datetime, retention_seconds: in
 
 
 def pane_gaps(entries: DataFrame) -> DataFrame:
-    """Gap between each line and the next one of its pane (``(pane, seq)`` join)."""
-    nxt = entries.select("pane_id", (F.col("sequence") - 1).alias("sequence"),
-                         F.col("received_at").alias("next_received_at"))
-    return (entries.select("session_name", "pane_id", "sequence", "received_at")
-            .join(nxt, ["pane_id", "sequence"], "left")
+    """Gap between each line and the next one of its pane by arrival."""
+    placed = arrival_positions(
+        entries.select("session_name", "pane_id", "sequence", "received_at", "raw_content"), "raw_content").drop("raw_content")
+    nxt = placed.select("session_name", "pane_id", (F.col("_pos") - 1).alias("_pos"),
+                        F.col("received_at").alias("next_received_at"))
+    return (join_keys(placed, nxt, ["session_name", "pane_id", "_pos"], "left").drop("_pos")
             .withColumn("gap_seconds",
                         F.col("next_received_at").cast("double") - F.col("received_at").cast("double")))
 

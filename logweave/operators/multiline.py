@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FUTURE_SKEW_SECONDS, MAX_CONTENT_BYTES, TRUNCATION_MARKER, cut_bytes
-from .sequence import join_keys
+from .sequence import arrival_positions, join_keys
 
 # --- fixed values -------------------------------------------------------------
 # Java-style stack-trace continuation lines.
@@ -52,17 +52,19 @@ def collapse_multiline(entries: DataFrame, starts: Column | None = None) -> Data
 
 def validate_entries(entries: DataFrame) -> DataFrame:
     """Future-skew flag (time > arrival + 5 s), sequence-regression flag
-    (the previous sequence of the pane arrived later), oversize flag and the
+    (not above that of the line that arrived before it), oversize flag and the
     content cut to 10 KB with a marker."""
-    prev = entries.select("pane_id", (F.col("sequence") + 1).alias("sequence"),
-                          F.col("received_at").alias("_prev_received"))
-    v = entries.join(prev, ["pane_id", "sequence"], "left")
+    key = ["session_name", "pane_id", "_pos"]
+    placed = arrival_positions(entries, "raw_content")
+    prev = placed.select("session_name", "pane_id", (F.col("_pos") + 1).alias("_pos"),
+                         F.col("sequence").alias("_prev_sequence"))
+    v = join_keys(placed, prev, key, "left")
     oversize = F.octet_length("raw_content") > MAX_CONTENT_BYTES
     return v.select(
         "id", "session_name", "pane_id", "sequence",
         (F.col("timestamp") > F.col("received_at") + F.expr(f"INTERVAL {FUTURE_SKEW_SECONDS} SECONDS"))
         .alias("future_skew"),
-        F.coalesce(F.col("_prev_received") > F.col("received_at"), F.lit(False)).alias("sequence_regression"),
+        F.coalesce(F.col("_prev_sequence") >= F.col("sequence"), F.lit(False)).alias("sequence_regression"),
         oversize.alias("oversize"),
         F.when(oversize, F.concat(cut_bytes(F.col("raw_content"), F.lit(MAX_CONTENT_BYTES)), F.lit(TRUNCATION_MARKER)))
         .otherwise(F.col("raw_content")).alias("content"))

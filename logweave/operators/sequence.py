@@ -48,3 +48,10 @@ def number_rows(df: DataFrame, part_cols: list[str], order_cols: list[str],
     out = join_keys(local, offsets, keys)
     return (out.withColumn(name, F.col("_local") + F.col("_before"))
             .drop("_chunk", "_local", "_before"))
+
+
+def arrival_positions(df: DataFrame, text: str, name: str = "_pos") -> DataFrame:
+    """Add the 1-based place of each line in its (session, pane) by arrival:
+    ``sequence`` may have gaps or repeat (a capture restarts its counter)."""
+    order = ["received_at", "sequence", text]
+    return number_rows(df, ["session_name", "pane_id"], order, F.date_trunc("hour", F.col("received_at")), name)
