@@ -47,7 +47,7 @@ FIT_ROWS = 20_000
 ENTRIES = 20_000
 STEMS = (4, 5, 6, 7)
 MIN_DOCS = 3
-COMMON = 20
+COMMON = 5
 THRESHOLD = 0.3
 #: Signs that stand for letters, and letters that look like Latin ones.
 LEET = str.maketrans("013457@$!|+", "oieastasiit")
