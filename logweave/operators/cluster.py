@@ -18,8 +18,8 @@ the same result in parallel: a hash whose earlier neighbours include a
 leader is a follower; one whose earlier neighbours are all followers (or
 none) is a leader; repeat until every hash is decided.  This is the
 lexicographically-first maximal independent set of the neighbour graph in
-arrival order (Blelloch, Fineman and Shun, SPAA 2012).  The state table is
-checkpointed (reliable, ``spark.checkpoint.dir``) every round.
+arrival order (Blelloch, Fineman and Shun, SPAA 2012).  Each round's open
+edges are a table in the shared folder (``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
@@ -126,48 +126,54 @@ def near_duplicate_pairs(hashes: DataFrame, scope: list[str], max_distance: int
 def leader_rounds(hashes: DataFrame, pairs: DataFrame, scope: list[str]) -> DataFrame:
     """Every distinct hash (all columns of ``hashes``) with ``is_leader``,
     ``leader`` and the number of ``rounds`` it took.  ``hashes`` should be
-    checkpointed by the caller when it is expensive (it is read each round)."""
+    checkpointed by the caller when it is expensive (it is read three times).
+
+    A round looks only at the edges between undecided hashes: a source that is
+    nobody's later neighbour leads, its later neighbours follow, and the edges
+    of those followers go.  What a round writes shrinks with the open edges;
+    hashes without neighbours take part in no round."""
     spark = hashes.sparkSession
     checkpoint_dir(spark)
     nodes = hashes.select(*scope, "h", "rank")
     # orient every pair from the earlier to the later hash
     ra = nodes.select(*scope, F.col("h").alias("a"), F.col("rank").alias("ra"))
     rb = nodes.select(*scope, F.col("h").alias("b"), F.col("rank").alias("rb"))
-    e = pairs.select(*scope, "a", "b").join(ra, [*scope, "a"]).join(rb, [*scope, "b"])
-    edges = e.select(*scope, F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("src"),
-                     F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("dst"),
-                     F.when(F.col("ra") < F.col("rb"), F.col("ra")).otherwise(F.col("rb")).alias("src_rank"))
-    edges = materialize(edges)
-    # 0 undecided, 1 leader, 2 follower
-    state = materialize(nodes.select(*scope, "h", F.lit(0).alias("state")))
+    e = join_keys(join_keys(pairs.select(*scope, "a", "b"), ra, [*scope, "a"]), rb, [*scope, "b"])
+    forward = F.col("ra") < F.col("rb")
+    edges = materialize(e.select(
+        *scope, F.when(forward, F.col("a")).otherwise(F.col("b")).alias("src"),
+        F.when(forward, F.col("b")).otherwise(F.col("a")).alias("dst"), F.least("ra", "rb").alias("src_rank")))
+
+    def without(df, keys, column):
+        return join_keys(df, keys.select(*scope, F.col("h").alias(column)), [*scope, column], "left_anti")
+
+    left = edges.select(*scope, "src", "dst")
+    followers = None
     rounds = 0
-    while True:
+    while not left.isEmpty():
         rounds += 1
-        src_state = state.select(*scope, F.col("h").alias("src"), F.col("state").alias("s"))
-        inc = (edges.join(src_state, [*scope, "src"])
-               .groupBy(*scope, F.col("dst").alias("h"))
-               .agg(F.max((F.col("s") == 1).cast("int")).alias("_any_leader"),
-                    F.max((F.col("s") != 2).cast("int")).alias("_open")))
-        nxt = (state.join(inc, [*scope, "h"], "left")
-               .select(*scope, "h", F.when(F.col("state") != 0, F.col("state"))
-                       .when(F.col("_any_leader") == 1, F.lit(2))
-                       .when(F.coalesce(F.col("_open"), F.lit(0)) == 0, F.lit(1))
-                       .otherwise(F.lit(0)).alias("state")))
-        nxt = materialize(nxt)
-        undecided = nxt.where("state = 0").count()
-        state = nxt
-        if undecided == 0:
-            break
+        later = left.select(*scope, F.col("dst").alias("h")).distinct()
+        new = materialize(without(left, later, "src").select(*scope, F.col("dst").alias("h")).distinct())
+        followers = new if followers is None else followers.unionByName(new)
+        left = materialize(without(without(left, new, "dst"), new, "src"))
+    if followers is None:
+        return (hashes.withColumn("is_leader", F.lit(True)).withColumn("leader", F.col("h"))
+                .withColumn("rounds", F.lit(rounds)))
     # followers take the earliest leader among their earlier neighbours
-    leaders = state.where("state = 1").select(*scope, F.col("h").alias("src"))
-    best = (edges.join(leaders, [*scope, "src"]).groupBy(*scope, F.col("dst").alias("h"))
+    best = (without(edges, followers, "src").groupBy(*scope, F.col("dst").alias("h"))
             .agg(F.min_by("src", "src_rank").alias("_leader")))
-    out = (hashes.join(state, [*scope, "h"]).join(best, [*scope, "h"], "left")
-           .withColumn("is_leader", F.col("state") == 1)
-           .withColumn("leader", F.when(F.col("state") == 1, F.col("h")).otherwise(F.col("_leader")))
-           .drop("state", "_leader")
-           .withColumn("rounds", F.lit(rounds)))
-    return out
+    return (join_keys(hashes, best, [*scope, "h"], "left")
+            .withColumn("is_leader", F.col("_leader").isNull())
+            .withColumn("leader", F.coalesce(F.col("_leader"), F.col("h"))).drop("_leader")
+            .withColumn("rounds", F.lit(rounds)))
+
+
+def cluster_signatures(hashes: DataFrame, assignment: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, h, signature): the signature of the first line of the hash's
+    leader, for ``hashes`` whose members are signatures."""
+    lead = hashes.select(*scope, F.col("h").alias("leader"), F.col("first_member").alias("signature"))
+    return (join_keys(assignment.select(*scope, "h", "leader"), lead, [*scope, "leader"])
+            .select(*scope, "h", "signature"))
 
 
 def cluster_members(codes: DataFrame, assignment: DataFrame, scope: list[str], member: str) -> DataFrame:

@@ -26,6 +26,7 @@ from ..operators import incidents as I
 from ..operators import lifecycle as L
 from ..operators import patterns as Pt
 from ..operators import windows as W
+from ..operators.sequence import join_keys
 from ..sources.fixtures import log_lines
 from ..sources.sinks import durable_rows
 
@@ -68,6 +69,13 @@ CUSTOM_PATTERNS = [
 # a line starting with a time, a JSON object or a key=value pair starts an entry
 MULTILINE_START = r"^(\d{4}-\d{2}-\d{2}|[A-Z][a-z]{2}\s+\d|\{|\w+=)"
 SPIKE_MIN_ERRORS = 10
+PATTERN_SPIKE = 20
+CLUSTER_LIMIT = 50
+FILTER_LIMIT = 500
+FILTER_PANE = "pane-3"
+AFFECTED_SERVICE = "svc-1"
+AUTO_RESOLVE_S = 14 * 86400
+LOOP_AS_OF = dt.datetime(2024, 1, 28, 12, 0, 0)
 RECURRING_AFTER_S = 300
 RESOLVED_AFTER_S = 600
 # ----------------------------------------------------------------------------
@@ -124,6 +132,28 @@ def line_filter_regex(spark, sf_dir):
         "id", "pane_id", "sequence", "detected_severity")
 
 
+@query
+def first_matches(spark, sf_dir):
+    """F2 with a limit: the first matching lines in pane order."""
+    return Fl.line_filter(entries(spark, sf_dir), "ERROR", limit=FILTER_LIMIT).select(
+        "id", "pane_id", "sequence", "detected_severity")
+
+
+@query
+def pane_level(spark, sf_dir):
+    """one level of one pane."""
+    return Fl.by_pane(Fl.by_severity(entries(spark, sf_dir), "ERROR"), FILTER_PANE).select(
+        "id", "session_name", "sequence", "timestamp")
+
+
+@query
+def severe_services(spark, sf_dir):
+    """F10, A5 and the sorted form of A3."""
+    e = Fl.severe_only(entries(spark, sf_dir)).select("session_name", "severity", "service")
+    services = A.service_set(e).select("session_name", F.array_join("services", ",").alias("services"))
+    return A.error_counts(e).join(services, "session_name", "left")
+
+
 @query
 def context_lines(spark, sf_dir):
     e = entries(spark, sf_dir)
@@ -200,6 +230,18 @@ def stale_sessions(spark, sf_dir):
     return L.stale_sessions(entries(spark, sf_dir), AS_OF, STALE_AFTER_S)
 
 
+@query
+def session_list(spark, sf_dir):
+    """L3."""
+    return L.sessions(entries(spark, sf_dir)).withColumn("pane_ids", F.array_join("pane_ids", ","))
+
+
+@query
+def fresh_entries(spark, sf_dir):
+    """L2 applied: entries of the sessions that are not stale."""
+    return L.purge_stale(entries(spark, sf_dir), AS_OF, STALE_AFTER_S).select("id", "session_name")
+
+
 # ---- step 4: patterns -------------------------------------------------------
 
 @query
@@ -252,6 +294,13 @@ def restart_loops(spark, sf_dir):
     return W.restart_loops(core_entries(spark, sf_dir), RESTART_WINDOW_S)
 
 
+@query
+def looping_services(spark, sf_dir):
+    """W7 at a moment: services whose latest window is young and has two transitions."""
+    c = core_entries(spark, sf_dir).where(F.col("timestamp") <= F.lit(LOOP_AS_OF))
+    return W.looping_services(c, RESTART_WINDOW_S, LOOP_AS_OF)
+
+
 @query
 def restart_cycle(spark, sf_dir):
     return W.restart_cycles(entries(spark, sf_dir), RESTART_WINDOW_S)
@@ -288,30 +337,94 @@ def incident_table(spark, sf_dir, windows: DataFrame | None = None) -> DataFrame
 
 
 def alert_table(spark, sf_dir, core=None) -> DataFrame:
-    e, w = core if core is not None else core_windows(spark, sf_dir)
+    return K.dedup_alerts(alert_triggers(*(core if core is not None else core_windows(spark, sf_dir))))
+
+
+def alert_triggers(e: DataFrame, w: DataFrame) -> DataFrame:
+    """K1-K4: the trigger rows of all four alert types."""
     firsts = w.join(Pt.first_seen(w).select(F.col("entry_id").alias("id")), "id")
-    trig = (K.recurring_triggers(w, PATTERN_WINDOW_S, RECURRING_THRESHOLD)
+    return (K.recurring_triggers(w, PATTERN_WINDOW_S, RECURRING_THRESHOLD)
             .unionByName(K.new_exception_triggers(firsts))
             .unionByName(K.error_rate_triggers(W.error_rate(e, RATE_WINDOW_S), RATE_WINDOW_S, RATE_THRESHOLD))
             .unionByName(K.restart_loop_triggers(W.restart_windows(e, RESTART_WINDOW_S))))
-    return K.dedup_alerts(trig)
 
 
-@query
-def incidents(spark, sf_dir):
-    return incident_table(spark, sf_dir).select(
+def _incident_rows(table: DataFrame) -> DataFrame:
+    return table.select(
         "id", "session_name", "title", "severity", "status", "started_at", "entry_count", "signature",
         F.array_join("affected_services", ",").alias("affected_services"),
         F.size("pattern_ids").alias("pattern_count"))
 
 
-@query
-def alerts(spark, sf_dir):
-    return alert_table(spark, sf_dir).select(
+def _alert_rows(table: DataFrame) -> DataFrame:
+    return table.select(
         "id", "session_name", "alert_type", "pattern_id", "threshold", "current_value", "triggered_at",
         "status", "message", "severity", "trigger_count")
 
 
+@query
+def incidents(spark, sf_dir):
+    return _incident_rows(incident_table(spark, sf_dir))
+
+
+@query
+def alerts(spark, sf_dir):
+    return _alert_rows(alert_table(spark, sf_dir))
+
+
+def _act(name: str, days: int, since: str = "started_at"):
+    return F.struct(F.lit(name).alias("action"), (F.col(since) + F.expr(f"INTERVAL {days} DAYS")).alias("at"))
+
+
+def incident_lifecycle_table(spark, sf_dir) -> DataFrame:
+    """Silence resolves, and people act: by the first digit of its id an
+    incident is mitigated after a day (0 to 7) or resolved after two (4 to 9)."""
+    trig = Pt.incident_triggers(core_windows(spark, sf_dir)[1], RECURRING_THRESHOLD)
+    digit = F.substring("id", 1, 1)
+    acts = (I.incidents(trig).select(
+        "session_name", "signature", F.explode(F.filter(F.array(
+            F.when(digit <= "7", _act("mitigate", 1)),
+            F.when(digit.between("4", "9"), _act("resolve", 2))), lambda a: a.isNotNull())).alias("_a"))
+        .select("session_name", "signature", "_a.*"))
+    return I.incidents(trig, as_of=AS_OF, auto_resolve_s=AUTO_RESOLVE_S, actions=acts)
+
+
+@query
+def incident_lifecycle(spark, sf_dir):
+    return incident_lifecycle_table(spark, sf_dir).select("id", "session_name", "signature", "status", "resolved_at")
+
+
+@query
+def service_incidents(spark, sf_dir):
+    """incidents still active that touch one service."""
+    return _incident_rows(Fl.affecting_service(Fl.active_only(incident_lifecycle_table(spark, sf_dir)),
+                                               AFFECTED_SERVICE))
+
+
+@query
+def alert_actions(spark, sf_dir):
+    """K6: the first alert of a key is acknowledged after a day if its key's
+    digest begins with 0 to 7 and resolved after three if with 4 to b; a later
+    trigger opens the next alert."""
+    trig = alert_triggers(*core_windows(spark, sf_dir))
+    digit = F.substring(F.md5(F.concat_ws("|", "session_name", "alert_type", "_key")), 1, 1)
+    first = trig.groupBy("session_name", "alert_type", "_key").agg(F.min("timestamp").alias("opened"))
+    acts = (first.select(
+        "session_name", "alert_type", F.col("_key").alias("key"), F.explode(F.filter(F.array(
+            F.when(digit <= "7", _act("acknowledge", 1, "opened")),
+            F.when(digit.between("4", "b"), _act("resolve", 3, "opened"))), lambda a: a.isNotNull())).alias("_a"))
+        .select("session_name", "alert_type", "key", "_a.*"))
+    return K.dedup_alerts(trig, acts).select(
+        "id", "session_name", "alert_type", "pattern_id", "current_value", "triggered_at", "acknowledged_at",
+        "status", "trigger_count")
+
+
+@query
+def pattern_spikes(spark, sf_dir):
+    """I5."""
+    return I.spike_windows(pattern_windows(spark, sf_dir), PATTERN_SPIKE)
+
+
 @query
 def alert_dedup(spark, sf_dir):
     return alert_table(spark, sf_dir).groupBy("session_name", "alert_type").agg(
@@ -389,16 +502,77 @@ def leader_clusters(spark, sf_dir):
 @query
 def dedup_lines(spark, sf_dir):
     """D4/D5/D8 on log lines: per session one row per near-duplicate group."""
+    hi, lo = _split_h(F.col("leader"))
+    return line_clusters(spark, sf_dir).select("session_name", hi.alias("leader_hi"), lo.alias("leader_lo"),
+                                               "representative", "last_member", "members", "distinct_hashes")
+
+
+def line_clusters(spark, sf_dir) -> DataFrame:
+    """Leader clusters of the log lines of each session, with their counts."""
     e = entries(spark, sf_dir).select("id", "session_name", "timestamp", "pane_id", "sequence", "raw_content")
     from ..session import materialize
     codes = Cl.simhash_codes(e, F.col("raw_content")).drop("raw_content")
-    order = ["timestamp", "pane_id", "sequence"]
-    h = materialize(Cl.distinct_hashes(codes, ["session_name"], order, "id"))
+    h = materialize(Cl.distinct_hashes(codes, ["session_name"], Pt.ORDER, "id"))
     assign = Cl.leader_rounds(h, Cl.near_duplicate_pairs(h, ["session_name"]), ["session_name"])
-    stats = Cl.cluster_stats(assign, ["session_name"])
-    hi, lo = _split_h(F.col("leader"))
-    return stats.select("session_name", hi.alias("leader_hi"), lo.alias("leader_lo"), "representative",
-                        "last_member", "members", "distinct_hashes")
+    return Cl.cluster_stats(assign, ["session_name"])
+
+
+@query
+def recent_clusters(spark, sf_dir):
+    """The clusters of each session that were seen last."""
+    e = entries(spark, sf_dir).select("id", F.col("timestamp").alias("last_seen"))
+    c = line_clusters(spark, sf_dir).join(e.withColumnRenamed("id", "last_member"), "last_member")
+    kept = Cl.bounded_clusters(c.select("session_name", "last_seen", "last_member", "representative", "members"),
+                               ["session_name"], "last_seen", CLUSTER_LIMIT)
+    return kept
+
+
+def core_clustered(spark, sf_dir) -> DataFrame:
+    """``core_entries`` with the signature of each line's cluster in place of
+    its own: lines whose hashes differ by at most 3 bits from a leader share
+    the signature of that leader's first line (D4 feeding W1-W4, I1, K1-K5)."""
+    from ..session import materialize
+    e = signed(spark, sf_dir)
+    coded = materialize(Cl.simhash_codes(e.select(
+        "id", "session_name", "signature", "timestamp", "pane_id", "sequence", "severity", "sev_rank", "service",
+        "raw_content", W.service_state(F.col("raw_content")).alias("state")), F.col("raw_content")).drop("raw_content"))
+    h = materialize(Cl.distinct_hashes(coded, ["session_name"], Pt.ORDER, "signature"))
+    assign = Cl.leader_rounds(h, Cl.near_duplicate_pairs(h, ["session_name"]), ["session_name"])
+    keys = Cl.cluster_signatures(h, assign, ["session_name"])
+    return materialize(join_keys(coded.drop("signature", "hi", "lo"), keys, ["session_name", "h"]).drop("h"))
+
+
+def clustered_windows(spark, sf_dir):
+    from ..session import materialize
+    c = core_clustered(spark, sf_dir)
+    return c, materialize(Pt.pattern_windows(c, PATTERN_WINDOW_S))
+
+
+@query
+def cluster_recurring(spark, sf_dir):
+    """W1/W2 by cluster."""
+    return Pt.recurring_windows(Pt.pattern_windows(core_clustered(spark, sf_dir), PATTERN_WINDOW_S),
+                                RECURRING_THRESHOLD)
+
+
+@query
+def cluster_incidents(spark, sf_dir):
+    """I1 by cluster."""
+    return _incident_rows(incident_table(spark, sf_dir, clustered_windows(spark, sf_dir)[1]))
+
+
+@query
+def cluster_alerts(spark, sf_dir):
+    """K1-K5 by cluster."""
+    return _alert_rows(alert_table(spark, sf_dir, clustered_windows(spark, sf_dir)))
+
+
+@query
+def cluster_totals(spark, sf_dir):
+    """Clusters of each session, and its patterns not yet resolved at ``AS_OF``."""
+    life = Pt.pattern_lifecycle(pattern_windows(spark, sf_dir), AS_OF, RECURRING_THRESHOLD,
+                                RECURRING_AFTER_S, RESOLVED_AFTER_S)
+    return A.pattern_totals(line_clusters(spark, sf_dir), life.where(F.col("state") != "Resolved"))
 
 
 # ---- step 8: reports --------------------------------------------------------
@@ -419,6 +593,13 @@ def incident_digest(spark, sf_dir):
     return digest(entries(spark, sf_dir), DIGEST_LEVEL, DIGEST_SINCE)
 
 
+@query
+def severity_order(spark, sf_dir):
+    """O5."""
+    from .reports import severity_rows
+    return severity_rows(entries(spark, sf_dir)).select("session_name", "position", "severity", "entry_count")
+
+
 @query
 def token_budget(spark, sf_dir):
     from ..sources.fixtures import table

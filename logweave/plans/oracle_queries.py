@@ -379,3 +379,130 @@ ORACLE["durable_purge"] = with_entries(
 ORACLE["upsert_latest"] = with_entries(
     "SELECT session_name || '/' || coalesce(service, '-') AS id, arg_max(id, (timestamp, id)) AS entry_id, "
     "max(timestamp) AS updated_at FROM entries GROUP BY session_name || '/' || coalesce(service, '-')")
+
+# ---- further filters, sessions, lifecycles ------------------------------------
+ORACLE["first_matches"] = with_entries(
+    f"SELECT id, pane_id, sequence, kw AS detected_severity FROM (SELECT *, {KW} AS kw FROM entries) "
+    f"WHERE {rank_case('kw')} >= 4 ORDER BY pane_id, sequence LIMIT {C.FILTER_LIMIT}")
+ORACLE["pane_level"] = with_entries(
+    f"SELECT id, session_name, sequence, timestamp FROM entries WHERE severity = 'ERROR' AND pane_id = {q(C.FILTER_PANE)}")
+ORACLE["severe_services"] = with_entries(
+    "SELECT session_name, count_if(severity = 'ERROR') AS error_count, count_if(severity = 'FATAL') AS fatal_count, "
+    "array_to_string(list_sort(list_distinct(list(service) FILTER (WHERE service IS NOT NULL))), ',') AS services "
+    "FROM entries WHERE severity IN ('ERROR', 'FATAL') GROUP BY session_name")
+ORACLE["session_list"] = with_entries(
+    "SELECT session_name, array_to_string(list_sort(list_distinct(list(pane_id))), ',') AS pane_ids, "
+    "min(received_at) AS created_at, max(received_at) AS last_seen FROM entries GROUP BY session_name")
+ORACLE["fresh_entries"] = with_entries(
+    "SELECT id, session_name FROM entries WHERE session_name IN (SELECT session_name FROM entries "
+    f"GROUP BY session_name HAVING epoch({AS_OF}) - epoch(max(received_at)) <= {C.STALE_AFTER_S})")
+ORACLE["severity_order"] = with_entries(
+    "SELECT session_name, row_number() OVER (PARTITION BY session_name ORDER BY n DESC, r) AS position, severity, "
+    "n AS entry_count FROM (SELECT session_name, severity, count(*) AS n, min(sev_rank) AS r FROM entries "
+    "GROUP BY session_name, severity)")
+LOOP_AS_OF = ts(C.LOOP_AS_OF)
+ORACLE["looping_services"] = with_entries(
+    "SELECT session_name, restart_service, window_start, n AS transitions FROM (SELECT session_name, restart_service, "
+    "arg_max(window_start, (timestamp, pane_id, sequence)) AS window_start, "
+    "arg_max(window_count, (timestamp, pane_id, sequence)) AS n FROM lw GROUP BY session_name, restart_service) "
+    f"WHERE n >= 2 AND epoch({LOOP_AS_OF}) - epoch(window_start) < {C.RESTART_WINDOW_S}",
+    f"{TRANS}, past AS (SELECT * FROM trans WHERE timestamp <= {LOOP_AS_OF}), "
+    + anchored_sql("lw", "past", ["session_name", "restart_service"], "timestamp", ["pane_id", "sequence"],
+                   C.RESTART_WINDOW_S))
+ORACLE["pattern_spikes"] = with_entries(
+    f"SELECT session_name, signature, window_start, max(window_count) AS window_count, max(window_count) >= "
+    f"{C.PATTERN_SPIKE} AS is_spike FROM pw GROUP BY session_name, signature, window_start", f"{SIG}, {PW}")
+
+# a silent incident resolves; then the last action of a person counts
+INC_LIFE = (
+    f"{INC_CTES}, quiet AS (SELECT session_name, signature, max(timestamp) AS last_trigger FROM trig "
+    "GROUP BY session_name, signature), "
+    "life AS (SELECT i.* EXCLUDE (status), CASE WHEN d BETWEEN '4' AND '9' THEN 'Resolved' WHEN d <= '7' THEN 'Mitigating' "
+    "WHEN done THEN 'Resolved' ELSE 'Active' END AS status, CASE WHEN d BETWEEN '4' AND '9' THEN started_at + INTERVAL 2 DAY "
+    f"WHEN done THEN last_trigger + INTERVAL '{C.AUTO_RESOLVE_S} seconds' END AS resolved_at FROM (SELECT inc.*, "
+    f"last_trigger, substr(id, 1, 1) AS d, epoch({AS_OF}) - epoch(last_trigger) > {C.AUTO_RESOLVE_S} AS done "
+    "FROM inc JOIN quiet USING (session_name, signature)) i)")
+ORACLE["incident_lifecycle"] = with_entries(
+    "SELECT id, session_name, signature, status, resolved_at FROM life", INC_LIFE)
+ORACLE["service_incidents"] = with_entries(
+    "SELECT id, session_name, title, severity, status, started_at, entry_count, signature, affected_services, "
+    "pattern_count FROM life WHERE status = 'Active' AND "
+    f"list_contains(string_split(affected_services, ','), {q(C.AFFECTED_SERVICE)})", INC_LIFE)
+ORACLE["alert_actions"] = with_entries(
+    "SELECT md5(session_name || '|' || alert_type || '|' || k || '|' || strftime(triggered_at, '%Y-%m-%d %H:%M:%S.%f')) "
+    "AS id, session_name, alert_type, pattern_id, current_value, triggered_at, CASE WHEN acked THEN ack END AS "
+    "acknowledged_at, CASE WHEN res IS NOT NULL THEN 'Resolved' WHEN acked THEN 'Acknowledged' ELSE 'Active' END AS status, "
+    "trigger_count FROM (SELECT *, ack IS NOT NULL AND (res IS NULL OR ack < res) AS acked FROM seen)",
+    f"{SIG}, {FIRST}, {PW}, {REC_TRIG}, {RATES}, {TRANS}, {RW}, {ALL_TRIG}, "
+    "opened AS (SELECT session_name, alert_type, k, min(timestamp) AS t0, "
+    "substr(md5(session_name || '|' || alert_type || '|' || k), 1, 1) AS d FROM trig_all GROUP BY ALL), "
+    "acted AS (SELECT t.*, CASE WHEN d <= '7' THEN t0 + INTERVAL 1 DAY END AS a1, "
+    "CASE WHEN d BETWEEN '4' AND 'b' THEN t0 + INTERVAL 3 DAY END AS a2 FROM trig_all t JOIN opened o "
+    "ON t.session_name = o.session_name AND t.alert_type = o.alert_type AND t.k = o.k), "
+    "runs AS (SELECT session_name, alert_type, k, coalesce(CAST(a1 <= timestamp AS INTEGER), 0) + "
+    "coalesce(CAST(a2 <= timestamp AS INTEGER), 0) AS ep, any_value(a1) AS a1, any_value(a2) AS a2, "
+    "min(timestamp) AS triggered_at, arg_min(pattern_id, (timestamp, pane_id, sequence)) AS pattern_id, "
+    "arg_max(value, (timestamp, pane_id, sequence)) AS current_value, count(*) AS trigger_count FROM acted "
+    "GROUP BY session_name, alert_type, k, ep), "
+    "nexts AS (SELECT *, lead(triggered_at) OVER (PARTITION BY session_name, alert_type, k ORDER BY ep) AS nx FROM runs), "
+    "seen AS (SELECT *, CASE WHEN a1 >= triggered_at AND (nx IS NULL OR a1 < nx) THEN a1 END AS ack, "
+    "CASE WHEN a2 >= triggered_at AND (nx IS NULL OR a2 < nx) THEN a2 END AS res FROM nexts)")
+
+
+# ---- greedy leader clusters (the sequential rule, one hash a step) ---------------
+def greedy_ctes(src: str, scope: str, rank: str, member: str) -> str:
+    """``lh``: distinct hashes of ``src`` with first and last member; ``led``:
+    each with its leader.  A step of the recursion takes the next hash of a
+    scope that has any neighbour and adds it to the scope's list of leaders
+    unless one of them is within three bits."""
+    near = "bit_count(xor({0}.hi, {1}.hi)) + bit_count(xor({0}.lo, {1}.lo)) <= 3"
+    return (
+        f"lh AS MATERIALIZED (SELECT {scope} AS scope, hi, lo, min({rank}) AS rank, arg_min({member}, {rank}) AS first_member, "
+        f"max({rank}) AS last_rank, arg_max({member}, {rank}) AS last_member, count(*) AS members FROM {src} GROUP BY ALL), "
+        "nn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY rank) AS k FROM lh a WHERE EXISTS "
+        f"(SELECT 1 FROM lh b WHERE a.scope = b.scope AND (a.hi <> b.hi OR a.lo <> b.lo) AND {near.format('a', 'b')})), "
+        "grow(scope, k, leaders) AS (SELECT DISTINCT scope, CAST(0 AS BIGINT), CAST([] AS STRUCT(hi BIGINT, lo BIGINT)[]) "
+        "FROM nn UNION ALL SELECT g.scope, n.k, CASE WHEN len(list_filter(g.leaders, lambda l: "
+        f"{near.format('l', 'n')})) > 0 THEN g.leaders ELSE list_append(g.leaders, {{'hi': n.hi, 'lo': n.lo}}) END "
+        "FROM grow g JOIN nn n ON n.scope = g.scope AND n.k = g.k + 1), "
+        "led AS MATERIALIZED (SELECT lh.*, coalesce(l.leader, {'hi': lh.hi, 'lo': lh.lo}) AS leader FROM lh LEFT JOIN ("
+        f"SELECT n.scope, n.hi, n.lo, list_filter(g.leaders, lambda l: {near.format('l', 'n')})[1] AS leader "
+        "FROM nn n JOIN (SELECT scope, arg_max(leaders, k) AS leaders FROM grow GROUP BY scope) g ON g.scope = n.scope) l "
+        "ON l.scope = lh.scope AND l.hi = lh.hi AND l.lo = lh.lo)")
+
+
+ORACLE["leader_clusters"] = (
+    f"WITH RECURSIVE {DOC_CODES}, {greedy_ctes('codes', '0', 'sid', 'sid')} "
+    "SELECT a.hi, a.lo, a.first_member AS first_doc, a.members, a.leader.hi = a.hi AND a.leader.lo = a.lo AS is_leader, "
+    "a.leader.hi AS leader_hi, a.leader.lo AS leader_lo, b.first_member AS leader_doc FROM led a JOIN lh b "
+    "ON a.leader.hi = b.hi AND a.leader.lo = b.lo")
+LINE_CODES = (f"{SIG}, {simhash_ctes('entries', 'id', 'raw_content')}, coded AS (SELECT sig.*, hi, lo FROM sig JOIN codes "
+              "ON codes.sid = sig.id)")
+LINE_CLUSTERS = (
+    f"{LINE_CODES}, {greedy_ctes('coded', 'session_name', '(timestamp, pane_id, sequence)', 'id')}, "
+    "lines AS (SELECT scope AS session_name, leader.hi AS leader_hi, leader.lo AS leader_lo, "
+    "arg_min(first_member, rank) AS representative, arg_max(last_member, last_rank) AS last_member, "
+    "CAST(sum(members) AS BIGINT) AS members, count(*) AS distinct_hashes FROM led GROUP BY ALL)")
+ORACLE["dedup_lines"] = with_entries("SELECT * FROM lines", LINE_CLUSTERS)
+ORACLE["recent_clusters"] = with_entries(
+    "SELECT session_name, last_seen, last_member, representative, members FROM (SELECT *, row_number() OVER ("
+    "PARTITION BY session_name ORDER BY last_seen DESC, last_member, representative, members) AS r FROM "
+    "(SELECT c.session_name, e.timestamp AS last_seen, c.last_member, c.representative, c.members FROM lines c "
+    f"JOIN entries e ON e.id = c.last_member)) WHERE r <= {C.CLUSTER_LIMIT}", LINE_CLUSTERS)
+ORACLE["cluster_totals"] = with_entries(
+    "SELECT c.session_name, total_clusters, active_patterns FROM (SELECT session_name, count(*) AS total_clusters "
+    "FROM lines GROUP BY session_name) c FULL JOIN (SELECT session_name, count(*) AS active_patterns FROM (SELECT "
+    f"session_name, min(CASE WHEN window_count >= {C.RECURRING_THRESHOLD} THEN timestamp END) AS since, "
+    "max(timestamp) AS last_seen FROM pw GROUP BY session_name, signature) WHERE since IS NULL OR "
+    f"epoch({AS_OF}) - epoch(last_seen) < {C.RESOLVED_AFTER_S} GROUP BY session_name) p "
+    "ON c.session_name = p.session_name", f"{LINE_CLUSTERS}, {PW}")
+# the signature of a line is that of its cluster's first line
+BY_CLUSTER = (
+    f"{LINE_CODES.replace('sig AS', 'own AS', 1).replace('FROM sig JOIN', 'FROM own JOIN').replace('sig.', 'own.')}, "
+    f"{greedy_ctes('coded', 'session_name', '(timestamp, pane_id, sequence)', 'signature')}, "
+    "sig AS MATERIALIZED (SELECT c.* EXCLUDE (signature), b.first_member AS signature FROM coded c JOIN led a "
+    "ON a.scope = c.session_name AND a.hi = c.hi AND a.lo = c.lo JOIN lh b ON b.scope = a.scope "
+    "AND b.hi = a.leader.hi AND b.lo = a.leader.lo)")
+ORACLE["cluster_recurring"] = ORACLE["recurring_errors"].replace(SIG, BY_CLUSTER)
+ORACLE["cluster_incidents"] = ORACLE["incidents"].replace(SIG, BY_CLUSTER)
+ORACLE["cluster_alerts"] = ORACLE["alerts"].replace(SIG, BY_CLUSTER)
