@@ -7,7 +7,8 @@ gives 0.  The 64 bits are returned as two non-negative 32-bit halves
 ``hi`` (bits 63..32) and ``lo`` (bits 31..0) so that every engine handles
 them without signed 64-bit trouble.
 
-Inside a batch each distinct token is hashed once; bits are unpacked with
+A batch is taken in slices of bounded length, so long texts do not add up.
+Inside a slice each distinct token is hashed once; bits are unpacked with
 numpy and summed per row with ``add.reduceat`` in bounded token chunks.
 """
 
@@ -30,6 +31,7 @@ WHITESPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2
 
 _SPLIT = re.compile("[" + "".join(re.escape(chr(c)) for c in WHITESPACE) + "]+")
 _CHUNK_TOKENS = 1 << 18
+_SLICE_CHARS = 1 << 22
 
 
 def whitespace_class_regex() -> str:
@@ -38,7 +40,14 @@ def whitespace_class_regex() -> str:
 
 
 def simhash_halves(texts: pd.Series) -> pd.DataFrame:
-    """Plain-pandas SimHash of a batch -> DataFrame(hi, lo)."""
+    """Plain-pandas SimHash of a batch -> DataFrame(hi, lo), in slices of
+    about ``_SLICE_CHARS`` characters."""
+    ends = np.cumsum([0 if t is None else len(t) for t in texts], dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // _SLICE_CHARS)) + 1).tolist(), len(texts)]
+    return pd.concat([_slice_halves(texts.iloc[a:b]) for a, b in zip(cuts, cuts[1:])], ignore_index=True)
+
+
+def _slice_halves(texts: pd.Series) -> pd.DataFrame:
     n = len(texts)
     vocab: dict[str, int] = {}
     idx: list[int] = []

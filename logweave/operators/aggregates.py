@@ -1,5 +1,6 @@
-"""Aggregations (A1-A11).  All are hash aggregates with map-side partial
-aggregation, so a hot key costs one partial row per task before the shuffle."""
+"""Aggregations (A1-A11), all with map-side partial aggregation, so a hot key
+costs one partial row per task before the shuffle.  Counts are hash aggregates;
+those with sets of services are object aggregates."""
 
 from __future__ import annotations
 

@@ -1,8 +1,9 @@
 """Row filters over ``log_entries``.
 
-All are plain predicates; Catalyst pushes them into the scan when the input
-is a parquet table (``contains`` becomes ``StringContains``, comparisons on
-``timestamp``/``severity`` become pushed filters and partition pruning).
+All are plain predicates.  On a stored table of entries Catalyst pushes them
+into the scan.  On lines parsed in the same plan a filter on a parsed column
+runs after the parse; a filter on the text alone belongs before it
+(``matching_lines``, ``lines_with``), so that only its hits are parsed.
 """
 
 from __future__ import annotations
@@ -30,6 +31,16 @@ def classify_rank(text: Column) -> Column:
     return sev_rank(classify_keywords(text))
 
 
+def matching_lines(lines: DataFrame, min_level: str = "ERROR", pattern: str | None = None) -> DataFrame:
+    """F1 on lines not parsed yet."""
+    return lines.where(severity_or_pattern(F.col("raw"), min_level, pattern))
+
+
+def lines_with(lines: DataFrame, needle: str) -> DataFrame:
+    """The substring test of F9 on lines not parsed yet."""
+    return lines.where(F.col("raw").contains(needle))
+
+
 def line_filter(entries: DataFrame, min_level: str = "ERROR", pattern: str | None = None,
                 limit: int | None = None) -> DataFrame:
     """F1 over all panes in arrival order; ``limit`` stops early (snapshot form)."""

@@ -122,20 +122,22 @@ def classify_severity(spark, sf_dir):
 
 @query
 def line_filter(spark, sf_dir):
-    return Fl.line_filter(entries(spark, sf_dir), "ERROR").select(
+    return Fl.line_filter(parse_entries(Fl.matching_lines(log_lines(spark, sf_dir), "ERROR")), "ERROR").select(
         "id", "pane_id", "sequence", "detected_severity")
 
 
 @query
 def line_filter_regex(spark, sf_dir):
-    return Fl.line_filter(entries(spark, sf_dir), "ERROR", FILTER_REGEX).select(
+    found = Fl.matching_lines(log_lines(spark, sf_dir), "ERROR", FILTER_REGEX)
+    return Fl.line_filter(parse_entries(found), "ERROR", FILTER_REGEX).select(
         "id", "pane_id", "sequence", "detected_severity")
 
 
 @query
 def first_matches(spark, sf_dir):
     """F2 with a limit: the first matching lines in pane order."""
-    return Fl.line_filter(entries(spark, sf_dir), "ERROR", limit=FILTER_LIMIT).select(
+    found = Fl.matching_lines(log_lines(spark, sf_dir), "ERROR")
+    return Fl.line_filter(parse_entries(found), "ERROR", limit=FILTER_LIMIT).select(
         "id", "pane_id", "sequence", "detected_severity")
 
 
@@ -164,7 +166,7 @@ def context_lines(spark, sf_dir):
 
 @query
 def search_text(spark, sf_dir):
-    return Fl.search_text(entries(spark, sf_dir), SEARCH_NEEDLE)
+    return Fl.search_text(parse_entries(Fl.lines_with(log_lines(spark, sf_dir), SEARCH_NEEDLE)), SEARCH_NEEDLE)
 
 
 @query

@@ -20,6 +20,36 @@ def test_simhash_matches_python():
     assert python_simhash("") == 0
 
 
+def test_simhash_slices_change_nothing(monkeypatch):
+    import pandas as pd
+
+    from logweave.functions import simhash as S
+    texts = pd.Series([*TEXTS, None, "long " * 50, *TEXTS])
+    whole = simhash_halves(texts)
+    monkeypatch.setattr(S, "_SLICE_CHARS", 7)
+    assert simhash_halves(texts).equals(whole)
+    assert len(simhash_halves(pd.Series([], dtype=object))) == 0
+
+
+def test_cluster_signature_is_the_leaders(spark):
+    vals = [0b0, 0b1, 0b11111, 1 << 40]           # 1 and 1 << 40 are one bit from 0
+    rows = [("s", i, v >> 32, v & 0xFFFFFFFF, f"sig{i}") for i, v in enumerate(vals)]
+    h = (spark.createDataFrame(rows, "session_name string, rank long, hi long, lo long, first_member string")
+         .withColumn("h", F.shiftleft("hi", 32).bitwiseOR(F.col("lo"))))
+    assign = Cl.leader_rounds(h, Cl.near_duplicate_pairs(h, ["session_name"]), ["session_name"])
+    got = {r["h"]: r["signature"] for r in Cl.cluster_signatures(h, assign, ["session_name"]).collect()}
+    assert got == {0: "sig0", 1: "sig0", 0b11111: "sig2", 1 << 40: "sig0"}
+
+
+def test_leader_rounds_without_pairs_and_on_a_chain(spark):
+    h = (spark.createDataFrame([(r, 0, v) for r, v in enumerate([0, 0b111, 0b111111, 0b111111111])],
+                               "rank long, hi long, lo long").withColumn("h", F.col("lo")))
+    alone = Cl.leader_rounds(h, Cl.near_duplicate_pairs(h, [], 2), []).collect()
+    assert all(r["is_leader"] and r["leader"] == r["h"] for r in alone) and len(alone) == 4
+    chain = Cl.leader_rounds(h, Cl.near_duplicate_pairs(h, []), []).collect()
+    assert {r["h"]: r["leader"] for r in chain} == {0: 0, 0b111: 0, 0b111111: 0b111111, 0b111111111: 0b111111}
+
+
 def test_near_duplicate_in_same_cluster(spark):
     df = spark.createDataFrame([(1, "ERROR Failed at Controller.java:45"),
                                 (2, "ERROR Failed at Controller.java:48"),
