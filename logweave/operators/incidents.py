@@ -25,7 +25,7 @@ def incidents(triggers: DataFrame, key: str = "signature", as_of: dt.datetime |
     I3 lists are filled (services of the triggers, the pattern key).
     I4 (optional): resolved when no trigger for ``auto_resolve_s`` before ``as_of``.
     I2 (optional): ``actions(session_name, signature, action, at)`` with
-    action resolve/mitigate; the latest action wins.
+    action resolve/mitigate; the latest action wins (of one moment the first by name).
     """
     first = F.min_by(F.struct("timestamp", "window_count"), order_struct())
     g = triggers.groupBy("session_name", key).agg(
@@ -53,7 +53,7 @@ def incidents(triggers: DataFrame, key: str = "signature", as_of: dt.datetime |
                                                  + F.expr(f"INTERVAL {int(auto_resolve_s)} SECONDS"))))
     if actions is not None:
         last = (actions.withColumn("_rn", F.row_number().over(
-            Window.partitionBy("session_name", "signature").orderBy(F.desc("at"))))
+            Window.partitionBy("session_name", "signature").orderBy(F.desc("at"), "action")))
             .where("_rn = 1").select("session_name", "signature", F.col("action").alias("_a"),
                                      F.col("at").alias("_at")))
         out = out.join(last, ["session_name", "signature"], "left")
