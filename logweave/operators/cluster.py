@@ -152,8 +152,8 @@ def leader_rounds(hashes: DataFrame, pairs: DataFrame, scope: list[str]) -> Data
     rounds = 0
     while not left.isEmpty():
         rounds += 1
-        later = left.select(*scope, F.col("dst").alias("h")).distinct()
-        new = materialize(without(left, later, "src").select(*scope, F.col("dst").alias("h")).distinct())
+        later = left.select(*scope, F.col("dst").alias("h"))
+        new = materialize(without(left, later, "src").select(*scope, F.col("dst").alias("h")))
         followers = new if followers is None else followers.unionByName(new)
         left = materialize(without(without(left, new, "dst"), new, "src"))
     if followers is None:
