@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import catalog, mixing, pii, quality, simhash_index
@@ -17,13 +17,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each SimHash component; of several rows
-    of one id the first by text."""
-    near = simhash_index.near_duplicates(docs.select("doc_id", "text"))
-    stay = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[
-        c for c in docs.columns if c != "doc_id"]))
-    return join_on(docs, stay, ["doc_id"], "left_semi").withColumn("_row", first).where("_row = 1").select(*docs.columns)
+    """One row of each SimHash component: the smallest id (a NULL id last),
+    of several rows of it the first by text, then by the other columns."""
+    key = ["doc_id", "_text", "_rest"]
+    nulls = F.concat(*[F.col(c).isNull().cast("string") for c in docs.columns])
+    d = docs.withColumns({"_text": F.xxhash64("text"), "_rest": F.xxhash64(*docs.columns, nulls)})
+    near = simhash_index.near_duplicates(d.select(*key, "text"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), *key)).alias("_key")
+    stay = near.groupBy("_root").agg(first).select("_root", *[f"_key.{c}" for c in key])
+    # rows equal in all columns share a key; one of them stays
+    return join_on(d, stay, key).dropDuplicates(["_root"]).select(*docs.columns)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -299,8 +299,9 @@ def links(codes: DataFrame, limit: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     limit: int = MAX_BITS) -> DataFrame:
-    """``df`` without ``text``, with ``fp`` (bigint) and ``component_id``, the
-    smallest ``key`` that the row's fingerprint reaches."""
+    """``df`` without ``text``, with ``fp`` (bigint), ``component_id``, the
+    smallest ``key`` that the row's fingerprint reaches, and ``_root``, the
+    smallest fingerprint, which names the component even without a ``key``."""
     coded = materialize(fingerprints(df.select(text, *[c for c in df.columns if c != text]), text, shingle=shingle)
                         .drop(text))
     codes = materialize(coded.groupBy("fp").agg(F.min(key).alias("_least")))
@@ -308,4 +309,4 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     rooted = (codes.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
               .select("fp", "_least", F.coalesce("root", "fp").alias("_root")))
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return join_on(coded, rooted.join(least, "_root").select("fp", "component_id"), ["fp"])
+    return join_on(coded, rooted.join(least, "_root").select("fp", "component_id", "_root"), ["fp"])

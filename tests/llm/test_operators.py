@@ -550,6 +550,25 @@ def test_pipeline_stages_on_edge_rows(spark, edge, nothing):
         assert P.STAGES[-1][1](spark, d, SMALL).count() == d.count()
 
 
+def test_pipeline_keeps_one_row_of_each_component(spark, edge):
+    """Also of components without an id, and of two that share an id."""
+    import corpus_pipeline as P
+    more = spark.createDataFrame([(None, f"{w} alone in its own text about {w} and {w}s") for w in ("ink", "tar", "salt")],
+                                 "doc_id long, text string")
+    d = edge.unionByName(more, allowMissingColumns=True)
+    rows = pairs(d)
+    codes = [brute_fingerprint(t) for _, t in rows]
+    part = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if (codes[a] ^ codes[b]).bit_count() <= 4:
+            part = [part[a] if p == part[b] else p for p in part]
+    least = {p: min(((i is None, i or 0) for q, (i, _) in zip(part, rows) if q == p)) for p in part}
+    names = {c: p for c, p in zip(codes, part)}
+    got = [(names[brute_fingerprint(t)], (i is None, i or 0)) for i, t in pairs(P.one_of_each(spark, d, SMALL))]
+    assert sum(none for none, _ in least.values()) >= 3 and max(Counter(least.values()).values()) > 1
+    assert sorted(got) == sorted(least.items())
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     e = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(50)] + [
