@@ -100,6 +100,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
 
 #: Argument schemas of the calls that ``derive`` makes.
 TOOLS: Schemas = {
+    "open": {"role": ("string", True), "text": ("string", True)},
     "search": {"query": ("string", True), "limit": ("integer", True), "filter": ("object", False)},
     "note": {"text": ("string", True), "tags": ("array", False), "pinned": ("boolean", False)},
     "score": {"text": ("string", True), "weight": ("number", True)},
@@ -107,31 +108,41 @@ TOOLS: Schemas = {
 
 
 def derive(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results from plain conversations, which hold none: every
-    assistant turn is a call whose arguments are made from its text, the user
-    turn after it the result, and a call uses the result of the call two turns
-    earlier.  The arguments of some turns break their schema."""
-    c = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-
+    """Calls and results from plain conversations, which hold none.  Every
+    assistant turn is a call whose arguments hold its whole text, the user turn
+    directly after it the result.  Every other turn (system, the opening user
+    turn, a second user turn) is an ``open`` call with its role and text.  A
+    call uses the result of an ``open`` directly before it, otherwise of the call
+    two turns earlier.  The arguments of some turns break their schema, by a
+    wrong type beside or around the text."""
     def ident(turn):
         return F.concat(F.lit("call_"), F.left(F.md5(F.concat_ws(":", F.col("conv_id"), turn)), F.lit(20)))
 
+    c = (conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+         .withColumns({"call_id": ident(F.col("turn")), "_back": ident(F.col("turn") - 1)}))
+    assistant = F.col("role").eqNullSafe("assistant")
+    asked = c.where(assistant).select(F.col("call_id").alias("_asked")).distinct()
+    rest = c.where(~assistant).join(asked, F.col("_back") == F.col("_asked"), "left")
+    answer = F.col("role").eqNullSafe("user") & F.col("_asked").isNotNull()
+    results = rest.where(answer).select(F.col("_back").alias("call_id"), F.col("text").alias("content"))
+    opening = rest.where(~answer).drop("_asked")
+    opened = opening.select(F.col("call_id").alias("_opened")).distinct()
+
     n = F.length("text")
     quoted = F.to_json(F.array("text"))
     string = quoted.substr(F.lit(2), F.length(quoted) - 2)
-    first = F.to_json(F.array(F.substring_index("text", " ", 4)))
-    query = first.substr(F.lit(2), F.length(first) - 2)
-    args = (F.when(F.col("turn") % 3 == 0, F.concat(
-        F.lit('{ "query": '), query, F.lit(', "limit": '), F.when(n % 7 == 0, F.concat(F.lit('"'), n, F.lit('"')))
-        .otherwise((n % 50).cast("string")), F.lit(', "filter": {"z": 1, "a": [true, null]} }')))
+    args = (F.when(~assistant, F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), "text")))
+        .when(F.col("turn") % 3 == 0, F.concat(
+            F.lit('{ "query": '), string, F.lit(', "limit": '), F.when(n % 7 == 0, F.concat(F.lit('"'), n, F.lit('"')))
+            .otherwise((n % 50).cast("string")), F.lit(', "filter": {"z": 1, "a": [true, null]} }')))
         .when(F.col("turn") % 3 == 1, F.concat(
             F.lit('{"text":'), string, F.lit(',"tags":["t'), (n % 5).cast("string"), F.lit('"], "pinned":'),
             F.when(n % 11 == 0, F.lit("1")).otherwise(F.lit("true")), F.lit("}")))
-        .otherwise(F.concat(F.lit('{"weight": '), (n % 9).cast("string"), F.lit(".25"),
-                            F.when(n % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(', "text": '), string)), F.lit(" }"))))
-    name = F.when(F.col("turn") % 3 == 0, "search").when(F.col("turn") % 3 == 1, "note").otherwise("score")
-    calls = (c.where("role = 'assistant'").select(
-        ident(F.col("turn")).alias("call_id"), "conv_id", "turn", name.alias("name"), args.alias("arguments"),
-        F.when(F.col("turn") >= 2, ident(F.col("turn") - 2)).alias("after")))
-    results = c.where("role = 'user'").select(ident(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+        .otherwise(F.concat(F.lit('{"weight": '), (n % 9).cast("string"), F.lit('.25, "text": '),
+                            F.when(n % 5 == 0, quoted).otherwise(string), F.lit(" }"))))
+    name = (F.when(~assistant, "open").when(F.col("turn") % 3 == 0, "search").when(F.col("turn") % 3 == 1, "note")
+            .otherwise("score"))
+    after = F.coalesce("_opened", F.when(F.col("turn") >= 2, ident(F.col("turn") - 2)))
+    calls = (c.where(assistant).unionByName(opening).join(opened, F.col("_back") == F.col("_opened"), "left")
+             .select("call_id", "conv_id", "turn", name.alias("name"), args.alias("arguments"), after.alias("after")))
     return calls, results

@@ -178,6 +178,29 @@ def test_chat_query_against_python(spark, monkeypatch):
     assert 0 < n_bad < len(rows)
 
 
+def test_chat_query_holds_every_whole_text(spark, monkeypatch):
+    given = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    odd = spark.createDataFrame(
+        [(-1, 0, "system", "be kind, 'quoted' and \"so\""), (-1, 1, "user", "opening words of five or more"),
+         (-1, 2, "assistant", "ten chars!"), (-1, 3, "user", "answer"), (-1, 4, "user", "second user turn in a row"),
+         (-1, 5, "assistant", "five."), (-1, 6, "system", "a late system turn"), (-1, 7, None, "no role at all"),
+         (-1, 8, "assistant", None)], "conv_id long, turn long, role string, text string")
+    conv = given.unionByName(odd)
+    got = run_query("op2_chat_format", None, monkeypatch, spark, conversations=conv)
+    there = Counter()
+    depth = {}
+    for r in got:
+        j = json.loads(r["json"])
+        depth[r["conv_id"], r["turn"]] = r["depth"]
+        said = j["arguments"].get("text", j["arguments"].get("query"))
+        there[r["conv_id"], r["turn"], said[0] if isinstance(said, list) else said] += 1
+        if j["result"] is not None:
+            there[r["conv_id"], r["turn"] + 1, j["result"]] += 1
+    assert there == Counter((r["conv_id"], r["turn"], r["text"] or "") for r in conv.collect())
+    assert [depth.get((-1, t)) for t in range(9)] == [0, 1, 2, None, 3, 4, 4, 5, 6]
+    assert {e for r in got for e in r["errors"].split(",")} >= {"", "type of limit", "type of pinned", "type of text"}
+
+
 # ---- 3 byte-pair encoding ----------------------------------------------------
 
 def reference_encoding():
