@@ -428,6 +428,17 @@ def test_toxicity_folding_and_exceptions():
     assert lex.figures(auto, f("what trash, really"))[0] > 0 and lex.figures(auto, f("untrashed")) == (0.0, 0.0)
 
 
+def test_quality_learns_from_all_labels_beside_a_frequent_id(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    order = [r["doc_id"] for r in common.label_sample(labels, "quality", 3, 1, 8).collect()]
+    rows = [(i, "A calm and plain sentence of words." if i % 2 else "BUY $$$ NOW!! | 99 | 99") for i in range(40)]
+    often = [(order[0], f"{rows[order[0]][1]} {k}") for k in range(60)]
+    model = quality.train(spark.createDataFrame(rows + often, "doc_id long, text string"), labels, rows=8)
+    assert len({i % 2 for i in order}) == 2 and model is not None
+    x = np.array([quality.figures(rows[i][1].encode()) for i in (0, 1)])
+    assert np.diff(model.raw(x))[0] > 0
+
+
 def test_quality_threshold_is_the_quantile():
     rng = np.random.default_rng(2)
     x = rng.random((1000, len(quality.FIGURES)))
