@@ -22,7 +22,7 @@ Defined cases: vectors that are NULL, empty, zero or hold NULL, NaN or infinite
 components take no part, neither do rows with a NULL id; vectors of different
 lengths are not compared; a query's own id is no candidate; repeated rows are
 returned as often as they occur, for a repeated query id the neighbours of each
-of its vectors are merged; ties go to the smaller id; extra columns are
+of its vectors are merged, a row once at its least distance; ties go to the smaller id; extra columns are
 ignored.
 """
 
@@ -82,8 +82,8 @@ class Forest:
                 hi[drop, :, t] = np.searchsorted(s, (p + np.uint64(1)) << np.uint64(drop), side="left")
         return lo, hi
 
-    def nearest(self, q: np.ndarray, own: np.ndarray, k: int, candidates: int) -> list[tuple[int, int, float]]:
-        """(query's place, id, distance) of the ``k`` nearest candidates of each query."""
+    def nearest(self, q: np.ndarray, own: np.ndarray, k: int, candidates: int) -> list[tuple[int, int, float, int]]:
+        """(query's place, id, distance, row's place) of the ``k`` nearest candidates of each query."""
         out = []
         candidates = min(candidates, len(self.x))
         lo, hi = self.ranges(q)
@@ -102,7 +102,7 @@ class Forest:
             at = at[self.ids[at] != own[i]]
             d = np.sqrt(((self.x[at] - q[i]) ** 2).sum(axis=1))
             best = np.argsort(d, kind="stable")[:k]  # ids ascend, so ties are in their order
-            out += [(i, int(self.ids[at[j]]), float(d[j])) for j in best]
+            out += [(i, int(self.ids[at[j]]), float(d[j]), int(at[j])) for j in best]
         return out
 
 
@@ -115,7 +115,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
                 .select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
                 .withColumn("dim", F.size("v")))
 
-    rows, asked = clean(vectors), clean(queries)
+    rows, asked = clean(vectors), clean(queries).distinct()
     blocks = max(1, math.ceil(rows.count() / block))
     parts = max(1, math.ceil(asked.count() / QUERIES))
     side = ["dim", "block", "part"]
@@ -133,8 +133,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
         forest = Forest(np.stack(data["v"].to_numpy()), data["id"].to_numpy(), trees, bits)
         own = q["id"].to_numpy()
         found = forest.nearest(np.stack(q["v"].to_numpy()), own, k, max(4 * k, math.ceil(share * len(data))))
-        return pd.DataFrame([(int(own[i]), j, d) for i, j, d in found], columns=cols).astype(
-            {"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        # all vectors of a query id are in its part, so a row that several of them find meets itself here
+        got = pd.DataFrame([(int(own[i]), j, d, at) for i, j, d, at in found], columns=[*cols, "at"])
+        got = got.sort_values("score", kind="stable").drop_duplicates(["query_id", "at"])[cols]
+        return got.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     found = (rows.groupBy(*side).cogroup(asked.groupBy(*side))
              .applyInPandas(task, "query_id long, vec_id long, score double"))

@@ -386,6 +386,15 @@ def test_forest_edge_rows(spark):
     assert lsh_forest.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_forest_repeated_query_ids_keep_k_neighbours(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(30)] + [(3, [3.0, 1.0])]
+    asked = [(0, [0.0, 1.0])] * 12 + [(0, [29.0, 1.0])]
+    df, q = (spark.createDataFrame(r, "vec_id long, embedding array<double>") for r in (rows, asked))
+    got = lsh_forest.search(df, q, share=1.0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [
+        (29, 0.0), (1, 1.0), (28, 1.0), (2, 2.0), (27, 2.0), (3, 3.0), (3, 3.0), (26, 3.0), (4, 4.0), (25, 4.0)]
+
+
 # ---- 7 and 9 classifiers -----------------------------------------------------
 
 @pytest.mark.parametrize("name, target, modulus, held, cut", [
