@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import lines_df
+from log_cases import lines_df
 from logweave.functions.parse import parse_entries
 from logweave.operators import alerts as K
 from logweave.operators import incidents as I

@@ -3,7 +3,7 @@
 import datetime as dt
 
 
-from conftest import lines_df
+from log_cases import lines_df
 from logweave.functions.parse import parse_entries
 from logweave.operators import aggregates as A
 from logweave.operators import lifecycle as L

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SMALL
+from log_cases import SMALL
 from logweave.sources.fixtures import TABLES
 
 

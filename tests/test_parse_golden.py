@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import lines_df
+from log_cases import lines_df
 from logweave.functions.parse import fields_text, parse_entries
 from logweave.functions.severity import classify_keywords, level_argument, normalize_level
 from logweave.functions.text import normalize_full, normalize_signature, prefix_signature
@@ -138,7 +138,7 @@ def test_stack_traces_collapse_and_share_a_signature(spark):
 
 
 def test_json_values_that_are_not_strings_are_not_read(spark):
-    from conftest import lines_df
+    from log_cases import lines_df
 
     from logweave.functions.parse import parse_entries
     e = parse_entries(lines_df(spark, [

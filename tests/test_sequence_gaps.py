@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from conftest import lines_df
+from log_cases import lines_df
 from pyspark.sql import functions as F
 
 from logweave.functions.parse import parse_entries

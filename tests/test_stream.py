@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from log_cases import SMALL
 from logweave.functions.parse import parse_entries
 from logweave.operators import patterns as Pt
 from logweave.sources.fixtures import log_lines
