@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
-from conftest import SMALL  # noqa: F401
+from llm_cases import SMALL
 from pyspark.sql import functions as F
 
 from logweave.llm import (bpe, catalog, chat, common, fingerprint, lsh_forest, mixing, pii, quality, simhash_index,
