@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as E
@@ -11,10 +12,10 @@ from logweave.sources.fixtures import TABLES
 
 
 def norm(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     if isinstance(v, float):
-        return round(v, 6)
+        return int(v) if v.is_integer() else round(v, 6)
     if hasattr(v, "isoformat"):
         return str(v)[:26]
     return v
