@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, lsh_forest, mixing, pii, quality, simhash_index, suffix_dedup, toxicity
+from . import (bpe, chat, fingerprint, licenses, lsh_forest, mixing, pii, quality, simhash_index, suffix_dedup,
+               toxicity, whitening)
 from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -113,4 +114,19 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(docs).select("doc_id", "source", "copy")
 
 
-ORACLE: dict[str, str] = {}
+@query
+def op11_whitening(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(rows).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query
+def op12_license_scan(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = F.array_sort(F.array_union("base_labels", F.transform("matches", lambda m: m["label"])))
+    return licenses.scan(docs).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join(labels, ",").alias("labels"), licenses.score().alias("score"))
+
+
+ORACLE: dict[str, str] = {"op12_license_scan": licenses.sql()}
