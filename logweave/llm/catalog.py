@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, chat, fingerprint, licenses, lsh_forest, mixing, pii, quality, simhash_index, suffix_dedup,
-               toxicity, whitening)
+from . import (bpe, chat, fingerprint, lexical_search, licenses, lsh_forest, mixing, pii, quality, simhash_index,
+               suffix_dedup, toxicity, whitening)
 from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -129,4 +129,10 @@ def op12_license_scan(spark, sf_dir):
         F.array_join(labels, ",").alias("labels"), licenses.score().alias("score"))
 
 
-ORACLE: dict[str, str] = {"op12_license_scan": licenses.sql()}
+@query
+def op13_lexical_search(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.search(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+ORACLE: dict[str, str] = {"op12_license_scan": licenses.sql(), "op13_lexical_search": lexical_search.SQL}
