@@ -74,9 +74,11 @@ def _json_strings(raw: Column, m: Column) -> Column:
     return F.when(other, F.map_filter(m, lambda k, v: F.map_contains_key(typed, k))).otherwise(m)
 
 
-def entry_id(pane_id: Column, sequence: Column) -> Column:
-    """Deterministic entry id from its natural key."""
-    return F.md5(F.concat_ws("|", pane_id, sequence.cast("string")))
+def entry_id(session: Column, pane_id: Column, sequence: Column, received_at: Column, raw: Column) -> Column:
+    """Deterministic entry id from all that a line came with: panes of two sessions may
+    share an id and a restarted capture counts from 1 again.  Lines equal in all
+    five are copies of one entry and share its id; no operator joins on it."""
+    return F.md5(F.concat_ws("|", session, pane_id, sequence.cast("string"), F.unix_micros(received_at).cast("string"), raw))
 
 
 def _kv_map(raw: Column, pattern: str) -> Column:
@@ -183,7 +185,7 @@ def parse_entries(lines: DataFrame, cascade: str = "fixed", ts_mode: str = "fixe
         fields = F.map_concat(F.map_filter(kv, lambda k, v: ~F.map_contains_key(sm, k)), sm)
 
     out = df.select(
-        entry_id(F.col("pane_id"), F.col("sequence")).alias("id"),
+        entry_id(F.col("session_name"), F.col("pane_id"), F.col("sequence"), received, raw).alias("id"),
         "session_name", "pane_id", "sequence",
         timestamp.alias("timestamp"), ts_source.alias("ts_source"),
         severity.alias("severity"), service.alias("service"),

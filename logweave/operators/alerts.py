@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import RANK
 from .patterns import level_of
+from .sequence import join_keys
 
 # --- fixed values: alert types and message texts ----------------------------
 RECURRING = "RecurringError"
@@ -112,23 +113,27 @@ def _trig(df: DataFrame, alert_type: str, key: Column, value: Column, message: C
 
 def recurring_triggers(windows: DataFrame, width_s: int, threshold: int, key: str = "signature") -> DataFrame:
     """K2: rows whose pattern window count reached ``threshold``; severity is
-    the pattern's highest severity up to the first such row."""
-    hits = windows.where(F.col("window_count") >= threshold)
-    first = hits.groupBy("session_name", key).agg(
-        F.min(F.struct(*[F.col(c) for c in _ORDER])).alias("_first"))
-    sev = (windows.join(first, ["session_name", key])
-           .where(F.struct(*[F.col(c) for c in _ORDER]) <= F.col("_first"))
-           .groupBy("session_name", key).agg(F.max("sev_rank").alias("_r")))
-    h = hits.join(sev, ["session_name", key])
+    the pattern's highest severity up to the first such row.
+
+    One aggregate finds, a pattern, the first such occurrence and the first
+    occurrence of each level; the highest level not after it is the severity."""
+    hit = F.col("window_count") >= threshold
+    levels = sorted(RANK.values())
+    first = (windows.groupBy("session_name", key).agg(
+        F.min(F.when(hit, F.col("occurrence"))).alias("_hit"),
+        *[F.min(F.when(F.col("sev_rank") == r, F.col("occurrence"))).alias(f"_at{r}") for r in levels])
+        .where("_hit IS NOT NULL"))
+    upto = F.greatest(*[F.when(F.col(f"_at{r}") <= F.col("_hit"), F.lit(r)) for r in levels])
+    h = join_keys(windows.where(hit), first.select("session_name", key, upto.alias("_r")), ["session_name", key])
     msg = F.concat(F.lit("Recurring error: "), F.col("window_count").cast("string"),
                    F.lit(f" occurrences in {window_label(width_s)}"))
     return _trig(h, RECURRING, F.col(key), F.col("window_count"), msg, level_of(F.col("_r")),
                  F.col(key), F.lit(threshold))
 
 
-def new_exception_triggers(firsts_entries: DataFrame, key: str = "signature") -> DataFrame:
+def new_exception_triggers(windows: DataFrame, key: str = "signature") -> DataFrame:
     """K3: the first entry of a pattern with rank >= ERROR (UNKNOWN included)."""
-    f = firsts_entries.where(F.col("sev_rank") >= RANK["ERROR"])
+    f = windows.where((F.col("occurrence") == 1) & (F.col("sev_rank") >= RANK["ERROR"]))
     msg = F.concat(F.lit("New unseen exception: "), F.substring(F.col(key), 1, NEW_EXCEPTION_SIGNATURE_CHARS))
     return _trig(f, NEW_EXCEPTION, F.col(key), F.lit(1.0), msg, F.col("severity"), F.col(key),
                  F.lit(None))

@@ -184,10 +184,10 @@ def cluster_members(codes: DataFrame, assignment: DataFrame, scope: list[str], m
 def cluster_stats(assignment: DataFrame, scope: list[str]) -> DataFrame:
     """D5/D8 from the hash table alone (no second pass over the members):
     per cluster its leader, representative (first member of the cluster),
-    last member, member count and number of distinct hashes."""
+    last member with its place in the order, member count and number of distinct hashes."""
     return assignment.groupBy(*scope, "leader").agg(
         F.min_by("first_member", "rank").alias("representative"),
-        F.max_by("last_member", "last_rank").alias("last_member"),
+        F.max_by("last_member", "last_rank").alias("last_member"), F.max("last_rank").alias("last_rank"),
         F.sum("members").alias("members"), F.count(F.lit(1)).alias("distinct_hashes"))
 
 

@@ -1,8 +1,8 @@
 """Buffers, retention and session liveness.
 
 Per-pane order is the order of arrival; ``sequence`` may have gaps or repeat.
-"Last n" is a group limit, and "next line" an equi-join on positions that are
-numbered by chunks, so no pane is walked by one task.
+"Last n" is a group limit, places and gaps are found by chunks, so no pane is
+walked by one task.
 """
 
 from __future__ import annotations
@@ -39,27 +39,33 @@ def retention_trim(entries: DataFrame, as_of: dt.datetime, retention_seconds: in
     """Drop old rows.
 
     ``exact`` keeps rows with ``timestamp >= as_of - retention``.  The default
-    (buffer form) drops from the front of each pane only while rows are old:
-    everything from the first new-enough row on is kept.
+    (buffer form) drops from the front of each (session, pane), in the order of arrival, only
+    while rows are old: everything from the first new-enough row on is kept.
     """
     cutoff = F.lit(as_of) - F.expr(f"INTERVAL {int(retention_seconds)} SECONDS")
     if exact:
         return entries.where(F.col("timestamp") >= cutoff)
-    first_new = (entries.where(F.col("timestamp") >= cutoff)
-                 .groupBy("pane_id").agg(F.min("sequence").alias("_keep_from")))
-    return (entries.join(first_new, "pane_id")
-            .where(F.col("sequence") >= F.col("_keep_from")).drop("_keep_from"))
+    placed = arrival_positions(entries, "raw_content")
+    first_new = (placed.where(F.col("timestamp") >= cutoff)
+                 .groupBy("session_name", "pane_id").agg(F.min("_pos").alias("_keep_from")))
+    return (join_keys(placed, first_new, ["session_name", "pane_id"])
+            .where(F.col("_pos") >= F.col("_keep_from")).drop("_pos", "_keep_from"))
 
 
 def pane_gaps(entries: DataFrame) -> DataFrame:
-    """Gap between each line and the next one of its pane by arrival."""
-    placed = arrival_positions(
-        entries.select("session_name", "pane_id", "sequence", "received_at", "raw_content"), "raw_content").drop("raw_content")
-    nxt = placed.select("session_name", "pane_id", (F.col("_pos") - 1).alias("_pos"),
-                        F.col("received_at").alias("next_received_at"))
-    return (join_keys(placed, nxt, ["session_name", "pane_id", "_pos"], "left").drop("_pos")
-            .withColumn("gap_seconds",
-                        F.col("next_received_at").cast("double") - F.col("received_at").cast("double")))
+    """Each line's arrival with the gap to the line before it in its (session, pane).
+
+    ``lag`` within (session, pane, hour); the first line of an hour takes the last
+    arrival of the pane's hour with lines before it, from a small table of hours."""
+    pane = ["session_name", "pane_id"]
+    t = entries.select(*pane, "received_at", F.date_trunc("hour", F.col("received_at")).alias("_hour"))
+    t = t.withColumn("_prev", F.lag("received_at").over(Window.partitionBy(*pane, "_hour").orderBy("received_at")))
+    hours = t.groupBy(*pane, "_hour").agg(F.max("received_at").alias("_last"))
+    carry = hours.select(*pane, "_hour", F.lag("_last").over(Window.partitionBy(*pane).orderBy("_hour")).alias("_carry"))
+    prev = F.coalesce("_prev", "_carry")
+    return (join_keys(t, carry, [*pane, "_hour"])
+            .withColumn("gap_seconds", F.col("received_at").cast("double") - prev.cast("double"))
+            .select(*pane, "received_at", "gap_seconds"))
 
 
 def session_liveness(entries: DataFrame, as_of: dt.datetime, stale_after_s: int,

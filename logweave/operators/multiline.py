@@ -1,8 +1,8 @@
 """Multi-line entries (P16) and validation columns.
 
 P16 folds continuation lines into the entry they continue.  The group of a
-line is the sequence number of the last start line at or before it in its
-pane.  That running maximum is computed per (pane, hour of arrival) chunk,
+line is the place, by arrival, of the last start line at or before it in its
+(session, pane).  That running maximum is computed per (pane, hour of arrival) chunk,
 with the carry-in from earlier chunks taken from a small per-chunk table,
 so no window ever spans a whole pane.
 """
@@ -22,32 +22,38 @@ CONTINUATION = r"^(\s|at |Caused by:|\.\.\. \d+ more)"
 
 
 def multiline_groups(entries: DataFrame, starts: Column | None = None) -> DataFrame:
-    """Adds ``group_start``: sequence of the start line each line belongs to.
+    """Adds ``_pos``, the place of each line in its (session, pane) by arrival, ``_group``, the place
+    of the start line it belongs to, and ``group_start``, that line's sequence.
     A continuation line with no start before it in its pane starts a group."""
     is_start = starts if starts is not None else ~F.col("raw_content").rlike(CONTINUATION)
-    chunk = F.date_trunc("hour", F.col("received_at"))
-    t = entries.withColumn("_chunk", chunk).withColumn(
-        "_start_seq", F.when(is_start, F.col("sequence")))
-    w = Window.partitionBy("pane_id", "_chunk").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("_local", F.max("_start_seq").over(w))
-    per_chunk = t.groupBy("pane_id", "_chunk").agg(F.max("_start_seq").alias("_last"))
-    carry = per_chunk.select("pane_id", "_chunk", F.max("_last").over(
-        Window.partitionBy("pane_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    t = join_keys(t, carry, ["pane_id", "_chunk"])
-    # a continuation line with no start before it keeps its own sequence
-    group = F.coalesce(F.col("_local"), F.col("_carry"), F.col("sequence"))
-    return t.withColumn("group_start", group).drop("_chunk", "_start_seq", "_local", "_carry")
+    pane = ["session_name", "pane_id"]
+    t = arrival_positions(entries, "raw_content").withColumns({
+        "_chunk": F.date_trunc("hour", F.col("received_at")),
+        "_start": F.when(is_start, F.struct("_pos", "sequence"))})
+    w = Window.partitionBy(*pane, "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("_local", F.max("_start").over(w))
+    per_chunk = t.groupBy(*pane, "_chunk").agg(F.max("_start").alias("_last"))
+    carry = per_chunk.select(*pane, "_chunk", F.max("_last").over(
+        Window.partitionBy(*pane).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    t = join_keys(t, carry, [*pane, "_chunk"])
+    # a continuation line with no start before it stands for itself
+    group = F.coalesce(F.col("_local"), F.col("_carry"), F.struct("_pos", "sequence"))
+    return (t.withColumns({"_group": group["_pos"], "group_start": group["sequence"]})
+            .drop("_chunk", "_start", "_local", "_carry"))
 
 
 def collapse_multiline(entries: DataFrame, starts: Column | None = None) -> DataFrame:
     """One row per multi-line entry: first line's id, earliest time, the
-    lines joined by newlines in sequence order, and the line count."""
+    lines joined by newlines in the order of arrival, and the line count.
+    ``group_start`` and ``last_sequence`` are the counters of its first and last line;
+    after a restart of the capture they may repeat in a pane."""
     g = multiline_groups(entries, starts)
-    return g.groupBy("session_name", "pane_id", "group_start").agg(
-        F.min_by("id", "sequence").alias("id"), F.min("timestamp").alias("timestamp"),
-        F.count(F.lit(1)).alias("line_count"), F.max("sequence").alias("last_sequence"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence", "raw_content"))),
-                                 lambda x: x["raw_content"]), "\n").alias("content"))
+    return g.groupBy("session_name", "pane_id", "_group").agg(
+        F.min_by("group_start", "_pos").alias("group_start"),
+        F.min_by("id", "_pos").alias("id"), F.min("timestamp").alias("timestamp"),
+        F.count(F.lit(1)).alias("line_count"), F.max_by("sequence", "_pos").alias("last_sequence"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "raw_content"))),
+                                 lambda x: x["raw_content"]), "\n").alias("content")).drop("_group")
 
 
 def validate_entries(entries: DataFrame) -> DataFrame:

@@ -46,6 +46,14 @@ def pattern_rollup(entries: DataFrame, key: str = "signature") -> DataFrame:
                 F.col("_s.raw_content").alias("sample_message")))
 
 
+def pattern_samples(entries: DataFrame, key: str = "signature") -> DataFrame:
+    """The sample line of every (session, key), its first entry, taken in the
+    roll-up itself (no look-up by id)."""
+    first = F.min_by(F.struct(F.col("id").alias("sample_entry"), "pane_id", "sequence",
+                              F.col("raw_content").alias("sample_message")), order_struct())
+    return entries.groupBy("session_name", key).agg(first.alias("_s")).select("session_name", key, "_s.*")
+
+
 def first_seen(entries: DataFrame, key: str = "signature") -> DataFrame:
     """The first entry of every (session, key): aggregate, not a window,
     so a hot key costs one partial row per task."""
@@ -56,20 +64,14 @@ def first_seen(entries: DataFrame, key: str = "signature") -> DataFrame:
                     (F.col("_f.sev_rank") >= RANK["ERROR"]).alias("is_new_error")))
 
 
-def mark_first(entries: DataFrame, key: str = "signature") -> DataFrame:
-    """Adds ``is_first`` (W3 flag) by joining the first entry ids back."""
-    f = first_seen(entries, key).select(F.col("entry_id").alias("id"), F.lit(True).alias("is_first"))
-    return (entries.join(f, "id", "left")
-            .withColumn("is_first", F.coalesce(F.col("is_first"), F.lit(False))))
-
-
 def known_anti_join(candidates: DataFrame, known: DataFrame, key: str = "signature") -> DataFrame:
     """J5 incremental form: keys of ``candidates`` absent from the ``known`` table."""
     return candidates.join(known.select("session_name", key).distinct(), ["session_name", key], "left_anti")
 
 
 def pattern_windows(entries: DataFrame, width_s: int, key: str = "signature") -> DataFrame:
-    """Anchored window position of every entry within its pattern."""
+    """Place of every entry in its anchored window and in its pattern
+    (``occurrence`` 1: first seen)."""
     cols = ["id", "session_name", key, "timestamp", "pane_id", "sequence", "severity", "sev_rank", "service"]
     return anchored_windows(entries.select(*cols), ["session_name", key], "timestamp",
                             ["pane_id", "sequence"], width_s)
@@ -84,13 +86,12 @@ def recurring_windows(windows: DataFrame, threshold: int, key: str = "signature"
     return g.where(F.col("window_count") >= threshold)
 
 
-def incident_triggers(windows: DataFrame, threshold: int, key: str = "signature") -> DataFrame:
+def incident_triggers(windows: DataFrame, threshold: int) -> DataFrame:
     """Rows that are recurring (count >= threshold) or the first of their
     pattern with rank >= ERROR (UNKNOWN included)."""
-    first = first_seen(windows, key).select(F.col("entry_id").alias("id"), F.lit(True).alias("is_first"))
-    w = windows.join(first, "id", "left").withColumn("is_first", F.coalesce("is_first", F.lit(False)))
-    trig = (F.col("window_count") >= threshold) | (F.col("is_first") & (F.col("sev_rank") >= RANK["ERROR"]))
-    return w.where(trig)
+    is_first = F.col("occurrence") == 1
+    trig = (F.col("window_count") >= threshold) | (is_first & (F.col("sev_rank") >= RANK["ERROR"]))
+    return windows.withColumn("is_first", is_first).where(trig)
 
 
 def top_patterns(patterns: DataFrame, k: int = 10, key: str = "signature") -> DataFrame:

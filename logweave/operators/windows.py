@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import RANK
 from .fold import anchored_windows
-from .sequence import join_keys
 
 # --- fixed values: service state words (checked in this order) ------------
 STATE_RULES = [
@@ -50,36 +49,25 @@ def sliding_count(df: DataFrame, keys: list[str], ts: str, width_s: int,
     between width preceding and current row)``, computed bucket-wise.
 
     With buckets ``b = floor(t / width)`` the range ``[ts - width, ts]`` covers
-    only the row's bucket and the one before, so
-    ``count = (rows of own bucket with t' <= ts)
-    + (rows of previous bucket) - (rows of previous bucket with t' < ts - width)``.
-    Each input row is read once and emitted twice (itself and a probe at
-    ``ts - width``); one window over ``(key, bucket)`` gives both running
-    counts, and the bucket sizes come from the same partitioning.
-    ``df`` needs a unique ``id`` column.
+    only the row's bucket and the one before.  Every row also leaves, at ``t +
+    width``, an event in the next bucket, so that all of a count is in one bucket:
+    ``count = (rows of the bucket with t' <= ts)
+    + (events of the bucket) - (events of the bucket with t' + width < ts)``.
+    One shuffle by ``(key, bucket)`` serves both windows; nothing is joined, so
+    equal rows do no harm.
     """
     w_us = int(width_s) * 1_000_000
-    payload = [c for c in df.columns if c not in keys and c != "id"]
-    row = F.struct(F.col(ts).alias("_t"), F.lit(1).alias("_kind"),
-                   *[F.col(c).alias(c) for c in payload])
-    probe = F.struct((F.col(ts) - F.expr(f"INTERVAL {int(width_s)} SECONDS")).alias("_t"),
-                     F.lit(0).alias("_kind"), *[F.lit(None).cast(df.schema[c].dataType).alias(c)
-                                                 for c in payload])
-    both = (df.select(*keys, "id", F.explode(F.array(row, probe)).alias("_e"))
-            .select(*keys, "id", "_e.*")
+    payload = [c for c in df.columns if c not in keys]
+    row = F.struct(F.col(ts).alias("_t"), F.lit(0).alias("_left"), *[F.col(c).alias(c) for c in payload])
+    left = F.struct((F.col(ts) + F.expr(f"INTERVAL {int(width_s)} SECONDS")).alias("_t"), F.lit(1).alias("_left"),
+                    *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in payload])
+    both = (df.select(*keys, F.explode(F.array(row, left)).alias("_e")).select(*keys, "_e.*")
             .withColumn("_b", F.floor(F.unix_micros(F.col("_t")) / F.lit(w_us))))
-    # RANGE frame over (t, kind): a row (kind 1) sees rows with t' <= t,
-    # a probe (kind 0) sees rows with t' < t
-    w = Window.partitionBy(*keys, "_b").orderBy("_t", "_kind")
-    both = both.withColumn("_run", F.sum("_kind").over(w))
-    rows = both.where("_kind = 1")
-    counts = (rows.groupBy(*keys, "_b").agg(F.max("_run").alias("_prev_n"))
-              .withColumn("_b", F.col("_b") + 1))
-    probe_side = both.where("_kind = 0").select("id", F.col("_run").alias("_prev_lt"))
-    row_side = join_keys(rows, counts, [*keys, "_b"], "left").join(probe_side, "id")
-    rate = F.col("_run") + F.coalesce(F.col("_prev_n"), F.lit(0)) - F.col("_prev_lt")
-    return (row_side.withColumn(out, rate.cast("long"))
-            .drop("_t", "_kind", "_b", "_run", "_prev_n", "_prev_lt"))
+    # RANGE frame over (t, left): a row sees rows with t' <= ts and events before ts
+    upto = Window.partitionBy(*keys, "_b").orderBy("_t", "_left")
+    whole = Window.partitionBy(*keys, "_b")
+    rate = F.sum(1 - F.col("_left")).over(upto) - F.sum("_left").over(upto) + F.sum("_left").over(whole)
+    return both.withColumn(out, rate.cast("long")).where("_left = 0").drop("_t", "_left", "_b").select(*df.columns, out)
 
 
 def error_rate(entries: DataFrame, width_s: int, include_unknown: bool = True) -> DataFrame:

@@ -265,11 +265,7 @@ def entries_for_pattern(spark, sf_dir):
 
 @query
 def pattern_sample(spark, sf_dir):
-    s = signed(spark, sf_dir)
-    reps = Pt.pattern_rollup(s).select("session_name", "signature", F.col("sample_entry").alias("id"))
-    return (reps.join(s.select("id", "raw_content", "pane_id", "sequence"), "id")
-            .select("session_name", "signature", F.col("id").alias("sample_entry"), "pane_id", "sequence",
-                    F.col("raw_content").alias("sample_message")))
+    return Pt.pattern_samples(signed(spark, sf_dir))
 
 
 @query
@@ -344,9 +340,8 @@ def alert_table(spark, sf_dir, core=None) -> DataFrame:
 
 def alert_triggers(e: DataFrame, w: DataFrame) -> DataFrame:
     """K1-K4: the trigger rows of all four alert types."""
-    firsts = w.join(Pt.first_seen(w).select(F.col("entry_id").alias("id")), "id")
     return (K.recurring_triggers(w, PATTERN_WINDOW_S, RECURRING_THRESHOLD)
-            .unionByName(K.new_exception_triggers(firsts))
+            .unionByName(K.new_exception_triggers(w))
             .unionByName(K.error_rate_triggers(W.error_rate(e, RATE_WINDOW_S), RATE_WINDOW_S, RATE_THRESHOLD))
             .unionByName(K.restart_loop_triggers(W.restart_windows(e, RESTART_WINDOW_S))))
 
@@ -522,11 +517,9 @@ def line_clusters(spark, sf_dir) -> DataFrame:
 @query
 def recent_clusters(spark, sf_dir):
     """The clusters of each session that were seen last."""
-    e = entries(spark, sf_dir).select("id", F.col("timestamp").alias("last_seen"))
-    c = line_clusters(spark, sf_dir).join(e.withColumnRenamed("id", "last_member"), "last_member")
-    kept = Cl.bounded_clusters(c.select("session_name", "last_seen", "last_member", "representative", "members"),
+    c = line_clusters(spark, sf_dir).withColumn("last_seen", F.col("last_rank.timestamp"))
+    return Cl.bounded_clusters(c.select("session_name", "last_seen", "last_member", "representative", "members"),
                                ["session_name"], "last_seen", CLUSTER_LIMIT)
-    return kept
 
 
 def core_clustered(spark, sf_dir) -> DataFrame:

@@ -162,7 +162,7 @@ p3 AS (
     list_transform({_dedup_pairs('kk', 'kv')}, lambda e: {{'k': e[1], 'v': e[2]}}) AS kv_pairs
   FROM p2),
 entries AS (
-  SELECT md5(pane_id || '|' || CAST(sequence AS VARCHAR)) AS id, session_name, pane_id, sequence,
+  SELECT md5(concat_ws('|', session_name, pane_id, sequence, epoch_us(received_at), raw)) AS id, session_name, pane_id, sequence,
     coalesce(s_ts, t_ts, received_at) AS timestamp,
     CASE WHEN s_ts IS NOT NULL THEN fmt WHEN t_ts IS NOT NULL THEN t_src ELSE 'received' END AS ts_source,
     coalesce(s_sev, t_sev, 'UNKNOWN') AS severity,

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from logweave.operators.fold import anchored_windows, fold_times
+from logweave.operators.fold import anchored_windows, fold_groups, fold_times
 from logweave.operators.windows import sliding_count
 
 BASE = dt.datetime(2024, 1, 1)
@@ -25,14 +25,6 @@ def brute_anchored(rows, width):
     return out
 
 
-def test_gap_segments_split_at_long_silences(spark):
-    from logweave.operators.fold import gap_segments
-    rows = [("k", BASE + dt.timedelta(seconds=s), i) for i, s in enumerate([0, 30, 100, 100, 7000, 7050])]
-    df = spark.createDataFrame(rows, "k string, ts timestamp, seq long")
-    seg = {r["seq"]: r["_seg"] for r in gap_segments(df, ["k"], "ts", ["seq"], 60).collect()}
-    assert [seg[i] for i in range(6)] == [rows[0][1], rows[0][1], rows[2][1], rows[2][1], rows[4][1], rows[4][1]]
-
-
 def random_rows(n, keys, span_s, seed):
     rnd = random.Random(seed)
     rows = []
@@ -50,22 +42,61 @@ def test_fold_kernel_continues_windows():
     assert list(st2) == [0, 61_000_000, 200_000_000]
 
 
+def brute_all(rows, width):
+    """(start, count, occurrence) of every row."""
+    seen, out = {}, {}
+    windows = brute_anchored(rows, width)
+    for key, t, seq in sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1], r[2])):
+        seen[key] = seen.get(key, 0) + 1
+        out[key, seq] = (*windows[key, seq], seen[key])
+    return out
+
+
+def check_windows(spark, rows, width, **how):
+    df = spark.createDataFrame(rows, "k string, ts timestamp, seq long")
+    got = anchored_windows(df, ["k"], "ts", ["seq"], width, num_partitions=3, **how).collect()
+    want = brute_all(rows, width)
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["window_start"], r["window_count"], r["occurrence"]) == want[r["k"], r["seq"]]
+
+
 def test_anchored_windows_match_brute_force(spark):
     # tiny Arrow batches so keys straddle batch boundaries
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         rows = random_rows(600, ["a", "b", "c", None], 900, seed=7)
-        df = spark.createDataFrame(rows, "k string, ts timestamp, seq long")
-        # per key, per (key, gap segment) for every key, and mixed (only 'a' and 'b' hot)
-        runs = {hot: anchored_windows(df, ["k"], "ts", ["seq"], 60, num_partitions=3, hot_rows=hot).collect()
-                for hot in (None, 0, 160)}
+        # whole keys; chunks of many windows, of one, of a part of one; only 'a' and 'b' hot
+        check_windows(spark, rows, 60)
+        for chunk_rows in (1000, 20, 3):
+            check_windows(spark, rows, 60, hot_rows=0, chunk_rows=chunk_rows)
+        check_windows(spark, rows, 60, hot_rows=155, chunk_rows=30)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    want = brute_anchored(rows, 60)
-    for got in runs.values():
-        assert len(got) == len(rows)
-        for r in got:
-            assert (r["window_start"], r["window_count"]) == want[(r["k"], r["seq"])]
+
+
+def test_hot_key_with_and_without_pauses(spark):
+    """A key that never pauses beside one with silences of every length, ties included."""
+    rnd = random.Random(4)
+    rows = [("busy", BASE + dt.timedelta(seconds=i // 2), i) for i in range(1500)]
+    t = 0
+    for i in range(400):
+        t += rnd.choice([0, 0, 1, 5, 9, 10, 11, 30, 70, 200])
+        rows.append(("gaps", BASE + dt.timedelta(seconds=t), 5000 + i))
+    for chunk_rows in (200, 12):
+        check_windows(spark, rows, 10, hot_rows=0, chunk_rows=chunk_rows)
+
+
+def test_fold_groups_equals_single_folds():
+    rnd = np.random.default_rng(1)
+    codes = np.sort(rnd.integers(0, 9, 300))
+    t = rnd.integers(0, 500, 300) + 10**15
+    t = t[np.lexsort((t, codes))]
+    starts, counts = fold_groups(codes, t, 10**15 - 5, 3, 40)
+    for c in range(9):
+        mine = codes == c
+        st, ct, _, _ = fold_times(t[mine], 10**15 - 5 if c == 0 else None, 3 if c == 0 else 0, 40)
+        assert (starts[mine] == st).all() and (counts[mine] == ct).all()
 
 
 def test_sliding_count_matches_brute_force(spark):
