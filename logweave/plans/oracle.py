@@ -85,6 +85,35 @@ log_lines AS (
   FROM ev2)"""
 
 
+RESTARTED_CTE = r"""
+ev AS (
+  SELECT event_id, ts AS received_at, 'svc-' || CAST(user_id % 7 AS VARCHAR) AS svc,
+         CASE WHEN user_id % 5 = 4 AND ts < TIMESTAMP '2024-01-10' THEN 'sess-old'
+              ELSE 'sess-' || CAST(user_id % 4 AS VARCHAR) END AS session_name,
+         'pane-' || CAST(user_id % 6 AS VARCHAR) AS pane_id,
+         CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'signup' THEN 'WARN' ELSE 'INFO' END AS lvl,
+         strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS iso, strftime(ts, '%Y-%m-%d %H:%M:%S,%g') AS std
+  FROM events),
+ev2 AS (
+  SELECT *, CASE event_id % 7
+      WHEN 0 THEN 'Connection refused to db at localhost:' || CAST(5000 + event_id % 50 AS VARCHAR)
+      WHEN 1 THEN 'NullPointerException at Handler.java:' || CAST(10 + event_id % 90 AS VARCHAR)
+      WHEN 2 THEN 'Starting ' || svc WHEN 3 THEN svc || ' ready' WHEN 4 THEN 'Stopping ' || svc
+      ELSE 'request took ms=' || CAST(event_id % 900 AS VARCHAR) END AS msg
+  FROM ev),
+log_lines AS (
+  SELECT session_name, pane_id,
+         row_number() OVER (PARTITION BY session_name, pane_id, date_trunc('day', received_at)
+                            ORDER BY received_at, event_id) AS sequence, received_at,
+         CASE WHEN event_id % 7 = 5 THEN '    at com.example.Handler.run(Handler.java:' || CAST(event_id % 9 AS VARCHAR) || ')'
+           WHEN (event_id // 7) % 4 = 0 THEN iso || ' [' || svc || '] ' || lvl || ': ' || msg
+           WHEN (event_id // 7) % 4 = 1 THEN '{"time":"' || iso || '","level":' || CAST(event_id % 60 AS VARCHAR)
+                || ',"service":"' || svc || '","msg":"' || msg || '"}'
+           WHEN (event_id // 7) % 4 = 2 THEN std || ' ' || lvl || ' service=' || svc || ' ' || msg
+           ELSE msg END AS raw
+  FROM ev2)"""
+
+
 def _lookup(keys: str, vals: str, key: str) -> str:
     """Value of the last occurrence of ``key`` (last-wins map semantics)."""
     return (f"(CASE WHEN list_contains({keys}, {q(key)}) THEN "
@@ -181,9 +210,9 @@ def fields_text_sql(pairs: str) -> str:
             f"lambda e: e.k || '=' || coalesce(e.v, ''))), chr(1))")
 
 
-def with_entries(select_sql: str, extra_ctes: str = "") -> str:
+def with_entries(select_sql: str, extra_ctes: str = "", lines: str = LOG_LINES_CTE) -> str:
     """Full statement: fixture lines + parsed entries + optional CTEs + select."""
-    ctes = LOG_LINES_CTE + "," + entries_cte()
+    ctes = lines + "," + entries_cte()
     if extra_ctes:
         ctes += ",\n" + extra_ctes
     return "WITH RECURSIVE " + ctes + "\n" + select_sql

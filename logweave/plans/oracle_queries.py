@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import catalog as C
 from ..functions.simhash import whitespace_class_regex
-from .oracle import (anchored_sql, fields_text_sql, keyword_case, level_of_sql, normalize_sql, q,
+from .oracle import (LOG_LINES_CTE, RESTARTED_CTE, anchored_sql, fields_text_sql, keyword_case, level_of_sql, normalize_sql, q,
                      rank_case, signature_sql, with_entries)
 
 ORACLE: dict[str, str] = {}
@@ -506,3 +506,41 @@ BY_CLUSTER = (
 ORACLE["cluster_recurring"] = ORACLE["recurring_errors"].replace(SIG, BY_CLUSTER)
 ORACLE["cluster_incidents"] = ORACLE["incidents"].replace(SIG, BY_CLUSTER)
 ORACLE["cluster_alerts"] = ORACLE["alerts"].replace(SIG, BY_CLUSTER)
+
+
+# ---- restarted captures ---------------------------------------------------------
+def restarted(name: str) -> str:
+    """A query's SQL over the lines of restarted captures."""
+    return ORACLE[name].replace(LOG_LINES_CTE, RESTARTED_CTE)
+
+
+ARRIVED = ("arrived AS (SELECT *, row_number() OVER (PARTITION BY session_name, pane_id ORDER BY received_at, sequence, "
+           "raw_content) AS pos FROM entries)")
+ORACLE["restarted_parse"] = restarted("parse_entries")
+ORACLE["restarted_collapse"] = with_entries(
+    "SELECT session_name, pane_id, arg_min(sequence, pos) AS group_start, arg_min(id, pos) AS id, min(timestamp) AS "
+    "timestamp, count(*) AS line_count, arg_max(sequence, pos) AS last_sequence, string_agg(raw_content, chr(10) "
+    "ORDER BY pos) AS content FROM (SELECT *, coalesce(max(CASE WHEN NOT regexp_matches(raw_content, "
+    "'^(\\s|at |Caused by:|\\.\\.\\. \\d+ more)') THEN pos END) OVER (PARTITION BY session_name, pane_id ORDER BY pos "
+    "ROWS UNBOUNDED PRECEDING), pos) AS grp FROM arrived) GROUP BY session_name, pane_id, grp", ARRIVED, RESTARTED_CTE)
+ORACLE["restarted_retention"] = with_entries(
+    "SELECT a.id, a.session_name, a.pane_id, a.sequence FROM arrived a JOIN (SELECT session_name, pane_id, min(pos) AS k "
+    f"FROM arrived WHERE timestamp >= {AS_OF} - INTERVAL '{C.RETENTION_S} seconds' GROUP BY ALL) t "
+    "ON a.session_name = t.session_name AND a.pane_id = t.pane_id WHERE a.pos >= t.k", ARRIVED, RESTARTED_CTE)
+ORACLE["restarted_liveness"] = with_entries(
+    "SELECT session_name, pane_id, lines, last_seen, stale_gaps, disconnect_gaps, idle_seconds, "
+    f"CASE WHEN idle_seconds <= {C.STALE_AFTER_S} THEN 'Active' WHEN idle_seconds <= {C.DISCONNECT_AFTER_S} THEN 'Stale' "
+    "ELSE 'Disconnected' END AS status FROM (SELECT session_name, pane_id, count(*) AS lines, max(received_at) AS last_seen, "
+    f"count_if(gap > {C.STALE_AFTER_S}) AS stale_gaps, count_if(gap > {C.DISCONNECT_AFTER_S}) AS disconnect_gaps, "
+    f"epoch({AS_OF}) - epoch(max(received_at)) AS idle_seconds FROM (SELECT *, epoch(received_at) - epoch(lag(received_at) "
+    "OVER (PARTITION BY session_name, pane_id ORDER BY received_at)) AS gap FROM entries) GROUP BY session_name, pane_id)",
+    "", RESTARTED_CTE)
+ORACLE["restarted_fresh"] = with_entries(
+    "SELECT session_name, count(*) AS lines FROM entries GROUP BY session_name HAVING "
+    f"epoch({AS_OF}) - epoch(max(received_at)) <= {C.STALE_SESSION_S}", "", RESTARTED_CTE)
+ORACLE["restarted_cycle"] = restarted("restart_cycle").replace(
+    f"epoch(t3) <= {C.RESTART_WINDOW_S}", f"epoch(t3) <= {C.CYCLE_WINDOW_S}")
+ORACLE["restarted_error_rate"] = restarted("error_rate")
+ORACLE["restarted_incidents"] = restarted("incidents")
+ORACLE["restarted_alerts"] = restarted("alerts")
+ORACLE["restarted_samples"] = restarted("pattern_sample")

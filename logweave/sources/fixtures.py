@@ -91,3 +91,45 @@ def render_log_lines(events: DataFrame, number: bool = True) -> DataFrame:
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_utc(spark)
     return render_log_lines(table(spark, sf_dir, "events"))
+
+
+def render_restarted_lines(events: DataFrame) -> DataFrame:
+    """``events`` as lines of captures that restart every day (their counters begin at 1
+    again), of sessions that share pane ids, and of one session that falls silent.
+
+    Fixed rendering rules: session ``sess-old`` for ``user_id % 5 = 4`` before January
+    10, else ``sess-<user_id % 4>``; pane ``pane-<user_id % 6>``; message by ``event_id % 7``
+    (one is a stack-trace line); layout by ``(event_id div 7) % 4``, JSON levels are numbers.
+    """
+    eid, ts = F.col("event_id"), F.col("ts").cast("timestamp")
+    svc = F.concat(F.lit("svc-"), (F.col("user_id") % 7).cast("string"))
+    level = (F.when(F.col("event_type") == "error", F.lit("ERROR")).when(F.col("event_type") == "signup", F.lit("WARN"))
+             .otherwise(F.lit("INFO")))
+    m = eid % 7
+    msg = (F.when(m == 0, F.concat(F.lit("Connection refused to db at localhost:"), (5000 + eid % 50).cast("string")))
+           .when(m == 1, F.concat(F.lit("NullPointerException at Handler.java:"), (10 + eid % 90).cast("string")))
+           .when(m == 2, F.concat(F.lit("Starting "), svc)).when(m == 3, F.concat(svc, F.lit(" ready")))
+           .when(m == 4, F.concat(F.lit("Stopping "), svc))
+           .otherwise(F.concat(F.lit("request took ms="), (eid % 900).cast("string"))))
+    iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    lay = F.floor(eid / 7) % 4
+    raw = (F.when(m == 5, F.concat(F.lit("    at com.example.Handler.run(Handler.java:"), (eid % 9).cast("string"), F.lit(")")))
+           .when(lay == 0, F.concat(iso, F.lit(" ["), svc, F.lit("] "), level, F.lit(": "), msg))
+           .when(lay == 1, F.concat(F.lit('{"time":"'), iso, F.lit('","level":'), (eid % 60).cast("string"),
+                                    F.lit(',"service":"'), svc, F.lit('","msg":"'), msg, F.lit('"}')))
+           .when(lay == 2, F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" "), level, F.lit(" service="),
+                                    svc, F.lit(" "), msg))
+           .otherwise(msg))
+    old = (F.col("user_id") % 5 == 4) & (ts < F.lit("2024-01-10").cast("timestamp"))
+    lines = events.select(
+        F.when(old, F.lit("sess-old")).otherwise(F.concat(F.lit("sess-"), (F.col("user_id") % 4).cast("string"))).alias("session_name"),
+        F.concat(F.lit("pane-"), (F.col("user_id") % 6).cast("string")).alias("pane_id"), "event_id",
+        ts.alias("received_at"), F.to_date(ts).alias("day"), raw.alias("raw"))
+    return number_rows(lines, ["session_name", "pane_id", "day"], ["received_at", "event_id"],
+                       F.date_trunc("hour", F.col("received_at")), "sequence").select(
+        "session_name", "pane_id", "sequence", "received_at", "raw")
+
+
+def restarted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_utc(spark)
+    return render_restarted_lines(table(spark, sf_dir, "events"))
