@@ -42,8 +42,7 @@ from .common import text_slices
 
 THRESHOLD = 0.9
 MAX_TEMPLATES = 1000
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 # The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -81,8 +80,9 @@ TEMPLATES = [
 ]
 
 
-def words(text: str) -> list[str]:
-    return WORD.findall(text.translate(LOWER))
+def words(text: str | bytes) -> list[bytes]:
+    """Words of a text as UTF-8; ``bytes.lower`` changes A-Z only."""
+    return WORD.findall((text.encode() if isinstance(text, str) else text).lower())
 
 
 class Template:
@@ -108,10 +108,10 @@ def prepare(templates: list[tuple[str, str]], threshold: float) -> dict[int, lis
     return classes
 
 
-def text_blocks(known: list[tuple[int, str]], length: int) -> dict[int, set[str]]:
+def text_blocks(known: list[tuple[int, bytes]], length: int) -> dict[int, set[bytes]]:
     """The different template words of every block, from (position, word);
     block b covers the words from b * length on, 2 * length of them."""
-    out: dict[int, set[str]] = {}
+    out: dict[int, set[bytes]] = {}
     for i, w in known:
         b = i // length
         out.setdefault(b, set()).add(w)
@@ -120,31 +120,31 @@ def text_blocks(known: list[tuple[int, str]], length: int) -> dict[int, set[str]
     return out
 
 
-def token_order(docs: DataFrame, classes: dict[int, list[Template]]) -> dict[str, int]:
+def token_order(docs: DataFrame, classes: dict[int, list[Template]]) -> dict[bytes, int]:
     """Rank of every template word, rare ones first: blocks that hold it, of all
     texts and size classes (a count for each template word comes back)."""
     vocabulary = frozenset(w for ts in classes.values() for t in ts for w in t.words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        seen: Counter[bytes] = Counter()
         for _, texts in text_slices(batches, "text"):
             for text in texts:
-                known = [(i, w) for i, w in enumerate(words(text.decode("utf-8", "replace"))) if w in vocabulary]
+                known = [(i, w) for i, w in enumerate(words(text)) if w in vocabulary]
                 for length in classes:
                     for block in text_blocks(known, length).values():
                         seen.update(block)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())],
                                          ["word", "blocks"])
 
-    rows = docs.select("text").mapInArrow(count, "word string, blocks long").groupBy("word").agg(F.sum("blocks").alias("n"))
-    n = {r["word"]: r["n"] for r in rows.collect()}
+    rows = docs.select("text").mapInArrow(count, "word binary, blocks long").groupBy("word").agg(F.sum("blocks").alias("n"))
+    n = {bytes(r["word"]): r["n"] for r in rows.collect()}
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (n.get(w, 0), w)))}
 
 
 class Join:
     """Prefix index of one size class: rank -> (template, place)."""
 
-    def __init__(self, templates: list[Template], rank: dict[str, int]):
+    def __init__(self, templates: list[Template], rank: dict[bytes, int]):
         self.templates, self.rank = templates, rank
         self.least = min(t.need for t in templates)
         self.index: dict[int, list[tuple[int, int]]] = {}
@@ -155,7 +155,7 @@ class Join:
             for p, r in enumerate(order[:t.size - t.need + 1]):
                 self.index.setdefault(r, []).append((k, p))
 
-    def matches(self, block: set[str]) -> Iterator[tuple[Template, int]]:
+    def matches(self, block: set[bytes]) -> Iterator[tuple[Template, int]]:
         """Templates that the block meets, with the number of shared words."""
         length = len(block)
         if length < self.least:
@@ -178,9 +178,9 @@ class Join:
                     yield self.templates[k], both
 
 
-def phrase_places(ws: list[str], phrases: list[tuple[list[str], str]]) -> list[tuple[int, str]]:
+def phrase_places(ws: list[bytes], phrases: list[tuple[list[bytes], str]]) -> list[tuple[int, str]]:
     """(start, label) of every place where a phrase's words stand consecutively."""
-    by_last: dict[str, list[tuple[list[str], str]]] = {}
+    by_last: dict[bytes, list[tuple[list[bytes], str]]] = {}
     for p, label in phrases:
         by_last.setdefault(p[-1], []).append((p, label))
     out = []
@@ -209,7 +209,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     match = pa.struct([("label", pa.string()), ("start", pa.int64()), ("words", pa.int32()), ("shared", pa.int32()),
                        ("size", pa.int32())])
 
-    def one(text: str) -> tuple:
+    def one(text: bytes) -> tuple:
         ws = words(text)
         places = phrase_places(ws, listed)
         known = [(i, w) for i, w in enumerate(ws) if w in vocabulary]
@@ -224,7 +224,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, "text"):
-            cols = list(zip(*[one(t.decode("utf-8", "replace")) for t in texts]))
+            cols = list(zip(*[one(t) for t in texts]))
             types = [pa.int64()] * 4 + [pa.list_(pa.string()), pa.list_(match)]
             names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "matches"]
             yield pa.RecordBatch.from_arrays(
@@ -243,11 +243,11 @@ def score():
 def sql(templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES,
         threshold: float = THRESHOLD) -> str:
     """DuckDB SQL of the query's columns: every block against every template."""
-    values = ", ".join(f"({k}, '{t.label}', {t.length}, {t.size}, {t.need}, [{', '.join(repr(w) for w in sorted(t.words))}])"
+    values = ", ".join(f"({k}, '{t.label}', {t.length}, {t.size}, {t.need}, [{', '.join(repr(w.decode()) for w in sorted(t.words))}])"
                        for k, t in enumerate(t for ts in prepare(templates, threshold).values() for t in ts))
     places = " UNION ALL ".join(
         "SELECT r, i, '{}' AS label FROM nxt WHERE {}".format(
-            label, " AND ".join(f"w{k} = '{w}'" for k, w in enumerate(words(p)))) for p, label in phrases.items())
+            label, " AND ".join(f"w{k} = '{w.decode()}'" for k, w in enumerate(words(p)))) for p, label in phrases.items())
     depth = max(len(words(p)) for p in phrases)
     lead = ", ".join(f"lead(w, {k}) OVER (PARTITION BY r ORDER BY i) AS w{k}" for k in range(1, depth))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

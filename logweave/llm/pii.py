@@ -8,10 +8,11 @@ their signs.  Each further candidate is described by small whole numbers for its
 format and the text around it; boosted trees give it a score, and the scores
 above the threshold of its kind are redactions too, unless a base span overlaps.
 
-The trees are fitted here: Spark counts the candidates of at most ``FIT_DOCS``
+The trees are fitted here: Spark counts the candidates of all
 documents by their description and a weak label (values after words such as
 "password", known key prefixes, national number forms), and the driver boosts trees on
-this table of counts, whose size the descriptions bound.  A threshold is the
+this table of counts, whose size the descriptions bound.  The trees learn from one half of
+the documents, the thresholds come from the other.  A threshold is the
 least score at which the candidates above it are right ``PRECISION`` of the
 time; a kind that never is stays unused.  Trees become nested CASE expressions.
 
@@ -32,7 +33,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIT_DOCS = 20_000
 RUN = 256
 TREES = 24
 DEPTH = 3
@@ -217,22 +217,25 @@ def _predict(t, x):
     return np.where(low, _predict(t[2], x), _predict(t[3], x))
 
 
-def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, kinds: list[str]) -> Model | None:
-    """Boosted trees on the rows ``x`` of counts ``w`` with labels ``y``."""
-    if not len(y) or y.min() == y.max():
+def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, kinds: list[str], fit: np.ndarray) -> Model | None:
+    """Boosted trees on the rows ``x`` of counts ``w`` with labels ``y`` where ``fit``; the
+    threshold of a kind is calibrated on its other rows (a kind without any: on all)."""
+    if not fit.any() or y[fit].min() == y[fit].max():
         return None
-    p0 = float((w * y).sum() / w.sum())
+    xf, yf, wf = x[fit], y[fit], w[fit]
+    p0 = float((wf * yf).sum() / wf.sum())
     start = float(np.log(p0 / (1 - p0)))
-    f, trees = np.full(len(y), start), []
+    f, trees = np.full(len(yf), start), []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-f))
-        t = _grow(x, w * (y - p), w * p * (1 - p), DEPTH)
+        t = _grow(xf, wf * (yf - p), wf * p * (1 - p), DEPTH)
         trees.append(t)
-        f = f + _predict(t, x)
-    p = 1 / (1 + np.exp(-f))
+        f = f + _predict(t, xf)
+    p = 1 / (1 + np.exp(-(start + sum(_predict(t, x) for t in trees))))
     thresholds = {}
     for k in EXTRA:
         of = np.array([q == k for q in kinds])
+        of = of & ~fit if (of & ~fit).any() else of
         for cut in np.unique(p[of]) if of.any() else []:
             above = of & (p >= cut)
             if (w * y)[above].sum() >= PRECISION * w[above].sum():
@@ -241,24 +244,24 @@ def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, kinds: list[str]) -> Mode
     return Model(start, trees, thresholds)
 
 
-def train(df: DataFrame, key: str = "doc_id", text: str = "text", docs: int = FIT_DOCS) -> Model | None:
-    """Fit on the candidates of ``docs`` documents, the first in a fixed
-    pseudo-random order of their ids."""
-    chosen = (df.select(F.col(key).alias("_id")).where("_id is not null").distinct()
-              .orderBy(F.xxhash64("_id"), "_id").limit(docs))  # at most ``docs`` ids
-    some = df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    rows = candidates(some, "_text").select(F.explode(F.transform(
-        "_more", lambda c: F.struct(c.alias("c"), weak_label(c).alias("y")))).alias("r"))
-    own = candidates(df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in SEEDS])).alias("_text")), "_text")
-    rows = rows.unionByName(own.select(F.explode(F.transform(
-        "_more", lambda c: F.struct(c.alias("c"), weak_label(c).alias("y")))).alias("r")))
+def train(df: DataFrame, text: str = "text") -> Model | None:
+    """Fit on the candidates of one half of all documents (by a hash of the text) and of the
+    own examples, thresholds from the other half.  Spark counts the candidates of all documents
+    by features; the driver gets one row for each combination that occurs."""
+    def labelled(d):
+        return d.select("_fit", F.explode(F.transform("_more", lambda c: F.struct(c.alias("c"), weak_label(c).alias("y")))).alias("r"))
+
+    all_ = df.select(F.col(text).alias("_text")).withColumn("_fit", F.coalesce(F.xxhash64("_text") % 2 == 0, F.lit(False)))
+    own = (df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in SEEDS])).alias("_text"))
+           .withColumn("_fit", F.lit(True)))
+    rows = labelled(candidates(all_, "_text")).unionByName(labelled(candidates(own, "_text")))
     f = features(F.col("r.c"))
-    cells = (rows.groupBy(F.col("r.c.kind").alias("kind"), F.col("r.y").alias("y"),
+    cells = (rows.groupBy("_fit", F.col("r.c.kind").alias("kind"), F.col("r.y").alias("y"),
                           *[f[n].alias(n) for n in FEATURES]).count().collect())
     cells.sort(key=lambda r: tuple(str(v) for v in r))
     x = np.array([[r[n] for n in FEATURES] for r in cells], dtype=np.int64).reshape(-1, len(FEATURES))
     return boost(x, np.array([r["y"] for r in cells], dtype=float), np.array([r["count"] for r in cells], dtype=float),
-                 [r["kind"] for r in cells])
+                 [r["kind"] for r in cells], np.array([r["_fit"] for r in cells], dtype=bool))
 
 
 def find(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -19,8 +19,8 @@ The score is the logistic function of a line through two figures, the summed
 weight and the weight by length, fitted on the same rows.
 
 ``FIT_ROWS`` bounds the labelled rows (the first in a fixed pseudo-random order
-of the ids) and ``ENTRIES`` the lexicon; both are what a training set needs, not
-what the corpus holds.
+of the ids, one text an id), which is what a training set needs, not what the corpus
+holds; the lexicon is every entry of theirs that passes.
 
 Defined cases: a NULL or empty text matches nothing; without labels of both
 kinds every score is 0; repeated rows get equal scores; other columns stay.
@@ -44,7 +44,6 @@ from ..session import materialize
 from .common import label_sample, text_slices
 
 FIT_ROWS = 20_000
-ENTRIES = 20_000
 STEMS = (4, 5, 6, 7)
 MIN_DOCS = 3
 COMMON = 5
@@ -194,9 +193,10 @@ def _counts(docs: DataFrame, make) -> DataFrame:
 def learn(df: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, rows: int = FIT_ROWS) -> Lexicon | None:
     """Lexicon, exceptions and line from labelled documents outside the fold."""
     chosen = label_sample(labels, "toxic", modulus, held, rows)
-    # at most ``rows`` ids and labels
-    docs = materialize(_folded(df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "text", "folded")
-                       .select("doc_id", "y", "folded").dropDuplicates(["folded"]))
+    # at most ``rows`` ids and labels; of several texts of an id one is learnt from
+    one = (df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y")
+           .agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+    docs = materialize(_folded(one, "text", "folded").select("doc_id", "y", "folded").dropDuplicates(["folded"]))
     n, bad = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not bad or bad == n:
         return None
@@ -206,8 +206,7 @@ def learn(df: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, row
             # most of its documents are toxic, four standard deviations more than by chance
             .where((F.col("bad") > 4 * F.col("clean"))
                    & (F.col("bad") - base * seen > 4 * F.sqrt(base * (1 - base) * seen)))
-            .select("entry", odds.alias("weight"), "bad")
-            .orderBy(F.desc(F.col("weight") * F.sqrt("bad")), "entry").limit(ENTRIES).collect())
+            .select("entry", odds.alias("weight"), "bad").collect())
     got = {r["entry"]: float(r["weight"]) for r in kept}
     strength = {r["entry"]: float(r["weight"]) * r["bad"] ** 0.5 for r in kept}
 
@@ -221,8 +220,8 @@ def learn(df: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, row
     if lex.weights:
         rows_ = (_counts(docs, lambda: _phrases(lex))
                  .where((F.col("clean") >= 2) & (F.col("clean") >= F.col("bad")))
-                 .orderBy(F.desc("clean"), "entry").limit(ENTRIES).collect())
-        lex.exceptions = [r["entry"] for r in rows_]
+                 .collect())
+        lex.exceptions = sorted(r["entry"] for r in rows_)
     lex.line = _line(docs, lex)
     return lex
 

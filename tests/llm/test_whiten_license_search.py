@@ -164,9 +164,9 @@ def test_licenses(spark, monkeypatch, which, edge, docs, nothing):
 def test_join_loses_no_pair():
     """Prefix, length and positional filters against all pairs, at several thresholds."""
     rng = random.Random(11)
-    names = [f"w{i}" for i in range(30)]
+    names = [b"w%d" % i for i in range(30)]
     for threshold in (0.5, 0.75, 0.9, 1.0):
-        templates = [("t", " ".join(rng.choices(names, k=rng.randint(1, 12)))) for _ in range(60)]
+        templates = [("t", b" ".join(rng.choices(names, k=rng.randint(1, 12))).decode()) for _ in range(60)]
         classes = licenses.prepare(templates, threshold)
         order = names[:]
         rng.shuffle(order)
