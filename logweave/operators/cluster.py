@@ -20,11 +20,20 @@ none) is a leader; repeat until every hash is decided.  This is the
 lexicographically-first maximal independent set of the neighbour graph in
 arrival order (Blelloch, Fineman and Shun, SPAA 2012).  Each round's open
 edges are a table in the shared folder (``spark.checkpoint.dir``).
+
+Dense families (many different hashes within three bits of each other) would
+cost all their pairs.  ``leader_scan`` counts the candidates first and, where they are many, takes
+the hashes in arrival order in steps that double: a step joins its hashes with
+the leaders found so far, which settles almost all of a family, and only what is near
+no leader is paired and goes through leader rounds.  ``cluster_step`` is also what a
+micro-batch of the stream does with the stored leaders.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.simhash import as_long, hamming, simhash
@@ -74,7 +83,38 @@ def _band_keys() -> Column:
     return F.array(*keys)
 
 
+def _key_masks() -> list[tuple[int, list[int]]]:
+    """For each of the 16 tables the bits its key covers, and those of each further block, as
+    64-bit masks (bits numbered from the highest)."""
+    bands = [list(range(16 * i, 16 * i + 16)) for i in range(4)]
+    masks = []
+    for i in range(4):
+        rest = [p for k in range(4) if k != i for p in bands[k]]
+        for j in range(4):
+            key = bands[i] + rest[12 * j:12 * j + 12]
+            left = rest[:12 * j] + rest[12 * j + 12:]
+            masks.append((sum(1 << (63 - p) for p in key),
+                          [sum(1 << (63 - p) for p in key + left[9 * m:9 * m + 9]) for m in range(4)]))
+    return masks
+
+
+def _first_common(x_hi: Column, x_lo: Column, table: Column, sub: Column) -> Column:
+    """True under the first key (and further block, in crowded buckets) that the two
+    hashes share, given the bits in which they differ: each pair is kept once."""
+    def same(mask: int) -> Column:
+        return (x_hi.bitwiseAND(F.lit(mask >> 32)) == 0) & (x_lo.bitwiseAND(F.lit(mask & 0xFFFFFFFF)) == 0)
+
+    masks = _key_masks()
+    first = F.coalesce(*[F.when(same(key), F.lit(t)) for t, (key, _) in enumerate(masks)])
+    block = F.coalesce(*[F.when((table == t) & same(mask), F.lit(m)) for t, (_, blocks) in enumerate(masks)
+                         for m, mask in enumerate(blocks)])
+    return (table == first) & ((sub < 0) | (F.shiftright(sub, 9) == block))
+
+
 BUCKET_CAP = 2000
+#: Pairs in common buckets, a hash, from which ``leader_scan`` goes in steps, and its first step.
+DENSE = 64
+FIRST_STEP = 4096
 
 
 def near_duplicate_pairs(hashes: DataFrame, scope: list[str], max_distance: int = MAX_DISTANCE,
@@ -113,14 +153,16 @@ def near_duplicate_pairs(hashes: DataFrame, scope: list[str], max_distance: int
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*scope, "_t", "_k", "_s"]]
     lt = ((F.col("a.hi") < F.col("b.hi"))
           | ((F.col("a.hi") == F.col("b.hi")) & (F.col("a.lo") < F.col("b.lo"))))
+    x_hi, x_lo = F.col("a.hi").bitwiseXOR(F.col("b.hi")), F.col("a.lo").bitwiseXOR(F.col("b.lo"))
     cand = a.join(b, on).where(lt)
     dist = hamming(F.col("a.hi"), F.col("a.lo"), F.col("b.hi"), F.col("b.lo")).cast("int")
     return (cand.select(*[F.col(f"a.{c}").alias(c) for c in scope],
                         F.col("a.h").alias("a"), F.col("a.hi").alias("a_hi"), F.col("a.lo").alias("a_lo"),
                         F.col("b.h").alias("b"), F.col("b.hi").alias("b_hi"), F.col("b.lo").alias("b_lo"),
-                        dist.alias("distance"))
+                        dist.alias("distance"), F.col("a._t").alias("_t"), F.col("a._s").alias("_s"),
+                        x_hi.alias("_xh"), x_lo.alias("_xl"))
             .where(F.col("distance") <= max_distance)
-            .dropDuplicates([*scope, "a", "b"]))
+            .where(_first_common(F.col("_xh"), F.col("_xl"), F.col("_t"), F.col("_s"))).drop("_t", "_s", "_xh", "_xl"))
 
 
 def leader_rounds(hashes: DataFrame, pairs: DataFrame, scope: list[str]) -> DataFrame:
@@ -168,6 +210,66 @@ def leader_rounds(hashes: DataFrame, pairs: DataFrame, scope: list[str]) -> Data
             .withColumn("rounds", F.lit(rounds)))
 
 
+def near_leaders(hashes: DataFrame, leaders: DataFrame, scope: list[str],
+                 max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(scope, h, leader) of the hashes within ``max_distance`` of known ``leaders`` (scope, h,
+    hi, lo, rank): the earliest of them.  Leaders are more than that apart, so few share a bucket."""
+    def keyed(df, *cols):
+        return df.select(*scope, *cols, F.explode(_band_keys()).alias("_bk")).select(
+            *scope, *cols, F.col("_bk.t").alias("_t"), F.col("_bk.k").alias("_k"))
+
+    known = keyed(leaders, "hi", "lo", "h", "rank").select(
+        *scope, "_t", "_k", F.col("hi").alias("_lhi"), F.col("lo").alias("_llo"), F.col("h").alias("leader"), F.col("rank").alias("_lrank"))
+    both = join_keys(keyed(hashes, "h", "hi", "lo"), known, [*scope, "_t", "_k"])
+    return (both.where(hamming(F.col("hi"), F.col("lo"), F.col("_lhi"), F.col("_llo")) <= max_distance)
+            .groupBy(*scope, "h").agg(F.min_by("leader", "_lrank").alias("leader")))
+
+
+def cluster_step(hashes: DataFrame, leaders: DataFrame | None, scope: list[str]) -> DataFrame:
+    """D4 for ``hashes`` that all arrive after ``leaders``: all columns of ``hashes`` (a
+    table) with ``is_leader`` and ``leader``, written as a table."""
+    if leaders is None:
+        settled, rest = None, hashes
+    else:
+        near = materialize(near_leaders(hashes, leaders, scope))
+        settled = join_keys(hashes, near, [*scope, "h"]).withColumn("is_leader", F.lit(False))
+        rest = materialize(join_keys(hashes, near.select(*scope, "h"), [*scope, "h"], "left_anti"))
+    new = leader_rounds(rest, near_duplicate_pairs(rest, scope), scope).drop("rounds")
+    return materialize(new if settled is None else new.unionByName(settled))
+
+
+def candidate_pairs(hashes: DataFrame, scope: list[str]) -> int:
+    """Pairs in common buckets, from the bucket sizes alone."""
+    sizes = (hashes.select(*scope, F.explode(_band_keys()).alias("_bk"))
+             .groupBy(*scope, F.col("_bk.t"), F.col("_bk.k")).agg(F.count(F.lit(1)).cast("double").alias("n")))
+    return int(sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0)
+
+
+def leader_scan(hashes: DataFrame, scope: list[str], dense: int = DENSE, first_step: int = FIRST_STEP) -> DataFrame:
+    """``hashes`` (a table) with ``is_leader`` and ``leader``, by leader rounds over all
+    pairs where these are few, else in doubling steps (see module doc)."""
+    n = hashes.count()
+    if candidate_pairs(hashes, scope) <= dense * n:
+        return leader_rounds(hashes, near_duplicate_pairs(hashes, scope), scope).drop("rounds")
+    # places in arrival order: ids within the sorted ranges, offsets from the ranges' sizes
+    placed = materialize(hashes.orderBy("rank").withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    sizes = placed.groupBy(part.alias("_part")).count()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each sorted range
+    offsets = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
+    place = F.col("_off") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    step = F.greatest(F.lit(0), F.floor(F.log2((place + 1) / F.lit(first_step))) + 1).cast("int")
+    placed = materialize(placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+                         .withColumn("_step", step).drop("_part", "_m", "_off"))
+    out, leaders = None, None
+    for k in range(max(0, math.floor(math.log2(n / first_step)) + 1) + 1):
+        mine = placed.where(F.col("_step") == k).drop("_step")
+        done = cluster_step(mine, leaders, scope)
+        out = done if out is None else out.unionByName(done)
+        leaders = out.where("is_leader").select(*scope, "h", "hi", "lo", "rank")
+    return out
+
+
 def cluster_signatures(hashes: DataFrame, assignment: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, h, signature): the signature of the first line of the hash's
     leader, for ``hashes`` whose members are signatures."""
@@ -194,6 +296,5 @@ def cluster_stats(assignment: DataFrame, scope: list[str]) -> DataFrame:
 def bounded_clusters(stats: DataFrame, scope: list[str], last_seen: str, limit: int = 10000) -> DataFrame:
     """Keep the ``limit`` clusters seen most recently per scope (ties by
     the other columns)."""
-    from pyspark.sql import Window
     w = Window.partitionBy(*scope).orderBy(F.desc(last_seen), *[c for c in stats.columns if c != last_seen])
     return stats.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")

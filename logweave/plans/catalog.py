@@ -490,7 +490,7 @@ def near_dup_pairs(spark, sf_dir):
 @query
 def leader_clusters(spark, sf_dir):
     h = doc_hashes(spark, sf_dir)
-    assign = Cl.leader_rounds(h, Cl.near_duplicate_pairs(h, []), [])
+    assign = Cl.leader_scan(h, [])
     lead = h.select(F.col("h").alias("leader"), F.col("first_member").alias("leader_doc"))
     hi, lo = _split_h(F.col("leader"))
     return (assign.join(lead, "leader")
@@ -512,7 +512,7 @@ def line_clusters(spark, sf_dir) -> DataFrame:
     from ..session import materialize
     codes = Cl.simhash_codes(e, F.col("raw_content")).drop("raw_content")
     h = materialize(Cl.distinct_hashes(codes, ["session_name"], Pt.ORDER, "id"))
-    assign = Cl.leader_rounds(h, Cl.near_duplicate_pairs(h, ["session_name"]), ["session_name"])
+    assign = Cl.leader_scan(h, ["session_name"])
     return Cl.cluster_stats(assign, ["session_name"])
 
 
@@ -534,7 +534,7 @@ def core_clustered(spark, sf_dir) -> DataFrame:
         "id", "session_name", "signature", "timestamp", "pane_id", "sequence", "severity", "sev_rank", "service",
         "raw_content", W.service_state(F.col("raw_content")).alias("state")), F.col("raw_content")).drop("raw_content"))
     h = materialize(Cl.distinct_hashes(coded, ["session_name"], Pt.ORDER, "signature"))
-    assign = Cl.leader_rounds(h, Cl.near_duplicate_pairs(h, ["session_name"]), ["session_name"])
+    assign = Cl.leader_scan(h, ["session_name"])
     keys = Cl.cluster_signatures(h, assign, ["session_name"])
     return materialize(join_keys(coded.drop("signature", "hi", "lo"), keys, ["session_name", "h"]).drop("h"))
 

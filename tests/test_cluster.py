@@ -116,6 +116,46 @@ def test_leader_rounds_equal_sequential_scan(spark):
     assert got == sequential_leaders(seq)
 
 
+def frame_of(spark, seq):
+    first = {}
+    for i, v in enumerate(seq):
+        first.setdefault(v, i)
+    rows = [(r, v >> 32, v & 0xFFFFFFFF) for v, r in first.items()]
+    return (spark.createDataFrame(rows, "rank long, hi long, lo long")
+            .withColumn("h", F.shiftleft("hi", 32).bitwiseOR(F.col("lo"))))
+
+
+def leaders_of(df):
+    u = 0xFFFFFFFFFFFFFFFF
+    return {r["h"] & u: r["leader"] & u for r in df.collect()}
+
+
+def test_leader_scan_in_steps_equals_sequential_scan(spark):
+    seq = random_hashes(400, 9)
+    got = leaders_of(Cl.leader_scan(frame_of(spark, seq), [], dense=-1, first_step=32))
+    assert got == sequential_leaders(seq)
+
+
+def test_dense_family_costs_leaders_not_pairs(spark):
+    """20,000 different hashes within three bits of one: the steps see few pairs."""
+    rnd = random.Random(3)
+    centre = rnd.getrandbits(64)
+    family = {centre}
+    while len(family) < 20_000:
+        family.add(centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 3))))
+    seq = [centre, *rnd.sample(sorted(family - {centre}), len(family) - 1)]
+    h = frame_of(spark, seq)
+    from logweave.session import materialize
+    h = materialize(h)
+    assert Cl.candidate_pairs(h, []) > Cl.DENSE * len(family)
+    got = leaders_of(Cl.leader_scan(h, [], first_step=64))
+    assert got == {v: centre for v in family}
+    far = [rnd.choice(seq) ^ (1 << rnd.randrange(64)) for _ in range(600)]  # up to four bits from the centre
+    mixed = far + seq[1:1500]
+    rnd.shuffle(mixed)
+    assert leaders_of(Cl.leader_scan(frame_of(spark, mixed), [], dense=-1, first_step=64)) == sequential_leaders(mixed)
+
+
 def test_bounded_clusters_keep_most_recent(spark):
     df = spark.createDataFrame([("s", i, i * 10) for i in range(20)], "session_name string, leader long, last long")
     kept = Cl.bounded_clusters(df, ["session_name"], "last", limit=5).collect()
