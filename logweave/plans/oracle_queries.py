@@ -544,3 +544,55 @@ ORACLE["restarted_error_rate"] = restarted("error_rate")
 ORACLE["restarted_incidents"] = restarted("incidents")
 ORACLE["restarted_alerts"] = restarted("alerts")
 ORACLE["restarted_samples"] = restarted("pattern_sample")
+
+# ---- leaders of bounded life, one line a step --------------------------------------
+LIVES = (
+    f"{LINE_CODES}, step AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_name ORDER BY timestamp, pane_id, "
+    "sequence) AS k FROM coded), "
+    "life(session_name, k, leaders, lead) AS (SELECT DISTINCT session_name, CAST(0 AS BIGINT), "
+    "CAST([] AS STRUCT(hi BIGINT, lo BIGINT, t TIMESTAMP)[]), CAST(NULL AS STRUCT(hi BIGINT, lo BIGINT, t TIMESTAMP)) FROM step "
+    "UNION ALL SELECT session_name, k, CASE WHEN found IS NULL THEN list_append(alive, me) ELSE alive END, coalesce(found, me) "
+    "FROM (SELECT *, list_filter(alive, lambda l: bit_count(xor(l.hi, me.hi)) + bit_count(xor(l.lo, me.lo)) <= 3)[1] AS found "
+    "FROM (SELECT n.session_name, n.k, {'hi': n.hi, 'lo': n.lo, 't': n.timestamp} AS me, list_filter(g.leaders, lambda l: "
+    f"l.t >= n.timestamp - INTERVAL '{C.LEADER_TTL_S} seconds') AS alive FROM life g JOIN step n "
+    "ON n.session_name = g.session_name AND n.k = g.k + 1)))")
+ORACLE["leader_clusters_ttl"] = with_entries(
+    "SELECT s.session_name, l.lead.hi AS leader_hi, l.lead.lo AS leader_lo, l.lead.t AS led_at, arg_min(s.id, s.k) AS representative, "
+    "arg_max(s.id, s.k) AS last_member, count(*) AS members, count(DISTINCT (s.hi, s.lo)) AS distinct_hashes FROM step s JOIN life l "
+    "ON s.session_name = l.session_name AND s.k = l.k GROUP BY ALL", LIVES)
+ORACLE["context_selection"] = with_entries(
+    "SELECT session_name, \"position\", kind, item_id, \"at\", tokens, cum_tokens, text FROM (SELECT *, CAST(sum(tokens) OVER (PARTITION BY "
+    "session_name ORDER BY \"position\" ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_tokens FROM (SELECT *, row_number() OVER ("
+    "PARTITION BY session_name ORDER BY priority, r DESC, \"at\" DESC, item_id, text) AS \"position\", "
+    "greatest((strlen(text) + 3) // 4, 1) AS tokens FROM ("
+    f"SELECT session_name, 'incident' AS kind, 1 AS priority, {rank_case('severity')} AS r, started_at AS \"at\", id AS item_id, "
+    "'[' || severity || '] ' || title AS text FROM inc WHERE status = 'Active' UNION ALL "
+    f"SELECT session_name, 'pattern', 2, {rank_case('severity')}, last_seen, signature, '[' || severity || '] ' || "
+    "CAST(occurrence_count AS VARCHAR) || ' occurrences, sample ' || sample_entry FROM rollup UNION ALL "
+    "SELECT session_name, 'entry', 3, sev_rank, timestamp, id, '[' || severity || '] ' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') "
+    f"|| ' ' || coalesce(service, '-') FROM entries))) WHERE cum_tokens <= {C.CONTEXT_BUDGET}",
+    f"{INC_CTES}, {FIRST}, {ROLLUP}")
+
+# ---- streams: what the batch queries give -------------------------------------------
+SQ = C.stream_catalog
+ORACLE["stream_follow"] = ORACLE["line_filter"]
+ORACLE["stream_durable"] = with_entries("SELECT id, session_name, severity, timestamp FROM entries WHERE sev_rank >= 4")
+ORACLE["stream_error_rate"] = with_entries(
+    "SELECT session_name, coalesce(service, '_global') AS rate_key, s AS window_start, s + INTERVAL '1 day' AS window_end, "
+    "count(*) AS errors FROM (SELECT *, time_bucket(INTERVAL '6 hours', timestamp) - k * INTERVAL '6 hours' AS s FROM entries "
+    "CROSS JOIN (SELECT unnest(range(4)) AS k) WHERE sev_rank >= 4) WHERE s + INTERVAL '1 day' <= "
+    "(SELECT max(timestamp) FROM entries) - INTERVAL '1 hour' GROUP BY ALL")
+_LIFE = anchored_sql("l0", "sig", ["session_name", "signature"], "timestamp", ["pane_id", "sequence"], SQ.PATTERN_TTL_S)
+_INLIFE = anchored_sql("l2", "l1", ["session_name", "signature", "life"], "timestamp", ["pane_id", "sequence"], C.PATTERN_WINDOW_S)
+ORACLE["stream_patterns"] = with_entries(
+    "SELECT id, session_name, signature, window_start, window_count, occ AS occurrence_count, occ = 1 AS is_first FROM ("
+    "SELECT *, row_number() OVER (PARTITION BY session_name, signature, life ORDER BY timestamp, pane_id, sequence) AS occ FROM l2)",
+    f"{SIG}, {_LIFE}, l1 AS (SELECT * EXCLUDE (window_start, window_count), window_start AS life FROM l0), {_INLIFE}")
+ORACLE["stream_clusters"] = ORACLE["dedup_lines"]
+ORACLE["stream_alerts"] = (ORACLE["alert_actions"]
+    .replace("THEN t0 + INTERVAL 1 DAY", f"THEN {ts(SQ.ACK_AT)}").replace("THEN t0 + INTERVAL 3 DAY", f"THEN {ts(SQ.RESOLVE_AT)}")
+    .replace("arg_max(value, (timestamp, pane_id, sequence)) AS current_value, count(*) AS trigger_count FROM acted",
+             "arg_max(value, (timestamp, pane_id, sequence)) AS current_value, count(*) AS trigger_count, "
+             "arg_min(message, (timestamp, pane_id, sequence)) AS message, arg_min(severity, (timestamp, pane_id, sequence)) AS "
+             "severity, any_value(threshold) AS threshold FROM acted")
+    .replace("END AS status, trigger_count FROM", "END AS status, trigger_count, message, severity, threshold FROM"))

@@ -137,6 +137,41 @@ def token_budget(turns: DataFrame, budget: int = DEFAULT_TOKEN_BUDGET) -> DataFr
                     (~fits).alias("truncated"), text.alias("context_text")))
 
 
+def context_items(incidents: DataFrame, patterns: DataFrame, entries: DataFrame) -> DataFrame:
+    """What competes for a context: active incidents before patterns before entries, one summary
+    line each (session_name, kind, priority, sev_rank, at, item_id, text)."""
+    from ..functions.severity import RANK
+    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])[F.col("severity")], F.lit(RANK["UNKNOWN"]))
+
+    def items(df, priority, kind, at, item, text):
+        return df.select("session_name", F.lit(kind).alias("kind"), F.lit(priority).alias("priority"), rank.alias("sev_rank"),
+                         F.col(at).alias("at"), F.col(item).alias("item_id"), text.alias("text"))
+
+    level = F.concat(F.lit("["), F.col("severity"), F.lit("] "))
+    return (items(Fl.active_only(incidents), 1, "incident", "started_at", "id", F.concat(level, F.col("title")))
+            .unionByName(items(patterns, 2, "pattern", "last_seen", "signature", F.concat(
+                level, F.col("occurrence_count").cast("string"), F.lit(" occurrences, sample "), F.col("sample_entry"))))
+            .unionByName(items(entries, 3, "entry", "timestamp", "id", F.concat(
+                level, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), F.coalesce("service", F.lit("-"))))))
+
+
+def context_selection(items: DataFrame, budget: int = DEFAULT_TOKEN_BUDGET) -> DataFrame:
+    """The items of each session that fit ``budget`` tokens (bytes / 4, rounded up, at
+    least one an item), by priority, severity (highest first), recency and id, up to the first
+    that does not fit.
+
+    An item costs at least a token, so no more than ``budget`` items can fit: a
+    group limit keeps that many a session and task, and the running sum is over
+    ``budget`` rows however large the session."""
+    order = ["priority", F.desc("sev_rank"), F.desc("at"), "item_id", "text"]
+    best = Window.partitionBy("session_name").orderBy(*order)
+    top = (items.withColumn("position", F.row_number().over(best).cast("long")).where(F.col("position") <= budget)
+           .withColumn("tokens", F.greatest(F.ceil(F.octet_length("text") / BYTES_PER_TOKEN), F.lit(1)).cast("long")))
+    upto = Window.partitionBy("session_name").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    return (top.withColumn("cum_tokens", F.sum("tokens").over(upto)).where(F.col("cum_tokens") <= budget)
+            .select("session_name", "position", "kind", "item_id", "at", "tokens", "cum_tokens", "text"))
+
+
 def status_overview(liveness: DataFrame, stats: DataFrame) -> DataFrame:
     """Per session the worst pane status with the A4 counts."""
     order = F.when(F.col("status") == "Active", 0).when(F.col("status") == "Stale", 1).otherwise(2)

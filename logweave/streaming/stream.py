@@ -7,9 +7,10 @@ time) -> sinks:
   so a micro-batch replayed after a failure writes nothing twice;
 * ``pattern_state``: W1-W3 as keyed state per (session, signature) with
   ``applyInPandasWithState``; the state is the window start, window count
-  and occurrence count, optionally expiring ``ttl_s`` after the last hit
-  (D6, event-time timeout);
-* ``alert_events``: K8, recurring and new-exception events as they happen;
+  and occurrence count, optionally expiring ``ttl_s`` after the signature's
+  insertion (D6, event-time timeout);
+* ``alert_events``: K8, recurring and new-exception events as they happen (all four
+  types with dedup and actions: ``alerts.py``; clusters: ``clusters.py``);
 * ``error_rate_windows``: W9/W10 as sliding event-time windows; state older
   than the watermark is dropped by Spark.
 """
@@ -47,7 +48,7 @@ PATTERN_STATE_OUT = T.StructType([
 
 PATTERN_STATE = T.StructType([
     T.StructField("window_start_us", T.LongType()), T.StructField("window_count", T.LongType()),
-    T.StructField("occurrences", T.LongType()), T.StructField("last_us", T.LongType())])
+    T.StructField("occurrences", T.LongType()), T.StructField("inserted_us", T.LongType())])
 
 
 def read_lines(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -91,24 +92,27 @@ def _pattern_fold(width_us: int, ttl_us: int | None):
             return
         pdf = pdf.sort_values(["timestamp", "pane_id", "sequence"], kind="stable").reset_index(drop=True)
         t = pdf["timestamp"].to_numpy(dtype="datetime64[us]").astype(np.int64)
-        if state.exists:
-            start, count, occ, _ = state.get
-            first_known = True
-        else:
-            start, count, occ, first_known = None, 0, 0, False
-        n = len(pdf)
-        starts, counts, start, count = fold_times(t, start, count, width_us)
+        start, count, occ, born = state.get if state.exists else (None, 0, 0, None)
+        # lives of the signature: a line later than its insertion + ttl inserts it anew
+        lives = fold_times(t, born, 0, ttl_us)[0] if ttl_us is not None else np.full(len(t), t[0] if born is None else born)
+        cuts = [0, *(np.flatnonzero(np.diff(lives)) + 1).tolist(), len(t)]
+        parts = []
+        for i, j in zip(cuts, cuts[1:]):
+            if born != int(lives[i]):
+                start, count, occ, born = None, 0, 0, int(lives[i])
+            starts, counts, start, count = fold_times(t[i:j], start, count, width_us)
+            parts.append((starts, counts, occ + np.arange(1, j - i + 1)))
+            occ += j - i
+        starts, counts, occurrence = (np.concatenate(x) for x in zip(*parts))
         out = pdf[["id", "session_name", "signature", "timestamp", "pane_id", "sequence", "severity",
                    "sev_rank"]].copy()
         out["window_start"] = pd.to_datetime(starts, unit="us")
         out["window_count"] = counts
-        out["occurrence_count"] = occ + np.arange(1, n + 1)
-        first = np.zeros(n, dtype=bool)
-        first[0] = not first_known
-        out["is_first"] = first
-        state.update((start, count, occ + n, int(t[-1])))
+        out["occurrence_count"] = occurrence
+        out["is_first"] = occurrence == 1
+        state.update((int(start), int(count), int(occ), born))
         if ttl_us is not None:
-            state.setTimeoutTimestamp(int(t[-1] // 1000 + ttl_us // 1000))
+            state.setTimeoutTimestamp(max(born + ttl_us, state.getCurrentWatermarkMs() * 1000 + 1000) // 1000 + 1)
         yield out
     return fold
 
@@ -121,7 +125,7 @@ def pattern_state(entries: DataFrame, width_s: int, ttl_s: int | None = None) ->
     lines arrive in event order across micro-batches (a line older than the
     open window is counted where it arrives; older than the watermark, it is
     dropped).  ``ttl_s`` (D6) forgets a
-    signature ``ttl_s`` after its last hit (event time; needs the watermark).
+    signature ``ttl_s`` after its insertion (event time; needs the watermark).
     """
     s = entries.withColumn("signature", exact_signature(F.col("raw_content"))).select(
         "id", "session_name", "signature", "timestamp", "pane_id", "sequence", "severity", "sev_rank")
