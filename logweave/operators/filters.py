@@ -2,8 +2,9 @@
 
 All are plain predicates.  On a stored table of entries Catalyst pushes them
 into the scan.  On lines parsed in the same plan a filter on a parsed column
-runs after the parse; a filter on the text alone belongs before it
-(``matching_lines``, ``lines_with``), so that only its hits are parsed.
+runs after the parse; a filter on the text alone, or the test of the text that a level or
+service implies, belongs before it (``matching_lines``, ``lines_with``, ``lines_of``), so that
+only its hits are parsed.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .sequence import arrival_positions, join_keys
 
-from ..functions.severity import RANK, classify_keywords
+from ..functions.severity import LEVEL_ALIASES, RANK, classify_keywords
 
 
 def severity_or_pattern(text: Column, min_level: str, pattern: str | None = None) -> Column:
@@ -41,6 +42,25 @@ def lines_with(lines: DataFrame, needle: str) -> DataFrame:
     return lines.where(F.col("raw").contains(needle))
 
 
+def implied_by(raw: Column, severity: str | None = None, service: str | None = None) -> Column:
+    """A test of the raw text that every line with this parsed level and service passes, for
+    use before the parse (F6, F8): one of the level's words stands in it, and the service does.
+    A line with escapes or letters beyond ASCII, whose parsed values may be spelt differently,
+    passes too; UNKNOWN implies nothing."""
+    escaped = raw.rlike(r"[\\\x{80}-\x{10FFFF}]")
+    cond = F.lit(True)
+    if severity is not None and severity.upper() in LEVEL_ALIASES:
+        cond = cond & (raw.rlike("(?i)" + "|".join(LEVEL_ALIASES[severity.upper()])) | escaped)
+    if service is not None:
+        cond = cond & (raw.contains(service) | escaped)
+    return cond
+
+
+def lines_of(lines: DataFrame, severity: str | None = None, service: str | None = None) -> DataFrame:
+    """Lines not parsed yet that can have the level and service; the exact filter follows the parse."""
+    return lines.where(implied_by(F.col("raw"), severity, service))
+
+
 def line_filter(entries: DataFrame, min_level: str = "ERROR", pattern: str | None = None,
                 limit: int | None = None) -> DataFrame:
     """F1 over all panes in arrival order; ``limit`` stops early (snapshot form)."""

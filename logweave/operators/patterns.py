@@ -64,9 +64,25 @@ def first_seen(entries: DataFrame, key: str = "signature") -> DataFrame:
                     (F.col("_f.sev_rank") >= RANK["ERROR"]).alias("is_new_error")))
 
 
-def known_anti_join(candidates: DataFrame, known: DataFrame, key: str = "signature") -> DataFrame:
-    """J5 incremental form: keys of ``candidates`` absent from the ``known`` table."""
-    return candidates.join(known.select("session_name", key).distinct(), ["session_name", key], "left_anti")
+def partial_rollup(entries: DataFrame, key: str = "signature") -> DataFrame:
+    """A6 as mergeable parts: one row a (session, key) that ``merge_rollups`` adds up."""
+    return (entries.groupBy("session_name", key).agg(
+        F.count(F.lit(1)).alias("occurrence_count"), F.max("timestamp").alias("last_seen"), F.max("sev_rank").alias("sev_rank"),
+        F.min(F.struct(*ORDER)).alias("first"), F.min_by(F.struct("id", "raw_content"), order_struct()).alias("sample")))
+
+
+def merge_rollups(parts: DataFrame, key: str = "signature") -> DataFrame:
+    """Parts of several batches as one part a (session, key)."""
+    return parts.groupBy("session_name", key).agg(
+        F.sum("occurrence_count").alias("occurrence_count"), F.max("last_seen").alias("last_seen"),
+        F.max("sev_rank").alias("sev_rank"), F.min_by("sample", "first").alias("sample"), F.min("first").alias("first"))
+
+
+def finish_rollup(parts: DataFrame, key: str = "signature") -> DataFrame:
+    """The pattern table of merged parts."""
+    return parts.select("session_name", key, level_of(F.col("sev_rank")).alias("severity"), F.col("first.timestamp").alias("first_seen"),
+                        "last_seen", "occurrence_count", F.col("sample.id").alias("sample_entry"),
+                        F.col("sample.raw_content").alias("sample_message"))
 
 
 def pattern_windows(entries: DataFrame, width_s: int, key: str = "signature") -> DataFrame:

@@ -596,3 +596,61 @@ ORACLE["stream_alerts"] = (ORACLE["alert_actions"]
              "arg_min(message, (timestamp, pane_id, sequence)) AS message, arg_min(severity, (timestamp, pane_id, sequence)) AS "
              "severity, any_value(threshold) AS threshold FROM acted")
     .replace("END AS status, trigger_count FROM", "END AS status, trigger_count, message, severity, threshold FROM"))
+
+# ---- stored tables merged by batches ---------------------------------------------------
+ORACLE["upsert_store"] = ORACLE["upsert_latest"]
+ORACLE["pattern_store"] = ORACLE["pattern_rollup"]
+ORACLE["new_patterns"] = with_entries(
+    "SELECT session_name, signature, CASE WHEN min(timestamp) < TIMESTAMP '2024-01-11' THEN 0 WHEN min(timestamp) < "
+    "TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS batch FROM sig GROUP BY session_name, signature", SIG)
+
+
+# ---- documents, services, panes ----------------------------------------------------------
+def iso(x: str) -> str:
+    return f"strftime({x}, '%Y-%m-%dT%H:%M:%S.%fZ')"
+
+
+def document_sql(src: str, name: str, order: str, fields: str, offset: int = 0, echo: str = "") -> str:
+    return (f"SELECT session_name, CAST(to_json({{'session_name': session_name, 'total': total, 'offset': {offset}, 'limit': "
+            f"{C.DOCUMENT_LIMIT}, {echo}'{name}': rows}}) AS VARCHAR) AS document FROM (SELECT session_name, any_value(n) AS total, "
+            f"list({{{fields}}} ORDER BY rn) AS rows FROM (SELECT *, count(*) OVER (PARTITION BY session_name) AS n, row_number() "
+            f"OVER (PARTITION BY session_name ORDER BY {order}) AS rn FROM {src}) WHERE rn > {offset} AND rn <= "
+            f"{offset + C.DOCUMENT_LIMIT} GROUP BY session_name)")
+
+
+_ERR, _SVC = q(C.PAGE_SEVERITY), q(C.AFFECTED_SERVICE)
+ORACLE["entries_document"] = with_entries(
+    document_sql("f", "entries", "timestamp, pane_id, sequence",
+                 f"'id': id, 'timestamp': {iso('timestamp')}, 'severity': severity, 'service': service, 'raw_content': raw_content", 2,
+                 f"'filters': {{'since': '{C.PAGE_SINCE:%Y-%m-%dT%H:%M:%SZ}', 'severity': {_ERR}, 'service': {_SVC}}}, "),
+    f"f AS (SELECT * FROM entries WHERE timestamp >= {ts(C.PAGE_SINCE)} AND severity = upper({_ERR}) AND service = {_SVC})")
+ORACLE["patterns_document"] = with_entries(
+    document_sql("rollup", "patterns", "occurrence_count DESC, first_seen, signature",
+                 "'signature': signature, 'severity': severity, 'occurrence_count': occurrence_count, "
+                 f"'first_seen': {iso('first_seen')}, 'last_seen': {iso('last_seen')}, 'sample_entry': sample_entry"),
+    f"{SIG}, {FIRST}, {ROLLUP}")
+ORACLE["incidents_document"] = with_entries(
+    document_sql("life", "incidents", "started_at DESC, id",
+                 f"'id': id, 'title': title, 'severity': severity, 'status': status, 'started_at': {iso('started_at')}, "
+                 f"'resolved_at': {iso('resolved_at')}, 'affected_services': CASE WHEN affected_services = '' THEN [] ELSE "
+                 "string_split(affected_services, ',') END, 'pattern_count': pattern_count"), INC_LIFE)
+ORACLE["alerts_document"] = with_entries(
+    document_sql("al", "alerts", "triggered_at DESC, id",
+                 f"'id': id, 'type': alert_type, 'triggered_at': {iso('triggered_at')}, 'status': status, 'message': message, "
+                 "'threshold': threshold, 'current_value': current_value"), ALERT_CTES)
+ORACLE["service_level"] = with_entries(
+    f"SELECT id, session_name, timestamp, severity, service FROM entries WHERE severity = 'WARN' AND service = {_SVC}")
+ORACLE["search_severity"] = with_entries(
+    "SELECT session_name, rank, id, pane_id, sequence, line FROM (SELECT session_name, row_number() OVER (PARTITION BY "
+    "session_name ORDER BY pane_id, sequence) AS rank, id, pane_id, sequence, '[' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') "
+    f"|| '] ' || raw_content AS line FROM entries WHERE contains(raw_content, {q(C.SEARCH_NEEDLE)}) AND severity = upper({_ERR})) "
+    "WHERE rank <= 50")
+ORACLE["durable_pane"] = with_entries(
+    f"SELECT id, session_name, sequence, severity FROM entries WHERE sev_rank >= 4 AND pane_id = {q(C.FILTER_PANE)}")
+ORACLE["durable_session"] = with_entries(
+    f"SELECT id, pane_id, timestamp FROM entries WHERE severity = 'FATAL' AND session_name = 'sess-1' AND timestamp >= "
+    f"{ts(C.PAGE_SINCE)} AND timestamp <= {ts(C.PAGE_UNTIL)}")
+ORACLE["errors_summary"] = with_entries(
+    f"SELECT session_name, count(*) AS total, count_if(severity = 'FATAL') AS n_fatal, {SERVICES_TEXT} AS services, "
+    f"max(timestamp) AS last_seen FROM entries WHERE severity IN ('ERROR', 'FATAL') AND timestamp >= {SUMMARY_START} "
+    "GROUP BY session_name")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.severity import LEVELS
@@ -194,15 +194,51 @@ def severity_rows(entries: DataFrame) -> DataFrame:
     return d.withColumn("position", F.row_number().over(w).cast("long"))
 
 
-def documents(patterns: DataFrame, incidents: DataFrame, alerts: DataFrame) -> dict[str, DataFrame]:
-    """Column lists of the patterns / incidents / alerts documents with
-    upper-cased severity and ``pattern_count = size(pattern_ids)``."""
-    return {
-        "patterns": patterns.withColumn("severity", F.upper("severity")),
-        "incidents": incidents.withColumn("severity", F.upper("severity"))
-        .withColumn("pattern_count", F.size("pattern_ids")),
-        "alerts": alerts.withColumn("severity", F.upper("severity")),
-    }
+def iso(col: str) -> Column:
+    return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def json_documents(df: DataFrame, name: str, order: list, fields: list[Column], limit: int, offset: int = 0,
+                   echo: dict | None = None) -> DataFrame:
+    """One JSON document a session: its name, the total of its rows, the page
+    (``offset``, ``limit``, at most ``MAX_PAGE_LIMIT``), the filters that were asked for, and the page's rows as
+    objects of ``fields`` under ``name``.  A group limit keeps the page before rows are gathered."""
+    lim = page_limit(limit)
+    best = Window.partitionBy("session_name").orderBy(*order)
+    page = (df.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= offset + lim).where(F.col("_n") > offset)
+            .select("session_name", F.struct("_n", F.struct(*fields).alias("_o")).alias("_x")))
+    rows = page.groupBy("session_name").agg(F.transform(F.sort_array(F.collect_list("_x")), lambda x: x["_o"]).alias(name))
+    total = df.groupBy("session_name").agg(F.count(F.lit(1)).alias("total"))
+    asked = F.struct(*[F.lit(v).alias(k) for k, v in echo.items()]).alias("filters") if echo else None
+    doc = F.struct("session_name", "total", F.lit(offset).alias("offset"), F.lit(lim).alias("limit"),
+                   *([asked] if echo else []), name)
+    return total.join(rows, "session_name").select("session_name", F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
+
+
+def entry_documents(entries: DataFrame, limit: int, offset: int = 0, since: dt.datetime | None = None,
+                    severity: str | None = None, service: str | None = None) -> DataFrame:
+    """R2: the entries document with its filters."""
+    fields = [F.col("id"), iso("timestamp").alias("timestamp"), F.col("severity"), F.col("service"), F.col("raw_content")]
+    return json_documents(Fl.entries_query(entries, since, None, severity, service), "entries", ORDER, fields, limit, offset,
+                          {"since": None if since is None else f"{since:%Y-%m-%dT%H:%M:%SZ}", "severity": severity, "service": service})
+
+
+def pattern_documents(patterns: DataFrame, limit: int) -> DataFrame:
+    fields = [F.col("signature"), F.upper("severity").alias("severity"), F.col("occurrence_count"), iso("first_seen").alias("first_seen"),
+              iso("last_seen").alias("last_seen"), F.col("sample_entry")]
+    return json_documents(patterns, "patterns", [F.desc("occurrence_count"), "first_seen", "signature"], fields, limit)
+
+
+def incident_documents(incidents: DataFrame, limit: int) -> DataFrame:
+    fields = [F.col("id"), F.col("title"), F.upper("severity").alias("severity"), F.col("status"), iso("started_at").alias("started_at"),
+              iso("resolved_at").alias("resolved_at"), F.col("affected_services"), F.size("pattern_ids").alias("pattern_count")]
+    return json_documents(incidents, "incidents", [F.desc("started_at"), "id"], fields, limit)
+
+
+def alert_documents(alerts: DataFrame, limit: int) -> DataFrame:
+    fields = [F.col("id"), F.col("alert_type").alias("type"), iso("triggered_at").alias("triggered_at"), F.col("status"),
+              F.col("message"), F.col("threshold"), F.col("current_value")]
+    return json_documents(alerts, "alerts", [F.desc("triggered_at"), "id"], fields, limit)
 
 
 def errors_only(entries: DataFrame) -> DataFrame:

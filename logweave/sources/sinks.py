@@ -19,6 +19,7 @@ from ..operators.sequence import join_keys
 from ..session import materialize
 
 DURABLE_PARTITIONS = ["session_name", "date"]
+BLOOM_COLUMNS = ["id", "pane_id"]
 
 
 def durable_rows(entries: DataFrame, min_level: str = "ERROR", include_unknown: bool = True) -> DataFrame:
@@ -58,7 +59,11 @@ def append_durable(rows: DataFrame, path: str) -> int:
     rows = materialize(rows)
     n = rows.count()
     if n:
-        (rows.write.mode("append").partitionBy(*DURABLE_PARTITIONS).parquet(path))
+        # time order in the files gives narrow row-group ranges; a pane or id scan skips by Bloom filters
+        out = rows.sortWithinPartitions(*DURABLE_PARTITIONS, "timestamp").write.mode("append")
+        for c in BLOOM_COLUMNS:
+            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        out.partitionBy(*DURABLE_PARTITIONS).parquet(path)
     return n
 
 

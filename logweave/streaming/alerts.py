@@ -125,6 +125,8 @@ class Track:
             for a, name in sorted(actions):
                 if a == at:
                     self.act(name, at)
+            if i > j:  # that alert's triggers came with the action, not before it
+                self.closed = False
         self.trigger(t, i, len(t.times))
 
 
