@@ -654,3 +654,33 @@ ORACLE["errors_summary"] = with_entries(
     f"SELECT session_name, count(*) AS total, count_if(severity = 'FATAL') AS n_fatal, {SERVICES_TEXT} AS services, "
     f"max(timestamp) AS last_seen FROM entries WHERE severity IN ('ERROR', 'FATAL') AND timestamp >= {SUMMARY_START} "
     "GROUP BY session_name")
+
+# ---- panes on a stream: what the watermark (an hour behind, whole milliseconds) has closed ------------
+MARK = "mark AS (SELECT epoch_ms(max(received_at)) - 3600000 AS wm FROM entries)"
+
+
+def _due(us: str) -> str:
+    return f"({us}) // 1000 + 1 <= (SELECT wm FROM mark)"
+
+
+_PANE_ORDER = "PARTITION BY session_name, pane_id ORDER BY received_at, sequence, raw_content"
+ORACLE["stream_collapse"] = with_entries(
+    "SELECT session_name, pane_id, arg_min(sequence, pos) AS group_start, arg_min(id, pos) AS id, min(timestamp) AS timestamp, "
+    "count(*) AS line_count, arg_max(sequence, pos) AS last_sequence, string_agg(raw_content, chr(10) ORDER BY pos) AS content "
+    "FROM grouped GROUP BY session_name, pane_id, grp HAVING max(grp) < any_value(last_grp) OR "
+    f"{_due(f'epoch_us(max(received_at)) + {SQ.SILENCE_S}000000')}",
+    f"{MARK}, gapped AS (SELECT *, row_number() OVER ({_PANE_ORDER}) AS pos, epoch_us(received_at) - epoch_us(lag(received_at) OVER ("
+    f"{_PANE_ORDER})) AS gap FROM entries), grouped0 AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > {SQ.SILENCE_S}000000 OR NOT "
+    "regexp_matches(raw_content, '^(\\s|at |Caused by:|\\.\\.\\. \\d+ more)') THEN 1 ELSE 0 END) OVER (PARTITION BY session_name, "
+    "pane_id ORDER BY pos) AS grp FROM gapped), grouped AS (SELECT *, max(grp) OVER (PARTITION BY session_name, pane_id) AS last_grp "
+    "FROM grouped0)", RESTARTED_CTE)
+_SILENCES = [("Stale", C.STALE_AFTER_S), ("Disconnected", C.DISCONNECT_AFTER_S)]
+ORACLE["stream_liveness"] = with_entries(
+    "SELECT session_name, pane_id, 'Active' AS status, received_at AS \"at\" FROM nexts WHERE prev IS NULL OR "
+    f"epoch_us(received_at) - epoch_us(prev) > {C.STALE_AFTER_S}000000 " + " ".join(
+        f"UNION ALL SELECT session_name, pane_id, '{name}', received_at + INTERVAL '{w} seconds' FROM nexts WHERE "
+        f"epoch_us(nxt) - epoch_us(received_at) > {w}000000 OR (nxt IS NULL AND {_due(f'epoch_us(received_at) + {w}000000')})"
+        for name, w in _SILENCES),
+    f"{MARK}, nexts AS (SELECT *, lag(received_at) OVER (PARTITION BY session_name, pane_id ORDER BY received_at) AS prev, "
+    "lead(received_at) OVER (PARTITION BY session_name, pane_id ORDER BY received_at) AS nxt FROM entries)", RESTARTED_CTE)
+ORACLE["stream_cycle"] = ORACLE["restarted_cycle"]

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from ..functions.parse import parse_entries
 from ..operators.windows import UNKNOWN_SERVICE
 from ..session import checkpoint_dir
-from ..sources.fixtures import log_lines
+from ..sources.fixtures import log_lines, restarted_lines
 from ..sources.sinks import stored
 from ..streaming import alerts as SA
 from ..streaming import clusters as SC
+from ..streaming import sessions as SS
 from ..streaming import stream as St
 from . import catalog as C
 
@@ -29,6 +30,7 @@ CUTS = [dt.datetime(2024, 1, 11), dt.datetime(2024, 1, 21)]
 ACK_AT, RESOLVE_AT = dt.datetime(2024, 1, 12), dt.datetime(2024, 1, 20, 12)
 RATE_WIDTH, RATE_SLIDE, WATERMARK = "1 day", "6 hours", "1 hour"
 PATTERN_TTL_S = 5 * 86400
+SILENCE_S = 1800
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -151,3 +153,27 @@ def stream_alerts(spark, sf_dir):
     return SA.alert_table(versions).select(
         "id", "session_name", "alert_type", "pattern_id", "threshold", "current_value", "triggered_at", "acknowledged_at",
         "status", "message", "severity", "trigger_count")
+
+
+def restarted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of restarted captures as a stream, the watermark on their arrival."""
+    files = write_parts(restarted_lines(spark, sf_dir), "received_at", folder(spark, "lines"), FILES)
+    return parse_entries(St.read_lines(spark, files, max_files_per_trigger=FILES).withWatermark("received_at", WATERMARK))
+
+
+@C.query
+def stream_collapse(spark, sf_dir):
+    """Entries closed by the next start or by silence."""
+    return run_to_table(SS.collapse_stream(restarted_stream(spark, sf_dir), SILENCE_S))
+
+
+@C.query
+def stream_liveness(spark, sf_dir):
+    """L4 as events."""
+    return run_to_table(SS.liveness_events(restarted_stream(spark, sf_dir), C.STALE_AFTER_S, C.DISCONNECT_AFTER_S))
+
+
+@C.query
+def stream_cycle(spark, sf_dir):
+    """W8."""
+    return run_to_table(SS.cycle_stream(restarted_stream(spark, sf_dir), C.CYCLE_WINDOW_S))
