@@ -71,7 +71,9 @@ def _json_strings(raw: Column, m: Column) -> Column:
     other = raw.rlike(r'"(?:' + "|".join(keys) + r')"\s*:\s*[^"\s]')
     typed = F.map_filter(F.from_json(raw, "map<string,variant>"),
                          lambda k, v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)))
-    return F.when(other, F.map_filter(m, lambda k, v: F.map_contains_key(typed, k))).otherwise(m)
+    # bound once a line, not parsed again for every entry of the map
+    strings = F.transform(F.array(typed), lambda t: F.map_filter(m, lambda k, v: F.map_contains_key(t, k)))[0]
+    return F.when(other, strings).otherwise(m)
 
 
 def entry_id(session: Column, pane_id: Column, sequence: Column, received_at: Column, raw: Column) -> Column:
