@@ -306,7 +306,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
                         .drop(text))
     codes = materialize(coded.groupBy("fp").agg(F.min(key).alias("_least")))
     comp = components(links(codes, limit))
-    rooted = (codes.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
-              .select("fp", "_least", F.coalesce("root", "fp").alias("_root")))
-    least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    rooted = materialize(codes.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
+                         .select("fp", "_least", F.coalesce("root", "fp").alias("_root")))
+    # a table of its own, so that the join's sides are plain scans and Spark may split a large component
+    least = materialize(rooted.groupBy("_root").agg(F.min("_least").alias("component_id")))
     return join_on(coded, rooted.join(least, "_root").select("fp", "component_id", "_root"), ["fp"])
