@@ -123,3 +123,18 @@ def entry_counters(entries: DataFrame, observation) -> DataFrame:
         observation, F.count(F.lit(1)).alias("parsed"),
         F.count_if(F.col("sev_rank") >= RANK["ERROR"]).alias("errors"),
         F.count_if(F.col("ts_source") == "received").alias("unparsed_time"))
+
+
+def pipeline_counters(entries: DataFrame, clusters: DataFrame, patterns: DataFrame, incidents: DataFrame,
+                      alerts: DataFrame) -> DataFrame:
+    """A11 per session: lines captured, parsed (a time, level or service was found), deduplicated (joined
+    the cluster of an earlier line), patterns, incidents and alerts, and lines a second of its span."""
+    found = (F.col("ts_source") != "received") | (F.col("severity") != "UNKNOWN") | F.col("service").isNotNull()
+    span = F.max("received_at").cast("double") - F.min("received_at").cast("double")
+    out = entries.groupBy("session_name").agg(
+        F.count(F.lit(1)).alias("captured"), F.count_if(found).alias("parsed"), span.alias("seconds"))
+    out = out.join(clusters.groupBy("session_name").agg(F.sum(F.col("members") - 1).alias("deduplicated")), "session_name", "left")
+    for name, table in (("patterns", patterns), ("incidents", incidents), ("alerts", alerts)):
+        out = out.join(table.groupBy("session_name").agg(F.count(F.lit(1)).alias(name)), "session_name", "left")
+    rate = F.when(F.col("seconds") > 0, F.col("captured") / F.col("seconds"))
+    return out.fillna(0, subset=["deduplicated", "patterns", "incidents", "alerts"]).withColumn("per_second", rate)

@@ -684,3 +684,17 @@ ORACLE["stream_liveness"] = with_entries(
     f"{MARK}, nexts AS (SELECT *, lag(received_at) OVER (PARTITION BY session_name, pane_id ORDER BY received_at) AS prev, "
     "lead(received_at) OVER (PARTITION BY session_name, pane_id ORDER BY received_at) AS nxt FROM entries)", RESTARTED_CTE)
 ORACLE["stream_cycle"] = ORACLE["restarted_cycle"]
+
+ORACLE["severity_map"] = with_entries(
+    "SELECT session_name, string_agg(severity || '=' || n, ',' ORDER BY severity) AS by_severity FROM (SELECT session_name, severity, "
+    "count(*) AS n FROM entries GROUP BY ALL) GROUP BY session_name")
+ORACLE["pipeline_counters"] = with_entries(
+    "SELECT e.*, coalesce(deduplicated, 0) AS deduplicated, patterns, coalesce(i.n, 0) AS incidents, coalesce(a.n, 0) AS alerts, "
+    "CASE WHEN seconds > 0 THEN captured / seconds END AS per_second FROM (SELECT session_name, count(*) AS captured, "
+    "count_if(ts_source <> 'received' OR severity <> 'UNKNOWN' OR service IS NOT NULL) AS parsed, "
+    "epoch(max(received_at)) - epoch(min(received_at)) AS seconds FROM entries GROUP BY session_name) e "
+    "JOIN (SELECT session_name, CAST(sum(members - 1) AS BIGINT) AS deduplicated FROM lines GROUP BY session_name) USING (session_name) "
+    "JOIN (SELECT session_name, count(DISTINCT signature) AS patterns FROM sig GROUP BY session_name) USING (session_name) "
+    "LEFT JOIN (SELECT session_name, count(*) AS n FROM inc GROUP BY session_name) i USING (session_name) "
+    "LEFT JOIN (SELECT session_name, count(*) AS n FROM al GROUP BY session_name) a USING (session_name)",
+    f"{LINE_CLUSTERS}, {FIRST}, {PW}, {PWF}, {TRIG}, {INCIDENTS}, {REC_TRIG}, {RATES}, {TRANS}, {RW}, {ALL_TRIG}, {ALERTS}")

@@ -51,11 +51,6 @@ def entries_page(entries: DataFrame, offset: int = 0, limit: int | None = None,
     return page.join(totals, "session_name")
 
 
-def newest_first(entries: DataFrame) -> DataFrame:
-    """O1."""
-    return entries.orderBy(F.desc("timestamp"), "pane_id", "sequence")
-
-
 def head_with_remainder(rows: DataFrame, n: int, order: list) -> DataFrame:
     """O2: the first ``n`` rows per session plus how many were left out."""
     totals = rows.groupBy("session_name").agg(F.count(F.lit(1)).alias("_total"))

@@ -1,4 +1,4 @@
-"""Durable high-severity store and result sinks.
+"""Durable high-severity store (S4-S6, J6, L1) and the newest version of each id.
 
 The durable table is Parquet partitioned by ``session_name`` and ``date``:
 range scans prune partitions and push the time/severity predicates into
@@ -122,9 +122,3 @@ def latest_by_id(df: DataFrame, id_col: str = "id", version_col: str = "updated_
     row = F.struct(*df.columns)
     return (df.groupBy(F.col(id_col).alias("_id"))
             .agg(F.max_by(row, F.struct(F.col(version_col), F.to_json(row))).alias("_row")).select("_row.*"))
-
-
-def as_json_documents(df: DataFrame, key_cols: list[str], name: str = "document") -> DataFrame:
-    """One JSON document per row (all non-key columns), keyed."""
-    rest = [c for c in df.columns if c not in key_cols]
-    return df.select(*key_cols, F.to_json(F.struct(*rest)).alias(name))
