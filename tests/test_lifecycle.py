@@ -25,7 +25,9 @@ def test_buffer_utilisation(spark):
 
 
 def test_retention_prefix_and_exact(spark):
-    rows = [("p", 1, -300, "old"), ("p", 2, 0, "new"), ("p", 3, -400, "old but after a new one")]
+    # lines in the order of arrival; the times they tell are 09:55:00, 10:00:00 and 09:53:20
+    rows = [("p", 1, 0, "2024-01-15T09:55:00Z old"), ("p", 2, 1, "2024-01-15T10:00:00Z new"),
+            ("p", 3, 2, "2024-01-15T09:53:20Z old but after a new one")]
     e = parse_entries(lines_df(spark, rows))
     as_of = BASE
     assert sorted(r["sequence"] for r in L.retention_trim(e, as_of, 60).collect()) == [2, 3]
