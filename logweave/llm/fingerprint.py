@@ -16,7 +16,8 @@ which two texts differ; ``likeness`` is one minus their share, between 0 and 1.
 
 Everything is built-in functions; a row needs no other row, except for the
 edit of ``edit_with_next``, where documents are dealt out in ranges of the key
-(bounds from quantiles) and each takes its neighbour's text from a window.
+(bounds from quantiles) and each takes its neighbour's text from a window; the
+last of a range takes the first of the next one by a join.
 
 Defined cases: a NULL text is empty, the empty fingerprint is all zeros;
 two empty fingerprints are alike (1), an empty and another are not (0); a NULL
@@ -30,6 +31,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import join_on
 
 LANES = 4
@@ -142,10 +144,12 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", name: str
         docs = Bucketizer(splits=splits, inputCol="_d", outputCol="_b").transform(docs).withColumn(
             "_b", F.col("_b").cast("int"))
     # the first document of each range: the greatest key, the least text of it
-    top = (join_on(docs, docs.groupBy("_b").agg(F.max(key).alias(key)), ["_b", key], "left_semi")
-           .groupBy("_b").agg(F.min(text).alias("_head")))
-    order = Window.orderBy(F.desc("_b"))  # one row a range
-    heads = top.select("_b", F.coalesce(F.lead("_head").over(order), F.first("_head").over(order)).alias("_head"))
+    top = materialize(join_on(docs, docs.groupBy("_b").agg(F.max(key).alias(key)), ["_b", key], "left_semi")
+                      .groupBy("_b").agg(F.min(text).alias("_head")))
+    # the window orders the numbers of the ranges only; a join brings the texts
+    order = Window.orderBy(F.desc("_b"))
+    follows = top.select("_b", F.coalesce(F.lead("_b").over(order), F.first("_b").over(order)).alias("_n"))
+    heads = follows.join(top.select(F.col("_b").alias("_n"), "_head"), "_n").select("_b", "_head")
     by = Window.partitionBy("_b").orderBy(F.col(key).desc_nulls_last(), text)
     inner = docs.select(key, text, "_b", F.lead(text).over(by).alias("_lead"))
     return (inner.join(heads, "_b").select(key, text, F.coalesce("_lead", "_head").alias(name)))
