@@ -15,8 +15,11 @@ block permutation.  Each source is cut into ``BLOCKS`` blocks by a hash of the
 document; the whole source is taken as often as the budget holds it, and of
 the last pass as many blocks as fit, in a fixed pseudo-random order of the
 blocks, the block on the edge cut at a document in a pseudo-random order of its
-documents.  Running sums go over the blocks of a source and over the documents
-of one block on the edge, never over a whole source.
+documents.  That order is the order of a hash, so a block on the edge of more
+than ``EDGE_ROWS`` documents is cut further by 8 bits of the hash at a time: sums
+of its 256 parts tell the part that holds the cut.  Running sums go over the
+blocks of a source, over these parts and over the documents of the last part,
+never over a whole source or a whole large block.
 
 Defined cases: a NULL source is a source of its own; a NULL or blank text has
 no tokens and is taken with whole passes and whole blocks, at no cost; without
@@ -35,6 +38,7 @@ from .common import join_on
 ENTROPY = 0.97
 MAX_REPEATS = 2.0
 BLOCKS = 256
+EDGE_ROWS = 4096
 GRID = 64
 STEPS = 5
 SEED = 20
@@ -91,8 +95,36 @@ def _weights(sizes: DataFrame, entropy: float, max_repeats: float, budget: float
                         (p / F.lit(z) * F.lit(budget)).alias("budget"))
 
 
+def _prefix(place: Column, level: int) -> Column:
+    """The first ``8 * level`` bits of a hash, in its (signed) order."""
+    return F.shiftrightunsigned(place.bitwiseXOR(F.lit(-(1 << 63))), 64 - 8 * level)
+
+
+def _narrow(edge: DataFrame, rooms: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """The cut of each source (source, _prefix, _room): the hash prefix whose
+    documents the cut goes through, and the tokens left for them; all smaller
+    prefixes fit.  ``edge``: (source, _place, _n) of the blocks on the edge,
+    ``rooms``: (source, _room).  Also the number of prefix bytes, at least one."""
+    cuts, level = rooms.select("source", F.lit(0).cast("long").alias("_prefix"), "_room"), 0
+    left = None
+    while left is None or (level < 7 and left.agg(F.max("count")).first()[0] > most):
+        own = join_on(edge, cuts, ["source"])
+        if level:
+            own = own.where(_prefix(F.col("_place"), level) == F.col("_prefix"))
+        level += 1
+        parts = (own.groupBy("source", _prefix(F.col("_place"), level).alias("_prefix"))
+                 .agg(F.count(F.lit(1)).alias("count"), F.sum("_n").alias("_tokens"), F.first("_room").alias("_room"))
+                 .withColumn("_before", F.sum("_tokens").over(Window.partitionBy("source").orderBy("_prefix"))
+                             - F.col("_tokens"))
+                 .where((F.col("_before") <= F.col("_room")) & (F.col("_before") + F.col("_tokens") > F.col("_room"))))
+        left = materialize(parts.select("source", "_prefix", (F.col("_room") - F.col("_before")).alias("_room"), "count"))
+        cuts = left.drop("count")
+    return cuts, level
+
+
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", entropy: float = ENTROPY,
-        max_repeats: float = MAX_REPEATS, budget: float | None = None, blocks: int = BLOCKS) -> DataFrame:
+        max_repeats: float = MAX_REPEATS, budget: float | None = None, blocks: int = BLOCKS,
+        edge_rows: int = EDGE_ROWS) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; ``copy`` (``mix_copy`` beside
     a column of that name) counts the
     passes from 1.  ``budget``: tokens of the mix, those of ``docs`` if not given."""
@@ -119,17 +151,28 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
             .withColumn("_room", F.col("_left") - (F.col("_upto") - F.col("_tokens")))
             .withColumn("_state", F.when(F.col("_tokens") <= F.col("_room"), F.lit("in"))
                         .when(F.col("_room") > 0, F.lit("edge")).otherwise(F.lit("out")))
-            .select(F.col("source").alias("_s"), F.col("_block").alias("_b"), "_whole", "_room", "_state"))
+            .select(F.col("source").alias("_s"), F.col("_block").alias("_b"), "_whole", "_room", "_state", "_docs"))
     plan = materialize(plan)
     joined = tagged.join(plan, tagged[source].eqNullSafe(plan["_s"]) & (tagged["_block"] == plan["_b"]))
     whole = joined.where("_state <> 'edge'").withColumn(
         "_times", F.col("_whole") + (F.col("_state") == "in").cast("int"))
     # documents of an edge block that still fit, in their own order; equal rows
     # stand next to each other and count one after the other
+    edge = joined.where("_state = 'edge'")
+    cut = plan.where("_state = 'edge'")
+    if (cut.agg(F.max("_docs")).first()[0] or 0) > edge_rows:
+        cuts, level = _narrow(materialize(edge.select(F.col(source).alias("source"), "_place", "_n")),
+                              cut.select(F.col("_s").alias("source"), "_room"), edge_rows)
+        edge = edge.drop("_room").join(cuts.select(F.col("source").alias("_c"), "_prefix", F.col("_room")),
+                                       F.col(source).eqNullSafe(F.col("_c")))
+        at = _prefix(F.col("_place"), level)
+        whole = whole.select(*names, "_times").unionByName(
+            edge.where(at != F.col("_prefix"))
+            .withColumn("_times", F.col("_whole") + (at < F.col("_prefix")).cast("int")).select(*names, "_times"))
+        edge = edge.where(at == F.col("_prefix"))
     seq = Window.partitionBy(source, "_block").orderBy("_place", F.col(key)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    edge = joined.where("_state = 'edge'").withColumn(
-        "_times", F.col("_whole") + (F.sum("_n").over(seq) <= F.col("_room")).cast("int"))
+    edge = edge.withColumn("_times", F.col("_whole") + (F.sum("_n").over(seq) <= F.col("_room")).cast("int"))
     out = (whole.select(*names, "_times").unionByName(edge.select(*names, "_times"))
            .where("_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))))
     return out.select(*[F.col(f"`{c}`").alias(o) if c != o else F.col(f"`{c}`") for c, o in zip(names, own)], F.col("copy").alias("mix_copy" if "copy" in own else "copy"))

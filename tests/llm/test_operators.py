@@ -626,6 +626,20 @@ def test_mixing_exponent(spark):
         assert abs(got - best(sum(n), entropy, repeats)) < 2e-4
 
 
+def test_mixing_narrows_large_edge_blocks(spark):
+    """Cutting a block further by hash bits takes the same rows as one sort of it."""
+    rows = [(i % 400 if i % 3 else 77, f"{'w ' * (i % 7)}{i // 40}", None if i % 5 == 0 else f"s{i % 5 % 3}")
+            for i in range(2500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+
+    def taken(edge_rows, budget):
+        return Counter(tuple(r) for r in mixing.mix(df, blocks=2, edge_rows=edge_rows, budget=budget).collect())
+    for budget in (900.0, 5000.0, None):
+        want = taken(10 ** 9, budget)
+        assert sum(want.values()) > 100
+        assert taken(3, budget) == want
+
+
 # ---- pipeline ----------------------------------------------------------------
 
 def test_pipeline_stages(spark, docs):
