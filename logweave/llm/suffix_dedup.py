@@ -267,3 +267,39 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     return (join_on(_packed(docs), cuts, ["doc_id", "th"], "left").select("doc_id", "th", "packed", "cuts")
             .mapInArrow(cut, schema))
+
+
+#: DuckDB SQL for the digests of ``remove_repeats`` over ``documents`` (ids that differ): every
+#: 100-byte string by its md5, the first start of each kept, the others' intervals merged.
+#: Texts are cut into pieces of 1000 starts, as hexadecimal digits.
+SQL = """
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+pieces AS (
+  SELECT doc_id, n, c * 1000 AS base, substr(hx, c * 2000 + 1, 2198) AS piece
+  FROM (SELECT doc_id, n, hx, unnest(range((n + 999) // 1000)) AS c FROM docs)),
+grams AS (
+  SELECT doc_id, base + i AS s, md5(substr(piece, 2 * i + 1, 200)) AS g
+  FROM (SELECT doc_id, base, piece, unnest(range(least(1000, n - 99 - base))) AS i FROM pieces WHERE n - 99 > base)),
+again AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, s) AS nth
+                         FROM grams) WHERE nth > 1),
+runs AS (
+  SELECT doc_id, min(s) AS a, max(s) + 100 AS b
+  FROM (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run
+        FROM (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END
+                     AS fresh FROM again))
+  GROUP BY doc_id, run),
+sizes AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id),
+gaps AS (  -- what lies before each run, and after the last
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM runs
+  UNION ALL SELECT r.doc_id, max(r.b), any_value(d.n) FROM runs r JOIN docs d ON r.doc_id IS NOT DISTINCT FROM d.doc_id
+  GROUP BY r.doc_id),
+kept AS (
+  SELECT g.doc_id, string_agg(substr(d.hx, CAST(2 * x + 1 AS BIGINT), CAST(2 * (y - x) AS BIGINT)), '' ORDER BY x) AS hx
+  FROM gaps g JOIN docs d ON g.doc_id IS NOT DISTINCT FROM d.doc_id GROUP BY g.doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(z.removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(z.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.hx, d.hx))) AS kept_sha256
+FROM docs d LEFT JOIN sizes z ON d.doc_id IS NOT DISTINCT FROM z.doc_id
+LEFT JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id
+"""
