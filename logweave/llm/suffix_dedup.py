@@ -17,14 +17,17 @@ is never looked at again:
    dropped: none of its strings repeats.  A block that occurs earlier as a
    whole repeats as a whole.  What remains is the first occurrence of each of
    several different blocks around one name.
-2. *66 bytes*.  Every 100-byte string around an anchor holds the 34 bytes
-   before the anchor or the 34 bytes after it.  Sides that are unique are
-   dropped with their strings.
-3. *100 bytes*.  The strings left are ranked by a sort; all but the first
-   position of each class repeat.
-
-Equality is that of two independent 64-bit digests (the anchor's name and the
-digest of the longer string).
+2. *64 bytes*, offset 32.  Every 100-byte string around an anchor holds the 32
+   bytes before the anchor's or the 32 bytes after them.  The pairs (rank at p,
+   rank at p + 32), with p the anchor or 32 bytes before it, are counted; pairs
+   that are unique are dropped with their strings.
+3. *100 bytes*, offset 36.  Spark sorts the strings left by the pairs (rank of
+   64 bytes at p, rank of 64 bytes at p + 36) and ranks them anew: all but the
+   first position of each class repeat.
+
+A rank that a later pair uses is written as a 64-bit digest of its bytes, so
+that a task can name it at any position without a join; the equality of a pair
+is that of two digests.
 
 Copies within one Arrow batch are folded onto the first before the shuffle,
 so a block that many documents share costs a row a batch.  Sorted classes are
@@ -53,7 +56,8 @@ from .common import SLICE_BYTES, join_on, text_slices
 
 LENGTH = 100
 GRAM = 32
-SIDE = GRAM + (LENGTH - GRAM) // 2
+SIDE = 2 * GRAM
+REST = LENGTH - SIDE
 _GROW = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -201,24 +205,26 @@ def repeated_intervals(docs: DataFrame, repeated: bool) -> DataFrame:
     places = firsts.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "off", "n", "q")).alias("places"))
     blocks = materialize(join_on(_packed(docs), places, ["doc_id", "th"])
                          .mapInArrow(_cut_blocks, "h long, doc_id long, th long, off int, n int, q int, b binary"))
-    before = F.when(F.col("q") >= SIDE - GRAM, _part(F.col("b"), F.col("q") - (SIDE - GRAM), SIDE))
-    after = F.when(F.col("q") + SIDE <= F.length("b"), _part(F.col("b"), F.col("q"), SIDE))
+    # the anchor's rank is h; its partner in the pair is the rank at the offset
+    before = F.when(F.col("q") >= GRAM, _part(F.col("b"), F.col("q") - GRAM, GRAM))
+    after = F.when(F.col("q") + SIDE <= F.length("b"), _part(F.col("b"), F.col("q") + GRAM, GRAM))
     sided = blocks.withColumn("before", before).withColumn("after", after)
-    names = (sided.select("h", F.explode(F.array(
+    pairs = (sided.select("h", F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.col("before").alias("x")),
         F.struct(F.lit(1).alias("side"), F.col("after").alias("x")))).alias("s"))
         .where("s.x is not null").groupBy("h", "s.side", "s.x").count().where("count > 1"))
-    b = names.where("side = 0").select("h", F.col("x").alias("before"), F.lit(True).alias("has_before"))
-    a = names.where("side = 1").select("h", F.col("x").alias("after"), F.lit(True).alias("has_after"))
+    b = pairs.where("side = 0").select("h", F.col("x").alias("before"), F.lit(True).alias("has_before"))
+    a = pairs.where("side = 1").select("h", F.col("x").alias("after"), F.lit(True).alias("has_after"))
     left = F.col("q") - F.col("s")  # bytes of the string before its anchor
     strings = (sided.join(b, ["h", "before"], "left").join(a, ["h", "after"], "left")
                .where("has_before or has_after")
                .withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-               .where((F.col("has_before") & (left >= SIDE - GRAM))
-                      | (F.col("has_after") & (left <= LENGTH - SIDE)))
-               .select("h", _part(F.col("b"), F.col("s"), LENGTH).alias("x"), "doc_id", "th",
+               # no side of the string is known to be unique
+               .where((F.col("has_before") | (left < GRAM)) & (F.col("has_after") | (left > LENGTH - SIDE)))
+               .select(_part(F.col("b"), F.col("s"), SIDE).alias("rank"),
+                       _part(F.col("b"), F.col("s") + REST, SIDE).alias("rank_on"), "doc_id", "th",
                        (F.col("off") + F.col("s")).alias("off")))
-    nth = F.dense_rank().over(Window.partitionBy("h", "x").orderBy("doc_id", "th", "off"))
+    nth = F.dense_rank().over(Window.partitionBy("rank", "rank_on").orderBy("doc_id", "th", "off"))
     single = (strings.withColumn("nth", nth).where("nth > 1")
               .select("doc_id", "th", F.col("off").alias("start"), (F.col("off") + LENGTH).alias("end")))
     return whole.unionByName(single)
