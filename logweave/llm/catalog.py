@@ -135,5 +135,5 @@ def op13_lexical_search(spark, sf_dir):
     return lexical_search.search(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
-ORACLE: dict[str, str] = {"op8_suffix_dedup": suffix_dedup.SQL, "op12_license_scan": licenses.sql(),
-                          "op13_lexical_search": lexical_search.SQL}
+ORACLE: dict[str, str] = {"op2_chat_format": chat.SQL, "op8_suffix_dedup": suffix_dedup.SQL,
+                          "op12_license_scan": licenses.sql(), "op13_lexical_search": lexical_search.SQL}

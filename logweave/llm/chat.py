@@ -233,3 +233,54 @@ def derive(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = (c.where(assistant).unionByName(opening).join(opened, F.col("_back") == F.col("_opened"), "left")
              .select("call_id", "conv_id", "turn", name.alias("name"), args.alias("arguments"), after.alias("after")))
     return calls, results
+
+
+#: DuckDB SQL for the query over ``conversations`` whose (conv_id, turn) differ and are not NULL.
+SQL = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+         'call_' || left(md5(concat_ws(':', conv_id, turn)), 20) AS id,
+         'call_' || left(md5(concat_ws(':', conv_id, turn - 1)), 20) AS back_id,
+         'call_' || left(md5(concat_ws(':', conv_id, turn - 2)), 20) AS two_id,
+         role IS NOT DISTINCT FROM 'assistant' AS assistant FROM conversations),
+kinds AS (
+  SELECT t.*, coalesce(t.role = 'user', false) AND a.id IS NOT NULL AND NOT t.assistant AS answer
+  FROM turns t LEFT JOIN (SELECT id FROM turns WHERE assistant) a ON t.back_id = a.id),
+calls AS (
+  SELECT k.conv_id, k.turn, k.id AS call_id, k.text, k.n, k.role, k.assistant,
+         coalesce(o.id, CASE WHEN k.turn >= 2 THEN k.two_id END) AS after,
+         CASE WHEN NOT k.assistant THEN 'open' WHEN k.turn % 3 = 0 THEN 'search' WHEN k.turn % 3 = 1 THEN 'note'
+              ELSE 'score' END AS name
+  FROM kinds k LEFT JOIN (SELECT id FROM kinds WHERE NOT assistant AND NOT answer) o ON k.back_id = o.id
+  WHERE NOT k.answer),
+results AS (
+  SELECT back_id AS call_id, text AS content, count(*) AS n_results FROM kinds WHERE answer GROUP BY ALL),
+steps AS (
+  SELECT c.call_id, 0 AS depth FROM calls c LEFT JOIN calls p ON c.after = p.call_id WHERE p.call_id IS NULL
+  UNION ALL SELECT c.call_id, s.depth + 1 FROM calls c JOIN steps s ON c.after = s.call_id),
+checked AS (
+  SELECT c.*, s.depth, r.content, coalesce(r.n_results, 0) AS n_results,
+         list_filter([CASE WHEN name = 'search' AND n % 7 = 0 THEN 'type of limit'
+                           WHEN name = 'note' AND n % 11 = 0 THEN 'type of pinned'
+                           WHEN name = 'score' AND n % 5 = 0 THEN 'type of text' END,
+                      CASE WHEN c.after IS NOT NULL AND p.call_id IS NULL THEN 'unknown after' END],
+                     lambda e: e IS NOT NULL) AS errors,
+         CASE name
+           WHEN 'open' THEN '{"role":' || to_json(coalesce(role, '')) || ',"text":' || to_json(text) || '}'
+           WHEN 'search' THEN '{"filter":{"a":[true,null],"z":1},"limit":'
+             || CASE WHEN n % 7 = 0 THEN '"' || n || '"' ELSE CAST(n % 50 AS VARCHAR) END
+             || ',"query":' || to_json(text) || '}'
+           WHEN 'note' THEN '{"pinned":' || CASE WHEN n % 11 = 0 THEN '1' ELSE 'true' END || ',"tags":["t' || (n % 5)
+             || '"],"text":' || to_json(text) || '}'
+           ELSE '{"text":' || CASE WHEN n % 5 = 0 THEN '[' || to_json(text) || ']' ELSE to_json(text) END
+             || ',"weight":' || (n % 9) || '.25}' END AS arguments
+  FROM calls c JOIN steps s ON c.call_id = s.call_id
+  LEFT JOIN (SELECT call_id FROM calls) p ON c.after = p.call_id LEFT JOIN results r ON c.call_id = r.call_id)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, turn, call_id, name, len(errors) = 0 AS valid,
+       array_to_string(errors, ',') AS errors, n_results,
+       '{"after":' || coalesce(CAST(to_json(after) AS VARCHAR), 'null') || ',"arguments":' || arguments
+       || ',"call_id":' || to_json(call_id) || ',"depth":' || depth || ',"errors":' || to_json(errors)
+       || ',"name":' || to_json(name) || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null')
+       || ',"valid":' || CASE WHEN len(errors) = 0 THEN 'true' ELSE 'false' END || '}' AS json
+FROM checked
+"""
