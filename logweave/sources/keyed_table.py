@@ -13,46 +13,53 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sequence import join_keys
+from ..session import materialize
 from .sinks import _exists
 
 BUCKETS = 64
 
 
-def _manifest(spark: SparkSession, path: str) -> tuple[int, int, dict[int, str]]:
-    """(version, last batch, bucket -> folder) of the newest complete manifest; a
-    manifest has a row a bucket."""
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, int, int | None, dict[int, str]]:
+    """(version, last batch, number of buckets, bucket -> folder) of the newest complete
+    manifest; a manifest has a row a bucket."""
     if not _exists(spark, f"{path}/manifest"):
-        return 0, -1, {}
+        return 0, -1, None, {}
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     versions = sorted((int(s.getPath().getName().removeprefix("v")) for s in fs.listStatus(p)
                        if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))), reverse=True)
     if not versions:
-        return 0, -1, {}
-    rows = spark.read.json(f"{path}/manifest/v{versions[0]}", schema="bucket int, folder string, batch long").collect()
-    return versions[0], rows[0]["batch"], {r["bucket"]: r["folder"] for r in rows if r["folder"] is not None}
+        return 0, -1, None, {}
+    rows = spark.read.json(f"{path}/manifest/v{versions[0]}", schema="bucket int, folder string, batch long, buckets int").collect()
+    return versions[0], rows[0]["batch"], rows[0]["buckets"], {r["bucket"]: r["folder"] for r in rows if r["folder"] is not None}
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The rows as of the newest manifest (None: no batch yet)."""
-    folders = _manifest(spark, path)[2]
+    folders = _manifest(spark, path)[3]
     return spark.read.parquet(*sorted(folders.values())) if folders else None
 
 
 def merge_batch(batch: DataFrame, path: str, keys: list[str], number: int, combine: Callable[[DataFrame], DataFrame],
                 buckets: int = BUCKETS) -> bool:
     """Merge ``batch`` into the table; ``combine`` reduces old and new rows together to one a key
-    (same columns).  Returns False for a batch that is already in."""
+    (same columns).  Returns False for a batch that is already in.  ``buckets`` is fixed by the
+    first batch and kept in the manifest."""
     spark = batch.sparkSession
-    version, last, folders = _manifest(spark, path)
+    version, last, made, folders = _manifest(spark, path)
     if number <= last:
         return False
-    new = combine(batch).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    buckets = made or buckets
+    new = combine(batch).withColumn("_bucket", _bucket(keys, buckets))
     data = f"{path}/data/{uuid.uuid4().hex}"
     new.write.partitionBy("_bucket").parquet(f"{data}/new")
     new = spark.read.schema(new.schema).parquet(f"{data}/new")
@@ -61,17 +68,25 @@ def merge_batch(batch: DataFrame, path: str, keys: list[str], number: int, combi
     rows = new.drop("_bucket")
     if old:
         rows = combine(rows.unionByName(spark.read.parquet(*old)))
-    (rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).repartition("_bucket")
+    (rows.withColumn("_bucket", _bucket(keys, buckets)).repartition("_bucket")
      .write.partitionBy("_bucket").parquet(f"{data}/merged"))
     folders |= {b: f"{data}/merged/_bucket={b}" for b in touched}
-    listed = [(b, f, number) for b, f in sorted(folders.items())] or [(0, None, number)]
-    (spark.createDataFrame(listed, "bucket int, folder string, batch long").coalesce(1)
+    listed = [(b, f, number, buckets) for b, f in sorted(folders.items())] or [(0, None, number, buckets)]
+    (spark.createDataFrame(listed, "bucket int, folder string, batch long, buckets int").coalesce(1)
      .write.mode("overwrite").json(f"{path}/manifest/v{version + 1}"))
     return True
 
 
 def unknown_keys(batch: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """The different keys of ``batch`` that no stored row has."""
+    """The different keys of ``batch`` that no stored row has.  Only the buckets that
+    these keys fall into are read."""
+    spark = batch.sparkSession
     mine = batch.select(*keys).distinct()
-    known = read_table(batch.sparkSession, path)
-    return mine if known is None else join_keys(mine, known.select(*keys), keys, "left_anti")
+    _, _, buckets, folders = _manifest(spark, path)
+    if not folders:
+        return mine
+    mine = materialize(mine.withColumn("_bucket", _bucket(keys, buckets)))
+    touched = [r["_bucket"] for r in mine.select("_bucket").distinct().collect()]  # at most ``buckets``
+    known = [folders[b] for b in touched if b in folders]
+    mine = mine.drop("_bucket")
+    return join_keys(mine, spark.read.parquet(*known).select(*keys), keys, "left_anti") if known else mine

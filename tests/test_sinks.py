@@ -61,3 +61,24 @@ def test_snapshot_trims_all_white_space(spark):
     lines = spark.createDataFrame([("s", "p", 1, BASE, "\t x \u00a0\n"), ("s", "p", 2, BASE, " \t\u2003")],
                                   "session_name string, pane_id string, sequence long, received_at timestamp, raw string")
     assert [r["raw"] for r in L.snapshot_scan(lines, 10).collect()] == ["x"]
+
+
+def test_pane_and_id_scans_skip_files(spark, tmp_path):
+    """A pane between the least and greatest pane of every file: only what its own file
+    holds leaves the scan, known by the files' dictionaries and Bloom filters."""
+    path = str(tmp_path / "durable")
+    for part in range(4):  # panes p000, p004, ... in one file, p001, p005, ... in the next
+        rows = [(f"id{i:05d}", "s", f"p{i % 400:03d}", i, BASE + dt.timedelta(seconds=i), BASE, "ERROR", 4)
+                for i in range(part, 4000, 4)]
+        assert S.append_durable(S.durable_rows(spark.createDataFrame(rows, SCHEMA).coalesce(1)), path) == 1000
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert S.read_pane(spark, path, "p201").count() == 10
+        for test, n in (("pane_id = 'p201'", 10), ("pane_id = 'p201x'", 0), ("id = 'id01234'", 1)):
+            df = S.stored(spark, path).where(test)
+            assert len(df.collect()) == n
+            leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+            assert sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size())) <= 1000 * (n > 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)

@@ -127,6 +127,9 @@ def test_keyed_table_repeats_and_interruptions(spark, tmp_path):
     os.makedirs(f"{path}/manifest/v2")
     assert len(read_table(spark, path).collect()) == 3
     assert sorted(r["id"] for r in unknown_keys(two, path, ["id"]).collect()) == ["c"]
+    # only the buckets of the asked keys are read
+    files = unknown_keys(one.limit(1), path, ["id"]).inputFiles()
+    assert len([f for f in files if "/merged/" in f]) == 1
     assert merge_batch(two, path, ["id"], 1, latest_by_id, buckets=4)
     want = sorted([("a", 2, 2), ("b", 1, 1), ("c", 1, 2), (None, 5, 1)], key=repr)
     assert sorted(map(tuple, read_table(spark, path).collect()), key=repr) == want
