@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import parse_entries
 from ..operators.windows import UNKNOWN_SERVICE
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 from ..sources.fixtures import log_lines, restarted_lines
 from ..sources.sinks import stored
 from ..streaming import alerts as SA
@@ -26,6 +26,8 @@ from ..streaming import stream as St
 from . import catalog as C
 
 FILES = 2
+#: Lines (of actions: people's actions) a file, from which a stretch gets more files.
+FILE_ROWS, ACTION_ROWS = 50_000, 500_000
 CUTS = [dt.datetime(2024, 1, 11), dt.datetime(2024, 1, 21)]
 ACK_AT, RESOLVE_AT = dt.datetime(2024, 1, 12), dt.datetime(2024, 1, 20, 12)
 RATE_WIDTH, RATE_SLIDE, WATERMARK = "1 day", "6 hours", "1 hour"
@@ -49,24 +51,44 @@ def state_partitions(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def write_parts(df: DataFrame, time: str, path: str, files: int) -> str:
-    """``df`` as ``files`` files for each stretch between the cuts, the earliest first."""
+def write_parts(df: DataFrame, time: str, path: str, files: int, rows: int = FILE_ROWS) -> tuple[str, int]:
+    """``df`` as files for each stretch between the cuts, the earliest first: (path, files a stretch).  Every
+    stretch has the same number, ``files`` or as many as keep the largest one at about ``rows`` a file, so that
+    many files are one micro-batch and its tasks grow with it."""
+    spark = df.sparkSession
+    df = materialize(df)
+    parts = []
     for low, high in zip([None, *CUTS], [*CUTS, None]):
         part = df
         if low is not None:
             part = part.where(F.col(time) >= F.lit(low))
         if high is not None:
             part = part.where(F.col(time) < F.lit(high))
-        part.repartition(files).write.mode("append").parquet(path)
-    return path
+        parts.append(part)
+    sizes = [p.count() for p in parts]
+    many = max(files, -(-max(sizes) // rows))
+    empty = spark.createDataFrame([], df.schema).coalesce(1)
+    for part, size in zip(parts, sizes):
+        before = _files(spark, path)
+        part.repartition(many).write.mode("append").parquet(path)
+        for _ in range(_files(spark, path) - before, many if many > files else 0):  # a partition without rows left no file
+            empty.write.mode("append").parquet(path)
+    return path, many
+
+
+def _files(spark: SparkSession, path: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sum(s.getPath().getName().startswith("part-") for s in fs.listStatus(p)) if fs.exists(p) else 0
 
 
-def line_files(spark: SparkSession, sf_dir: str) -> str:
+def line_files(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
     return write_parts(log_lines(spark, sf_dir), "received_at", folder(spark, "lines"), FILES)
 
 
 def line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return St.parse_stream(St.read_lines(spark, line_files(spark, sf_dir), max_files_per_trigger=FILES), WATERMARK)
+    path, files = line_files(spark, sf_dir)
+    return St.parse_stream(St.read_lines(spark, path, max_files_per_trigger=files), WATERMARK)
 
 
 def run_to_table(df: DataFrame) -> DataFrame:
@@ -86,16 +108,16 @@ def stream_follow(spark, sf_dir):
     lines = log_lines(spark, sf_dir)
     first = F.col("session_name") == "sess-0"
     feeds = [write_parts(lines.where(c), "received_at", folder(spark, "feed"), 1) for c in (first, ~first)]
-    both = St.read_lines(spark, feeds[0]).unionByName(St.read_lines(spark, feeds[1], max_files_per_trigger=1))
+    both = St.read_lines(spark, feeds[0][0]).unionByName(St.read_lines(spark, feeds[1][0], max_files_per_trigger=feeds[1][1]))
     return run_to_table(St.follow(parse_entries(both), "ERROR").select("id", "pane_id", "sequence", "detected_severity"))
 
 
 @C.query
 def stream_durable(spark, sf_dir):
     """The severe entries of a stream, stored; a second run over the same lines adds none."""
-    files, path = line_files(spark, sf_dir), folder(spark, "durable")
+    (lines, files), path = line_files(spark, sf_dir), folder(spark, "durable")
     for _ in range(2):
-        entries = St.parse_stream(St.read_lines(spark, files, max_files_per_trigger=FILES), WATERMARK)
+        entries = St.parse_stream(St.read_lines(spark, lines, max_files_per_trigger=files), WATERMARK)
         St.durable_sink(entries.drop("parsed_fields"), path, folder(spark, "stream")).awaitTermination()
     return stored(spark, path).select("id", "session_name", "severity", "timestamp")
 
@@ -146,8 +168,8 @@ def person_actions(entries: DataFrame) -> DataFrame:
 def stream_alerts(spark, sf_dir):
     """K1-K6, K8: all four alert types with dedup, acknowledge, resolve and re-opening as keyed state."""
     acts = person_actions(C.entries(spark, sf_dir))
-    path = write_parts(acts, "at", folder(spark, "actions"), 1)
-    actions = spark.readStream.schema(acts.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    path, files = write_parts(acts, "at", folder(spark, "actions"), 1, ACTION_ROWS)
+    actions = spark.readStream.schema(acts.schema).option("maxFilesPerTrigger", files).parquet(path)
     rules = SA.Rules(C.PATTERN_WINDOW_S, C.RECURRING_THRESHOLD, C.RATE_WINDOW_S, C.RATE_THRESHOLD, C.RESTART_WINDOW_S, 2)
     versions = run_to_table(SA.alert_versions(line_stream(spark, sf_dir), actions, rules))
     return SA.alert_table(versions).select(
@@ -157,8 +179,8 @@ def stream_alerts(spark, sf_dir):
 
 def restarted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of restarted captures as a stream, the watermark on their arrival."""
-    files = write_parts(restarted_lines(spark, sf_dir), "received_at", folder(spark, "lines"), FILES)
-    return parse_entries(St.read_lines(spark, files, max_files_per_trigger=FILES).withWatermark("received_at", WATERMARK))
+    lines, files = write_parts(restarted_lines(spark, sf_dir), "received_at", folder(spark, "lines"), FILES)
+    return parse_entries(St.read_lines(spark, lines, max_files_per_trigger=files).withWatermark("received_at", WATERMARK))
 
 
 @C.query

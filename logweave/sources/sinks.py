@@ -51,12 +51,11 @@ def append_durable(rows: DataFrame, path: str) -> int:
     counter behind the id starts again with each capture."""
     spark = rows.sparkSession
     key = [c for c in ("id", "session_name", "received_at") if c in rows.columns]
-    rows = rows.dropDuplicates(key)
+    rows = materialize(rows.dropDuplicates(key))  # read twice below: the parse runs once
     if _exists(spark, path):
         touched = rows.select(*DURABLE_PARTITIONS).distinct()
         have = join_keys(stored(spark, path), touched, DURABLE_PARTITIONS, "left_semi").select(*key)
-        rows = join_keys(rows, have, key, "left_anti")
-    rows = materialize(rows)
+        rows = materialize(join_keys(rows, have, key, "left_anti"))
     n = rows.count()
     if n:
         # time order in the files gives narrow row-group ranges; a pane or id scan skips by Bloom filters
