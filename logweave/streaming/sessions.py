@@ -73,18 +73,24 @@ class CollapseProcessor(_Keyed):
         t = pdf["received_us"].to_numpy(dtype=np.int64)
         before = np.concatenate([[open_["last"] if open_ else t[0] - self.silence - 1], t[:-1]])
         begins = pdf["is_start"].to_numpy(dtype=bool) | (t - before > self.silence)
-        pdf["group"] = np.cumsum(begins)
+        # the places where entries begin; a part before the first belongs to the open entry
+        cuts = np.flatnonzero(begins)
+        if open_ is not None and (not len(cuts) or cuts[0]):
+            cuts = np.concatenate([[0], cuts])
+        ends = np.append(cuts[1:], len(t))
+        first_ts = np.minimum.reduceat(pdf["ts_us"].to_numpy(dtype=np.int64), cuts).tolist()
+        sequence, ids, lines = pdf["sequence"].tolist(), pdf["id"].tolist(), pdf["raw_content"].tolist()
         done = []
-        for g, part in pdf.groupby("group", sort=True):
-            if g or open_ is None:
+        for i, j, ts in zip(cuts.tolist(), ends.tolist(), first_ts):
+            if begins[i] or open_ is None:
                 if open_ is not None:
                     done.append(open_)
-                open_ = {"group_start": int(part["sequence"].iloc[0]), "id": part["id"].iloc[0], "ts": int(part["ts_us"].min()),
-                         "n": 0, "lines": []}
-            open_["ts"] = min(open_["ts"], int(part["ts_us"].min()))
-            open_["n"] += len(part)
-            open_["last_sequence"], open_["last"] = int(part["sequence"].iloc[-1]), int(part["received_us"].iloc[-1])
-            open_["lines"] += part["raw_content"].tolist()
+                open_ = {"group_start": sequence[i], "id": ids[i], "ts": ts, "n": 0, "lines": []}
+            open_["ts"] = min(open_["ts"], ts)
+            open_["n"] += j - i
+            open_["last_sequence"] = sequence[j - 1]
+            open_["lines"] += lines[i:j]
+        open_["last"] = int(t[-1])
         self.save(open_)
         self.handle.registerTimer(timer_ms(open_["last"] + self.silence))
         if done:
