@@ -47,14 +47,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tupl
             yield batch.slice(start, len(texts)), texts
 
 
-def label_sample(labels: DataFrame, target: str, modulus: int, held: int, bound: int) -> DataFrame:
-    """(doc_id, y) of at most ``bound`` labelled rows outside the held-out fold
+def label_sample(labels: DataFrame, target: str, modulus: int, held: int, bound: int | None) -> DataFrame:
+    """(doc_id, y) of at most ``bound`` (None: all) labelled rows outside the held-out fold
     (crc32 of the id as text, modulo ``modulus``, equal to ``held``), the
     first in a fixed pseudo-random order of the ids."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
     rows = (labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & (fold != held))
             .groupBy("doc_id").agg(F.max(target).alias("y")))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return rows if bound is None else rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

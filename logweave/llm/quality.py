@@ -9,9 +9,10 @@ likelihood of all pairs (Newton steps, small ridge).  The score that the given
 share of the fitted texts exceeds is the threshold; scores are moved so that
 this quantile is 0 and pass the logistic function, so 0.5 is the threshold.
 
-``FIT_ROWS`` bounds the labelled rows that are fitted (the first in a fixed
-pseudo-random order of the ids, one row each); their figures, a few numbers a
-row, are what the driver sees.
+All labelled rows outside the held-out fold are fitted, one row an id.  Up to ``FIT_ROWS`` of them their
+figures, a few numbers a row, are fitted on the driver.  More are dealt into buckets by a hash of the id
+(``fit_buckets``): pairs are drawn inside a bucket, every Newton step adds the buckets' gradients and
+Hessians, and the threshold is the exact quantile of all scores.
 
 Defined cases: a NULL or empty text has all figures 0 and gets the score of
 that row; without labels of both kinds every score is 0.5; repeated rows get
@@ -21,14 +22,16 @@ equal scores; other columns stay as they are.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .common import label_sample, text_slices
 
 FIT_ROWS = 20_000
@@ -126,19 +129,80 @@ def fit(x: np.ndarray, y: np.ndarray, share: float | None = None, pairs: int = P
     return m
 
 
-def train(df: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, rows: int = FIT_ROWS) -> Model | None:
-    """Fit on at most ``rows`` labelled documents outside the held-out fold."""
-    chosen = label_sample(labels, "quality", modulus, held, rows)  # at most ``rows`` ids and labels
-    some = df.select("doc_id", "text", F.xxhash64("text").alias("_text")).join(F.broadcast(chosen), "doc_id")
+def _sums(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, int], np.ndarray | None]) -> np.ndarray | None:
+    """The sum over all buckets of ``work(figures, labels, bucket)``, an array of the same size for each."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "doc_id"])
+        got = work(np.array(pdf["figures"].tolist()), pdf["y"].to_numpy(), int(pdf["bucket"].iloc[0]))
+        return pd.DataFrame({"s": [] if got is None else [got.tolist()]})
+
+    parts = rows.groupBy("bucket").applyInPandas(run, T.StructType([T.StructField("s", T.ArrayType(T.DoubleType()))]))
+    at = parts.select(F.posexplode("s")).groupBy("pos").agg(F.sum("col").alias("v")).orderBy("pos").collect()
+    return np.array([r["v"] for r in at]) if at else None
+
+
+def fit_buckets(rows: DataFrame, pairs: int = PAIRS, ridge: float = 1e-3) -> Model:
+    """``fit`` of a table (bucket, h, doc_id, y, figures) of any size; the driver sees sums."""
+    first = _sums(rows, lambda x, y, _: np.concatenate([[len(y), y.sum()], x.sum(axis=0)]))
+    n, good, mean = int(first[0]), first[1], first[2:] / first[0]
+    std = np.sqrt(_sums(rows, lambda x, y, _: ((x - mean) ** 2).sum(axis=0)) / n)
+    m = Model(mean, np.where(std > 1e-12, std, 1.0), np.zeros(2 * len(mean)), 0.0)
+    few_is_poor = n - good <= good
+
+    def step(x, y, bucket):
+        few, many = (np.flatnonzero(y == k) for k in ((0, 1) if few_is_poor else (1, 0)))
+        if not len(few) or not len(many):
+            return None
+        z = m.expand(x)
+        a, b = np.repeat(few, pairs), np.random.default_rng([17, bucket]).choice(many, size=len(few) * pairs)
+        diff = (z[b] - z[a]) if few_is_poor else (z[a] - z[b])
+        p = 1 / (1 + np.exp(-np.clip(diff @ m.weights, -30, 30)))
+        return np.concatenate([[len(diff)], diff.T @ (1 - p), ((diff * (p * (1 - p))[:, None]).T @ diff).ravel()])
+
+    w = m.weights
+    for _ in range(30):
+        got = _sums(rows, step)
+        if got is None:
+            break
+        size, k = got[0], len(w)
+        move = np.linalg.solve(got[1 + k:].reshape(k, k) / size + ridge * np.eye(k), got[1:1 + k] / size - ridge * w)
+        m.weights = w = w + move
+        if np.abs(move).max() < 1e-6:
+            break
+
+    def raw_of(x: pd.Series) -> pd.Series:
+        return pd.Series(m.raw(np.array(x.tolist())))
+
+    raw = materialize(rows.select(F.pandas_udf(raw_of, T.DoubleType())("figures").alias("r")))
+    k = int(np.clip(round((1 - good / n) * n), 1, n - 1))
+    # the k-th and the next score: exact within a narrow bracket of approximate quantiles
+    at = k / n - 0.002, (k + 1) / n + 0.002
+    low, high = raw.approxQuantile("r", [max(0.0, at[0]), min(1.0, at[1])], 0.0005)
+    low, high = low if at[0] > 0 else -np.inf, high if at[1] < 1 else np.inf
+    below = raw.where(F.col("r") < low).count()
+    order = raw.where(F.col("r").between(low, high)).groupBy("r").count().orderBy("r").toArrow()
+    ends = below + np.cumsum(order.column("count").to_numpy())
+    near = order.column("r").to_numpy()
+    m.shift = -float(near[np.searchsorted(ends, k)] + near[np.searchsorted(ends, k + 1)]) / 2
+    return m
+
+
+def train(df: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, rows: int | None = None,
+          local_rows: int = FIT_ROWS) -> Model | None:
+    """Fit on all labelled documents outside the held-out fold (``rows``: on at most so many),
+    on the driver if they are at most ``local_rows``."""
+    chosen = label_sample(labels, "quality", modulus, held, rows)
+    some = df.select("doc_id", "text", F.xxhash64("text").alias("_text")).join(chosen, "doc_id")
     one = F.min_by("figures", F.struct("_text", "figures")).alias("figures")
-    got = (with_figures(some).groupBy("doc_id", "y").agg(one)
-           .orderBy(F.xxhash64("doc_id"), "doc_id").toArrow())
-    if not got.num_rows:
-        return None
-    y = got.column("y").to_numpy()
-    if y.min() == y.max():
+    got = materialize(with_figures(some).groupBy("doc_id", "y").agg(one).withColumn("h", F.xxhash64("doc_id")))
+    kinds = got.groupBy("y").count().collect()
+    if len(kinds) < 2:
         return None
-    return fit(np.array(got.column("figures").to_pylist()), y)
+    n = sum(r["count"] for r in kinds)
+    if n > local_rows:
+        return fit_buckets(got.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(-(-n // local_rows)))).repartition("bucket"))
+    got = got.orderBy("h", "doc_id").toArrow()
+    return fit(np.array(got.column("figures").to_pylist()), got.column("y").to_numpy())
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text", name: str = "score") -> DataFrame:
