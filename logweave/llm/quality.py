@@ -129,23 +129,44 @@ def fit(x: np.ndarray, y: np.ndarray, share: float | None = None, pairs: int = P
     return m
 
 
-def _sums(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, int], np.ndarray | None]) -> np.ndarray | None:
-    """The sum over all buckets of ``work(figures, labels, bucket)``, an array of the same size for each."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _blocks(rows: DataFrame) -> DataFrame:
+    """A table with a row a bucket: its figures (row by row) and labels, in order of the ids."""
+    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType())),
+                           T.StructField("y", T.ArrayType(T.LongType()))])
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "doc_id"])
-        got = work(np.array(pdf["figures"].tolist()), pdf["y"].to_numpy(), int(pdf["bucket"].iloc[0]))
-        return pd.DataFrame({"s": [] if got is None else [got.tolist()]})
+        x = np.concatenate(pdf["figures"].to_numpy())
+        return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "x": [x], "y": [pdf["y"].to_numpy(dtype=np.int64)]})
+
+    return materialize(rows.groupBy("bucket").applyInPandas(pack, schema))
 
-    parts = rows.groupBy("bucket").applyInPandas(run, T.StructType([T.StructField("s", T.ArrayType(T.DoubleType()))]))
+
+def _sums(blocks: DataFrame, work: Callable[[np.ndarray, np.ndarray, int], np.ndarray | None]) -> np.ndarray | None:
+    """The sum over all buckets of ``work(figures, labels, bucket)``, an array of the same size for each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                y = batch.column("y")[i].values.to_numpy()
+                got = work(batch.column("x")[i].values.to_numpy().reshape(len(y), -1), y, batch.column("bucket")[i].as_py())
+                if got is not None:
+                    total = got if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    parts = blocks.mapInArrow(run, T.StructType([T.StructField("s", T.ArrayType(T.DoubleType()))]))
     at = parts.select(F.posexplode("s")).groupBy("pos").agg(F.sum("col").alias("v")).orderBy("pos").collect()
     return np.array([r["v"] for r in at]) if at else None
 
 
 def fit_buckets(rows: DataFrame, pairs: int = PAIRS, ridge: float = 1e-3) -> Model:
-    """``fit`` of a table (bucket, h, doc_id, y, figures) of any size; the driver sees sums."""
-    first = _sums(rows, lambda x, y, _: np.concatenate([[len(y), y.sum()], x.sum(axis=0)]))
+    """``fit`` of a table (bucket, h, doc_id, y, figures) of any size; the driver sees sums.  The buckets
+    are formed once; the steps read them without a shuffle."""
+    blocks = _blocks(rows)
+    first = _sums(blocks, lambda x, y, _: np.concatenate([[len(y), y.sum()], x.sum(axis=0)]))
     n, good, mean = int(first[0]), first[1], first[2:] / first[0]
-    std = np.sqrt(_sums(rows, lambda x, y, _: ((x - mean) ** 2).sum(axis=0)) / n)
+    std = np.sqrt(_sums(blocks, lambda x, y, _: ((x - mean) ** 2).sum(axis=0)) / n)
     m = Model(mean, np.where(std > 1e-12, std, 1.0), np.zeros(2 * len(mean)), 0.0)
     few_is_poor = n - good <= good
 
@@ -161,7 +182,7 @@ def fit_buckets(rows: DataFrame, pairs: int = PAIRS, ridge: float = 1e-3) -> Mod
 
     w = m.weights
     for _ in range(30):
-        got = _sums(rows, step)
+        got = _sums(blocks, step)
         if got is None:
             break
         size, k = got[0], len(w)
@@ -192,15 +213,17 @@ def train(df: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, row
     """Fit on all labelled documents outside the held-out fold (``rows``: on at most so many),
     on the driver if they are at most ``local_rows``."""
     chosen = label_sample(labels, "quality", modulus, held, rows)
-    some = df.select("doc_id", "text", F.xxhash64("text").alias("_text")).join(chosen, "doc_id")
+    # figures before the join: it moves a few numbers a row, not the texts
+    some = with_figures(df.select("doc_id", "text", F.xxhash64("text").alias("_text"))).drop("text")
+    some = some.join(chosen.hint("merge"), "doc_id")
     one = F.min_by("figures", F.struct("_text", "figures")).alias("figures")
-    got = materialize(with_figures(some).groupBy("doc_id", "y").agg(one).withColumn("h", F.xxhash64("doc_id")))
+    got = materialize(some.groupBy("doc_id", "y").agg(one).withColumn("h", F.xxhash64("doc_id")))
     kinds = got.groupBy("y").count().collect()
     if len(kinds) < 2:
         return None
     n = sum(r["count"] for r in kinds)
     if n > local_rows:
-        return fit_buckets(got.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(-(-n // local_rows)))).repartition("bucket"))
+        return fit_buckets(got.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(-(-n // local_rows)))))
     got = got.orderBy("h", "doc_id").toArrow()
     return fit(np.array(got.column("figures").to_pylist()), got.column("y").to_numpy())
 
