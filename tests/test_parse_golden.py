@@ -150,3 +150,12 @@ def test_json_values_that_are_not_strings_are_not_read(spark):
     assert (got[2]["severity"], got[2]["service"]) == ("WARN", "api")
     assert got[1]["parsed_fields"]["message"] == "ERROR x" and "message" not in got[2]["parsed_fields"]
     assert (got[3]["severity"], got[3]["service"]) == ("UNKNOWN", None)
+
+
+def test_each_text_pattern_stands_once_in_the_plan(spark):
+    """An expression used twice would run its pattern twice a line, and swell the generated code."""
+    from logweave.functions import parse as P
+    e = parse_entries(lines_df(spark, [("p", 1, 0, "x")]))
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    for pattern in (P.TS_ISO, P.TS_STANDARD, P.TS_SYSLOG, P.SEVERITY_WORD, P.SERVICE_TAG, P.LOGFMT_PAIR_JAVA):
+        assert plan.count(f" {pattern}, ") == 1, pattern
