@@ -3,6 +3,8 @@
 ``build_index`` turns the documents, task by task and without a shuffle, into shards of
 about ``SHARD_BYTES`` of text: an inverted list (document, occurrences) for every term.
 Counts over all documents (documents, terms, documents a term) come from the shards.
+An array of a shard is stored packed, as one compressed binary value, so that Spark's side of a task
+passes on a few MB a shard and holds no array of it; Python unpacks one shard at a time.
 
 ``prepare`` adds what a set of queries needs, a shard at a time: the lists of their
 terms with the impacts (what a term adds to a document's score), the greatest impact a term,
@@ -36,11 +38,12 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_slices
@@ -48,6 +51,10 @@ from .common import materialize, text_slices
 K = 20
 SHARD_BYTES = 8 << 20
 PART_TERMS = 1 << 17
+#: Bytes of texts that Spark hands to Python at once.
+BATCH_BYTES = 4 << 20
+#: Shards of a file, and so at most of a row group, which Spark's reader decodes as a whole.
+FILE_SHARDS = 4
 #: Documents at the head of a pair list, and scored documents of a task, from which thresholds start.
 HEAD, SEEDS = 4, 5
 #: The contract's class without A-Z: texts are lower-cased, as UTF-8, before the match.
@@ -99,11 +106,44 @@ class Shard:
                 np.array(self.tfs, dtype=np.int32)[order], len(self.ids), sum(self.lengths)]
 
 
+def packed(values, kind: pa.DataType) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([pa.array(values, kind)], ["v"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(value: pa.BinaryScalar) -> pa.Array:
+    return pa.ipc.open_stream(value.as_buffer()).read_next_batch().column(0)
+
+
 def record(row: list, schema: str) -> pa.RecordBatch:
-    kind = {"array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary()),
-            "long": pa.int64()}
+    """A shard as a row of ``stored(schema)``."""
+    kind = {"array<long>": pa.int64(), "array<int>": pa.int32(), "array<binary>": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([v], kind[t]) for v, (_, t) in zip(row, fields)], [n for n, _ in fields])
+    return pa.RecordBatch.from_arrays([pa.array([packed(v, kind[t])], pa.binary()) if t in kind else pa.array([v], pa.int64())
+                                       for v, (_, t) in zip(row, fields)], [n for n, _ in fields])
+
+
+def stored(schema: str) -> str:
+    """The schema of a shard table: arrays are packed."""
+    return re.sub(r"array<\w+>", "binary", schema)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts reach Python by ``BATCH_BYTES`` in what runs meanwhile; the caller's setting comes back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -120,14 +160,15 @@ def build_index(docs: DataFrame) -> DataFrame:
         if shard.ids:
             yield record(shard.row(), INDEX)
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(build, INDEX))
+    with small_batches(docs.sparkSession):
+        return materialize(docs.select("doc_id", "text").mapInArrow(build, stored(INDEX)), maxRecordsPerFile=FILE_SHARDS)
 
 
 def shard_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
     """Rows of shard tables, a column of a row as an Arrow array."""
     for batch in batches:
         for i in range(batch.num_rows):
-            yield {n: batch.column(k)[i].values for k, n in enumerate(batch.schema.names)}
+            yield {n: unpacked(batch.column(k)[i]) for k, n in enumerate(batch.schema.names)}
 
 
 def numbers(row: dict[str, pa.Array], *names: str) -> list[np.ndarray]:
@@ -241,7 +282,8 @@ def prepare(index: DataFrame, q: Queries, n: int, total: int) -> DataFrame:
                           np.concatenate([none, *[i for _, i in flat]]), [int(i.max()) for _, i in flat], found, ends(pair_docs),
                           np.concatenate([none, *pair_docs]).astype(np.int32), joint], PREPARED)
 
-    return materialize(index.select("doc_ids", "lengths", "terms", "starts", "docs", "tfs").mapInArrow(build, PREPARED))
+    lists = index.select("doc_ids", "lengths", "terms", "starts", "docs", "tfs").mapInArrow(build, stored(PREPARED))
+    return materialize(lists, maxRecordsPerFile=FILE_SHARDS)
 
 
 class Lists:
@@ -390,8 +432,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     for each of ``items`` (item_id, text)."""
     index = build_index(docs)
     size = index.agg(F.sum("n_docs").alias("n"), F.sum("n_terms").alias("total")).first()
-    schema = "item_id long, rank int, doc_id long, score long"
-    out = index.sparkSession.createDataFrame([], schema)
+    # not createDataFrame, whose rows would start Python processes of their own
+    none = [f"CAST(NULL AS {t}) AS {c}" for c, t in (("item_id", "long"), ("rank", "int"), ("doc_id", "long"), ("score", "long"))]
+    out = index.sparkSession.range(0).selectExpr(*none)
     if not size["n"]:
         return out
     for q in query_parts(items):

@@ -5,8 +5,11 @@ import random
 import re
 from collections import Counter
 from fractions import Fraction
+from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from llm_cases import SMALL
 
@@ -252,6 +255,44 @@ def test_search_skips_and_stays_exact(spark, monkeypatch):
     assert sorted(map(key, got)) == sorted(map(key, brute_search(docs, items)))
 
 
+def test_search_keeps_tasks_small(spark, monkeypatch):
+    """Texts reach Python some MB at a time, arrays of a shard stay packed in Spark, and only the search starts Python."""
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(300))) for i in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+
+    def slices(batches, column, real=lexical_search.text_slices):
+        for batch in batches:
+            if batch.nbytes > 5 << 20:
+                raise ValueError(f"{batch.nbytes} bytes at once")
+            yield from real([batch], column)
+
+    monkeypatch.setattr(lexical_search, "text_slices", slices)
+    monkeypatch.setattr(lexical_search, "SHARD_BYTES", 1 << 20)
+    monkeypatch.setattr(lexical_search, "FILE_SHARDS", 2)
+    index = lexical_search.build_index(df)
+    assert spark.conf.get(setting) == before
+    assert not [f.name for f in index.schema if f.dataType.typeName() == "array"]
+    files = [pq.ParquetFile(unquote(urlparse(f).path)).metadata.num_rows for f in index.inputFiles()]
+    assert sum(files) >= 3 and max(files) <= 2
+    postings = sum(len(set(t.split())) for _, t in docs)
+    assert sum(len(r["docs"]) + len(r["tfs"]) for r in index.collect()) < 4 * postings  # plain: 8 a posting
+    rows = [{n: lexical_search.unpacked(pa.scalar(bytes(r[n]))) for n in ("terms", "starts", "docs", "tfs", "doc_ids")} for r in index.collect()]
+    got = Counter()
+    for r in rows:
+        starts, at, tfs, ids = (r[n].to_pylist() for n in ("starts", "docs", "tfs", "doc_ids"))
+        for k, t in enumerate(r["terms"].to_pylist()):
+            got.update({(ids[at[j]], t.decode()): tfs[j] for j in range(starts[k], starts[k + 1])})
+    assert got == Counter((i, t) for i, text in docs for t in text.split())
+    asked = spark.createDataFrame([(1, "w1 w2 w3 w4"), (2, "w7 nothing")], "item_id long, text string")
+    found = lexical_search.search(df, asked)
+    assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [f.dataType.simpleString() for f in found.schema] == ["bigint", "int", "bigint", "bigint"]
+    assert sorted(map(key, found.collect())) == sorted(map(key, brute_search(docs, [(r[0], r[1]) for r in asked.collect()])))
+
+
 def test_pair_bounds_tighten():
     """Two rare terms that never meet: their pair is bounded by the greater one."""
     import pyarrow as pa
